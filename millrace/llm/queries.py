@@ -11,6 +11,7 @@ from .bpe import bpe_tokens
 from .exact import exact_groups
 from .html import extract_main
 from .mixing import mix_sources
+from .pu import fit_scorer, score_texts
 from .sharding import shard_documents
 from .topk import top_k
 
@@ -46,9 +47,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, fit_scorer(docs, _table(spark, sf_dir, "labels"), "quality", "shape"), threshold=0.3)
+
+
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, fit_scorer(docs, _table(spark, sf_dir, "labels"), "toxic", "words"), threshold=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_hamming, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op7_html_main_text, op8_sharding)
+    for f in (op1_topk_hamming, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op7_html_main_text, op8_sharding, op9_quality_pu, op10_toxicity_pu)
 }
 
 ORACLE_SQL = {
