@@ -25,7 +25,7 @@ def sign_code(vector: Column) -> Column:
 def _segments(n_rows: int) -> int:
     """Number of segments: their width is the power of two next to log2 of the rows, so that a bucket holds a few codes."""
     width = 4
-    while width < 32 and (1 << (width * 3 // 2)) < n_rows:
+    while width < 16 and (1 << (width * 3 // 2)) < n_rows:
         width *= 2
     return BITS // width
 
@@ -62,11 +62,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     order = Window.partitionBy("q_code").orderBy("d", "first_id", "code")
     for radius in range(width + 1):
         masks = [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
-        masks_col = F.array(*(F.lit(x) for x in masks)) if len(masks) <= 64 else _masks(active, width, radius)
+        masks_col = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
         own = F.array(*(F.struct(F.lit(i).alias("seg"), F.expr(_segment("q_code", i, width)).alias("own")) for i in range(m)))
         probes = active.withColumn("s", F.explode(own)).withColumn("mask", F.explode(masks_col))
         probes = probes.select("q_code", F.col("s.seg").alias("p_seg"), F.col("s.own").bitwiseXOR(F.col("mask")).alias("p_value"))
-        met = probes.join(index, (F.col("p_seg") == F.col("seg")) & (F.col("p_value") == F.col("value")))
+        met = probes.hint("merge").join(index, (F.col("p_seg") == F.col("seg")) & (F.col("p_value") == F.col("value")))
         xor = "(q_code ^ code)"
         earlier = [f"(bit_count({_segment(xor, i, width)}) < {radius} or (bit_count({_segment(xor, i, width)}) = {radius} and {i} < seg))" for i in range(m)]
         new = met.where(f"not ({' or '.join(earlier)})").select("q_code", "code", "n", "first_id", F.expr(f"cast(bit_count({xor}) as int)").alias("d"))
@@ -91,13 +91,3 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     hits = asked.join(found.select("q_code", "code", "d"), "q_code").join(ids.select("code", "id"), "code").where("id <> query_id")
     last = Window.partitionBy("query_id", "q_code").orderBy("d", "id")
     return hits.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("d").alias("distance"))
-
-
-def _masks(df: DataFrame, width: int, radius: int) -> Column:
-    """All numbers of `width` bits with `radius` of them set, made in the plan: 2 ** width candidates for widths up to 16."""
-    if width <= 16:
-        return F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) == radius)
-    out = F.array(F.lit(0).cast("long"))
-    for _ in range(radius):
-        out = F.flatten(F.transform(out, lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.shiftleft(F.lit(1).cast("long"), b) > x), lambda b: x.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), b)))))
-    return out
