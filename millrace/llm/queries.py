@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_tokens
 from .exact import exact_groups
 from .html import extract_main
+from .jaccard import near_components
 from .mixing import mix_sources
 from .pu import fit_scorer, score_texts
 from .sharding import shard_documents
@@ -27,6 +28,10 @@ def op1_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=10)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
@@ -59,7 +64,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_hamming, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op7_html_main_text, op8_sharding, op9_quality_pu, op10_toxicity_pu)
+    for f in (op1_topk_hamming, op2_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op7_html_main_text, op8_sharding, op9_quality_pu, op10_toxicity_pu)
 }
 
 ORACLE_SQL = {
@@ -71,6 +76,18 @@ ORACLE_SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d)
         SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
     """,
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+        u AS (SELECT doc_id, unnest(s) AS g FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = n.doc_id
+    """,
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),

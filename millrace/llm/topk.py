@@ -40,7 +40,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     Ties go to the smaller id, so the result is exact and unique.  Equal codes are searched once: the index holds distinct
     codes, cut into segments, and only the k + 1 smallest ids of a code can matter.  Radius 0, 1, 2 ... is searched in all
     segments; after radius r every code at a distance below segments * (r + 1) has been met (pigeonhole), and a query is
-    done when its kth verified distance is covered.  Only queries that are not done probe further.  A code is verified
+    done when its kth verified distance is covered.  Only queries that are not done probe further, and codes beyond their
+    kth distance so far are left out as they are met.  A code is verified
     where it is met first, found from the codes themselves, so that nothing is made distinct.
 
     Rows with a null id or vector are not searched.  Queries with fewer than k others get all of them.  Rows that repeat
@@ -57,37 +58,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     width = BITS // m
     index = codes.select("code", "n", "first_id", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), F.expr(_segment("code", i, width)).alias("value")) for i in range(m)))).alias("s"))
     index = stored(index.select("s.seg", "s.value", "code", "n", "first_id"), "index")
-    active = stored(asked.select("q_code").distinct(), "active")
+    active = stored(asked.select("q_code").distinct().withColumn("bound", F.lit(BITS)), "active")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = best = None
     order = Window.partitionBy("q_code").orderBy("d", "first_id", "code")
     for radius in range(width + 1):
         masks = [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
         masks_col = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
         own = F.array(*(F.struct(F.lit(i).alias("seg"), F.expr(_segment("q_code", i, width)).alias("own")) for i in range(m)))
-        probes = active.withColumn("s", F.explode(own)).withColumn("mask", F.explode(masks_col))
-        probes = probes.select("q_code", F.col("s.seg").alias("p_seg"), F.col("s.own").bitwiseXOR(F.col("mask")).alias("p_value"))
-        met = probes.hint("merge").join(index, (F.col("p_seg") == F.col("seg")) & (F.col("p_value") == F.col("value")))
+        probes = active.repartition(tasks, "q_code").withColumn("s", F.explode(own)).withColumn("mask", F.explode(masks_col))
+        probes = probes.select("q_code", "bound", F.col("s.seg").alias("p_seg"), F.col("s.own").bitwiseXOR(F.col("mask")).alias("p_value"))
+        met = probes.join(index.hint("shuffle_hash"), (F.col("p_seg") == F.col("seg")) & (F.col("p_value") == F.col("value")))
         xor = "(q_code ^ code)"
         earlier = [f"(bit_count({_segment(xor, i, width)}) < {radius} or (bit_count({_segment(xor, i, width)}) = {radius} and {i} < seg))" for i in range(m)]
-        new = met.where(f"not ({' or '.join(earlier)})").select("q_code", "code", "n", "first_id", F.expr(f"cast(bit_count({xor}) as int)").alias("d"))
+        new = met.where(f"bit_count({xor}) <= bound and not ({' or '.join(earlier)})").select("q_code", "code", "n", "first_id", F.expr(f"cast(bit_count({xor}) as int)").alias("d"))
         pool = new if found is None else new.unionByName(best)
         ranked = pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need)
-        running = Window.partitionBy("q_code").orderBy("place")
-        ranked = ranked.withColumn("before", F.sum("n").over(running) - F.col("n")).where(F.col("before") < need)
-        latest = stored(ranked.select("q_code", "code", "n", "first_id", "d", "before"), "best")
+        nearer = Window.partitionBy("q_code").orderBy("d").rangeBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < need)
+        latest = stored(ranked.select("q_code", "code", "n", "first_id", "d"), "best")
         covered = m * (radius + 1) - 1
-        done = latest.groupBy("q_code").agg(F.max("d").alias("far"), F.max(F.col("before") + F.col("n")).alias("have"))
+        done = latest.groupBy("q_code").agg(F.max("d").alias("far"), F.sum("n").alias("have"))
         done = done.where((F.col("have") >= need) & (F.col("far") <= covered))
         finished = latest.join(done, "q_code", "left_semi") if radius < width else latest
         found = finished if found is None else found.unionByName(finished)
         if radius == width:
             break
-        rest = stored(active.join(done, "q_code", "left_anti"), "active")
+        bounds = latest.groupBy("q_code").agg(F.when(F.sum("n") >= need, F.max("d")).otherwise(BITS).alias("bound"))
+        left = active.select("q_code").join(done, "q_code", "left_anti").join(bounds, "q_code", "left")
+        rest = stored(left.select("q_code", F.coalesce("bound", F.lit(BITS)).alias("bound")), "active")
         dropped(active)
         active = rest
         if active.isEmpty():
             break
-        best = latest.join(active, "q_code", "left_semi").select("q_code", "code", "n", "first_id", "d")
+        best = latest.join(active.select("q_code"), "q_code", "left_semi").select("q_code", "code", "n", "first_id", "d")
     hits = asked.join(found.select("q_code", "code", "d"), "q_code").join(ids.select("code", "id"), "code").where("id <> query_id")
     last = Window.partitionBy("query_id", "q_code").orderBy("d", "id")
     return hits.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("d").alias("distance"))
