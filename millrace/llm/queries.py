@@ -14,6 +14,7 @@ from .jaccard import near_components
 from .mixing import mix_sources
 from .pu import fit_scorer, score_texts
 from .sharding import shard_documents
+from .suffix import remove_repeats
 from .topk import top_k
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -44,6 +45,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(_table(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_hamming, op2_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op7_html_main_text, op8_sharding, op9_quality_pu, op10_toxicity_pu)
+    for f in (op1_topk_hamming, op2_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_mix_sources, op6_suffix_dedup, op7_html_main_text, op8_sharding, op9_quality_pu, op10_toxicity_pu)
 }
 
 ORACLE_SQL = {
