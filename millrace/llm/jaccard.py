@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,8 @@ def allocation(largest: int, percent: int = PERCENT) -> tuple[int, int, int]:
     Two linked sets differ in at most D shingles.  An exact segment can be missed by one difference, a one-deletion segment
     by two; so D + 1 + slack misses over all segments leave more than `slack` worth of matches to every linked pair, and
     each set may leave out its `slack` most frequent exact segments in an order that all sets share.  Costs of a set are
-    its signatures, and the thin segments (under two shingles, expected in a Poisson spread) that slack does not cover.
+    its signatures, and the thin segments (under two shingles, expected in a Poisson spread) that slack does not cover; a thin
+    one-deletion segment costs most, as it meets every other one and cannot be left out.
     """
     differ = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
     best = None
@@ -47,8 +49,8 @@ def allocation(largest: int, percent: int = PERCENT) -> tuple[int, int, int]:
             if exact < slack:
                 continue
             per_segment = largest * 0.85 / (exact + deletions)
-            thin = exact * math.exp(-per_segment) * (1 + per_segment)
-            cost = exact + deletions * (per_segment + 2) + 6 * max(0.0, thin - slack)
+            thin = math.exp(-per_segment) * (1 + per_segment)
+            cost = exact + deletions * (per_segment + 2 + 40 * thin) + 3 * max(0.0, exact * thin - slack)
             if best is None or cost < best[0]:
                 best = cost, (exact, deletions, slack)
     return best[1]
@@ -105,17 +107,23 @@ def set_digests(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS)
 
 
 def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Signatures of the sets, under their ids; a set that has been met before in a batch is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in _sets(batches, words):
-            nodes, sigs, tags = [], [], []
-            for node, own in zip(rows.column("c_id").to_pylist(), sets):
-                if len(own):
-                    sig, tag = signatures(own, percent)
-                    nodes.append(np.full(len(sig), node, np.int64))
-                    sigs.append(sig.view(np.int64))
-                    tags.append(tag.astype(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, tags)], ["sig", "node", "tag"])
+        for batch in batches:
+            met: set[bytes] = set()
+            for rows, sets in _sets(iter([batch]), words):
+                nodes, sigs, tags = [], [], []
+                for node, own in zip(rows.column("c_id").to_pylist(), sets):
+                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    if len(own) and node is not None and digest not in met:
+                        met.add(digest)
+                        sig, tag = signatures(own, percent)
+                        nodes.append(np.full(len(sig), node, np.int64))
+                        sigs.append(sig.view(np.int64))
+                        tags.append(tag.astype(np.int64))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, tags)], ["sig", "node", "tag"])
 
     return texts.mapInArrow(run, "sig long, node long, tag long")
 
@@ -158,13 +166,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = digests.where("n > 0")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("c_id").alias("rep"))
     members = stored(full.join(classes, ["n", "h1", "h2"]).select("c_id", "n", "h1", "h2", "rep"), "members")
-    reps = members.where("c_id = rep").select(F.col("rep").alias("r_id")).distinct()
     texts = _read(docs, id_col, text_col)
-    rep_texts = texts.join(reps, texts["c_id"] == reps["r_id"], "left_semi")
-    rows = _signature_rows(rep_texts, words, percent).repartition("sig")
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = shared.select(F.col("sig").alias("s_sig"), "count")
-    met = stored(rows.join(shared.hint("shuffle_hash"), rows["sig"] == shared["s_sig"]).select("sig", "node", "tag", "count"), "met")
+    rows = _signature_rows(texts, words, percent).repartition("sig")
+    # Both sides of the join need the same columns, so that they share one exchange.
+    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("tag").alias("top")).where("lo < hi and top >= 0")
+    met = rows.join(shared.select(F.col("sig").alias("s_sig")).hint("shuffle_hash"), rows["sig"] == F.col("s_sig"))
+    met = met.join(members.select(F.col("c_id").alias("node"), "rep").distinct(), "node").select("sig", F.col("rep").alias("node"), "tag").distinct()
+    count = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    met = stored(met.withColumn("count", count).where("count > 1"), "met")
     slack = F.expr("tag & 65535L")
     hottest = Window.partitionBy("node", "tag").orderBy(F.desc("count"), "sig")
     kept = met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct()
