@@ -19,6 +19,7 @@ from .textbytes import blocks, mix, shingles
 
 #: Similarity in hundredths, words of a shingle, and the growth of size bands.
 PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
+SKETCH_BITS, GROUP_ROWS, HOT = 1024, 50_000, 1 << 40
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,39 +96,83 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_digests(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """c_id, n (shingles), h1, h2: two independent 64-bit sums over the set, 0 for an empty one."""
+    """c_id, n (shingles), h1, h2 (two 64-bit sums over the set), sketch (parities of SKETCH_BITS parts of the set, as longs).
+
+    Each shingle in one set but not the other flips one parity, so two sketches differ in no more bits than the sets differ
+    in shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _sets(batches, words):
             n = pa.array([len(s) for s in sets], pa.int64())
             digests = [pa.array(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays([rows.column("c_id"), n, *digests], ["c_id", "n", "h1", "h2"])
+            parity = [np.packbits(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1) for s in sets]
+            longs = np.concatenate(parity).astype(np.uint8).view(np.int64)
+            offsets = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+            sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(longs))
+            yield pa.RecordBatch.from_arrays([rows.column("c_id"), n, *digests, sketch], ["c_id", "n", "h1", "h2", "sketch"])
 
-    return _read(docs, id_col, text_col).mapInArrow(run, "c_id long, n long, h1 long, h2 long")
+    return _read(docs, id_col, text_col).mapInArrow(run, "c_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Signatures of the sets, under their ids; a set that has been met before in a batch is left out."""
+    """Signatures of the distinct sets of every batch, under the smallest id that has the set there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met: set[bytes] = set()
+            met: dict[bytes, list] = {}
             for rows, sets in _sets(iter([batch]), words):
-                nodes, sigs, tags = [], [], []
                 for node, own in zip(rows.column("c_id").to_pylist(), sets):
-                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    if len(own) and node is not None and digest not in met:
-                        met.add(digest)
-                        sig, tag = signatures(own, percent)
-                        nodes.append(np.full(len(sig), node, np.int64))
-                        sigs.append(sig.view(np.int64))
-                        tags.append(tag.astype(np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, tags)], ["sig", "node", "tag"])
+                    if len(own) and node is not None:
+                        digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                        if digest in met:
+                            met[digest][0] = min(met[digest][0], node)
+                        else:
+                            met[digest] = [node, *signatures(own, percent)]
+            found = list(met.values())
+            for i in range(0, len(found), 500):
+                part = found[i : i + 500]
+                nodes = np.repeat(np.array([node for node, _, _ in part], np.int64), [len(sig) for _, sig, _ in part])
+                sigs, tags = np.concatenate([sig for _, sig, _ in part]).view(np.int64), np.concatenate([tag for _, _, tag in part]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(nodes), pa.array(tags)], ["sig", "node", "tag"])
 
     return texts.mapInArrow(run, "sig long, node long, tag long")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature, those whose signature is not alone, with the size of their group.
+
+    A group waits for its end in memory, but a group of over GROUP_ROWS goes on at once with the size HOT, as all its rows do.
+    """
+
+    def sized(table: pa.Table, hot: int | None) -> Iterator[pa.RecordBatch]:
+        sig = table.column("sig").to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(first, len(sig)))
+        count = np.repeat(np.where(sig[first] == hot, HOT, size) if hot is not None else size, size)
+        keep = count > 1
+        out = table.filter(pa.array(keep)).append_column("count", pa.array(count[keep]))
+        yield from out.combine_chunks().to_batches()
+
+    waiting, hot = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column("sig")[-1].as_py()
+        sig = batch.column("sig").to_numpy()
+        cut = int(np.searchsorted(sig, last))
+        if cut or (waiting and waiting[-1].column("sig")[-1].as_py() != last):
+            yield from sized(pa.Table.from_batches([*waiting, batch.slice(0, cut)]), hot)
+            waiting, hot = [], hot if hot == last else None
+        waiting.append(batch.slice(cut))
+        if sum(b.num_rows for b in waiting) > GROUP_ROWS:
+            hot = last
+            yield from sized(pa.Table.from_batches(waiting), hot)
+            waiting = []
+    if waiting:
+        yield from sized(pa.Table.from_batches(waiting), hot)
+
+
 def _set_rows(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _sets(batches, words):
@@ -138,6 +183,15 @@ def _set_rows(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, items array<long>")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for a link: no linked pair is dropped."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("c_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
+    flips = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    differ = F.greatest(flips.cast("long"), F.abs(F.col("a_n") - F.col("b_n")))
+    return pairs.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked, by their true intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
@@ -156,31 +210,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes share are kept; each class leaves out its most frequent ones as far as the slack allows, so boilerplate that
     many documents share is not looked up.  Inside the groups that remain, members are compared with leaders: one a group
     at first, then 16 times as many each round, only across components, until no group holds two components that have
-    not been compared.  Every comparison intersects the true sets.  Pairs within a component are never all made, yet no link
-    between components can be missed.
+    not been compared.  A comparison first asks whether sizes and parity sketches leave room for a link; if so it
+    intersects the true sets.  Pairs within a component are never all made, yet no link between components can be missed.
 
     Null or blank texts have no shingles and link with nothing.  Rows that repeat an id are one document: whatever links
     with one of them is in its component.  A null id belongs to no component (null) unless its text is another's copy.
     """
     digests = stored(set_digests(docs, id_col, text_col, words), "digests")
-    full = digests.where("n > 0")
+    full = digests.where("n > 0").select("c_id", "n", "h1", "h2")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("c_id").alias("rep"))
-    members = stored(full.join(classes, ["n", "h1", "h2"]).select("c_id", "n", "h1", "h2", "rep"), "members")
+    members = stored(full.join(classes, ["n", "h1", "h2"]).select("c_id", "n", "rep"), "members")
+    reps = members.where("c_id = rep").select(F.col("rep").alias("node")).distinct()
     texts = _read(docs, id_col, text_col)
-    rows = _signature_rows(texts, words, percent).repartition("sig")
-    # Both sides of the join need the same columns, so that they share one exchange.
-    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("tag").alias("top")).where("lo < hi and top >= 0")
-    met = rows.join(shared.select(F.col("sig").alias("s_sig")).hint("shuffle_hash"), rows["sig"] == F.col("s_sig"))
-    met = met.join(members.select(F.col("c_id").alias("node"), "rep").distinct(), "node").select("sig", F.col("rep").alias("node"), "tag").distinct()
-    count = F.count(F.lit(1)).over(Window.partitionBy("sig"))
-    met = stored(met.withColumn("count", count).where("count > 1"), "met")
+    rows = _signature_rows(texts, words, percent).repartition("sig").sortWithinPartitions("sig")
+    met = rows.mapInArrow(_shared, "sig long, node long, tag long, count long").join(reps, "node", "left_semi")
     slack = F.expr("tag & 65535L")
     hottest = Window.partitionBy("node", "tag").orderBy(F.desc("count"), "sig")
     kept = met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct()
-    groups = kept.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    kept = stored(kept.join(groups, "sig", "left_semi"), "kept")
-    wanted = kept.select(F.col("node").alias("w_id")).distinct()
-    sets = stored(_set_rows(texts.join(wanted, texts["c_id"] == wanted["w_id"], "left_semi"), words), "sets")
+    least, most = (f("node").over(Window.partitionBy("sig")) for f in (F.min, F.max))
+    kept = stored(kept.withColumn("lo", least).withColumn("hi", most).where("lo < hi").select("sig", "node"), "kept")
+    nodes = kept.select(F.col("node").alias("c_id")).distinct()
+    sketches = stored(digests.join(nodes, "c_id", "left_semi").select("c_id", "n", "sketch").distinct(), "sketches")
 
     twice = members.groupBy("c_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("c_id", "a")
     links = stored(members.join(twice, "c_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links")
@@ -198,8 +248,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(stored(_linked(pairs, sets, percent), "links"))
-        labels = components(links)
+        near = stored(_possible(pairs, sketches, percent), "near")
+        if not near.isEmpty():
+            wanted = near.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
+            sets = stored(_set_rows(texts.join(wanted, texts["c_id"] == wanted["w_id"], "left_semi"), words), "sets")
+            links = links.unionByName(stored(_linked(near, sets, percent), "links"))
+            labels = None
+        labels = components(links) if labels is None else labels
         named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], F.coalesce("component", kept["node"]).alias("comp"))
         # Members up to the number of leaders have met all others; a group is done when no later two differ.
         rest = named.withColumn("place", place).where(F.col("place") > leaders).drop("place")

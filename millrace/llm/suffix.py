@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .store import stored
 from .textbytes import blocks, prefix_hash, slice_hash
 
 #: Bytes of a repeated string, and of the strings at which suffixes are sampled.
@@ -85,7 +87,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batch, "c_text"):
             raw, lead, all_bytes, out = data.tobytes(), [], [], []
             for i, (rid, wanted) in enumerate(zip(rows.column("rid").to_pylist(), rows.column("wanted").to_pylist())):
-                for w in wanted:
+                for w in wanted or ():
                     begin = int(offsets[i]) + w["start"]
                     n, anchor = w["shape"] >> 16, w["shape"] & 65535
                     lead.append(raw[begin + anchor : begin + anchor + LEAD])
@@ -196,7 +198,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in blocks(batch, "c_text"):
             raw, out = data.tobytes(), []
@@ -213,7 +215,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = max(end, e)
                 kept.append(text[end:])
                 rest = b"".join(kept)
-                out.append((len(text), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest))
+                out.append((len(text), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
             types = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()
             yield pa.RecordBatch.from_arrays([rows.column("c_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["c_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -237,18 +239,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rid: Column = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text) if repeated else F.col(id_col).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("c_id"), rid.alias("rid"), text.alias("c_text"))
     slim = texts.select("rid", "c_text")
-    known = _runs(slim, True).repartition("h_lead").groupBy("h_lead", "h_all", "shape").agg(F.sum("count").alias("n"), F.min(F.struct("rid", "start")).alias("rep"))
-    several = known.groupBy("h_lead").agg(F.min("h_all").alias("lo"), F.max("h_all").alias("hi"), F.min("n").alias("least"))
-    several = several.where("lo <> hi and least = 1").select("h_lead")
-    wanted = known.join(several.hint("shuffle_hash"), "h_lead", "left_semi").select(F.col("rep.rid").alias("rid"), F.col("rep.start").alias("start"), "shape", (F.col("n") == 1).alias("single"))
+    known = _runs(slim, True).repartition("h_lead").groupBy("h_lead", "h_all", "shape").agg(F.sum("count").alias("n"), F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"))
+    lead = Window.partitionBy("h_lead")
+    known = known.withColumn("mixed", (F.min("h_all").over(lead) != F.max("h_all").over(lead)) & (F.min("n").over(lead) == 1))
+    known = stored(known.where("n > 1 or mixed"), "known")
+    wanted = known.where("mixed").select("rid", "start", "shape", (F.col("n") == 1).alias("single"))
     wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "shape", "single")).alias("wanted"))
-    contexts = slim.dropDuplicates(["rid"]) if repeated else slim
-    contexts = contexts.join(wanted.hint("merge"), "rid").mapInArrow(_contexts, "lead binary, bytes binary, rid long, start int, shape int, single boolean")
+    # Both joins with the texts read the same columns of all rows, so that the texts are shuffled once.
+    contexts = texts.join(wanted.hint("merge"), "rid", "left").mapInArrow(_contexts, "lead binary, bytes binary, rid long, start int, shape int, single boolean")
     compared = contexts.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_compared, "rid long, s int, e int")
     twice = known.where("n > 1").select("h_lead", "h_all")
     again = _runs(slim, False).join(twice.hint("merge"), ["h_lead", "h_all"], "left_semi")
     again = again.select("rid", F.col("start").alias("s"), (F.col("start") + F.shiftright("shape", 16)).alias("e"))
     spans = again.unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = texts.join(spans.hint("merge"), "rid", "left").select("c_id", "c_text", "spans")
-    out = joined.mapInArrow(_cut, "c_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(lambda batches: _cut(batches, with_text), "c_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("c_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
