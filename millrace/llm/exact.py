@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HEAD = "c_part int, c_seq long, c_sha string, c_len long, c_id long, c_n long"
 
@@ -32,8 +33,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting every white space character of 0x20 and 0x09-0x0D; null counts as
-    empty.  Sampled splitters range-partition the rows by normalised text and, inside a text, by length and id, so that
-    a hot text spreads over partitions; Spark's external sort puts equals side by side; neighbours are compared whole.
+    empty.  Sampled splitters range-partition the rows by the first bytes of the normalised text and its hash (so that
+    samples are short) and, inside a text, by length and id, so that a hot text spreads over partitions; Spark's external sort puts equals side by side; neighbours are compared whole.
     The heads of the runs of all partitions then meet by the hash of their text, which joins the runs that a splitter
     has cut.  The longest original stays, then the smallest id.  Rows that repeat an id and a text are all kept or all
     dropped with it; a null id sorts last.  Other columns are not read.
@@ -44,9 +45,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("c_len"),
         norm.alias("c_norm"),
     )
-    order = ["c_norm", F.desc("c_len"), F.asc_nulls_last("c_id")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.select(F.spark_partition_id().alias("c_part"), F.sha2("c_norm", 256).alias("c_sha"), "c_len", "c_id", "c_norm")
+    rows = rows.withColumn("c_sha", F.sha2("c_norm", 256))
+    place = F.desc("c_len"), F.asc_nulls_last("c_id")
+    rows = rows.repartitionByRange(F.substring("c_norm", 1, 32), "c_sha", *place).sortWithinPartitions("c_norm", *place)
+    rows = rows.select(F.spark_partition_id().alias("c_part"), "c_sha", "c_len", "c_id", "c_norm")
     runs = rows.mapInArrow(_runs, "c_part int, c_seq long, c_sha string, c_len long, c_id long")
     best = F.min(F.struct((-F.col("c_len")).alias("l"), F.col("c_id").isNull().alias("z"), F.col("c_id").alias("i")))
     local = runs.groupBy("c_part", "c_seq", "c_sha").agg(best.alias("c_best"), F.count(F.lit(1)).alias("c_n"))
@@ -61,6 +63,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that `exact_groups` drops, columns as they are.  Ids must be unique among rows of equal text."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("c_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("c_keep")), "left_semi")
+    """One row of each group of equal texts, as `exact_groups` chooses it, columns as they are.
+
+    Rows that repeat both id and text leave one of them.
+    """
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("x_id"), F.col("text_sha256").alias("x_sha")).distinct()
+    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t-\r]+", "")
+    named = docs.withColumn("x_own", F.sha2(norm, 256)).withColumn("x_len", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
+    found = named.join(kept, named[id_col].eqNullSafe(kept["x_id"]) & (named["x_own"] == kept["x_sha"]), "left_semi")
+    best = Window.partitionBy(id_col, "x_own").orderBy(F.desc("x_len"))
+    return found.withColumn("x_nth", F.row_number().over(best)).where("x_nth = 1").select(*docs.columns)

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .textbytes import LOWER_VALUES, blocks, mix, prefix_hash, slice_hash, word_bounds
 
@@ -228,3 +230,18 @@ def score_texts(docs: DataFrame, scorer: Scorer | None, threshold: float, id_col
     read = docs.select(F.col(id_col).cast("long").alias("c_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("c_text"))
     scored = read.mapInArrow(run, "c_id long, held_out boolean, score double")
     return scored.select(F.col("c_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def passing(docs: DataFrame, scorer: Scorer | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores `threshold` or more, columns as they are; all of them without a scorer."""
+    if scorer is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["c_text"])
+        parts = [shared.value.scores(data, offsets) for _, data, offsets in blocks(batch, "c_text")]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)
