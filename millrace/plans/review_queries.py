@@ -280,7 +280,7 @@ _SCORED = """m AS (SELECT *, ln(1 + rating_count) AS volume, rating_count / grea
  x AS (SELECT m.*, CASE WHEN v1 - v0 < 1e-12 THEN 0.5 ELSE (volume - v0) / (v1 - v0) END AS v, CASE WHEN r1 - r0 < 1e-12 THEN 0.5 ELSE (avg_rating - r0) / (r1 - r0) END AS r,
   CASE WHEN s1 - s0 < 1e-12 THEN 0.5 ELSE (velocity - s0) / (s1 - s0) END AS s, CASE WHEN i1 - i0 < 1e-12 THEN 0.5 ELSE (installs - i0) / (i1 - i0) END AS i,
   CASE WHEN t1 - t0 < 1e-12 THEN 0.5 ELSE (retention - t0) / (t1 - t0) END AS t FROM m JOIN b USING (category))"""
-SQL_SUCCESS = f"{SQL_PRODUCTS}, {_SCORED}, success AS (SELECT *, 100 * (0.40::DOUBLE * v + 0.35::DOUBLE * r + 0.25::DOUBLE * s) AS success_score FROM x)"
+SQL_SUCCESS = f"{SQL_PRODUCTS}, {_SCORED}, success AS (SELECT *, round(100 * (0.40::DOUBLE * v + 0.35::DOUBLE * r + 0.25::DOUBLE * s), 3) AS success_score FROM x)"
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:

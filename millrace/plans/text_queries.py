@@ -139,9 +139,9 @@ def _lexicon_sql(aspect: str, words: tuple[str, ...]) -> str:
     digits = "list_sum(list_transform(range(1, 33), lambda i: instr('0123456789abcdef', substr(d, i, 1)) - 1))"
     return f"""SELECT doc_id, '{aspect}' AS aspect, greatest(0, least(10, round(5.0::DOUBLE + (({count(POSITIVE)}) - ({count(NEGATIVE)})) * 2
      + ((CAST({digits} AS BIGINT) % 5) * 16 + ((instr('0123456789abcdef', substr(d, 32, 1)) - 1) % 4) * 5) % 20 / 10.0::DOUBLE - 1, 1))) AS score,
-     substr(array_to_string(string_split(trim(regexp_replace(substr(t, at + 1, 60), '\\s+', ' ', 'g')), ' ')[1:6], ' '), 1, 60) AS evidence
-     FROM (SELECT *, substr(t, greatest(at - 30, 0) + 1, at + 40 - greatest(at - 30, 0)) AS win, md5('{aspect}' || substr(t, 1, 80)) AS d
-           FROM (SELECT *, instr(t, hit) - 1 AS at FROM (SELECT doc_id, lower(text) AS t, {hit.replace("(t,", "(lower(text),")} AS hit FROM documents) WHERE hit IS NOT NULL))"""
+     substr(array_to_string(string_split(trim(regexp_replace(substr(t, spot + 1, 60), '\\s+', ' ', 'g')), ' ')[1:6], ' '), 1, 60) AS evidence
+     FROM (SELECT *, substr(t, greatest(spot - 30, 0) + 1, spot + 40 - greatest(spot - 30, 0)) AS win, md5('{aspect}' || substr(t, 1, 80)) AS d
+           FROM (SELECT *, instr(t, hit) - 1 AS spot FROM (SELECT doc_id, lower(text) AS t, {hit.replace("(t,", "(lower(text),")} AS hit FROM documents) WHERE hit IS NOT NULL))"""
 
 
 @query(" UNION ALL ".join(_lexicon_sql(a, w) for a, w in KEYS.items()))
