@@ -20,6 +20,8 @@ from .textbytes import blocks, mix, shingles
 #: Similarity in hundredths, words of a shingle, and the growth of size bands.
 PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
 SKETCH_BITS, GROUP_ROWS, HOT = 1024, 50_000, 1 << 40
+#: Members up to which a group is compared inside one task.
+CROWD = 20_000
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,6 +194,40 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
 
 
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature, the pairs of a group, of different components, whose sketches leave room for a link."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch | None:
+        sig, node, n, comp = (table.column(c).to_numpy() for c in ("sig", "node", "n", "comp"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        found = []
+        for a, b in zip(first, np.append(first[1:], len(sig))):
+            for i in range(a, b, 64):
+                j = min(i + 64, b)
+                flips = np.bitwise_count(sketch[i:j, None, :] ^ sketch[None, i:b, :]).sum(2, dtype=np.int64)
+                room = flips * (100 + percent) <= (n[i:j, None] + n[None, i:b]) * (100 - percent)
+                x, y = np.nonzero(room & (comp[i:j, None] != comp[None, i:b]))
+                found.append(np.stack((node[i + x], node[i + y])))
+        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        both = np.unique(np.sort(both, 0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"]) if both.shape[1] else None
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column("sig")[-1].as_py()
+        cut = int(np.searchsorted(batch.column("sig").to_numpy(), last))
+        if cut or (waiting and waiting[-1].column("sig")[-1].as_py() != last):
+            if (out := pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))) is not None:
+                yield out
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting and (out := pairs(pa.Table.from_batches(waiting))) is not None:
+        yield out
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked, by their true intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
@@ -206,11 +242,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows of equal sets form a class, and its smallest id stands for it, so copies are never compared.  The hash space of
     shingles is cut into segments, as many as the size band needs by the pigeonhole principle with some slack; segments
-    (a few of them with one-deletion neighbourhoods, where that is cheaper) are the signatures.  Signatures that two
+    (some with one-deletion neighbourhoods, where that is cheaper) are the signatures.  Signatures that two
     classes share are kept; each class leaves out its most frequent ones as far as the slack allows, so boilerplate that
-    many documents share is not looked up.  Inside the groups that remain, members are compared with leaders: one a group
-    at first, then 16 times as many each round, only across components, until no group holds two components that have
-    not been compared.  A comparison first asks whether sizes and parity sketches leave room for a link; if so it
+    many documents share is not looked up.  Inside the groups that remain, all members are
+    first compared with one leader, the member that shares most signatures with others (an original leads its copies).
+    Groups that then still hold several components are compared by sketches, inside a task, and only the pairs that may
+    link leave it; groups of over CROWD members are instead compared with more leaders each round, 16 times as many, until
+    no two components are left that have not met.  A comparison first asks whether sizes and parity sketches leave room for a link; if so it
     intersects the true sets.  Pairs within a component are never all made, yet no link between components can be missed.
 
     Null or blank texts have no shingles and link with nothing.  Rows that repeat an id are one document: whatever links
@@ -227,39 +265,56 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slack = F.expr("tag & 65535L")
     hottest = Window.partitionBy("node", "tag").orderBy(F.desc("count"), "sig")
     kept = met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct()
-    least, most = (f("node").over(Window.partitionBy("sig")) for f in (F.min, F.max))
-    kept = stored(kept.withColumn("lo", least).withColumn("hi", most).where("lo < hi").select("sig", "node"), "kept")
+    group = Window.partitionBy("sig")
+    kept = kept.withColumn("size", F.count(F.lit(1)).over(group)).where("size > 1")
+    kept = stored(kept.withColumn("weight", F.sum("size").over(Window.partitionBy("node"))).select("sig", "node", "weight", "size"), "kept")
     nodes = kept.select(F.col("node").alias("c_id")).distinct()
     sketches = stored(digests.join(nodes, "c_id", "left_semi").select("c_id", "n", "sketch").distinct(), "sketches")
 
     twice = members.groupBy("c_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("c_id", "a")
     links = stored(members.join(twice, "c_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links")
+    def verified(near: DataFrame) -> DataFrame | None:
+        if near.isEmpty():
+            return None
+        wanted = near.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
+        sets = stored(_set_rows(texts.join(wanted, texts["c_id"] == wanted["w_id"], "left_semi"), words), "sets")
+        return stored(_linked(near, sets, percent), "links")
+
     pending, tested, leaders = kept, None, 1
     labels = None
     while True:
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
+        place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
         front = pending.withColumn("place", place).where(F.col("place") <= leaders)
-        front = front.select(F.col("sig").alias("f_sig"), F.col("node").alias("a"), *([F.col("comp").alias("a_comp")] if labels is not None else []))
-        pairs = front.join(pending, front["f_sig"] == pending["sig"]).where("a < node")
+        front = front.select(F.col("sig").alias("f_sig"), F.col("node").alias("leader"), *([F.col("comp").alias("a_comp")] if labels is not None else []))
+        pairs = front.join(pending, front["f_sig"] == pending["sig"]).where("leader <> node")
         if labels is not None:
             pairs = pairs.where("a_comp <> comp")
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(_possible(pairs, sketches, percent), "near")
-        if not near.isEmpty():
-            wanted = near.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
-            sets = stored(_set_rows(texts.join(wanted, texts["c_id"] == wanted["w_id"], "left_semi"), words), "sets")
-            links = links.unionByName(stored(_linked(near, sets, percent), "links"))
-            labels = None
-        labels = components(links) if labels is None else labels
-        named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], F.coalesce("component", kept["node"]).alias("comp"))
+        more = verified(stored(_possible(pairs, sketches, percent), "near"))
+        if more is not None or labels is None:
+            links = links if more is None else links.unionByName(more)
+            labels = components(links)
+        named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], "weight", "size", F.coalesce("component", kept["node"]).alias("comp"))
         # Members up to the number of leaders have met all others; a group is done when no later two differ.
         rest = named.withColumn("place", place).where(F.col("place") > leaders).drop("place")
         open_groups = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
-        pending = stored(named.join(open_groups, "sig", "left_semi"), "pending")
+        pending = named.join(open_groups, "sig", "left_semi")
+        if leaders == 1:
+            pending = stored(pending, "pending")
+            small = pending.where(F.col("size") <= CROWD).join(sketches.withColumnRenamed("c_id", "node"), "node").select("sig", "node", "comp", "n", "sketch")
+            small = small.repartition("sig").sortWithinPartitions("sig")
+            near = small.mapInArrow(lambda batches: _close(batches, percent), "a long, b long").distinct()
+            more = verified(stored(near, "near"))
+            if more is not None:
+                links = links.unionByName(more)
+                labels = components(links)
+                named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], "weight", "size", F.coalesce("component", kept["node"]).alias("comp"))
+            pending = named.where(F.col("size") > CROWD).join(open_groups, "sig", "left_semi")
+        pending = stored(pending, "pending")
         if pending.isEmpty():
             break
         leaders *= 16
