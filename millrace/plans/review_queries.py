@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import reviews as R
-from ..operators.statistics import quantile_tier
+from ..operators import statistics as S
 from ..views import SQL_PRODUCTS, SQL_REVIEWS, SQL_TEXTS, products, reviews, table, text_reviews
 from .registry import query
 
@@ -364,8 +364,8 @@ def extraction_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_SUCCESS}, e AS (SELECT category, list_distinct([quantile_cont(success_score, 0.2), quantile_cont(success_score, 0.4), quantile_cont(success_score, 0.6), quantile_cont(success_score, 0.8)]) AS cuts,
  min(success_score) AS lo, max(success_score) AS hi FROM (SELECT category, round(success_score, 3) AS success_score FROM success) GROUP BY 1)
  SELECT product_uid, CAST(len(list_filter(cuts, lambda c: c > lo AND c < hi AND c < round(success_score, 3))) AS INTEGER) AS tier FROM success JOIN e USING (category)""")
-def quantile_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantile_tier(success(spark, sf_dir), "success_score", 5, "category").select("product_uid", "tier")
+def quantile_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.quantile_tier(success(spark, sf_dir), "success_score", 5, "category").select("product_uid", "tier")
 
 
 @query(f"""WITH {SQL_SUCCESS} SELECT category, product_uid, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY rating_count DESC, product_uid) AS INTEGER) AS rank FROM success) WHERE rank <= 20""")

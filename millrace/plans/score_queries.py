@@ -380,6 +380,16 @@ def aspect_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("aspect").agg(n.alias("n"), F.round(F.when(n >= 10, r), 6).alias("r"), F.round(F.when(n >= 10, F.avg(F.abs(F.col("est") - F.col("actual")))), 6).alias("mae"), F.round(F.when(n >= 15, F.stddev_pop("est")), 6).alias("spread"), grade.alias("grade"))
 
 
+@query(f"""WITH {_PRED}, u AS (SELECT g, 'predicted' AS aspect, predicted AS est, actual FROM pred UNION ALL SELECT g, 'other', other, actual FROM pred)
+ SELECT g, aspect, count(*) AS n, round(CASE WHEN count(*) >= 15 THEN stddev_pop(est) END, 4) AS spread FROM u GROUP BY 1, 2""")
+def aspect_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _predictions(spark, sf_dir)
+    cells = F.array(*(F.struct(F.lit(a).alias("aspect"), F.col(a).alias("est")) for a in ("predicted", "other")))
+    u = p.select("g", F.explode(cells).alias("c")).select("g", "c.aspect", "c.est")
+    n = F.count(F.lit(1))
+    return u.groupBy("g", "aspect").agg(n.alias("n"), F.round(F.when(n >= 15, F.stddev_pop("est")), 4).alias("spread"))
+
+
 @query(f"""WITH {_PRED} SELECT round(corr(predicted, actual), 6) AS target, round(corr(predicted, other), 6) AS twin, abs(corr(predicted, other)) > 0.9 AS leak,
  CASE WHEN corr(predicted, actual) ** 2 >= 0.35 THEN 'PASS' WHEN corr(predicted, actual) ** 2 >= 0.2 THEN 'WARN' ELSE 'FAIL' END AS gate FROM pred""")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
