@@ -67,6 +67,12 @@ def test_near_components_equal_all_pairs(spark, mixed):
     assert left == {i for i in sets if find(i) == i}
 
 
+def test_large_groups_meet_all_their_leaders(spark, mixed, monkeypatch):
+    want = {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()}
+    monkeypatch.setattr(jaccard, "CROWD", 1)
+    assert {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()} == want
+
+
 def test_near_components_of_repeated_and_null_ids(spark):
     text = " ".join(f"a{i}" for i in range(30))
     other = " ".join(f"b{i}" for i in range(30))
