@@ -69,7 +69,7 @@ class Codec:
         """Whether exact merging can leave these two tokens side by side."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) >= 4 * CACHE_ENTRIES:
+            if len(self._fits) >= CACHE_ENTRIES:
                 self._fits.clear()
             known = self._fits[left, right] = self._seam_holds(left, right)
         return known

@@ -86,8 +86,15 @@ def signatures(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray,
     return np.concatenate(out), np.concatenate(tags)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker's memory does not follow the session's batch size."""
     for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in _slices(batches):
         for rows, data, offsets in blocks(batch, "c_text"):
             hashes, bounds = shingles(data, offsets, words)
             yield rows, [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -121,7 +128,7 @@ def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Signatures of the distinct sets of every batch, under the smallest id that has the set there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             met: dict[bytes, list] = {}
             for rows, sets in _sets(iter([batch]), words):
                 for node, own in zip(rows.column("c_id").to_pylist(), sets):
