@@ -398,7 +398,7 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(spark, sf_dir).agg(F.round(target, 6).alias("target"), F.round(twin, 6).alias("twin"), (F.abs(twin) > 0.9).alias("leak"), gate.alias("gate"))
 
 
-@query(f"""WITH {_PRED} SELECT g, CASE WHEN 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) >= 0.35 THEN 'PASS' WHEN 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) >= 0.2 THEN 'WARN' ELSE 'FAIL' END AS gate FROM pred GROUP BY 1""")
+@query(f"""WITH {_PRED} SELECT g, CASE WHEN count(*) < 5 THEN 'FAIL' WHEN 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) >= 0.35 THEN 'PASS' WHEN 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) >= 0.2 THEN 'WARN' ELSE 'FAIL' END AS gate FROM pred GROUP BY 1""")
 def acceptance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = S.regression_metrics(_predictions(spark, sf_dir), "actual", "predicted", ["g"])
     return m.select("g", F.when(F.col("r2") >= 0.35, "PASS").when(F.col("r2") >= 0.2, "WARN").otherwise("FAIL").alias("gate"))
