@@ -20,6 +20,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements that can hold a whole article; lists, tables, sections and the like are parts of its text.
+HOLDERS = frozenset("html body main article div".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words of elements, classes, ids and roles that mark what is not the article.
 BOILERPLATE_TAGS = frozenset("nav footer aside form button head menu dialog".split())
@@ -93,9 +95,11 @@ def main_text(page: str | None) -> str:
 
     Text length and punctuation are added up per root-to-leaf tag path and divided by the path's number of nodes.  The two
     ratios are smoothed over page order with a Gaussian window and fused by their product with the text's own share; paths
-    whose fused ratio lies above the mean less half a deviation, both over text, carry the content.  The smallest container
-    that holds most of that content gives the blocks, so that a short paragraph between long ones stays.  Elements which
-    say themselves that they are menus, forms, adverts, comments or the like never count.
+    whose fused ratio lies above the mean less half a deviation, both over text, or above half the mean (of two paths alike,
+    one always lies under the first bound) carry the content.  The smallest container that holds all of it gives the blocks,
+    so that a short paragraph between long ones stays: the article or main around it if there is one, a div or the page
+    otherwise, never a list, table or section of the text.  Elements which say themselves that they are menus, forms, adverts,
+    comments or the like never count.
     """
     leaves = _leaves(page or "")
     clean = [(path, block, text) for path, block, text, marked in leaves if not marked]
@@ -120,15 +124,12 @@ def main_text(page: str | None) -> str:
     total = sum(length.values())
     mean = sum(fused[p] * length[p] for p in fused) / total
     deviation = math.sqrt(sum((fused[p] - mean) ** 2 * length[p] for p in fused) / total)
-    content = {p for p in fused if fused[p] >= mean - 0.5 * deviation}
-    within: dict[tuple[str, ...], int] = defaultdict(int)
-    for p in content:
-        for depth in range(1, len(p) + 1):
-            within[p[:depth]] += length[p]
-    chosen = sum(length[p] for p in content)
-    inline = ("b", "i", "em", "strong", "span", "u", "a", "font", "small", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr")
-    roots = [p for p in within if within[p] >= 0.6 * chosen and p[-1].split(".")[0] not in inline]
-    root = max(roots, key=lambda p: (any(s.split(".")[0] in ("article", "main") for s in p[-1:]), len(p)), default=())
+    content = {p for p in fused if fused[p] >= min(mean - 0.5 * deviation, 0.5 * mean)}
+    low, high = min(content), max(content)
+    root = low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+    tags = [step.split(".")[0] for step in root]
+    held = [i for i, tag in enumerate(tags) if tag in ("article", "main")] or [i for i, tag in enumerate(tags) if tag in HOLDERS]
+    root = root[: held[-1] + 1] if held else ()
     blocks: dict[int, list[str]] = {}
     for path, block, text in clean:
         if path[: len(root)] == root:

@@ -188,6 +188,20 @@ def test_main_text(spark):
     assert sorted((r.n_chars for r in html.extract_main(rows).collect())) == [0, 0, len(want)]
 
 
+def test_main_text_without_article_keeps_all_content():
+    long = "A sentence of the story, with a clause, and more of it. "
+    page = "<html><body><div class=menu><a href=/>Home</a></div>{}<div id=footer>Imprint</div></body></html>".format
+    items = [f"Item {i}: {long * 2}".strip() for i in range(6)]
+    rows = "".join(f"<li>{x}</li>" for x in items)
+    for kind in (f"<ul>{rows}</ul>", f"<ol>{rows}</ol>", f"<section>{rows}</section>", f"<dl>{rows.replace('li>', 'dd>')}</dl>", f"<table>{rows.replace('<li>', '<tr><td>').replace('</li>', '</td></tr>')}</table>"):
+        for intro in ("An intro.", "An intro, of some length, to the list below, which follows."):
+            assert html.main_text(page(f"<div id=content><p>{intro}</p>{kind}<p>The end.</p></div>")) == "\n".join([intro, *items, "The end."])
+    lead, story = (long * 3).strip(), (long * 7).strip()
+    assert html.main_text(page(f"<div class=lead><p>{lead}</p></div><div class=story><p>{story}</p></div>")) == f"{lead}\n{story}"
+    assert html.main_text(page(f"<article class=first><p>{lead}</p></article><article><p>{story}</p></article>")) == f"{lead}\n{story}"
+    assert html.main_text(page(f"<p>Home of news</p><article><h1>Title</h1><div><p>{story}</p></div></article>")) == f"Title\n{story}"
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(400, 64)).astype(np.float32)
