@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import stored
-from .textbytes import blocks, prefix_hash, slice_hash
+from .textbytes import BYTE_VALUES, SECOND_VALUES, blocks, prefix_hash, slice_hash
 
 #: Bytes of a repeated string, and of the strings at which suffixes are sampled.
 LENGTH, LEAD = 200, 32
+#: Contexts of one lead that a task sorts in memory; the windows of a lead with more are counted one by one.
+MOST = 10_000
 
 
 def sampled_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int = LEAD) -> dict[str, np.ndarray]:
@@ -98,6 +100,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["lead", "bytes", "rid", "start", "shape", "single"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128 hash bits of every window of the wanted runs."""
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "c_text"):
+            found = zip(offsets.tolist(), rows.column("rid").to_pylist(), rows.column("wanted").to_pylist())
+            runs = [(begin, rid, w["start"], w["shape"] >> 16, w["single"]) for begin, rid, wanted in found for w in wanted or ()]
+            if not runs:
+                continue
+            begin, rid, start, n, single = map(np.array, zip(*runs))
+            s = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(begin, n) + s
+            w1, w2 = (slice_hash(prefix_hash(data, values), at, at + LENGTH).view(np.int64) for values in (BYTE_VALUES, SECOND_VALUES))
+            arrays = w1, w2, np.repeat(rid, n), s.astype(np.int32), np.repeat(single, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["w1", "w2", "rid", "s", "single"])
+
+
 def multikey_order(rows: np.ndarray) -> np.ndarray:
     """Order of the rows of a byte matrix (width a multiple of 8): eight bytes at a time, only ties are sorted further."""
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
@@ -229,7 +247,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffix is one row.  Runs whose bytes occur twice as a whole are settled by counting, combined before the shuffle, so
     that thousands of copies are one row.  Where runs share the first bytes of their suffix and nothing more is known, one of
     each content is range-partitioned by these bytes (splitters are sampled, equal first bytes never part), sorted by
-    suffix in its bucket, and compared with its neighbours.  Spans then return to their texts.
+    suffix in its bucket, and compared with its neighbours.  First bytes with over MOST contents, as in a line that many
+    texts share, are left out there: their windows are counted by 128 hash bits, so that no task holds them together.
+    Spans then return to their texts.
 
     Null counts as empty.  Rows that repeat an id stay apart: if any id repeats or is null, rows are known by a hash of id
     and text instead, and wholly equal rows get equal results.
@@ -241,17 +261,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = texts.select("rid", "c_text")
     known = _runs(slim, True).repartition("h_lead").groupBy("h_lead", "h_all", "shape").agg(F.sum("count").alias("n"), F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"))
     lead = Window.partitionBy("h_lead")
-    known = known.withColumn("mixed", (F.min("h_all").over(lead) != F.max("h_all").over(lead)) & (F.min("n").over(lead) == 1))
+    known = known.withColumns({
+        "mixed": (F.min("h_all").over(lead) != F.max("h_all").over(lead)) & (F.min("n").over(lead) == 1), "hot": F.count(F.lit(1)).over(lead) > MOST,
+    })
     known = stored(known.where("n > 1 or mixed"), "known")
-    wanted = known.where("mixed").select("rid", "start", "shape", (F.col("n") == 1).alias("single"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "shape", "single")).alias("wanted"))
-    # Both joins with the texts read the same columns of all rows, so that the texts are shuffled once.
-    contexts = texts.join(wanted.hint("merge"), "rid", "left").mapInArrow(_contexts, "lead binary, bytes binary, rid long, start int, shape int, single boolean")
+
+    def wanted(which: str) -> DataFrame:
+        runs = known.where(which).select("rid", "start", "shape", (F.col("n") == 1).alias("single"))
+        return runs.groupBy("rid").agg(F.collect_list(F.struct("start", "shape", "single")).alias("wanted"))
+
+    # All joins with the texts read the same columns of all rows, so that the texts are shuffled once.
+    contexts = texts.join(wanted("mixed and not hot").hint("merge"), "rid", "left").mapInArrow(_contexts, "lead binary, bytes binary, rid long, start int, shape int, single boolean")
     compared = contexts.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_compared, "rid long, s int, e int")
     twice = known.where("n > 1").select("h_lead", "h_all")
     again = _runs(slim, False).join(twice.hint("merge"), ["h_lead", "h_all"], "left_semi")
     again = again.select("rid", F.col("start").alias("s"), (F.col("start") + F.shiftright("shape", 16)).alias("e"))
-    spans = again.unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = again.unionByName(compared)
+    if not known.where("mixed and hot").isEmpty():
+        windows = texts.join(wanted("mixed and hot").hint("merge"), "rid", "left").mapInArrow(_windows, "w1 long, w2 long, rid long, s int, single boolean")
+        many = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+        found = found.unionByName(windows.where("single").join(many.hint("merge"), ["w1", "w2"], "left_semi").select("rid", "s", (F.col("s") + 1).alias("e")))
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = texts.join(spans.hint("merge"), "rid", "left").select("c_id", "c_text", "spans")
     out = joined.mapInArrow(lambda batches: _cut(batches, with_text), "c_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("c_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

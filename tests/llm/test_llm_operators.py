@@ -167,6 +167,34 @@ def test_repeats_equal_brute_force(spark):
     assert sorted(r.n_removed for r in repeated) == [0, len(passage[3].encode()), len(passage[3].encode())]
 
 
+def test_line_of_many_texts_is_not_held_by_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long_line = noise(150), noise(230)
+    texts = [noise(220) + (line if i % 3 else long_line) + noise(220) for i in range(60)]
+    texts += [texts[0], texts[1], texts[2][100:500], noise(90) + texts[4][170:420] + noise(90), noise(90) + texts[3][:300]]
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[j : j + 200] for b in raw for j in range(len(b) - 199))
+    want = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        want.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    compared = suffix._compared
+
+    def watched(batches):
+        held = list(batches)
+        together = Counter(x.as_py() for batch in held for x in batch.column("lead"))
+        assert max(together.values(), default=0) <= 10, together.most_common(1)
+        yield from compared(iter(held))
+
+    monkeypatch.setattr(suffix, "MOST", 10, raising=False)
+    monkeypatch.setattr(suffix, "_compared", watched)
+    assert [bytes(r.kept) for r in suffix.remove_repeats(docs_of(spark, texts)).orderBy("doc_id").collect()] == want
+
+
 def test_multikey_order():
     rows = np.random.default_rng(0).integers(0, 3, (500, 16), dtype=np.uint8)
     assert [bytes(r) for r in rows[suffix.multikey_order(rows)]] == sorted(bytes(r) for r in rows)
