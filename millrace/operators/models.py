@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import stored
 from .reviews import seeded
 from .statistics import regression_metrics
 
@@ -91,43 +92,39 @@ def bootstrap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str]], replic
 def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int = 400) -> DataFrame:
     """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category.
 
-    Similar pairs are found first, over a shared rare word; only the pairs and the ids of texts that have one go to the
-    greedy pass of a category, so its size follows the number of similar texts.
+    Texts of equal word sets count as their best one, since the others always go with or because of it.  Similar pairs of
+    these are found over a shared rare word and settled by rounds of joins: texts that no better one disputes stay, and what
+    is similar to them goes, until no pair is left.  Texts without words are similar to none.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
-    rows = df.select(category, uid, score, words.alias("words"))
-    exploded = rows.select(category, uid, F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = exploded.groupBy(category, "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(counts, [category, "word"])
-    place = F.row_number().over(Window.partitionBy(category, uid).orderBy("df", "word"))
-    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select(category, uid, "word")
-    a = prefix.withColumnRenamed(uid, "a")
-    b = prefix.withColumnRenamed(uid, "b")
-    pairs = a.join(b, [category, "word"]).where("a < b").select(category, "a", "b").distinct()
-    sets = rows.select(category, uid, score, "words")
-    left = sets.select(F.col(category), F.col(uid).alias("a"), F.col(score).alias("sa"), F.col("words").alias("wa"))
-    right = sets.select(F.col(category), F.col(uid).alias("b"), F.col(score).alias("sb"), F.col("words").alias("wb"))
-    both = pairs.join(left, [category, "a"]).join(right, [category, "b"])
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")))
+    rows = df.select(F.col(category).alias("cat"), F.col(uid).alias("uid"), F.col(score).alias("score"), words.alias("words"))
+    order = F.struct((-F.col("score")).alias("falling"), "uid")
+    best = rows.where(F.size("words") > 0).groupBy("cat", "words").agg(F.min_by(F.struct("uid", "score"), order).alias("best"))
+    sets = stored(best.select("cat", "best.uid", "best.score", "words"), "sets")
+    exploded = sets.select("cat", "uid", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = exploded.groupBy("cat", "word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = exploded.join(counts, ["cat", "word"])
+    place = F.row_number().over(Window.partitionBy("cat", "uid").orderBy("df", "word"))
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select("cat", "uid", "word", "n", (F.col("n") - F.col("place")).alias("after"))
+    one, other = (prefix.withColumnsRenamed({"uid": u, "n": f"n{u}", "after": f"after_{u}"}) for u in "ab")
+    # At the first word that two similar sets share, enough words must follow in both.
+    enough = 1 + F.least("after_a", "after_b") > jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = one.join(other, ["cat", "word"]).where("a < b").where(enough).select("cat", "a", "b").distinct()
+    left = sets.select("cat", F.col("uid").alias("a"), F.col("score").alias("sa"), F.col("words").alias("wa"))
+    right = sets.select("cat", F.col("uid").alias("b"), F.col("score").alias("sb"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
-    similar = both.where(common > jaccard * (F.size("wa") + F.size("wb") - common)).select(category, "a", "b", "sa", "sb")
-    kind = df.schema[uid].dataType.simpleString()
-
-    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
-        scores: dict = {}
-        near: dict = {}
-        for x, y, sx, sy in pairs[["a", "b", "sa", "sb"]].itertuples(index=False):
-            scores[x], scores[y] = sx, sy
-            near.setdefault(x, []).append(y)
-            near.setdefault(y, []).append(x)
-        kept, dropped = set(), []
-        for x in sorted(scores, key=lambda i: (-scores[i], i)):
-            if any(y in kept for y in near[x]):
-                dropped.append(x)
-            else:
-                kept.add(x)
-        return pd.DataFrame({"gone": dropped})
-
-    gone = similar.groupBy(category).applyInPandas(walk, f"gone {kind}")
-    left_over = rows.select(category, uid, score).join(gone, rows[uid] == gone["gone"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy(category).orderBy(F.desc(score), uid))
-    return left_over.withColumn("nth", nth).where(F.col("nth") <= most)
+    similar = pairs.join(left, ["cat", "a"]).join(right, ["cat", "b"]).where(common > jaccard * (F.size("wa") + F.size("wb") - common))
+    first = F.col("sa") >= F.col("sb")  # a < b settles equal scores
+    open_ = stored(similar.select("cat", F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("uid")), "similar")
+    lost = []
+    while not open_.isEmpty():
+        disputed = open_.select("cat", F.col("uid").alias("better")).distinct()
+        gone = stored(open_.join(disputed, ["cat", "better"], "left_anti").select("cat", "uid").distinct(), "gone")
+        lost.append(gone)
+        rest = open_.join(gone, ["cat", "uid"], "left_anti").join(gone.withColumnRenamed("uid", "better"), ["cat", "better"], "left_anti")
+        open_ = stored(rest.select("cat", "better", "uid"), "similar")
+    left_over = rows.where("words is null or size(words) = 0").select("cat", "uid", "score").unionByName(sets.drop("words"))
+    if lost:
+        left_over = left_over.join(reduce(DataFrame.unionByName, lost), ["cat", "uid"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("score"), "uid"))
+    return left_over.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("cat").alias(category), F.col("uid").alias(uid), F.col("score").alias(score), "nth")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import reviews as R
 from ..operators import statistics as S
+from ..shared import stored
 from ..views import SQL_PRODUCTS, SQL_REVIEWS, SQL_TEXTS, products, reviews, table, text_reviews
 from .registry import query
 
@@ -384,10 +385,21 @@ def top_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i, count(*) OVER () AS n FROM customer)) WHERE grp IS NOT NULL""")
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    n = rows.count()
     low = rows.orderBy("c_acctbal", "c_custkey").limit(8).withColumn("grp", F.lit("low"))
     high = rows.orderBy(F.desc("c_acctbal"), F.desc("c_custkey")).limit(8).withColumn("grp", F.lit("high"))
-    middle = rows.orderBy("c_acctbal", "c_custkey").offset(n // 2 - 4).limit(8).withColumn("grp", F.lit("middle"))
+    # Running counts of range partitions say which of them hold the middle; only these are sorted.
+    ranged = stored(rows.repartitionByRange("c_acctbal", "c_custkey").withColumn("part", F.spark_partition_id()), "ranged")
+    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # a row a partition
+    n = sum(c for _, c in counts)
+    first, end, before, parts, passed = max(0, n // 2 - 4), min(n, n // 2 + 4), 0, [], 0
+    for part, count in counts:
+        if passed + count <= first:
+            before = passed + count
+        elif passed < end:
+            parts.append(part)
+        passed += count
+    near = ranged.where(F.col("part").isin(parts)).drop("part")
+    middle = near.orderBy("c_acctbal", "c_custkey").offset(first - before).limit(end - first).withColumn("grp", F.lit("middle"))
     return low.unionByName(high).unionByName(middle)
 
 

@@ -1,5 +1,7 @@
 """Traps that hand-made rows show: ties, constants, exact bounds, nulls."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -7,6 +9,7 @@ from millrace.operators import extraction as X
 from millrace.operators import models as M
 from millrace.operators import reviews as R
 from millrace.operators import statistics as S
+from millrace.shared import stored
 
 DAY = 86400
 
@@ -71,6 +74,40 @@ def test_greedy_dedup_keeps_the_best_of_similar_texts(spark):
     assert got == {"b", "d"}
 
 
+def test_greedy_dedup_equals_brute_force_and_makes_no_pairs_of_copies(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([4, 9, 14]))] for _ in range(12)]
+    texts = [" ".join(w for w in rng.choice(base) if rng.random() > 0.1) for _ in range(120)] + ["copy of one line here"] * 100 + ["Here one LINE of  copy", "", " ", None]
+    rows = [(rng.choice("xy"), f"u{i:03}", rng.randrange(5), t) for i, t in enumerate(texts)]
+    want = set()
+    for cat in "xy":
+        kept = []
+        for _, uid, t in sorted((-s, u, t) for c, u, s, t in rows if c == cat and t) + [(0, u, t) for c, u, s, t in rows if c == cat and not t]:
+            words = set((t or "").lower().split())
+            if not any(len(words & k) > 0.7 * len(words | k) for k in kept):
+                kept.append(words)
+                want.add((cat, uid))
+    sizes = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(M, "stored", counted, raising=False)
+    df = spark.createDataFrame(rows, "cat string, id string, score int, text string")
+    got = M.greedy_dedup(df, "cat", "id", "score", "text", most=1000)
+    assert {(r.cat, r.id) for r in got.collect()} == want
+    assert sizes["sets"] < 125  # 101 copies are one or two rows
+
+
+def test_spectrum_sorts_only_the_middle_partitions(spark):
+    from millrace.plans import QUERIES
+
+    text = QUERIES["spectrum"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in text  # the middle is read from some range partitions
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, ts long, x double")
     assert R.burst_flag(empty, "k", "ts").count() == 0
