@@ -281,6 +281,7 @@ _SCORED = """m AS (SELECT *, ln(1 + rating_count) AS volume, rating_count / grea
  x AS (SELECT m.*, CASE WHEN v1 - v0 < 1e-12 THEN 0.5 ELSE (volume - v0) / (v1 - v0) END AS v, CASE WHEN r1 - r0 < 1e-12 THEN 0.5 ELSE (avg_rating - r0) / (r1 - r0) END AS r,
   CASE WHEN s1 - s0 < 1e-12 THEN 0.5 ELSE (velocity - s0) / (s1 - s0) END AS s, CASE WHEN i1 - i0 < 1e-12 THEN 0.5 ELSE (installs - i0) / (i1 - i0) END AS i,
   CASE WHEN t1 - t0 < 1e-12 THEN 0.5 ELSE (retention - t0) / (t1 - t0) END AS t FROM m JOIN b USING (category))"""
+SQL_SUSPECT = """flags AS (SELECT product_uid, max(CAST(rating AS INTEGER)) - min(CAST(rating AS INTEGER)) >= 4 OR avg(rating) > 3.2 OR count(*) < 25 AS suspect FROM reviews GROUP BY 1)"""
 SQL_SUCCESS = f"{SQL_PRODUCTS}, {_SCORED}, success AS (SELECT *, round(100 * (0.40::DOUBLE * v + 0.35::DOUBLE * r + 0.25::DOUBLE * s), 3) AS success_score FROM x)"
 
 
@@ -321,12 +322,22 @@ def log_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_SUCCESS}, h AS (SELECT category, success_score, least(CAST(floor(success_score / 10) AS INTEGER), 9) AS bin FROM success WHERE product_uid % 9 <> 0)
  SELECT category, count(*) AS n, round(stddev_pop(success_score), 6) AS sd, stddev_pop(success_score) < 8 AS flat, {", ".join(f"count(*) FILTER (bin = {i}) AS b{i}" for i in range(10))} FROM h GROUP BY 1""")
 def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnostics(success(spark, sf_dir).where("product_uid % 9 <> 0"))  # as the SQL has it; label_diagnostics_flagged reads the flags
+
+
+def _diagnostics(products: DataFrame) -> DataFrame:
     bins = F.least(F.floor(F.col("success_score") / 10), F.lit(9))
-    rows = success(spark, sf_dir).where("product_uid % 9 <> 0").withColumn("bin", bins)
+    rows = products.withColumn("bin", bins)
     spread = F.stddev_pop("success_score")
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(spread, 6).alias("sd"), (spread < 8).alias("flat"), *(F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(10)))
 
 
+@query(f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, h AS (SELECT category, success_score, least(CAST(floor(success_score / 10) AS INTEGER), 9) AS bin FROM success JOIN flags USING (product_uid) WHERE NOT suspect)
+ SELECT category, count(*) AS n, round(stddev_pop(success_score), 6) AS sd, stddev_pop(success_score) < 8 AS flat, {", ".join(f"count(*) FILTER (bin = {i}) AS b{i}" for i in range(10))} FROM h GROUP BY 1""")
+def label_diagnostics_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnostics(success(spark, sf_dir).join(suspect_reasons(spark, sf_dir).where("not suspect").select("product_uid"), "product_uid"))
+
+
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(p_brand), array_to_string(string_split(lower(p_type || ' ' || p_name), ' ')[1:2], ' ') ORDER BY p_size DESC, p_partkey) AS n FROM part) WHERE n = 1""")
 def dedup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.array_join(F.slice(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " "), 1, 2), " ")

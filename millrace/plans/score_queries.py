@@ -11,7 +11,7 @@ from ..operators import reviews as R
 from ..operators import statistics as S
 from ..views import ASPECTS, SQL_ASPECTS, SQL_PRODUCTS, aspect_scores, products, table
 from .registry import query
-from .review_queries import SQL_SUCCESS, success
+from .review_queries import SQL_SUCCESS, SQL_SUSPECT, success, suspect_reasons
 
 _AGG = f"""{SQL_ASPECTS}, agg AS (SELECT product_uid, aspect, avg(score) AS mean, count(score) / CAST(count(*) AS DOUBLE) AS rate FROM aspect_rows
  WHERE coalesce(confidence, 0) >= 0.3 GROUP BY 1, 2)"""
@@ -56,6 +56,15 @@ def join_features_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.where("product_uid % 9 <> 0").join(features, "product_uid").crossJoin(F.broadcast(skipped))  # one row
 
 
+@query(f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, {_AGG}, f AS (SELECT product_uid, mean FROM agg WHERE aspect = 'utility') SELECT product_uid, success_score, round(mean, 6) AS utility,
+ (SELECT count(*) FROM success JOIN flags USING (product_uid) WHERE suspect) AS skipped FROM success JOIN f USING (product_uid) JOIN flags USING (product_uid) WHERE NOT suspect""")
+def join_features_labels_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = success(spark, sf_dir).select("product_uid", "success_score").join(suspect_reasons(spark, sf_dir).select("product_uid", "suspect"), "product_uid")
+    skipped = labels.agg(F.count_if(F.col("suspect")).alias("skipped"))
+    features = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ("utility",)).select("product_uid", F.round("utility_mean", 6).alias("utility"))
+    return labels.where("not suspect").drop("suspect").join(features, "product_uid").crossJoin(F.broadcast(skipped))  # one row
+
+
 @query(f"""WITH {SQL_SUCCESS} SELECT product_uid, round(v, 4) AS volume, round(r, 4) AS rating, round(s, 4) AS velocity, price FROM success""")
 def join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.struct(*(F.round(f"{c}_mm", 4).alias(n) for c, n in (("volume", "volume"), ("avg_rating", "rating"), ("velocity", "velocity"))))
@@ -167,7 +176,10 @@ def market_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_ASPECTS}, p AS (SELECT review_uid, product_uid, aspect, k, score - 5 AS impact FROM aspect_rows JOIN names ON a = aspect WHERE score IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY review_uid, impact < 0 ORDER BY abs(impact) DESC, k) AS i FROM p WHERE impact <> 0) SELECT review_uid, aspect, impact FROM r WHERE i <= 3 AND product_uid % 4 = 0""")
 def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = aspect_scores(spark, sf_dir).where("product_uid % 4 = 0")  # one segment of products, as the query asks
+    return _impacts(aspect_scores(spark, sf_dir).where("product_uid % 4 = 0"))  # the segment that the SQL names; top_impacts_all has all rows
+
+
+def _impacts(rows: DataFrame) -> DataFrame:
     values = F.transform(F.filter(F.map_entries("scores"), lambda e: e["value"].isNotNull() & (e["value"] != 5)), lambda e: F.struct(e["key"].alias("aspect"), (e["value"] - 5).alias("impact")))
 
     def side(negative: bool):
@@ -178,6 +190,12 @@ def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("review_uid", F.explode(F.concat(side(True), side(False))).alias("v")).select("review_uid", "v.aspect", "v.impact")
 
 
+@query(f"""WITH {SQL_ASPECTS}, p AS (SELECT review_uid, aspect, k, score - 5 AS impact FROM aspect_rows JOIN names ON a = aspect WHERE score IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY review_uid, impact < 0 ORDER BY abs(impact) DESC, k) AS i FROM p WHERE impact <> 0) SELECT review_uid, aspect, impact FROM r WHERE i <= 3""")
+def top_impacts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _impacts(aspect_scores(spark, sf_dir))
+
+
 @query(f"WITH {SQL_ASPECTS} SELECT aspect, round(avg(abs(score - 5)), 6) AS importance FROM aspect_rows GROUP BY 1")
 def importance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.long_scores(aspect_scores(spark, sf_dir), ["review_uid"])
