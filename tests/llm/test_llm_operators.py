@@ -292,6 +292,37 @@ def test_top_k_is_exact(spark):
     few = df.where("vec_id < 3")
     assert topk.top_k(few, few, k=5).count() == 6
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(100, 64)).astype(np.float32)
+    code = {i: sum(1 << b for b in range(64) if v[b] > 0) for i, v in enumerate(vectors)}
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] * 3 + [(0, vectors[0].tolist(), 1)] * 7 + [(5, (-vectors[5]).tolist(), 1), (6, None, 0)]
+    code[5] = min(code[5], code[5] ^ ((1 << 64) - 1), key=signed)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0 or vec_id = 5"), k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.distance, r.neighbour_id))
+    assert set(got) == {0, 5, 20, 40, 60, 80}
+    for q, hits in got.items():
+        want = sorted((bin(code[q] ^ code[i]).count("1"), i) for i in code if i != q)[:3]
+        assert sorted(hits) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
+def test_segments_and_masks_of_any_width(spark):
+    for n in (1, 300, 50_000, 10**6, 10**9, 10**13):
+        parts = topk.segments(n)
+        assert parts[0][0] == 0 and sum(w for _, w in parts) == 64 and max(w for _, w in parts) <= max(6, np.log2(n) * 1.5 + 1)
+    import math
+
+    for width, radius in ((5, 2), (16, 3), (19, 4), (21, 1), (32, 3)):
+        got = spark.range(1).select(topk._masks(width, radius)).first()[0]
+        assert len(set(got)) == len(got) == math.comb(width, radius) and all(bin(x).count("1") == radius and x < 1 << width for x in got)
+    with pytest.raises(Exception, match="64 components"):
+        spark.range(1).select(topk.sign_code(F.array_repeat(F.lit(1.0), 65))).collect()
 
 
 def test_mixing_hits_its_weights_and_does_not_depend_on_partitioning(spark):
