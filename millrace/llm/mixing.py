@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rates per source are broadcast up to this many sources; beyond it they are joined by salted keys.
+from .store import stored, unused
+
+#: Rates per source are broadcast up to this many sources; beyond it they are joined by salted keys, with the same result.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
 
 
-def uniform(key: Column, seed: str) -> Column:
+def uniform(key: Column, seed: str | Column) -> Column:
     """A number in [0, 1) from the MD5 of the seed and the key, with 48 bits; null counts as the text 'null'."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
+    seed = F.lit(seed) if isinstance(seed, str) else seed
+    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest n whose Poisson distribution function at the given mean exceeds u.
+def poisson_inverse(draw: Callable[[Column], Column], rate: Column) -> Column:
+    """The smallest n whose Poisson distribution function at the given mean exceeds draw(0), a number in [0, 1).
 
-    Means over 16 are the sum of equal parts of at most 16, each inverted at its own fraction of u's remaining bits,
-    so that exp(-mean) never vanishes.  Every part ends after 100 terms, where its tail is under 1e-40.
+    Means over 16 are the sum of equal parts of at most 16, part i inverted at a number of its own, draw(i), so that
+    exp(-mean) never vanishes.  Every part ends after 100 terms, where its tail is under 1e-40.
     """
     parts = F.greatest(F.lit(1), F.ceil(rate / 16.0)).cast("int")
     mean = rate / parts
 
     def part(i: Column) -> Column:
-        v = F.when(i == 0, u).otherwise(F.pmod(u * (i + 1) * 40503.0 + (i * 0.6180339887498949), F.lit(1.0)))
-        first = F.exp(-mean)
-        start = F.struct(F.lit(0).alias("n"), first.alias("p"), first.alias("c"))
+        v, first = draw(i), F.exp(-mean)
+        start = F.struct(F.lit(0).alias("n"), first.alias("p"), first.alias("c"), v.alias("v"))
 
         def step(s: Column, k: Column) -> Column:
             p = s["p"] * mean / k
-            more = s["c"] <= v
-            return F.struct(F.when(more, s["n"] + 1).otherwise(s["n"]).alias("n"), p.alias("p"), F.when(more, s["c"] + p).otherwise(s["c"]).alias("c"))
+            more = s["c"] <= s["v"]
+            return F.struct(F.when(more, s["n"] + 1).otherwise(s["n"]).alias("n"), p.alias("p"), F.when(more, s["c"] + p).otherwise(s["c"]).alias("c"), s["v"].alias("v"))
 
         terms = F.least(F.lit(100), F.ceil(mean + 12 * F.sqrt(mean) + 20)).cast("int")
         return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["n"])
@@ -44,8 +46,13 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(counts, F.lit(0), lambda a, b: a + b)).otherwise(0)
 
 
+def hashed_poisson(key: Column, seed: str, rate: Column) -> Column:
+    """A Poisson count of the given mean that depends on seed and key alone."""
+    return poisson_inverse(lambda i: uniform(key, F.when(i == 0, seed).otherwise(F.concat(F.lit(f"{seed}/"), i.cast("string")))), rate)
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, source_col: str = "source", size_col: str | None = None, text_col: str = "text") -> DataFrame:
-    """source, amount, rate: how often each document of a source is to appear on average.
+    """m_source, amount, rate: how often each document of a source is to appear on average.
 
     Amounts are characters of text (or size_col).  The mix holds `epochs` times all characters; a source gets its share
     of `weights`, or of its amount to the given power if there are none.  Sources without a weight get rate 0.  Null is
@@ -67,23 +74,25 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     """docs with every row as often as a Poisson draw of its source's rate says, in a global random order.
 
     The draw inverts the distribution function at a uniform number hashed from seed and id, so a rerun, another
-    partitioning or a lost executor gives the same rows.  Every copy gets its own hashed position, by which the rows are
-    range-partitioned and sorted.  Rows of equal id get equal counts; a null id counts as the text 'null'; an empty
-    table gives an empty one.  With `extras`, mix_copy (from 0) and mix_position are added (columns of these names are
-    replaced).
+    partitioning or a lost executor gives the same rows.  Every copy gets its own hashed position.  Positions are uniform, so
+    equal parts of [0, 1) are the partitions, no splitters are sampled, and each is sorted.  The documents are read twice:
+    for the amounts of sources and for the mix.  Rows of equal id get equal counts; a null id counts as the text 'null'; an
+    empty table gives an empty one.  All columns are returned as they are; with `extras`, mix_copy (from 0) and mix_position
+    are added, and the caller's columns of these two names are replaced.
     """
-    rates = source_rates(docs, weights, power, epochs, source_col, None, text_col).select("m_source", "rate")
-    docs = docs.drop("mix_copy", "mix_position", "m_source", "rate", "m_salt")
-    n_sources = rates.limit(BROADCAST_SOURCES + 1).count()
-    if n_sources <= BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(F.col("m_source")))
+    own, rate, number, copy, place, salt = unused(docs, "m_source", "m_rate", "m_number", "m_copy", "m_place", "m_salt")
+    rates = stored(source_rates(docs, weights, power, epochs, source_col, None, text_col).select(F.col("m_source").alias(own), F.col("rate").alias(rate)), "rates")
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rated = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(rates[own]))
     else:
-        salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("m_salt"))
-        own = docs.withColumn("m_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-        rated = own.join(salted, own[source_col].eqNullSafe(salted["m_source"]) & (own["m_salt"] == salted["m_salt"])).drop("m_salt")
-    counted = rated.withColumn("m_n", poisson_inverse(uniform(F.col(id_col), seed), F.col("rate"))).where("m_n > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("m_n") - 1)))
-    key = F.concat_ws("/", F.col("mix_copy").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    placed = copies.withColumn("mix_position", uniform(key, seed + "/order")).drop("m_n", "m_source", "rate")
-    mixed = placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
-    return mixed if extras else mixed.drop("mix_copy", "mix_position")
+        salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        spread = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+        rated = spread.join(salted, spread[source_col].eqNullSafe(salted[own]) & (spread[salt] == salted[salt])).drop(spread[salt]).drop(salted[salt])
+    counted = rated.withColumn(number, hashed_poisson(F.col(id_col), seed, F.col(rate))).where(F.col(number) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
+    key = F.concat_ws("/", F.col(copy).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    placed = copies.withColumn(place, uniform(key, seed + "/order"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = placed.repartitionById(parts, F.floor(F.col(place) * parts).cast("int")).sortWithinPartitions(place)
+    kept = [c for c in docs.columns if not extras or c.lower() not in ("mix_copy", "mix_position")]
+    return mixed.select(*kept, *([F.col(copy).alias("mix_copy"), F.col(place).alias("mix_position")] if extras else []))

@@ -142,6 +142,27 @@ def test_exact_groups(spark):
     assert exact.drop_exact(twice).columns == twice.columns
 
 
+def test_exact_dedup_of_hot_texts_that_splitters_cut(spark):
+    rng = random.Random(8)
+    hot = "the same text of many rows"
+    texts = [hot + " " * rng.randrange(4) if rng.random() < 0.5 else rng.choice(["", None, "x y", f"t{rng.randrange(40)}", hot + "!"]) for _ in range(600)] + ["w " * 300_000, "w " * 300_000 + " "]
+    ids = [rng.choice([None, *range(900)]) if i < 600 else i + 400 for i in range(len(texts))]
+    norm = [re.sub(r"[ \t-\r]", "", t or "") for t in texts]
+    best, size = {}, Counter(norm)
+    for i, t, n in zip(ids, texts, norm):
+        best[n] = min(best.get(n, (1, True, 0)), (-len(t or ""), i is None, i or 0))
+    df = docs_of(spark, texts, ids).withColumnsRenamed({"sig": "x_sha", "node": "X_part"}).withColumn("c_id", F.lit(3)).repartition(7)
+    got = exact.exact_groups(df).collect()
+    want = Counter((i, None if best[n][1] else best[n][2], size[n], (-len(t or ""), i is None, i or 0) == best[n], hashlib.sha256(n.encode()).hexdigest()) for i, t, n in zip(ids, texts, norm))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+    left = exact.drop_exact(df)
+    assert left.columns == df.columns
+    rows = left.collect()
+    assert sorted((re.sub(r"[ \t-\r]", "", r.text or ""), -len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((n, *k) for n, k in best.items())
+    assert {(r.x_sha, r.X_part, r.c_id) for r in rows} == {(1, 2, 3)}
+    assert exact.drop_exact(df.limit(0)).count() == 0
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(2)
     alphabet = "abcdefgh é"
@@ -338,14 +359,28 @@ def test_mixing_hits_its_weights_and_does_not_depend_on_partitioning(spark):
     assert positions == sorted(positions)
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
     assert mixing.mix_sources(docs_of(spark, [None, ""])).count() == 0
-    assert mixing.mix_sources(df, extras=False).columns == [c for c in df.columns if c != "mix_copy"]
+    plain = mixing.mix_sources(df, extras=False)
+    assert plain.columns == df.columns and all(r.mix_copy == r.doc_id for r in plain.collect())
+
+
+def test_mixing_returns_the_columns_of_the_caller(spark, monkeypatch):
+    names = ["m_source", "m_rate", "m_number", "m_copy", "m_place", "m_salt", "rate", "Amount", "w", "mix_copy"]
+    df = spark.range(900).selectExpr("if(id % 50 = 0, null, id) as doc_id", "if(id % 9 = 0, null, 'text of it') as text", "if(id % 4 = 0, null, 's') as source", *(f"id + {i} as {n}" for i, n in enumerate(names)))
+    broadcast = mixing.mix_sources(df, {"s": 3.0, None: 40.0}, epochs=4.0, extras=False)
+    assert broadcast.columns == df.columns
+    rows = sorted(map(str, broadcast.collect()))
+    own = {str(r) for r in df.collect()}
+    assert rows and set(rows) <= own
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # the salted join gives the same rows
+    salted = mixing.mix_sources(df, {"s": 3.0, None: 40.0}, epochs=4.0, extras=False)
+    assert salted.columns == df.columns and sorted(map(str, salted.collect())) == rows
 
 
 def test_poisson_inverse(spark):
     import math
 
-    for rate in (0.0, 0.3, 2.5, 40.0):
-        got = spark.range(4000).select(mixing.poisson_inverse(mixing.uniform(F.col("id"), "t"), F.lit(rate)).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
+    for rate in (0.0, 0.3, 2.5, 16.5, 40.0, 150.0):
+        got = spark.range(4000).select(mixing.hashed_poisson(F.col("id"), "t", F.lit(rate)).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
         assert abs(got[0] - rate) < 4 * math.sqrt(rate / 4000) + 1e-9
         assert rate == 0 or 0.8 < got[1] / rate < 1.25
 
