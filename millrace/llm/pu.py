@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .store import stored
 from .textbytes import LOWER_VALUES, blocks, mix, prefix_hash, slice_hash, word_bounds
 
 TABLE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
+#: Decay of weights, over the number of positives; and in the fits from which the class prior is estimated.
+DECAY, PRIOR_DECAY = 0.3, 0.1
 SYMBOLS = b"|#*%&$@~^_=<>{}[]\\/+"
 
 
@@ -100,21 +103,25 @@ class Rows:
         return np.append(own, g.sum())
 
 
-def fit_pu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_pu(positive: Rows, unlabelled: Rows, prior: float | None, steps: int = 1000, rate: float = 0.05, decay: float | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear scorer that minimises the non-negative unbiased risk with the logistic loss.
 
     The risk is prior * loss(positives as 1) + max(0, loss(unlabelled as 0) - prior * loss(positives as 0)); where the
-    second part falls below zero, the step goes against it, so that the unlabelled text is not overfitted.
+    second part falls below zero, the step goes against it, so that the unlabelled text is not overfitted.  Without a prior
+    the scorer only tells the two samples apart.  Weights decay by a part that falls with the number of positives.
     """
+    decay = DECAY / positive.n if decay is None else decay
     w = np.zeros(positive.k + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         sp, su = positive.scores(w), unlabelled.scores(w)
-        as_negative, rest = prior * _sigmoid(sp) / positive.n, _sigmoid(su) / unlabelled.n
-        if _softplus(su).mean() >= prior * _softplus(sp).mean():
+        rest = _sigmoid(su) / unlabelled.n
+        if prior is None:
+            g = positive.gradient(-_sigmoid(-sp) / positive.n) + unlabelled.gradient(rest)
+        elif _softplus(su).mean() >= prior * _softplus(sp).mean():
             g = positive.gradient(np.full(positive.n, -prior / positive.n)) + unlabelled.gradient(rest)
         else:
-            g = positive.gradient(as_negative) - unlabelled.gradient(rest)
+            g = positive.gradient(prior * _sigmoid(sp) / positive.n) - unlabelled.gradient(rest)
         g = g + decay * w
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
@@ -122,6 +129,50 @@ def fit_pu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 1000, ra
     return w[:-1], float(w[-1])
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.01, risk: float = 0.1) -> float:
+    """Share of positives in the unlabelled sample, from scores of both samples that were not fitted on them.
+
+    Above any bound, unlabelled rows are at least as frequent as the share times the positives there; the ratio of the two
+    frequencies is taken at the bound where it is least after adding what chance can do to samples of these sizes.
+    """
+    bounds = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), bounds) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), bounds) / len(unlabelled)
+    chance = sum(np.sqrt(np.log(4 / risk) / (2 * len(x))) for x in (positive, unlabelled))
+    best = np.argmin((above_u + (1 + slack) * chance) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 1 / (len(unlabelled) + 1), 0.99))
+
+
+@dataclass
+class Samples:
+    """Features of trusted positives (y = 1) and unlabelled rows (y = 0), dense or as pairs of row and column."""
+
+    y: np.ndarray
+    k: int
+    dense: np.ndarray | None = None
+    row: np.ndarray | None = None
+    column: np.ndarray | None = None
+
+    def rows(self, mask: np.ndarray) -> Rows:
+        if self.dense is not None:
+            return Rows(int(mask.sum()), self.k, self.dense[mask])
+        number, own = np.cumsum(mask) - 1, mask[self.row]
+        return Rows(int(mask.sum()), self.k, row=number[self.row[own]], column=self.column[own])
+
+    def fitted(self) -> tuple[np.ndarray, float, float]:
+        """Weights, bias and the class prior, which is estimated from both halves, each scored by a fit on the other."""
+        kinds = self.y == 1, self.y == 0
+        half = np.zeros(len(self.y), bool)
+        for kind in kinds:
+            half[np.flatnonzero(kind)[::2]] = True
+        scores = np.zeros(len(self.y))
+        for test in (half, ~half) if all((kind & half).any() and (kind & ~half).any() for kind in kinds) else ():
+            weights, bias = fit_pu(*(self.rows(kind & ~test) for kind in kinds), None, steps=300, decay=PRIOR_DECAY)
+            scores[test] = self.rows(test).scores(np.append(weights, bias))
+        prior = class_prior(scores[kinds[0]], scores[kinds[1]])
+        return *fit_pu(*(self.rows(kind) for kind in kinds), prior), prior
+
+
 @dataclass
 class Scorer:
     """A fitted classifier: a linear function of the shape of a text, or of which telling words it has."""
@@ -132,6 +183,8 @@ class Scorer:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     slots: np.ndarray | None = None
+    #: The estimated share of positives in the unlabelled text.
+    prior: float | None = None
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return ((dense_features(data, offsets) - self.mean) / self.scale).clip(-5, 5)
@@ -148,74 +201,101 @@ class Scorer:
         return _sigmoid(total + self.bias)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "c_text"):
+            x = dense_features(data, offsets)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([rows.column("c_y"), rows.column("d_id"), values], ["c_y", "d_id", "x"])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many positives and unlabelled texts of a partition each slot occurs."""
+    total = np.zeros((2, 1 << TABLE_BITS), np.int64)
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "c_text"):
+            texts, slots = word_features(data, offsets)
+            keys = np.unique(texts.astype(np.int64) << TABLE_BITS | slots)
+            y = rows.column("c_y").to_numpy()[keys >> TABLE_BITS]
+            for v in (0, 1):
+                total[v] += np.bincount(keys[y == v] & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS)
+    met = np.flatnonzero(total.any(0))
+    for i in range(0, len(met), 50_000):
+        part = met[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[1, part]), pa.array(total[0, part])], ["slot", "in_p", "in_u"])
+
+
+def _telling_slots(sample: DataFrame, n_words: int, sizes: tuple[int, int]) -> np.ndarray:
+    """The slots whose frequencies in the two samples differ most against chance; counted by executors, only the chosen come to the driver."""
+    n_p, n_u = (F.lit(float(n)) for n in sizes)
+    counts = sample.mapInArrow(_slot_counts, "slot long, in_p long, in_u long").groupBy("slot").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    p, u = (F.col("in_p") + 0.5) / (n_p + 1), (F.col("in_u") + 0.5) / (n_u + 1)
+    gap = F.abs(p - u) / F.sqrt(u * (1 - F.least(u, F.lit(1 - 1e-9))) / n_p + 1e-9)
+    best = counts.where("in_p + in_u >= 5").orderBy(F.desc(gap), "slot").limit(n_words).select("slot").toArrow()
+    return best.column("slot").to_numpy()
+
+
+def _hits(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Which of the chosen slots each text has."""
+    place = np.full(1 << TABLE_BITS, -1)
+    place[chosen] = np.arange(len(chosen))
     for batch in batches:
         for rows, data, offsets in blocks(batch, "c_text"):
-            if kind == "shape":
-                x = dense_features(data, offsets)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.float32()))
-            else:
-                texts, slots = word_features(data, offsets)
-                keys = np.unique(texts.astype(np.int64) << TABLE_BITS | slots)
-                counts = np.searchsorted(keys >> TABLE_BITS, np.arange(rows.num_rows + 1)).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(counts), pa.array((keys & ((1 << TABLE_BITS) - 1)).astype(np.float32), pa.float32()))
-            yield pa.RecordBatch.from_arrays([rows.column("c_y"), values], ["c_y", "x"])
-
-
-def fit_scorer(docs: DataFrame, labels: DataFrame, label: str, kind: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_positive: int = 4000, max_unlabelled: int = 9000, n_words: int = 2048) -> Scorer | None:
-    """Fits a scorer for `label` = 1; None if the rows to learn from hold no positive.
-
-    Only labels of rows with crc32(id as text) mod `folds` <> 0 are read.  Trusted positives are at most `max_positive`
-    of them, unlabelled text is at most `max_unlabelled` of all of them with their labels hidden, both the first in the
-    order of a hash of the id: these two bounds are the only samples.  The class prior is the share of positives, over
-    all such labels.  `kind` is "shape" (form of the text) or "words" (words and their first letters; the n_words that
-    differ most between positives and unlabelled text).
+            texts, slots = word_features(data, offsets)
+            found = place[slots]
+            keys = np.unique(texts[found >= 0].astype(np.int64) * len(chosen) + found[found >= 0])
+            counts = np.searchsorted(keys // max(len(chosen), 1), np.arange(rows.num_rows + 1)).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(counts), pa.array((keys % max(len(chosen), 1)).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([rows.column("c_y"), rows.column("d_id"), values], ["c_y", "d_id", "x"])
+
+
+def fit_scorer(docs: DataFrame, labels: DataFrame, label: str, kind: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_positive: int = 4000, max_unlabelled: int = 9000, n_words: int = 512) -> Scorer | None:
+    """Fits a scorer for `label` = 1; None if there is no positive to learn from.
+
+    Trusted positives are documents that `labels` marks 1, and unlabelled text is drawn from all of `docs`, labels unread; both
+    only from ids whose crc32 (of the id as text) mod `folds` is not 0, at most `max_positive` and `max_unlabelled`, the first
+    in the order of a hash of the id: these two bounds are the only samples, and labels of 0 are never used.  The class prior is
+    estimated from the two samples (`class_prior`).  `kind` is "shape" (form of the text) or "words" (words and their first
+    letters; the n_words that differ most between positives and unlabelled text).
+
+    Rows that repeat an id count once: with the greatest text, and as positive if any label is 1.  Null ids are not learnt
+    from, null texts count as empty, and without documents or labels there is no scorer.
     """
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold != 0))
-    known = known.groupBy(F.col(id_col).cast("long").alias("c_id")).agg(F.max(F.col(label).cast("int")).alias("c_y"))
-    prior = known.agg(F.avg("c_y")).first()[0]
-    if not prior:
+
+    def readable(ids: DataFrame) -> DataFrame:
+        own = ids.select(F.col(id_col).cast("long").alias("c_id")).where(F.col("c_id").isNotNull() & (F.crc32(F.col("c_id").cast("string").cast("binary")) % folds != 0))
+        return own.distinct().orderBy(F.xxhash64("c_id", F.lit("pu")), "c_id")
+
+    taken = readable(labels.where(F.col(label) == 1)).limit(max_positive).withColumn("c_y", F.lit(1))
+    taken = taken.unionAll(readable(docs).limit(max_unlabelled).withColumn("c_y", F.lit(0)))  # 0: unlabelled
+    texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("c_text"))
+    sample = texts.join(F.broadcast(taken), F.col("d_id") == F.col("c_id"))  # bounded by the two parameters
+    sample = stored(sample.groupBy("d_id", "c_y").agg(F.max("c_text").alias("c_text")), "sample")
+    sizes = tuple(sample.agg(F.count_if(F.col("c_y") == 1), F.count_if(F.col("c_y") == 0)).first())
+    if not all(sizes):
         return None
-    order = F.xxhash64("c_id", F.lit("pu")), F.col("c_id")
-    taken = known.where("c_y = 1").orderBy(*order).limit(max_positive).withColumn("c_y", F.lit(1))
-    taken = taken.unionAll(known.orderBy(*order).limit(max_unlabelled).withColumn("c_y", F.lit(0)))  # 0: unlabelled
-    texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("c_text"))
-    texts = texts.join(F.broadcast(taken), F.col("d_id") == F.col("c_id")).select("c_y", "c_text")  # bounded by the two parameters
-    rows = texts.mapInArrow(lambda batches: _sampled(batches, kind), "c_y int, x array<float>").toArrow()
+    chosen = _telling_slots(sample, n_words, sizes) if kind == "words" else np.zeros(0, np.int64)
+    rows = sample.mapInArrow(_shapes if kind == "shape" else lambda batches: _hits(batches, chosen), "c_y int, d_id long, x array<float>").toArrow()
+    rows = rows.sort_by([("d_id", "ascending"), ("c_y", "ascending")])
     y = rows.column("c_y").to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
-        return None
     lists = rows.column("x").combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     if kind == "shape":
         x = flat.reshape(len(y), -1)
         mean, scale = x[y == 0].mean(0), x[y == 0].std(0) + 1e-6
-        x = ((x - mean) / scale).clip(-5, 5)
-        weights, bias = fit_pu(*(Rows((y == v).sum(), x.shape[1], x[y == v]) for v in (1, 0)), prior)
-        return Scorer(kind, weights, bias, mean, scale)
-    slots, row = flat.astype(np.int64), np.repeat(np.arange(len(y)), np.diff(offsets))
-    n_p, n_u = (y == 1).sum(), (y == 0).sum()
-    in_p, in_u = (np.bincount(slots[y[row] == v], minlength=1 << TABLE_BITS) for v in (1, 0))
-    p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    gap = np.where(in_p + in_u >= 5, np.abs(p - u) / np.sqrt(u * (1 - np.minimum(u, 1 - 1e-9)) / n_p + 1e-9), 0)
-    best = np.argsort(-gap, kind="stable")[:n_words]
-    place = np.full(1 << TABLE_BITS, -1)
-    place[best] = np.arange(len(best))
-    number = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) - 1  # of a row among those of its kind
-    parts = []
-    for v, n in ((1, n_p), (0, n_u)):
-        own = (place[slots] >= 0) & (y[row] == v)
-        parts.append(Rows(n, len(best), row=number[row[own]], column=place[slots[own]]))
-    weights, bias = fit_pu(*parts, prior)
-    return Scorer(kind, weights, bias, slots=best)
+        weights, bias, prior = Samples(y, x.shape[1], ((x - mean) / scale).clip(-5, 5)).fitted()
+        return Scorer(kind, weights, bias, mean, scale, prior=prior)
+    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+    weights, bias, prior = Samples(y, len(chosen), row=row, column=flat.astype(np.int64)).fitted()
+    return Scorer(kind, weights, bias, slots=chosen, prior=prior)
 
 
 def score_texts(docs: DataFrame, scorer: Scorer | None, threshold: float, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """id, held_out, score, predicted of every row, from its whole text alone.
 
     held_out marks rows whose labels `fit_scorer` may not read (crc32 of the id as text, mod folds, is 0; false for a null
-    id).  Null counts as empty, and an empty text has a score like any other.  Without a scorer every score is 0.5.
+    id).  Null counts as empty, and an empty text has a score like any other.  Without a scorer every score is 0.5.  Rows that
+    repeat an id are scored each by its own text; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
@@ -233,7 +313,10 @@ def score_texts(docs: DataFrame, scorer: Scorer | None, threshold: float, id_col
 
 
 def passing(docs: DataFrame, scorer: Scorer | None, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores `threshold` or more, columns as they are; all of them without a scorer."""
+    """The rows whose text scores `threshold` or more, columns as they are; all of them without a scorer.
+
+    Null counts as empty and is judged by the score of an empty text; repeated rows go or stay together.
+    """
     if scorer is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

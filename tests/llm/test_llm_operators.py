@@ -402,18 +402,37 @@ def test_sharding_is_even_and_keeps_copies_together(spark, mixed):
     assert sharding.shard_documents(docs_of(spark, ["a", "a", None], ids=[1, 1, None])).count() == 3
 
 
-@pytest.mark.parametrize("label,kind,threshold,least", [("quality", "shape", 0.3, 0.97), ("toxic", "words", 0.5, 0.9)])
-def test_classifiers_on_held_out_rows(spark, label, kind, threshold, least):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize("sf,label,kind,threshold,precision,recall", [("0.01", "quality", "shape", 0.3, 0.97, 0.97), ("0.1", "toxic", "words", 0.5, 0.75, 0.9)])
+def test_classifiers_on_held_out_rows(spark, sf, label, kind, threshold, precision, recall):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
     scorer = pu.fit_scorer(docs, labels, label, kind)
     scored = pu.score_texts(docs, scorer, threshold)
     both = scored.join(labels, "doc_id").where("held_out")
-    right = both.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-    assert right >= least
+    got = both.agg(F.avg(F.when(F.col("predicted") == 1, F.col(label))), F.avg(F.when(F.col(label) == 1, F.col("predicted"))), F.avg(label)).first()
+    assert got[0] >= precision and got[1] >= recall
+    assert abs(scorer.prior - got[2]) < 0.06  # estimated without a label of 0
     assert scored.count() == docs.count()
-    odd = docs_of(spark, [None, "", "word " * 20000], ids=[None, 1, 1])
+    odd = docs_of(spark, [None, "", "word " * 20000, "a b c", "d e f"], ids=[None, 1, 1, 7, 7])
     got = pu.score_texts(odd, scorer, threshold).collect()
-    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
-    assert pu.fit_scorer(docs, labels.limit(0), label, kind) is None
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert pu.fit_scorer(docs, labels.limit(0), label, kind) is None and pu.fit_scorer(docs.limit(0), labels, label, kind) is None
     assert {r.score for r in pu.score_texts(odd, None, 0.5).collect()} == {0.5}
+    assert pu.score_texts(odd.limit(0), scorer, threshold).count() == 0
     assert pu.passing(odd, scorer, threshold).columns == odd.columns
+
+
+def test_scorer_reads_no_label_of_zero_and_no_held_out_row(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    plain = pu.fit_scorer(docs, labels, "quality", "shape")
+    for changed in (labels.where("quality = 1"), labels.where(~(fold == 0)), labels.withColumn("quality", F.when(fold == 0, 1 - F.col("quality")).otherwise(F.col("quality"))), labels.unionAll(labels)):
+        again = pu.fit_scorer(docs.withColumn("c_y", F.lit(5)).unionByName(docs.withColumn("c_y", F.lit(5))), changed, "quality", "shape")
+        assert np.array_equal(again.weights, plain.weights) and again.prior == plain.prior
+
+
+def test_class_prior_from_scores():
+    rng = np.random.default_rng(1)
+    for share in (0.05, 0.3, 0.85):
+        positive = rng.normal(2, 1, 3000)
+        unlabelled = np.where(rng.random(9000) < share, rng.normal(2, 1, 9000), rng.normal(-2, 1, 9000))
+        assert abs(pu.class_prior(positive, unlabelled) - share) < 0.04
