@@ -402,6 +402,38 @@ def test_sharding_is_even_and_keeps_copies_together(spark, mixed):
     assert sharding.shard_documents(docs_of(spark, ["a", "a", None], ids=[1, 1, None])).count() == 3
 
 
+def test_sharding_of_very_large_groups(spark):
+    rng = random.Random(4)
+    texts = ["hot"] * 700 + [f"g{i}" for i in range(40) for _ in range(rng.randrange(2, 30))] + [f"s{i}" for i in range(500)] + [None] * 5
+    rng.shuffle(texts)
+    rows = sharding.shard_documents(docs_of(spark, texts).withColumnsRenamed({"sig": "key", "node": "shard"})).collect()
+    by, shards = Counter(r.shard for r in rows), {}
+    assert len(rows) == len(texts) and max(by.values()) - min(by.values()) <= 1 and set(by) == set(range(8))
+    for s in by:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(by[s]))
+    for r in rows:
+        shards.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
+    assert sum(len(s) - 1 for t, s in shards.items() if t != "hot") <= 2  # only the group of a third of the rows is cut at will
+
+
+def test_propagation_gathers_linked_nodes_and_its_shards_stand(spark):
+    nodes = spark.range(4000).selectExpr("id as node", "if(id < 1500, concat('k', id % 300), concat('s', id)) as key")
+    rows = sharding.propagate(nodes, 8).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.key, set()).add(r.shard)
+    assert all(len(s) == 1 for s in held.values()) and len(rows) == 4000
+    start = {r.node: r.shard for r in sharding.propagate(nodes, 8, rounds=0).collect()}
+    assert all(start[r.node] == r.shard for r in rows if not r.linked)
+    assert 0 < sum(start[r.node] == r.shard for r in rows if r.linked) < 1500
+    docs = nodes.selectExpr("node as doc_id", "key as text")
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.key, set()).add(got[r.node])
+    assert all(len(s) == 1 for s in groups.values())
+
+
 @pytest.mark.parametrize("sf,label,kind,threshold,precision,recall", [("0.01", "quality", "shape", 0.3, 0.97, 0.97), ("0.1", "toxic", "words", 0.5, 0.75, 0.9)])
 def test_classifiers_on_held_out_rows(spark, sf, label, kind, threshold, precision, recall):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
