@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .store import stored
+from .store import dropped, stored
 from .textbytes import blocks, mix, shingles
 
 #: Similarity in hundredths, words of a shingle, and the growth of size bands.
@@ -22,6 +22,8 @@ PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
 SKETCH_BITS, GROUP_ROWS, HOT = 1024, 50_000, 1 << 40
 #: Members up to which a group is compared inside one task.
 CROWD = 20_000
+#: Rows of a group that are compared with the others at once.
+STRIP = 64
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,21 +206,31 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by signature, the pairs of a group, of different components, whose sketches leave room for a link."""
 
-    def pairs(table: pa.Table) -> pa.RecordBatch | None:
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         sig, node, n, comp = (table.column(c).to_numpy() for c in ("sig", "node", "n", "comp"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        found = []
+        found, size = [], 0
         for a, b in zip(first, np.append(first[1:], len(sig))):
-            for i in range(a, b, 64):
-                j = min(i + 64, b)
-                flips = np.bitwise_count(sketch[i:j, None, :] ^ sketch[None, i:b, :]).sum(2, dtype=np.int64)
-                room = flips * (100 + percent) <= (n[i:j, None] + n[None, i:b]) * (100 - percent)
-                x, y = np.nonzero(room & (comp[i:j, None] != comp[None, i:b]))
-                found.append(np.stack((node[i + x], node[i + y])))
-        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        both = np.unique(np.sort(both, 0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"]) if both.shape[1] else None
+            for i in range(a, b, STRIP):
+                j = min(i + STRIP, b)
+                for c in range(i, b, 64 * STRIP):
+                    d = min(c + 64 * STRIP, b)
+                    flips = np.bitwise_count(sketch[i:j, None, :] ^ sketch[None, c:d, :]).sum(2, dtype=np.int64)
+                    room = flips * (100 + percent) <= (n[i:j, None] + n[None, c:d]) * (100 - percent)
+                    x, y = np.nonzero(room & (comp[i:j, None] != comp[None, c:d]))
+                    if len(x):
+                        found.append(np.unique(np.sort(np.stack((node[i + x], node[c + y])), 0), axis=1))
+                        size += found[-1].shape[1]
+                if size > 100_000:  # what has been found leaves at once, so that memory does not follow the group
+                    yield batch_of(found)
+                    found, size = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -227,12 +239,11 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         last = batch.column("sig")[-1].as_py()
         cut = int(np.searchsorted(batch.column("sig").to_numpy(), last))
         if cut or (waiting and waiting[-1].column("sig")[-1].as_py() != last):
-            if (out := pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))) is not None:
-                yield out
+            yield from pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
             waiting = []
         waiting.append(batch.slice(cut))
-    if waiting and (out := pairs(pa.Table.from_batches(waiting))) is not None:
-        yield out
+    if waiting:
+        yield from pairs(pa.Table.from_batches(waiting))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,8 +259,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id of every row: the smallest id reachable by links, itself included.
 
     Rows of equal sets form a class, and its smallest id stands for it, so copies are never compared.  The hash space of
-    shingles is cut into segments, as many as the size band needs by the pigeonhole principle with some slack; segments
-    (some with one-deletion neighbourhoods, where that is cheaper) are the signatures.  Signatures that two
+    shingles is cut into segments, as many as the size band needs by the pigeonhole principle with some slack; segments are
+    the signatures, with one-deletion neighbourhoods where `allocation` finds these cheaper.  Signatures that two
     classes share are kept; each class leaves out its most frequent ones as far as the slack allows, so boilerplate that
     many documents share is not looked up.  Inside the groups that remain, all members are
     first compared with one leader, the member that shares most signatures with others (an original leads its copies).
@@ -271,10 +282,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = rows.mapInArrow(_shared, "sig long, node long, tag long, count long").join(reps, "node", "left_semi")
     slack = F.expr("tag & 65535L")
     hottest = Window.partitionBy("node", "tag").orderBy(F.desc("count"), "sig")
-    kept = met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct()
-    group = Window.partitionBy("sig")
-    kept = kept.withColumn("size", F.count(F.lit(1)).over(group)).where("size > 1")
+    looked_up = stored(met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct(), "looked_up")
+    # Sizes are counted before the shuffle and written, so that Spark can split the rows of a hot signature in the join.
+    sizes = stored(looked_up.groupBy(F.col("sig").alias("s_sig")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    kept = looked_up.join(sizes, F.col("sig") == F.col("s_sig")).select("sig", "node", "size")
     kept = stored(kept.withColumn("weight", F.sum("size").over(Window.partitionBy("node"))).select("sig", "node", "weight", "size"), "kept")
+    dropped(looked_up)
+    dropped(sizes)
     nodes = kept.select(F.col("node").alias("c_id")).distinct()
     sketches = stored(digests.join(nodes, "c_id", "left_semi").select("c_id", "n", "sketch").distinct(), "sketches")
 
@@ -291,8 +305,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = None
     while True:
         place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
-        front = pending.withColumn("place", place).where(F.col("place") <= leaders)
-        front = front.select(F.col("sig").alias("f_sig"), F.col("node").alias("leader"), *([F.col("comp").alias("a_comp")] if labels is not None else []))
+        front = pending.withColumn("place", place).where(F.col("place") <= leaders)  # pruned in every task before the shuffle
+        front = stored(front.select(F.col("sig").alias("f_sig"), F.col("node").alias("leader"), *([F.col("comp").alias("a_comp")] if labels is not None else [])), "front")
         pairs = front.join(pending, front["f_sig"] == pending["sig"]).where("leader <> node")
         if labels is not None:
             pairs = pairs.where("a_comp <> comp")
@@ -305,9 +319,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more is not None or labels is None:
             links = links if more is None else links.unionByName(more)
             labels = components(links)
-        named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], "weight", "size", F.coalesce("component", kept["node"]).alias("comp"))
-        # Members up to the number of leaders have met all others; a group is done when no later two differ.
-        rest = named.withColumn("place", place).where(F.col("place") > leaders).drop("place")
+        members_now = pending.select("sig", "node", "weight", "size")
+        named = members_now.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("sig", "node", "weight", "size", F.coalesce("component", "node").alias("comp"))
+        # Leaders have met all others; a group is done when no two of its other members differ.
+        rest = named.join(front, (F.col("sig") == F.col("f_sig")) & (F.col("node") == F.col("leader")), "left_anti")
         open_groups = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
         pending = named.join(open_groups, "sig", "left_semi")
         if leaders == 1:

@@ -69,6 +69,8 @@ def test_near_components_equal_all_pairs(spark, mixed):
 
 def test_large_groups_meet_all_their_leaders(spark, mixed, monkeypatch):
     want = {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()}
+    monkeypatch.setattr(jaccard, "STRIP", 1)
+    assert {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()} == want
     monkeypatch.setattr(jaccard, "CROWD", 1)
     assert {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()} == want
 
@@ -82,7 +84,16 @@ def test_near_components_of_repeated_and_null_ids(spark):
     assert jaccard.near_components(docs_of(spark, [])).count() == 0
 
 
-def test_every_similar_pair_shares_more_signatures_than_slack():
+@pytest.mark.parametrize("deletions", [None, 1, 2])
+def test_every_similar_pair_shares_more_signatures_than_slack(monkeypatch, deletions):
+    if deletions is not None:  # the cost model takes none by itself
+
+        def forced(largest, percent=80):
+            differ = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
+            own = min(deletions, (differ + 1) // 2)
+            return differ + 2 - 2 * own, own, 1
+
+        monkeypatch.setattr(jaccard, "allocation", forced)
     rng = np.random.default_rng(3)
     for size in (1, 2, 4, 5, 9, 30, 200, 700):
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
