@@ -274,7 +274,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     digests = stored(set_digests(docs, id_col, text_col, words), "digests")
     full = digests.where("n > 0").select("c_id", "n", "h1", "h2")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("c_id").alias("rep"))
+    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("c_id").alias("rep")), "classes")  # written, so that a class of many copies is split in the join
     members = stored(full.join(classes, ["n", "h1", "h2"]).select("c_id", "n", "rep"), "members")
     reps = members.where("c_id = rep").select(F.col("rep").alias("node")).distinct()
     texts = _read(docs, id_col, text_col)
