@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,21 +15,40 @@ from pyspark.sql.types import StringType
 ENGLISH_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "are", "be", "this", "have", "or", "not")
 
 
+# What cleaning takes out, in this order, and the text without which a pattern can't match.
+TAGS, URLS, EMAILS = (r"<[^>]+>", ("<",)), (r"https?://\S+|www\.\S+", ("http", "www.")), (r"\S+@\S+\.\S+", ("@",))
+CONTROLS = "".join(map(chr, [*range(9), *range(11, 32), 127]))
+
+
 @F.pandas_udf(StringType())
 def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f reads it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _without(pattern: str, signs: Sequence[str]) -> Callable[[Column], Column]:
+    def taken_out(t: Column) -> Column:
+        found = reduce(Column.__or__, (F.contains(t, F.lit(sign)) for sign in signs))
+        return F.when(found, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    return taken_out
+
+
 def clean_text(text: Column, entities: bool = True) -> Column:
     """Entities, tags, URLs, e-mails and control characters out (each a space), white space collapsed; null gives ''.
 
-    Entities are decoded in Python, in Arrow batches; everything else is native.
+    Only texts with an & go to Python, in Arrow batches; everything else is native, and a pattern runs only where its text can be.
     """
     out = F.coalesce(text, F.lit(""))
     if entities:
-        out = _unescaped(out)
-    for pattern in (r"<[^>]+>", r"https?://\S+|www\.\S+", r"\S+@\S+\.\S+", r"[\x00-\x08\x0b-\x1f\x7f]"):
-        out = F.regexp_replace(out, pattern, " ")
+        out = F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), out)
+    for pattern, signs in (TAGS, URLS, EMAILS):
+        out = let(out, _without(pattern, signs))
+    out = F.translate(out, CONTROLS, " " * len(CONTROLS))
     return F.trim(F.regexp_replace(out, r"[\s\p{Z}]+", " "))
 
 
@@ -128,7 +148,8 @@ def lexicon_score(text: Column, aspect: str, keywords: Sequence[str], positive:
     """struct(score, evidence) of the first keyword found, in the order of the list; null without one.
 
     The score is 5, two more or less for each positive or negative word within 30 characters before and 40 after the hit,
-    and a jitter of 0 to 1.9 less 1 from a hash of the aspect and the first 80 characters.
+    and a jitter of 0 to 1.9 less 1 from a hash of the aspect and the first 80 characters.  Evidence are the first six words
+    from the hit on, or the keyword if there are none.
     """
     low = F.lower(text)
     hit = F.get(F.filter(F.array(*map(F.lit, keywords)), lambda w: F.contains(low, w)), 0)
@@ -146,9 +167,15 @@ def lexicon_score(text: Column, aspect: str, keywords: Sequence[str], positive:
     score = F.round(5.0 + (count(positive) - count(negative)) * 2.0 + jitter / 10.0 - 1.0, 1)
     words = F.split(F.trim(F.regexp_replace(F.substring(low, at + 1, F.lit(60)), r"\s+", " ")), " ")
     evidence = F.substring(F.array_join(F.slice(words, 1, 6), " "), 1, 60)
+    evidence = F.when(evidence == "", hit).otherwise(evidence)
     return F.when(hit.isNotNull(), F.struct(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)).alias("score"), evidence.alias("evidence")))
 
 
+def lexicon_confidence(n_scored: Column) -> Column:
+    """min(1, .4 + .1 n) of the number of aspects scored."""
+    return F.round(F.least(F.lit(1.0), 0.4 + 0.1 * n_scored), 6)
+
+
 def spec_coverage(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
     """Map of aspect to 'covered' or 'missing'."""
     return F.create_map(*(x for a, words in keywords.items() for x in (F.lit(a), F.when(contains_any(F.lower(text), words), "covered").otherwise("missing"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..shared import stored
 
 DAY = 86400
 
@@ -26,14 +27,15 @@ def global_text_counts(df: DataFrame, text: str = "text", least: int = 4) -> Dat
 def review_gauntlet(df: DataFrame, product: str, text: str, rating: str, ts: str, order: str, english: Column | None = None) -> DataFrame:
     """df with text_clean, ts_clean and drop_reason (null: kept); the first rule that fails names the drop.
 
-    A duplicate is a later row of the same product and text among rows that pass all other rules, in the order of `order`.
-    Template texts are those on four rows or more, over all products.
+    Entities are decoded first.  A duplicate is a later row of the same product and text among rows that pass all other rules, in
+    the order of `order`.  Template texts are those on four rows or more, over all products.  Texts are cleaned and hashed once,
+    into a written table that both the counts and the rules read.
     """
-    out = df.withColumn("text_clean", T.clean_text(F.col(text), entities=False))
-    out = out.withColumn("ts_clean", T.ts_seconds(F.col(ts))).withColumn("h", T.norm_text_hash(F.col("text_clean")))
+    out = df.withColumn("text_clean", T.clean_text(F.col(text))).withColumn("ts_clean", T.ts_seconds(F.col(ts)))
+    out = stored(out.withColumn("h", T.norm_text_hash(F.col("text_clean"))), "cleaned")
     spam = out.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 3")
     out = out.join(spam, "h", "left")
-    words = T.word_count(F.col("text_clean"))
+    words = F.when(F.col("text_clean") == "", 0).otherwise(F.size(F.split("text_clean", " ")))
     english = T.is_english(F.col("text_clean")) if english is None else english
     other = (
         F.when(F.col("text_clean") == "", "empty_after_cleaning")
@@ -58,42 +60,84 @@ def burst_flag(df: DataFrame, key: str, ts: str, days: int = 14, share: float =
 
 
 def extreme_j(df: DataFrame, key: str, rating: str) -> DataFrame:
-    """key, extreme: nearly all ratings high, some low, hardly any between."""
+    """key, high, low, extreme: nearly all ratings high, some low, hardly any between."""
     high, low = F.avg((F.col(rating) >= 4.5).cast("double")), F.avg((F.col(rating) <= 1.5).cast("double"))
-    return df.groupBy(key).agg(((high > 0.85) & (low > 0.05) & (1 - high - low < 0.05)).alias("extreme"))
+    return df.groupBy(key).agg(high.alias("high"), low.alias("low"), ((high > 0.85) & (low > 0.05) & (1 - high - low < 0.05)).alias("extreme"))
 
 
 def near_duplicates(df: DataFrame, key: str, uid: str, text: str, sample: int = 60, jaccard: float = 0.7, share: float = 0.3, least: int = 5) -> DataFrame:
-    """key, dup_share, near_duplicate: share of a seeded sample of texts that are in a pair of similar word sets."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(seeded(uid), uid))
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
-    taken = df.withColumn("nth", nth).where(F.col("nth") <= sample).select(key, uid, words.alias("words"))
-    a, b = taken.alias("a"), taken.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{uid}") != F.col(f"b.{uid}")))
-    common = F.size(F.array_intersect("a.words", "b.words"))
-    similar = common > jaccard * (F.size("a.words") + F.size("b.words") - common)
-    hits = pairs.where(similar).select(F.col(f"a.{uid}").alias("hit")).distinct()
-    out = taken.join(hits, taken[uid] == hits["hit"], "left").groupBy(key).agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
-    ratio = F.col("hits") / F.col("n").cast("double")
-    return out.select(key, ratio.alias("dup_share"), ((F.col("n") >= least) & (ratio > share)).alias("near_duplicate"))
+    """key, dup_share, near_duplicate: share of a seeded sample of texts that are in a pair of similar word sets.
+
+    The sample of a key, at most `sample` sets of hashed words, meets in one row, so that no pairs are shuffled.
+    """
+    taken = capped(df.select(key, uid, text), key, [seeded(uid), F.col(uid)], sample)  # pruned before the shuffle
+    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    sets = taken.select(key, F.struct(F.col("nth").alias("i"), words.alias("w")).alias("s")).groupBy(key).agg(F.collect_list("s").alias("sets"))
+
+    def similar(a: Column, b: Column) -> Column:
+        total = F.size(a["w"]) + F.size(b["w"])
+        may = F.least(F.size(a["w"]), F.size(b["w"])) > jaccard * F.greatest(F.size(a["w"]), F.size(b["w"]))
+        return T.let(F.when(may, F.size(F.array_intersect(a["w"], b["w"]))), lambda common: common > jaccard * (total - common))
+
+    hits = F.size(F.filter("sets", lambda a: F.exists("sets", lambda b: (a["i"] != b["i"]) & F.coalesce(similar(a, b), F.lit(False)))))
+    ratio = hits / F.size("sets").cast("double")
+    return sets.select(key, ratio.alias("dup_share"), F.size("sets").alias("n")).select(key, "dup_share", ((F.col("n") >= least) & (F.col("dup_share") > share)).alias("near_duplicate"))
+
+
+def suspect_reasons(df: DataFrame, key: str, uid: str, ts: str, rating: str, text: str) -> DataFrame:
+    """key, reasons (of burst, extreme_j, near_duplicates, in this order), suspect (there is a reason), for every key."""
+    flags = burst_flag(df, key, ts).join(extreme_j(df, key, rating).select(key, "extreme"), key).join(near_duplicates(df, key, uid, text).select(key, "near_duplicate"), key)
+    named = {"burst": "burst", "extreme": "extreme_j", "near_duplicate": "near_duplicates"}
+    reasons = F.array_compact(F.array(*(F.when(F.col(c), name) for c, name in named.items())))
+    return flags.select(key, reasons.alias("reasons"), (F.size(reasons) > 0).alias("suspect"))
 
 
 def category_terciles(df: DataFrame, category: str, price: str, key: str) -> DataFrame:
-    """df with tercile 0, 1, 2 by price position: the first n div 3, up to 2n div 3, the rest."""
-    w = Window.partitionBy(category)
-    place = F.row_number().over(w.orderBy(price, key)) - 1
-    n = F.count(F.lit(1)).over(w)
-    out = df.withColumn("place", place).withColumn("n_in", n)
-    return out.withColumn("tercile", F.expr("case when place < n_in div 3 then 0 when place < 2 * n_in div 3 then 1 else 2 end")).drop("place", "n_in")
+    """df with tercile 0, 1, 2 by price position: the first n div 3, up to 2n div 3, the rest.
+
+    Only the prices and keys at a third and at two thirds are needed: rows are counted per category and price, running counts over
+    the prices give the two prices, and only rows of these prices are numbered, so a category is no task of its own.
+    """
+    prices = df.groupBy(category, price).agg(F.count(F.lit(1)).alias("n_at"))
+    spread = prices.withColumn("block", F.floor(F.log2(F.greatest(F.col(price).cast("double"), F.lit(1e-9))) * 64).cast("long"))
+    blocks = spread.groupBy(category, "block").agg(F.sum("n_at").alias("n_block"))
+    order = Window.partitionBy(category).orderBy("block")  # some thousand blocks a category at most
+    blocks = blocks.select(F.col(category).alias("b_cat"), F.col("block").alias("b_block"), (F.sum("n_block").over(order) - F.col("n_block")).alias("b_start"), F.sum("n_block").over(Window.partitionBy(category)).alias("n_in"))
+    inside = Window.partitionBy(category, "block").orderBy(price)
+    starts = spread.join(blocks, F.col(category).eqNullSafe(F.col("b_cat")) & F.col("block").eqNullSafe(F.col("b_block")))
+    starts = starts.withColumn("start", F.col("b_start") + F.sum("n_at").over(inside) - F.col("n_at"))
+    cuts = [F.floor(F.col("n_in") * i / 3) for i in (1, 2)]
+    tier = [F.when(F.col("start") >= c, 1).when(F.col("start") + F.col("n_at") <= c, 0) for c in cuts]  # null: the cut lies among rows of this price
+    known = starts.select(F.col(category).alias("k_cat"), F.col(price).alias("k_price"), "start", *(t.alias(f"t{i}") for i, t in enumerate(tier)), *(c.alias(f"c{i}") for i, c in enumerate(cuts)))
+    joined = stored(df.join(known, F.col(category).eqNullSafe(F.col("k_cat")) & F.col(price).eqNullSafe(F.col("k_price"))), "priced")
+    place = F.col("start") + F.row_number().over(Window.partitionBy("k_cat", "k_price").orderBy(key)) - 1
+    clear = joined.where("t0 is not null and t1 is not null").withColumn("tercile", F.col("t0") + F.col("t1"))
+    torn = joined.where("t0 is null or t1 is null").withColumn("tercile", (place >= F.col("c0")).cast("int") + (place >= F.col("c1")).cast("int"))
+    return clear.unionByName(torn).select(*df.columns, "tercile")
 
 
 def quota_round_robin(df: DataFrame, category: str, tercile: str, best: Sequence[Column], quota: int) -> DataFrame:
-    """The best of each tercile in turn until `quota` rows a category; adds pick (from 1)."""
-    ranked = df.withColumn("in_tercile", F.row_number().over(Window.partitionBy(category, tercile).orderBy(*best)))
+    """The best of each tercile in turn until `quota` rows a category; adds pick (from 1).
+
+    No tercile gives more than `quota` rows, so all but these are pruned before the shuffle.
+    """
+    ranked = df.withColumn("in_tercile", F.row_number().over(Window.partitionBy(category, tercile).orderBy(*best))).where(F.col("in_tercile") <= quota)
     pick = F.row_number().over(Window.partitionBy(category).orderBy("in_tercile", tercile))
     return ranked.withColumn("pick", pick).where(F.col("pick") <= quota).drop("in_tercile")
 
 
+def splice_replace(
+    old: DataFrame, new: DataFrame, key: str, category: str, gone: Sequence[str], old_reviews: DataFrame, new_reviews: DataFrame, review_key: str
+) -> tuple[DataFrame, DataFrame]:
+    """(products with origin, reviews): categories in `gone` leave the old products, and so do those whose key is among the new ones,
+    which are added; reviews of products that are gone go with them, and new products come with their new reviews."""
+    kept = old.where(~F.col(category).isin(*gone)).join(new.select(key), key, "left_anti")
+    products = new.withColumn("origin", F.lit("new")).unionByName(kept.withColumn("origin", F.lit("old")))
+    staying, added = (df.select(F.col(key).alias("own_key")) for df in (kept, new))
+    rows = old_reviews.join(staying, F.col(review_key) == F.col("own_key"), "left_semi")
+    return products, rows.unionByName(new_reviews.join(added, F.col(review_key) == F.col("own_key"), "left_semi"))
+
+
 def capped(df: DataFrame, key: str, order: Sequence[Column | str], most: int) -> DataFrame:
     """At most `most` rows a key, the first of the order; Spark prunes with a window group limit before the shuffle."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= most)

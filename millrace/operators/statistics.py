@@ -91,3 +91,11 @@ def loo_shrinkage(df: DataFrame, key: str, group: str, x: str, y: str, base: str
     r = F.when(spread > 1e-9, (n * sxy - sx * sy) / F.sqrt(spread)).otherwise(0.0)
     weight = F.greatest(r, F.lit(0.0))
     return out.withColumn("weight", weight).withColumn("shrunk", F.col("weight") * F.col(x) + (1 - F.col("weight")) * F.col(base)).drop(*(f"s_{k}" for k in terms))
+
+
+def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: fingerprint (the sum of 48-bit hashes of all rows, in decimal, whatever their order) and n; null differs from every value."""
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    digest = F.md5(F.concat_ws("|", *map(value, columns)))
+    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.sum(number).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("n"))

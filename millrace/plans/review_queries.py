@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import reviews as R
 from ..operators import statistics as S
 from ..shared import stored
-from ..views import SQL_PRODUCTS, SQL_REVIEWS, SQL_TEXTS, products, reviews, table, text_reviews
+from ..views import SQL_MARKED, SQL_PRODUCTS, SQL_REVIEWS, SQL_TEXTS, SQL_WORDED, marked_reviews, products, reviews, table, text_reviews, worded_reviews
 from .registry import query
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'),
@@ -18,7 +18,9 @@ _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(re
 _ENGLISH = r"""length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) / CAST(greatest(length(t), 1) AS DOUBLE) >= 0.85 AND len(list_filter(string_split(trim(regexp_replace(lower(substr(t, 1, 400)),
  '[^a-z]+', ' ', 'g')), ' '), lambda x: x IN ('the','of','and','to','in','a','is','that','for','it','was','on','with','as','are','be','this','have','or','not')))
  / CAST(len(string_split(trim(regexp_replace(lower(substr(t, 1, 400)), '[^a-z]+', ' ', 'g')), ' ')) AS DOUBLE) >= 0.1"""
-SQL_GAUNTLET = f"""{SQL_TEXTS}, g0 AS (SELECT *, {_CLEAN} AS t FROM text_reviews), g1 AS (SELECT *, sha1(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g')) AS h FROM g0),
+# The entities that occur in the tables; &amp last, so that nothing is decoded twice.
+_DECODED = """replace(replace(regexp_replace(regexp_replace(text, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·')"""
+SQL_GAUNTLET = f"""{SQL_MARKED}, g0 AS (SELECT *, {_CLEAN.replace('(text,', f'({_DECODED},')} AS t FROM marked_reviews), g1 AS (SELECT *, sha1(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g')) AS h FROM g0),
  g2 AS (SELECT *, count(*) OVER (PARTITION BY h) AS copies, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS words FROM g1),
  g3 AS (SELECT *, CASE WHEN t = '' THEN 'empty_after_cleaning' WHEN NOT rating BETWEEN 1 AND 5 THEN 'bad_rating' WHEN words < 10 THEN 'too_short' WHEN words > 400 THEN 'too_long'
   WHEN copies > 3 THEN 'template_spam' WHEN NOT ({_ENGLISH}) THEN 'non_english' END AS other FROM g2),
@@ -26,7 +28,7 @@ SQL_GAUNTLET = f"""{SQL_TEXTS}, g0 AS (SELECT *, {_CLEAN} AS t FROM text_reviews
 
 
 def _gauntlet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.review_gauntlet(text_reviews(spark, sf_dir), "product_uid", "text", "rating", "review_ts", "review_uid")
+    return R.review_gauntlet(marked_reviews(spark, sf_dir), "product_uid", "text", "rating", "review_ts", "review_uid")
 
 
 @query(f"WITH {SQL_GAUNTLET} SELECT review_uid, drop_reason FROM g")
@@ -70,9 +72,10 @@ def candidate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where("p_retailprice between 0.5 and 5000 and p_size >= 10").select("p_partkey", F.substring("p_name", 1, 300).alias("title"), brand.alias("brand"), features.alias("features"))
 
 
-@query(f"WITH {SQL_PRODUCTS} SELECT product_uid, category FROM products WHERE price BETWEEN 0.5 AND 5000 AND rating_count >= 700 AND avg_rating IS NOT NULL AND category LIKE '%O%'")
+@query(f"WITH {SQL_PRODUCTS} SELECT product_uid, category FROM products WHERE price BETWEEN 0.5 AND 5000 AND rating_count >= 700 AND avg_rating IS NOT NULL AND (contains(name, 'red') OR contains(name, 'hot') OR contains(name, 'gear')) AND NOT contains(name, 'bolt')")
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = products(spark, sf_dir).where("price between 0.5 and 5000 and rating_count >= 700 and avg_rating is not null and category like '%O%'")
+    kept = products(spark, sf_dir).where("price between 0.5 and 5000 and rating_count >= 700 and avg_rating is not null")
+    kept = kept.where(T.matches_category(F.col("name"), ["red", "hot", "gear"], ["bolt"], ["case for"]))
     return kept.dropDuplicates(["product_uid"]).select("product_uid", "category")
 
 
@@ -140,24 +143,31 @@ def dq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).select(F.col("review_uid").alias("key"), F.explode(F.array_compact(F.array(*bad))).alias("v")).select("key", "v.field", "v.value")
 
 
-@query(f"""WITH {SQL_PRODUCTS} SELECT (SELECT count(*) FROM products) AS n_products, (SELECT count(*) FROM reviews) AS n_reviews, (SELECT count(DISTINCT category) FROM products) AS n_categories,
+@query(f"""WITH {SQL_PRODUCTS} SELECT (SELECT count(*) FROM products) AS n_products, (SELECT count(*) FROM reviews) AS n_reviews, (SELECT count(DISTINCT category) FROM products) AS n_categories, (SELECT count(*) FROM customer) AS n_apps, (SELECT count(*) FROM orders) AS n_app_reviews,
+ (SELECT count(*) > 0 FROM conversations) AS context_present,
  (SELECT count(*) FROM reviews) > 0 AND (SELECT count(*) FROM reviews WHERE product_uid NOT IN (SELECT product_uid FROM products)) = 0 AS validation_passed""")
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = products(spark, sf_dir), reviews(spark, sf_dir)
     orphans = r.join(p, "product_uid", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
     counts = p.agg(F.count(F.lit(1)).alias("n_products"), F.count_distinct("category").alias("n_categories"))
-    rows = r.agg(F.count(F.lit(1)).alias("n_reviews"))
-    joined = counts.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").join(orphans.withColumn("one", F.lit(1)), "one")
-    return joined.select("n_products", "n_reviews", "n_categories", ((F.col("n_reviews") > 0) & (F.col("orphans") == 0)).alias("validation_passed"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [counts, one(r, "n_reviews"), orphans, one(table(spark, sf_dir, "customer"), "n_apps"), one(table(spark, sf_dir, "orders"), "n_app_reviews"), one(table(spark, sf_dir, "conversations").limit(1), "context")]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.crossJoin(F.broadcast(part))  # one row each
+    return joined.select("n_products", "n_reviews", "n_categories", "n_apps", "n_app_reviews", (F.col("context") > 0).alias("context_present"), ((F.col("n_reviews") > 0) & (F.col("orphans") == 0)).alias("validation_passed"))
 
 
 @query(f"""WITH {SQL_GAUNTLET}, d AS (SELECT count(*) FILTER (drop_reason = 'non_english') AS ne, count(drop_reason) AS dropped, count(*) AS n FROM g)
- SELECT lang AS category, count(*) AS n, count(*) >= 60 AS enough, (SELECT ne <= 0.1 * dropped FROM d) AS english_ok, (SELECT n BETWEEN 25000 AND 45000 FROM d) AS total_ok FROM documents GROUP BY lang""")
+ SELECT lang AS category, count(*) AS n, count(*) >= 60 AS enough, (SELECT ne <= 0.1 * dropped FROM d) AS english_ok, (SELECT n BETWEEN 25000 AND 45000 FROM d) AS total_ok,
+ (SELECT CASE WHEN avg(CASE WHEN value < 1 THEN 1.0::DOUBLE ELSE 0 END) < 0.01 THEN 'ok' WHEN avg(CASE WHEN value < 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.05 THEN 'bad' ELSE 'look' END FROM events) AS failures FROM documents GROUP BY lang""")
 def dq_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops = _gauntlet(spark, sf_dir).agg(F.count_if(F.col("drop_reason") == "non_english").alias("ne"), F.count("drop_reason").alias("dropped"), F.count(F.lit(1)).alias("total"))
     stats = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    both = stats.crossJoin(F.broadcast(drops))  # one row
-    return both.select("category", "n", (F.col("n") >= 60).alias("enough"), (F.col("ne") <= 0.1 * F.col("dropped")).alias("english_ok"), F.col("total").between(25000, 45000).alias("total_ok"))
+    share = F.avg((F.col("value") < 1).cast("double"))
+    failed = table(spark, sf_dir, "events").agg(F.when(share < 0.01, "ok").when(share > 0.05, "bad").otherwise("look").alias("failures"))
+    both = stats.crossJoin(F.broadcast(drops)).crossJoin(F.broadcast(failed))  # one row each
+    return both.select("category", "n", (F.col("n") >= 60).alias("enough"), (F.col("ne") <= 0.1 * F.col("dropped")).alias("english_ok"), F.col("total").between(25000, 45000).alias("total_ok"), "failures")
 
 
 # Joins and sets ------------------------------------------------------------------------------------------------------
@@ -185,13 +195,16 @@ def anti_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return todo.withColumn("room", 100 - F.coalesce("n", F.lit(0))).where("room > 0").select("review_uid", "room")
 
 
-@query("""WITH new AS (SELECT p_partkey, 'new' AS origin FROM part WHERE p_partkey % 5 = 0), old AS (SELECT p_partkey, 'old' AS origin FROM part WHERE p_size <> 7)
- SELECT * FROM new UNION ALL SELECT * FROM old WHERE p_partkey NOT IN (SELECT p_partkey FROM new)""")
+@query("""WITH new AS (SELECT p_partkey FROM part WHERE p_partkey % 5 = 0), kept AS (SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY' AND p_partkey NOT IN (SELECT p_partkey FROM new)),
+ p AS (SELECT p_partkey, 'new' AS origin FROM new UNION ALL SELECT p_partkey, 'old' FROM kept)
+ SELECT p_partkey, origin, coalesce(n, 0) AS n_reviews FROM p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE (l_partkey % 5 = 0) = (l_returnflag = 'N') GROUP BY 1) r ON l_partkey = p_partkey""")
 def splice_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    new = part.where("p_partkey % 5 = 0").select("p_partkey", F.lit("new").alias("origin"))
-    old = part.where("p_size <> 7").select("p_partkey", F.lit("old").alias("origin"))
-    return new.unionByName(old.join(new.select("p_partkey"), "p_partkey", "left_anti"))
+    """A category goes, new products take the place of old ones of the same key, and reviews follow their products."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    new = part.where("p_partkey % 5 = 0").select("p_partkey", "p_type")
+    spliced, rows = R.splice_replace(part.select("p_partkey", "p_type"), new, "p_partkey", "p_type", ["ECONOMY"], line.where("l_returnflag <> 'N'"), line.where("l_returnflag = 'N'"), "l_partkey")
+    counts = rows.groupBy(F.col("l_partkey").alias("r_key")).agg(F.count(F.lit(1)).alias("n"))
+    return spliced.join(counts, F.col("p_partkey") == F.col("r_key"), "left").select("p_partkey", "origin", F.coalesce("n", F.lit(0)).alias("n_reviews"))
 
 
 @query("SELECT c_custkey AS uid, 'customer' AS kind, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, 'supplier', NULL FROM supplier")
@@ -251,11 +264,19 @@ def burst_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.burst_flag(table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp("ts")), "user_id", "s", days=4, share=0.25)
 
 
-@query(f"""WITH {SQL_REVIEWS}, s AS (SELECT product_uid, avg(CASE WHEN rating >= 3.5 THEN 1.0::DOUBLE ELSE 0 END) AS hi, avg(CASE WHEN rating <= 1.5 THEN 1.0::DOUBLE ELSE 0 END) AS lo FROM reviews GROUP BY 1)
- SELECT product_uid, round(hi, 6) AS high, round(lo, 6) AS low, hi > 0.4 AND lo > 0.05 AND 1 - hi - lo < 0.4 AS extreme FROM s""")
+SQL_SUSPECT = f"""{SQL_WORDED}, s_near AS (SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY md5('42|' || review_uid), review_uid) AS i FROM worded), s_taken AS (SELECT * FROM s_near WHERE i <= 60),
+ s_hit AS (SELECT DISTINCT a.product_uid, a.i FROM s_taken a JOIN s_taken b ON a.product_uid = b.product_uid AND a.i <> b.i WHERE len(list_intersect(a.w, b.w)) > 0.7::DOUBLE * (12 - len(list_intersect(a.w, b.w)))),
+ s_dup AS (SELECT product_uid, count(*) >= 5 AND count(h.i) / CAST(count(*) AS DOUBLE) > 0.3 AS near FROM s_taken LEFT JOIN s_hit h USING (product_uid, i) GROUP BY 1),
+ s_x AS (SELECT product_uid, avg(CASE WHEN rating >= 4.5 THEN 1.0::DOUBLE ELSE 0 END) AS high, avg(CASE WHEN rating <= 1.5 THEN 1.0::DOUBLE ELSE 0 END) AS low FROM worded GROUP BY 1),
+ s_recent AS (SELECT product_uid, count(*) OVER (PARTITION BY product_uid ORDER BY review_ts RANGE BETWEEN 1209600 PRECEDING AND CURRENT ROW) AS recent FROM worded),
+ s_burst AS (SELECT product_uid, count(*) >= 5 AND max(recent) > 0.4::DOUBLE * count(*) AS burst FROM s_recent GROUP BY 1),
+ flags AS (SELECT product_uid, concat_ws(',', CASE WHEN burst THEN 'burst' END, CASE WHEN high > 0.85 AND low > 0.05 AND 1 - high - low < 0.05 THEN 'extreme_j' END, CASE WHEN near THEN 'near_duplicates' END) AS reasons,
+  burst OR near OR (high > 0.85 AND low > 0.05 AND 1 - high - low < 0.05) AS suspect FROM s_burst JOIN s_x USING (product_uid) JOIN s_dup USING (product_uid))"""
+
+
+@query(f"WITH {SQL_SUSPECT} SELECT product_uid, round(high, 6) AS high, round(low, 6) AS low, high > 0.85 AND low > 0.05 AND 1 - high - low < 0.05 AS extreme FROM s_x")
 def extreme_j(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hi, lo = F.avg((F.col("rating") >= 3.5).cast("double")), F.avg((F.col("rating") <= 1.5).cast("double"))
-    return reviews(spark, sf_dir).groupBy("product_uid").agg(F.round(hi, 6).alias("high"), F.round(lo, 6).alias("low"), ((hi > 0.4) & (lo > 0.05) & (1 - hi - lo < 0.4)).alias("extreme"))
+    return R.extreme_j(worded_reviews(spark, sf_dir), "product_uid", "rating").select("product_uid", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), "extreme")
 
 
 @query("""WITH s AS (SELECT source, doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w,
@@ -266,13 +287,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.near_duplicates(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
-@query(f"""WITH {SQL_REVIEWS}, f AS (SELECT product_uid, max(CAST(rating AS INTEGER)) - min(CAST(rating AS INTEGER)) >= 4 AS wide, avg(rating) > 3.2 AS high, count(*) < 25 AS few FROM reviews GROUP BY 1)
- SELECT product_uid, concat_ws(',', CASE WHEN wide THEN 'wide' END, CASE WHEN high THEN 'high' END, CASE WHEN few THEN 'few' END) AS reasons, wide OR high OR few AS suspect FROM f""")
+@query(f"WITH {SQL_SUSPECT} SELECT product_uid, reasons, suspect FROM flags")
 def suspect_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"wide": F.max("rating") - F.min("rating") >= 4, "high": F.avg("rating") > 3.2, "few": F.count(F.lit(1)) < 25}
-    rows = reviews(spark, sf_dir).groupBy("product_uid").agg(*(c.alias(n) for n, c in flags.items()))
-    reasons = F.array_compact(F.array(*(F.when(F.col(n), n) for n in flags)))
-    return rows.select("product_uid", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) > 0).alias("suspect"))
+    flags = R.suspect_reasons(worded_reviews(spark, sf_dir), "product_uid", "review_uid", "review_ts", "rating", "text")
+    return flags.withColumn("reasons", F.array_join("reasons", ","))
 
 
 _SCORED = """m AS (SELECT *, ln(1 + rating_count) AS volume, rating_count / greatest(abs(latest_review_ts - first_review_ts) / (86400 * 30.44::DOUBLE), 1) AS velocity,
@@ -281,7 +299,6 @@ _SCORED = """m AS (SELECT *, ln(1 + rating_count) AS volume, rating_count / grea
  x AS (SELECT m.*, CASE WHEN v1 - v0 < 1e-12 THEN 0.5 ELSE (volume - v0) / (v1 - v0) END AS v, CASE WHEN r1 - r0 < 1e-12 THEN 0.5 ELSE (avg_rating - r0) / (r1 - r0) END AS r,
   CASE WHEN s1 - s0 < 1e-12 THEN 0.5 ELSE (velocity - s0) / (s1 - s0) END AS s, CASE WHEN i1 - i0 < 1e-12 THEN 0.5 ELSE (installs - i0) / (i1 - i0) END AS i,
   CASE WHEN t1 - t0 < 1e-12 THEN 0.5 ELSE (retention - t0) / (t1 - t0) END AS t FROM m JOIN b USING (category))"""
-SQL_SUSPECT = """flags AS (SELECT product_uid, max(CAST(rating AS INTEGER)) - min(CAST(rating AS INTEGER)) >= 4 OR avg(rating) > 3.2 OR count(*) < 25 AS suspect FROM reviews GROUP BY 1)"""
 SQL_SUCCESS = f"{SQL_PRODUCTS}, {_SCORED}, success AS (SELECT *, round(100 * (0.40::DOUBLE * v + 0.35::DOUBLE * r + 0.25::DOUBLE * s), 3) AS success_score FROM x)"
 
 
@@ -319,12 +336,6 @@ def log_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(spark, sf_dir).select("product_uid", F.round("volume", 6).alias("rating_count_log"), F.round("installs", 6).alias("install_count_log"), F.round("velocity", 6).alias("velocity"), days.alias("days_since"))
 
 
-@query(f"""WITH {SQL_SUCCESS}, h AS (SELECT category, success_score, least(CAST(floor(success_score / 10) AS INTEGER), 9) AS bin FROM success WHERE product_uid % 9 <> 0)
- SELECT category, count(*) AS n, round(stddev_pop(success_score), 6) AS sd, stddev_pop(success_score) < 8 AS flat, {", ".join(f"count(*) FILTER (bin = {i}) AS b{i}" for i in range(10))} FROM h GROUP BY 1""")
-def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diagnostics(success(spark, sf_dir).where("product_uid % 9 <> 0"))  # as the SQL has it; label_diagnostics_flagged reads the flags
-
-
 def _diagnostics(products: DataFrame) -> DataFrame:
     bins = F.least(F.floor(F.col("success_score") / 10), F.lit(9))
     rows = products.withColumn("bin", bins)
@@ -332,12 +343,20 @@ def _diagnostics(products: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(spread, 6).alias("sd"), (spread < 8).alias("flat"), *(F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(10)))
 
 
-@query(f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, h AS (SELECT category, success_score, least(CAST(floor(success_score / 10) AS INTEGER), 9) AS bin FROM success JOIN flags USING (product_uid) WHERE NOT suspect)
- SELECT category, count(*) AS n, round(stddev_pop(success_score), 6) AS sd, stddev_pop(success_score) < 8 AS flat, {", ".join(f"count(*) FILTER (bin = {i}) AS b{i}" for i in range(10))} FROM h GROUP BY 1""")
-def label_diagnostics_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SQL_DIAGNOSTICS = f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, h AS (SELECT category, success_score, least(CAST(floor(success_score / 10) AS INTEGER), 9) AS bin FROM success JOIN flags USING (product_uid) WHERE NOT suspect)
+ SELECT category, count(*) AS n, round(stddev_pop(success_score), 6) AS sd, stddev_pop(success_score) < 8 AS flat, {", ".join(f"count(*) FILTER (bin = {i}) AS b{i}" for i in range(10))} FROM h GROUP BY 1"""
+
+
+@query(_SQL_DIAGNOSTICS)
+def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnostics(success(spark, sf_dir).join(suspect_reasons(spark, sf_dir).where("not suspect").select("product_uid"), "product_uid"))
 
 
+@query(_SQL_DIAGNOSTICS)
+def label_diagnostics_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_diagnostics(spark, sf_dir)
+
+
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(p_brand), array_to_string(string_split(lower(p_type || ' ' || p_name), ' ')[1:2], ' ') ORDER BY p_size DESC, p_partkey) AS n FROM part) WHERE n = 1""")
 def dedup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.array_join(F.slice(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " "), 1, 2), " ")
@@ -380,10 +399,14 @@ def quantile_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quantile_tier(success(spark, sf_dir), "success_score", 5, "category").select("product_uid", "tier")
 
 
-@query(f"""WITH {SQL_SUCCESS} SELECT category, product_uid, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY rating_count DESC, product_uid) AS INTEGER) AS rank FROM success) WHERE rank <= 20""")
+@query(f"""WITH {SQL_SUCCESS} SELECT category, product_uid, rank, name AS short_name, round(price, 2) AS price, least(100, greatest(0, success_score)) AS success, CAST(greatest(10, rating_count) AS BIGINT) AS n_ratings
+ FROM (SELECT * EXCLUDE (name), CASE WHEN length(name) < 15 AND NOT contains(lower(name), lower(brand)) THEN substr(brand || ' ' || name, 1, 42) ELSE name END AS name,
+ CAST(row_number() OVER (PARTITION BY category ORDER BY rating_count DESC, product_uid) AS INTEGER) AS rank FROM success) WHERE rank <= 20""")
 def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = R.capped(success(spark, sf_dir), "category", [F.desc("rating_count"), "product_uid"], 20)
-    return best.select("category", "product_uid", F.col("nth").alias("rank"))
+    clipped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("success_score")))
+    shown = F.greatest(F.lit(10), F.round(F.expm1("volume"))).cast("bigint")
+    return best.select("category", "product_uid", F.col("nth").alias("rank"), T.short_name(F.col("name"), F.col("brand")).alias("short_name"), F.round("price", 2).alias("price"), clipped.alias("success"), shown.alias("n_ratings"))
 
 
 @query("""SELECT conv_id, role, n FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, conv_id) AS i FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) WHERE n >= 2) WHERE i <= 60""")
@@ -425,8 +448,10 @@ def quota_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.join(table(spark, sf_dir, "nation"), "n_nationkey", "right").select(F.col("n_name").alias("category"), (130 - F.coalesce("n", F.lit(0))).alias("remaining"))
 
 
-@query("SELECT sum(CAST(('0x' || substr(md5(concat_ws('|', p_partkey, p_name, p_brand, p_type, p_size)), 1, 12)) AS BIGINT)) AS fingerprint, count(*) AS n FROM part")
+_FIELDS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+_SQL_FIELDS = " || '|' || ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in _FIELDS)
+
+
+@query(f"SELECT CAST(sum(CAST(('0x' || substr(md5({_SQL_FIELDS}), 1, 12)) AS BIGINT)) AS VARCHAR) AS fingerprint, count(*) AS n FROM part")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.md5(F.concat_ws("|", "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
-    value = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")
-    return table(spark, sf_dir, "part").agg(F.sum(value).cast("double").alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    return S.table_fingerprint(table(spark, sf_dir, "part"), _FIELDS)

@@ -29,6 +29,20 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def worded_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reviews with a text of six words from the line item's columns, and a rating that is mostly high, seldom low."""
+    cents = lambda c: F.floor(F.round(F.col(c) * 100))
+    q = F.col("l_quantity").cast("bigint")
+    words = {"size": q % 5, "deal": F.floor(cents("l_discount") / 4), "tax": F.floor(cents("l_tax") / 3), "flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "line": F.col("l_linenumber")}
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    ts = F.unix_timestamp("l_shipdate")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", *parts, ts.cast("string")).alias("review_uid"), F.col("l_partkey").alias("product_uid"), ts.alias("review_ts"),
+        F.when(q % 14 == 0, 1.0).when(q == 7, 3.0).otherwise(5.0).alias("rating"),
+        F.concat_ws(" ", *(F.concat(F.lit(n), v.cast("string")) for n, v in words.items())).alias("text"),
+    )
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product per part, with its reviews' mean, volume and first and last time."""
     stats = reviews(spark, sf_dir).groupBy("product_uid").agg(
@@ -59,6 +73,15 @@ def aspect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_reviews, and the web pages as further ones, with tags and entities in their text."""
+    pages = table(spark, sf_dir, "pages").select(
+        (F.lit(10**12) + F.col("page_id")).alias("review_uid"), F.concat(F.lit("page"), (F.col("page_id") % 7).cast("string")).alias("product_uid"), F.col("html").alias("text"),
+        (1 + F.col("page_id") % 6).cast("double").alias("rating"), F.lit(1500000000).cast("long").alias("review_ts"), F.lit("en").alias("lang"),
+    )
+    return text_reviews(spark, sf_dir).unionByName(pages)
+
+
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_uid"), F.col("source").alias("product_uid"), "text",
@@ -78,5 +101,11 @@ SQL_PRODUCTS = SQL_REVIEWS + """, products AS (SELECT p.p_partkey AS product_uid
 SQL_ASPECTS = f"""names AS (SELECT unnest([{_ASPECT_LIST}], recursive := true)), aspect_rows AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CAST(epoch(l_shipdate) AS BIGINT)) AS review_uid, l_partkey AS product_uid, l_linestatus AS provider, a AS aspect, round(l_discount * 10, 1) AS confidence,
  CASE WHEN (l_orderkey + k) % 3 <> 0 THEN ((l_orderkey * 7 + l_linenumber * 13 + k * 17) % 101) / 10.0::DOUBLE END AS score FROM lineitem, names)"""
+SQL_WORDED = """worded AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(epoch(l_shipdate) AS BIGINT)) AS review_uid, l_partkey AS product_uid,
+ CAST(epoch(l_shipdate) AS BIGINT) AS review_ts, CASE WHEN CAST(l_quantity AS BIGINT) % 14 = 0 THEN 1.0 WHEN l_quantity = 7 THEN 3.0 ELSE 5.0 END AS rating,
+ ['size' || CAST(l_quantity AS BIGINT) % 5, 'deal' || CAST(round(l_discount * 100) AS BIGINT) // 4, 'tax' || CAST(round(l_tax * 100) AS BIGINT) // 3, 'flag' || lower(l_returnflag), 'status' || lower(l_linestatus), 'line' || l_linenumber] AS w
+ FROM lineitem)"""
+SQL_MARKED = """marked_reviews AS (SELECT doc_id AS review_uid, source AS product_uid, text, CAST(1 + doc_id % 5 AS DOUBLE) AS rating, 1500000000 + doc_id * 3600 AS review_ts, lang FROM documents
+ UNION ALL SELECT 1000000000000 + page_id, 'page' || page_id % 7, html, CAST(1 + page_id % 6 AS DOUBLE), 1500000000, 'en' FROM pages)"""
 SQL_TEXTS = """text_reviews AS (SELECT doc_id AS review_uid, source AS product_uid, text, CAST(1 + doc_id % 5 AS DOUBLE) AS rating,
  1500000000 + doc_id * 3600 AS review_ts, lang FROM documents)"""
