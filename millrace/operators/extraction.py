@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
+
+
+_MARK = re.compile(r'["{}]')
+_STRING_END = re.compile(r'(?:[^"\\]|\\.)*+"', re.S)
 
 
 def _first_object(text: str | None) -> str | None:
-    start = (text or "").find("{")
-    depth, quoted, escaped = 0, False, False
-    for i, c in enumerate(text[start:] if start >= 0 else ""):
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : start + i + 1]
+    """From mark to mark (brace or quote): strings are skipped whole."""
+    start = at = (text or "").find("{")
+    depth = 0
+    while at >= 0:
+        mark = _MARK.search(text, at)
+        if mark is None:
+            return None
+        at = mark.end()
+        if mark[0] == '"':
+            end = _STRING_END.match(text, at)
+            if end is None:
+                return None
+            at = end.end()
+            continue
+        depth += 1 if mark[0] == "{" else -1
+        if not depth:
+            return text[start:at]
     return None
 
 
@@ -50,6 +62,11 @@ def coerce_scores(payload: Column, aspects: Sequence[str], most: int = 3) -> tup
     return F.create_map(*entries), repairs, raw.isNull() | (repairs > most)
 
 
+def coerce_confidence(payload: Column) -> Column:
+    """The payload's confidence within 0..1; 0.5 where there is none or it is no number."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.get_json_object(payload, "$.confidence").try_cast("double"), F.lit(0.5))))
+
+
 def complete_map(raw: Column, aspects: Sequence[str]) -> tuple[Column, Column]:
     """Keys that lack and keys that are not expected."""
     keys, expected = F.map_keys(raw), F.array(*map(F.lit, aspects))
@@ -82,3 +99,45 @@ def bridge_estimate(base: Column, price: Column, median: Column, aspect: str) ->
     nudge = F.greatest(F.lit(-1.5), F.least(F.lit(1.5), 2 * (median - price) / F.greatest(median, F.lit(1.0))))
     start = F.when(base.isNull() | (base == 0), 5.0).otherwise(base)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), start + nudge * (1.0 if aspect == "value_for_money" else 0.3))), 1)
+
+
+def pairwise_agreement(df: DataFrame, uid: str, provider: str, aspects: Sequence[str], scores: str = "scores") -> DataFrame:
+    """(a, b, n, mean_diff, null_agreement) of every two providers a < b that scored the same rows, over all aspects of a row.
+
+    A row's scores, one map a provider, meet once; pairs are made inside the row and nothing is joined.
+    """
+    met = df.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct(F.col(provider).alias("p"), F.array(*(F.try_element_at(scores, F.lit(a)) for a in aspects)).alias("s")))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: x["p"] < y["p"]), lambda y: F.struct(x["p"].alias("a"), y["p"].alias("b"), x["s"].alias("x"), y["s"].alias("y")))))
+    both = met.select(F.explode(pairs).alias("q")).select("q.*")
+    diffs = F.zip_with("x", "y", lambda x, y: F.abs(x - y))
+    alike = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x.isNull() == y.isNull()), lambda v: v))
+    rows = both.select("a", "b", F.filter(diffs, lambda d: d.isNotNull()).alias("d"), alike.alias("alike"))
+    total = F.sum(F.aggregate("d", F.lit(0.0), lambda t, d: t + d))
+    n = F.sum(F.size("d"))
+    return rows.groupBy("a", "b").agg(n.alias("n"), (total / F.when(n > 0, n)).alias("mean_diff"), (F.sum("alike") / (F.count(F.lit(1)) * float(len(aspects)))).alias("null_agreement"))
+
+
+def evidence(df: DataFrame, uid: str, category: str, most: int = 15, scores: str = "scores") -> DataFrame:
+    """(category, aspect, kind, nth, uid): the `most` rows of lowest (pain) and of highest (strength) score; ties by uid.
+
+    Counts per category, aspect and score say at which score `most` rows are reached; only rows up to there are sorted.
+    """
+    rows = df.select(uid, category, F.explode(F.map_entries(scores)).alias("e")).where("e.value is not null").select(uid, category, F.col("e.key").alias("aspect"), F.col("e.value").alias("score"))
+    counts = rows.groupBy(category, "aspect", "score").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for kind, order in (("pain", F.col("score").asc()), ("strength", F.col("score").desc())):
+        before = F.sum("n").over(Window.partitionBy(category, "aspect").orderBy(order)) - F.col("n")  # a row a score
+        reached = counts.withColumn("before", before).where(F.col("before") < most).groupBy(F.col(category).alias("k_cat"), F.col("aspect").alias("k_aspect"))
+        cut = reached.agg((F.max("score") if kind == "pain" else F.min("score")).alias("cut"))
+        side = F.col("score") <= F.col("cut") if kind == "pain" else F.col("score") >= F.col("cut")
+        near = rows.join(cut, (F.col(category) == F.col("k_cat")) & (F.col("aspect") == F.col("k_aspect"))).where(side)
+        nth = F.row_number().over(Window.partitionBy(category, "aspect").orderBy(order, uid))
+        parts.append(near.withColumn("nth", nth).where(F.col("nth") <= most).select(category, "aspect", F.lit(kind).alias("kind"), "nth", uid))
+    return parts[0].unionByName(parts[1])
+
+
+def marginal_contributions(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
+    """keys and a column for each feature: slope of the label on that feature alone, times the distance from the feature's mean; 0 where it is null."""
+    fits = df.agg(*(f(c).alias(f"{c}_{n}") for c in features for n, f in (("slope", lambda c: F.regr_slope(label, c)), ("avg", F.avg))))
+    joined = df.crossJoin(F.broadcast(fits))  # one row
+    return joined.select(*keys, *(F.coalesce(F.col(f"{c}_slope") * (F.col(c) - F.col(f"{c}_avg")), F.lit(0.0)).alias(c) for c in features))

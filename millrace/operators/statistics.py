@@ -9,27 +9,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def avg_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank") -> DataFrame:
-    """df with average ranks (ties share the mean) of columns over all rows.
+def running_before(counts: DataFrame, by: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+    """counts (a row a group and value) with `out`: the sum of weight over smaller values of the group.
 
-    Values are counted first; running counts over distinct values are taken inside blocks of range partitions and added up,
-    so no task sees all rows.
+    Values are cut into as many blocks as there are shuffle partitions, at approximate quantiles; sums run inside blocks and
+    start from those of the blocks before, so no task holds a group.  Null values and groups are left out.
+    """
+    parts = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = counts.where(F.col(value).isNotNull())
+    bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
+    blocked = counts.crossJoin(F.broadcast(bounds)).withColumn("block", F.size(F.filter("cuts", lambda x: x < F.col(value)))).drop("cuts")  # one row
+    sizes = blocked.groupBy(*by, "block").agg(F.sum(weight).alias("size"))
+    start = F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*by, "block", start.alias("start"))  # a row a group and block
+    inside = F.sum(weight).over(Window.partitionBy(*by, "block").orderBy(value)) - F.col(weight)
+    return blocked.join(starts, [*by, "block"]).withColumn(out, F.col("start") + inside).drop("block", "start")
+
+
+def avg_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank", by: Sequence[str] = ()) -> DataFrame:
+    """df with average ranks (ties share the mean) of columns over all rows, or over the rows of a group.
+
+    Values are counted first, and running counts are taken over distinct values, in blocks (`running_before`).
     """
     out = df
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col(c).isNotNull())
-        bounds = counts.agg(F.percentile_approx(c, [i / 16 for i in range(1, 16)], 1000).alias("cuts"))
-        block = F.size(F.filter("cuts", lambda x: x < F.col(c)))
-        counts = counts.crossJoin(F.broadcast(bounds)).withColumn("block", block).drop("cuts")  # one row of 15 numbers
-        sizes = counts.groupBy("block").agg(F.sum("n").alias("size"))
-        start = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.select("block", start.alias("start"))  # sixteen rows
-        below = F.sum("n").over(Window.partitionBy("block").orderBy(c)) - F.col("n")
-        ranks = counts.join(F.broadcast(starts), "block").select(F.col(c).alias("v"), (F.col("start") + below + (F.col("n") + 1) / 2.0).alias(c + suffix))
-        out = out.join(ranks, out[c] == ranks["v"], "left").drop("v")
+        counts = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("n"))
+        ranks = running_before(counts, by, c, "n", "below").select(*(F.col(g).alias(f"r_{g}") for g in by), F.col(c).alias("v"), (F.col("below") + (F.col("n") + 1) / 2.0).alias(c + suffix))
+        on = F.col(c) == F.col("v")
+        for g in by:
+            on = on & (F.col(g) == F.col(f"r_{g}"))
+        out = out.join(ranks, on, "left").drop("v", *(f"r_{g}" for g in by))
     return out
 
 
+def percentile_of_score(df: DataFrame, by: str, column: str, out: str = "pct") -> DataFrame:
+    """df with the percentile rank within the group: 50 * (rows below + rows up to the value + 1) / rows."""
+    counts = df.groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
+    totals = df.groupBy(F.col(by).alias("t_by")).agg(F.count(column).alias("total"))
+    placed = running_before(counts, [by], column, "n", "below").join(totals, F.col(by) == F.col("t_by"))
+    placed = placed.select(F.col(by).alias("p_by"), F.col(column).alias("p_value"), (50 * (2 * F.col("below") + F.col("n") + 1.0) / F.col("total")).alias(out))
+    return df.join(placed, (F.col(by) == F.col("p_by")) & (F.col(column) == F.col("p_value")), "left").drop("p_by", "p_value")
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rho, the correlation of average ranks."""
     return avg_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]).agg(F.corr(f"{a}_rank", f"{b}_rank").alias("rho"))
@@ -40,7 +61,7 @@ def quantile_tier(df: DataFrame, column: str, q: int = 5, category: str | None =
     keys = [category] if category else []
     cuts = F.array(*(F.percentile(column, F.lit(i / q)) for i in range(1, q)))
     edges = df.groupBy(*keys).agg(cuts.alias("cuts"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-    joined = df.join(F.broadcast(edges), category) if category else df.crossJoin(F.broadcast(edges))  # one row, or one a category
+    joined = df.join(edges, category) if category else df.crossJoin(F.broadcast(edges))  # one row
     inner = F.filter(F.array_distinct("cuts"), lambda e: (e > F.col("lo")) & (e < F.col("hi")) & (e < F.col(column)))
     return joined.withColumn("tier", F.size(inner)).drop("cuts", "lo", "hi")
 

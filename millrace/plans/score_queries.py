@@ -9,27 +9,33 @@ from pyspark.sql.window import Window
 from ..operators import extraction as X
 from ..operators import reviews as R
 from ..operators import statistics as S
-from ..views import ASPECTS, SQL_ASPECTS, SQL_PRODUCTS, aspect_scores, products, table
+from ..shared import shared_path
+from ..sources import files
+from ..views import ASPECTS, SQL_ASPECTS, SQL_PRODUCTS, aspect_scores, products, reviews, table
 from .registry import query
 from .review_queries import SQL_SUCCESS, SQL_SUSPECT, success, suspect_reasons
 
 _AGG = f"""{SQL_ASPECTS}, agg AS (SELECT product_uid, aspect, avg(score) AS mean, count(score) / CAST(count(*) AS DOUBLE) AS rate FROM aspect_rows
  WHERE coalesce(confidence, 0) >= 0.3 GROUP BY 1, 2)"""
-_PRED = """pred AS (SELECT c_custkey AS k, c_nationkey AS g, CAST(c_acctbal AS DOUBLE) AS actual, round(c_acctbal * 0.4::DOUBLE + (c_custkey * 37 % 1000) * 6.0::DOUBLE, 2) AS predicted,
+_PRED = """pred AS (SELECT c_custkey AS k, c_nationkey AS g, CAST(c_acctbal AS DOUBLE) AS actual, length(c_mktsegment) AS len, round(c_acctbal * 0.4::DOUBLE + (c_custkey * 37 % 1000) * 6.0::DOUBLE, 2) AS predicted,
  round(c_acctbal * 0.2::DOUBLE + (c_custkey * 53 % 1000) * 6.0::DOUBLE, 2) AS other FROM customer)"""
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, balance = F.col("c_custkey"), F.col("c_acctbal").cast("double")
     return table(spark, sf_dir, "customer").select(
-        key.alias("k"), F.col("c_nationkey").alias("g"), balance.alias("actual"),
+        key.alias("k"), F.col("c_nationkey").alias("g"), balance.alias("actual"), F.length("c_mktsegment").alias("len"),
         F.round(balance * 0.4 + (key * 37 % 1000) * 6.0, 2).alias("predicted"), F.round(balance * 0.2 + (key * 53 % 1000) * 6.0, 2).alias("other"),
     )
 
 
-@query(f"WITH {SQL_ASPECTS} SELECT review_uid, aspect, score FROM aspect_rows")
+@query(f"WITH {SQL_ASPECTS} SELECT review_uid, p_name AS name, aspect, score FROM aspect_rows JOIN part ON p_partkey = product_uid")
 def long_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.long_scores(aspect_scores(spark, sf_dir).dropDuplicates(["review_uid"]), ["review_uid"])
+    path = shared_path(spark, "mirror")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_uid"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
+    files.write_mirror(part, reviews(spark, sf_dir), aspect_scores(spark, sf_dir).unionByName(aspect_scores(spark, sf_dir)), path, "product_uid", "review_uid", "category")
+    found = files.mirror_scores(spark, path)
+    return found.select("review_uid", "name", "aspect", "score")
 
 
 @query(f"WITH {_AGG} SELECT product_uid, aspect, round(mean, 6) AS mean, round(rate, 6) AS rate FROM agg")
@@ -47,24 +53,23 @@ def mention_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.groupBy("aspect").agg(F.round(mean, 6).alias("mean_rate"), F.round(F.min("value"), 6).alias("least"), (mean < 0.05).alias("noise"))
 
 
-@query(f"""WITH {SQL_SUCCESS}, {_AGG}, f AS (SELECT product_uid, mean FROM agg WHERE aspect = 'utility') SELECT product_uid, success_score, round(mean, 6) AS utility, count(*) FILTER (product_uid % 9 = 0) OVER () AS skipped
- FROM success JOIN f USING (product_uid) WHERE product_uid % 9 <> 0""".replace("count(*) FILTER (product_uid % 9 = 0) OVER ()", "(SELECT count(*) FROM success WHERE product_uid % 9 = 0)"))
-def join_features_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = success(spark, sf_dir).select("product_uid", "success_score")
-    skipped = labels.where("product_uid % 9 = 0").agg(F.count(F.lit(1)).alias("skipped"))
-    features = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ("utility",)).select("product_uid", F.round("utility_mean", 6).alias("utility"))
-    return labels.where("product_uid % 9 <> 0").join(features, "product_uid").crossJoin(F.broadcast(skipped))  # one row
+_SQL_JOINED = f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, {_AGG}, f AS (SELECT product_uid, mean FROM agg WHERE aspect = 'utility') SELECT product_uid, success_score, round(mean, 6) AS utility,
+ (SELECT count(*) FROM success JOIN flags USING (product_uid) WHERE suspect) AS skipped FROM success JOIN f USING (product_uid) JOIN flags USING (product_uid) WHERE NOT suspect"""
 
 
-@query(f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, {_AGG}, f AS (SELECT product_uid, mean FROM agg WHERE aspect = 'utility') SELECT product_uid, success_score, round(mean, 6) AS utility,
- (SELECT count(*) FROM success JOIN flags USING (product_uid) WHERE suspect) AS skipped FROM success JOIN f USING (product_uid) JOIN flags USING (product_uid) WHERE NOT suspect""")
-def join_features_labels_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_SQL_JOINED)
+def join_features_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = success(spark, sf_dir).select("product_uid", "success_score").join(suspect_reasons(spark, sf_dir).select("product_uid", "suspect"), "product_uid")
     skipped = labels.agg(F.count_if(F.col("suspect")).alias("skipped"))
     features = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ("utility",)).select("product_uid", F.round("utility_mean", 6).alias("utility"))
     return labels.where("not suspect").drop("suspect").join(features, "product_uid").crossJoin(F.broadcast(skipped))  # one row
 
 
+@query(_SQL_JOINED)
+def join_features_labels_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_features_labels(spark, sf_dir)
+
+
 @query(f"""WITH {SQL_SUCCESS} SELECT product_uid, round(v, 4) AS volume, round(r, 4) AS rating, round(s, 4) AS velocity, price FROM success""")
 def join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.struct(*(F.round(f"{c}_mm", 4).alias(n) for c, n in (("volume", "volume"), ("avg_rating", "rating"), ("velocity", "velocity"))))
@@ -72,17 +77,22 @@ def join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(products(spark, sf_dir).select("product_uid", "price"), "product_uid").select("product_uid", "components.*", "price")
 
 
-@query(f"""WITH {SQL_SUCCESS}, {_AGG}, a AS (SELECT category, round(avg(mean), 6) AS utility_mean, round(avg(rate), 6) AS utility_rate FROM agg JOIN success USING (product_uid) WHERE aspect = 'utility' GROUP BY 1)
- SELECT category, count(*) AS n, round(avg(price), 6) AS mean_price, round(median(price), 6) AS median_price, round(quantile_cont(price, 0.25), 6) AS p25, round(quantile_cont(price, 0.75), 6) AS p75,
- round(avg(success_score), 6) AS success_mean, round(quantile_cont(success_score, 0.75), 6) AS success_p75, any_value(utility_mean) AS utility_mean, any_value(utility_rate) AS utility_rate FROM success JOIN a USING (category) GROUP BY 1""")
+_METADATA = ("rating_count", "avg_rating", "velocity", "volume")
+_SQL_PROFILE = ", ".join(f"round(avg(mean) FILTER (aspect = '{a}'), 6) AS {a}_mean, round(avg(rate) FILTER (aspect = '{a}'), 6) AS {a}_rate" for a in ASPECTS)
+
+
+@query(f"""WITH {SQL_SUCCESS}, {SQL_SUSPECT}, {_AGG}, a AS (SELECT category, {_SQL_PROFILE} FROM agg JOIN success USING (product_uid) GROUP BY 1),
+ c AS (SELECT category, count(*) AS n, count(*) FILTER (suspect) AS n_suspect, round(avg(price), 6) AS mean_price, round(median(price), 6) AS median_price, round(quantile_cont(price, 0.25), 6) AS p25, round(quantile_cont(price, 0.75), 6) AS p75,
+  {", ".join(f"round(median({m}), 6) AS median_{m}" for m in _METADATA)}, round(avg(success_score), 6) AS success_mean, round(quantile_cont(success_score, 0.75), 6) AS success_p75 FROM success JOIN flags USING (product_uid) GROUP BY 1)
+ SELECT * FROM c JOIN a USING (category)""")
 def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = success(spark, sf_dir)
-    means = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ("utility",))
-    joined = rows.select("product_uid", "category", "price", "success_score").join(means, "product_uid", "left")
+    rows = success(spark, sf_dir).join(suspect_reasons(spark, sf_dir).select("product_uid", "suspect"), "product_uid")
+    joined = rows.join(X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ASPECTS), "product_uid", "left")
     q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
     return joined.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_price"), q("price", 0.5).alias("median_price"), q("price", 0.25).alias("p25"), q("price", 0.75).alias("p75"),
-        F.round(F.avg("success_score"), 6).alias("success_mean"), q("success_score", 0.75).alias("success_p75"), F.round(F.avg("utility_mean"), 6).alias("utility_mean"), F.round(F.avg("utility_rate"), 6).alias("utility_rate"),
+        F.count(F.lit(1)).alias("n"), F.count_if("suspect").alias("n_suspect"), F.round(F.avg("price"), 6).alias("mean_price"), q("price", 0.5).alias("median_price"), q("price", 0.25).alias("p25"), q("price", 0.75).alias("p75"),
+        *(q(m, 0.5).alias(f"median_{m}") for m in _METADATA), F.round(F.avg("success_score"), 6).alias("success_mean"), q("success_score", 0.75).alias("success_p75"),
+        *(F.round(F.avg(f"{a}_{s}"), 6).alias(f"{a}_{s}") for a in ASPECTS for s in ("mean", "rate")),
     )
 
 
@@ -117,13 +127,20 @@ def product_vs_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(all_, ["category", "aspect"]).select("product_uid", "aspect", F.round(F.col("own") - F.col("mean"), 6).alias("gap"))
 
 
-@query(f"""WITH {SQL_PRODUCTS}, {SQL_ASPECTS}, s AS (SELECT category, aspect, review_uid, score, row_number() OVER (PARTITION BY category, aspect ORDER BY score, review_uid) AS i FROM aspect_rows JOIN products USING (product_uid) WHERE score IS NOT NULL)
- SELECT category, aspect, string_agg(review_uid, ',' ORDER BY score, review_uid) AS evidence FROM s WHERE i <= 15 GROUP BY 1, 2""")
+_SQL_EVIDENCE = f"""ev AS (SELECT category, aspect, review_uid, row_number() OVER (PARTITION BY category, aspect ORDER BY score, review_uid) AS lo, row_number() OVER (PARTITION BY category, aspect ORDER BY score DESC, review_uid) AS hi
+ FROM aspect_rows JOIN (SELECT p_partkey AS product_uid, p_type AS category FROM part) USING (product_uid) WHERE score IS NOT NULL)"""
+
+
+@query(f"""WITH {SQL_ASPECTS}, {_SQL_EVIDENCE} SELECT category, aspect, 'pain' AS kind, string_agg(review_uid, ',' ORDER BY lo) AS evidence FROM ev WHERE lo <= 15 GROUP BY 1, 2
+ UNION ALL SELECT category, aspect, 'strength', string_agg(review_uid, ',' ORDER BY hi) FROM ev WHERE hi <= 15 GROUP BY 1, 2""")
 def evidence_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.long_scores(aspect_scores(spark, sf_dir), ["review_uid", "product_uid"]).where("score is not null").join(products(spark, sf_dir).select("product_uid", "category"), "product_uid")
-    nth = F.row_number().over(Window.partitionBy("category", "aspect").orderBy("score", "review_uid"))
-    best = rows.withColumn("nth", nth).where("nth <= 15").groupBy("category", "aspect").agg(F.sort_array(F.collect_list(F.struct("nth", "review_uid"))).alias("e"))  # 15 rows at most
-    return best.select("category", "aspect", F.array_join(F.col("e.review_uid"), ",").alias("evidence"))
+    best = _evidence(spark, sf_dir, 15).groupBy("category", "aspect", "kind").agg(F.sort_array(F.collect_list(F.struct("nth", "review_uid"))).alias("e"))  # 15 rows at most
+    return best.select("category", "aspect", "kind", F.array_join(F.col("e.review_uid"), ",").alias("evidence"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    category = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_uid"), F.col("p_type").alias("category"))
+    return X.evidence(aspect_scores(spark, sf_dir).join(category, "product_uid"), "review_uid", "category", most)
 
 
 @query(f"""WITH {_CAT}, m AS (SELECT category, median(price) AS med FROM products GROUP BY 1)
@@ -138,12 +155,26 @@ def bridge_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("product_uid", F.explode(F.array(*cells)).alias("c")).select("product_uid", "c.aspect", "c.estimate")
 
 
-@query(f"""WITH {_CAT} SELECT p.product_uid, round(p.price, 6) AS price, round(max(c.mean) FILTER (c.aspect = 'utility'), 6) AS utility_mean, round(max(c.rate) FILTER (c.aspect = 'utility'), 6) AS utility_rate,
- CAST(NULL AS DOUBLE) AS unknown FROM products p JOIN cat c USING (category) GROUP BY p.product_uid, p.price""")
+_SQL_BRIDGE = """m AS (SELECT category, median(price) AS med, median(ln(1 + rating_count)) AS med_volume, median(avg_rating) AS med_rating FROM products GROUP BY 1),
+ est AS (SELECT p.product_uid, c.category, c.aspect, c.mean, c.rate, round(greatest(0, least(10, CASE WHEN c.mean IS NULL OR c.mean = 0 THEN 5.0::DOUBLE ELSE c.mean END
+  + greatest(-1.5::DOUBLE, least(1.5::DOUBLE, 2 * (m.med - p.price) / greatest(m.med, 1))) * CASE WHEN c.aspect = 'value_for_money' THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END)), 1) AS estimate
+  FROM products p JOIN m USING (category) JOIN cat c USING (category))"""
+
+
+@query(f"""WITH {_CAT}, {_SQL_BRIDGE}, e AS (SELECT product_uid, {", ".join(f"max(estimate) FILTER (aspect = '{a}') AS {a}, round(max(rate) FILTER (aspect = '{a}'), 6) AS {a}_rate" for a in ASPECTS)} FROM est GROUP BY 1)
+ SELECT e.*, round(p.price, 6) AS price, round(med_volume, 6) AS rating_count_log, round(med_rating, 6) AS avg_rating, CAST(NULL AS DOUBLE) AS unknown FROM e JOIN products p USING (product_uid) JOIN m USING (category)""")
 def assemble_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = _category_means(spark, sf_dir)
-    row = products(spark, sf_dir).join(means, "category")
-    return row.select("product_uid", F.round("price", 6).alias("price"), F.round("utility_mean", 6).alias("utility_mean"), F.round("utility_rate", 6).alias("utility_rate"), F.lit(None).cast("double").alias("unknown"))
+    """The manifest's columns for each spec: estimates, the category's mention rates and medians, the spec's price, null for what nobody knows."""
+    rows = _bridged(spark, sf_dir)
+    cells = [x for a in ASPECTS for x in (F.col(f"{a}_estimate").alias(a), F.round(f"{a}_rate", 6).alias(f"{a}_rate"))]
+    return rows.select("product_uid", *cells, F.round("price", 6).alias("price"), F.round("med_volume", 6).alias("rating_count_log"), F.round("med_rating", 6).alias("avg_rating"), F.lit(None).cast("double").alias("unknown"))
+
+
+def _bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = products(spark, sf_dir).select("product_uid", "category", "price", "avg_rating", F.log1p("rating_count").alias("volume"))
+    medians = rows.groupBy("category").agg(*(F.percentile(c, F.lit(0.5)).alias(n) for c, n in (("price", "med"), ("volume", "med_volume"), ("avg_rating", "med_rating"))))
+    joined = rows.select("product_uid", "category", "price").join(_category_means(spark, sf_dir).join(medians, "category"), "category")
+    return joined.withColumns({f"{a}_estimate": X.bridge_estimate(F.col(f"{a}_mean"), F.col("price"), F.col("med"), a) for a in ASPECTS})
 
 
 @query(f"""WITH {_CAT} SELECT p.product_uid, round(c.mean, 6) AS prior, round(coalesce(c.rate, 0), 6) AS prior_rate FROM products p LEFT JOIN cat c ON c.category = p.category AND c.aspect = 'durability'""")
@@ -164,19 +195,39 @@ def gap_and_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aspect_scores(spark, sf_dir).select("review_uid", missing.alias("ungrounded"), F.round(share, 6).alias("share"), (missing >= F.floor(n / 2)).alias("abstain"), badge.alias("badge"))
 
 
-@query(f"""WITH {_CAT}, m AS (SELECT category, aspect, mean, row_number() OVER (PARTITION BY category ORDER BY round(mean, 9), k) AS lo FROM cat JOIN pos USING (aspect))
- SELECT p.product_uid, m.aspect FROM products p JOIN m USING (category) WHERE lo <= 3 AND ((p.product_uid * 7 + lo * 13) % 101) / 10.0::DOUBLE <= m.mean + 1""")
+@query(f"""WITH {_CAT}, {_SQL_BRIDGE}, {_SQL_EVIDENCE}, w AS (SELECT category, aspect, row_number() OVER (PARTITION BY category ORDER BY round(mean, 9), k) AS lo FROM cat JOIN pos USING (aspect)),
+ ph AS (SELECT category, aspect, string_agg(review_uid, ',' ORDER BY lo) AS phrases FROM ev WHERE lo <= 3 GROUP BY 1, 2)
+ SELECT e.product_uid, e.aspect, e.estimate, phrases FROM est e JOIN w USING (category, aspect) JOIN ph USING (category, aspect) WHERE w.lo <= 3 AND e.estimate <= e.mean + 1""")
 def market_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.unpivoted(_category_means(spark, sf_dir), ["category"], ASPECTS, "_mean").withColumn("v", F.round("value", 9))
-    pains = R.capped(rows, "category", ["v", "position"], 3)
-    estimate = ((F.col("product_uid") * 7 + F.col("nth") * 13) % 101) / 10.0
-    return products(spark, sf_dir).join(pains, "category").where(estimate <= F.col("value") + 1).select("product_uid", "aspect")
+    pains = pain_strength_aspects(spark, sf_dir).where("kind = 'pain'").select("category", "aspect")
+    worst = _evidence(spark, sf_dir, 3).where("kind = 'pain'").groupBy("category", "aspect").agg(F.sort_array(F.collect_list(F.struct("nth", "review_uid"))).alias("e"))  # 3 rows at most
+    phrases = pains.join(worst.select("category", "aspect", F.array_join(F.col("e.review_uid"), ",").alias("phrases")), ["category", "aspect"])
+    cells = F.array(*(F.struct(F.lit(a).alias("aspect"), F.col(f"{a}_estimate").alias("estimate"), F.col(f"{a}_mean").alias("mean")) for a in ASPECTS))
+    estimates = _bridged(spark, sf_dir).select("product_uid", "category", F.explode(cells).alias("c")).select("product_uid", "category", "c.*").where("estimate <= mean + 1")
+    return estimates.join(phrases, ["category", "aspect"]).select("product_uid", "aspect", "estimate", "phrases")
+
 
+_FEATURES = tuple(f"{a}_{s}" for a in ASPECTS for s in ("mean", "rate"))
+_SQL_CONTRIBUTIONS = f"""{SQL_SUCCESS}, {_AGG}, cells AS (SELECT aspect, regr_slope(success_score, mean) AS ms, avg(mean) AS ma, regr_slope(success_score, rate) AS rs, avg(rate) AS ra FROM agg JOIN success USING (product_uid) GROUP BY 1),
+ parts AS (SELECT product_uid, aspect, coalesce(ms * (mean - ma), 0) AS by_score, coalesce(rs * (rate - ra), 0) AS by_rate FROM agg JOIN success USING (product_uid) JOIN cells USING (aspect))"""
 
-@query(f"""WITH {SQL_ASPECTS}, p AS (SELECT review_uid, product_uid, aspect, k, score - 5 AS impact FROM aspect_rows JOIN names ON a = aspect WHERE score IS NOT NULL),
- r AS (SELECT *, row_number() OVER (PARTITION BY review_uid, impact < 0 ORDER BY abs(impact) DESC, k) AS i FROM p WHERE impact <> 0) SELECT review_uid, aspect, impact FROM r WHERE i <= 3 AND product_uid % 4 = 0""")
+
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ASPECTS).join(success(spark, sf_dir).select("product_uid", "success_score"), "product_uid")
+    return X.marginal_contributions(rows, ["product_uid"], _FEATURES, "success_score")
+
+
+@query(f"""WITH {_SQL_CONTRIBUTIONS}, i AS (SELECT product_uid, aspect, k, round(by_score + by_rate, 6) AS impact FROM parts JOIN names ON a = aspect),
+ r AS (SELECT *, row_number() OVER (PARTITION BY product_uid, impact < 0 ORDER BY abs(impact) DESC, k) AS n FROM i WHERE impact <> 0) SELECT product_uid, aspect, impact FROM r WHERE n <= 3""")
 def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _impacts(aspect_scores(spark, sf_dir).where("product_uid % 4 = 0"))  # the segment that the SQL names; top_impacts_all has all rows
+    """Of every product, the three aspects that lift and the three that lower its score most: contribution of the mean and of the mention rate."""
+    cells = [F.struct(F.lit(i).alias("k"), F.lit(a).alias("aspect"), F.round(F.col(f"{a}_mean") + F.col(f"{a}_rate"), 6).alias("impact")) for i, a in enumerate(ASPECTS)]
+
+    def side(sign: int):
+        chosen = F.filter(F.array(*cells), lambda c: c["impact"] * sign > 0)
+        return F.slice(F.array_sort(F.transform(chosen, lambda c: F.struct((-F.abs(c["impact"])).alias("o"), c["k"].alias("k"), c["aspect"].alias("aspect"), c["impact"].alias("impact")))), 1, 3)
+
+    return _contributions(spark, sf_dir).select("product_uid", F.explode(F.concat(side(-1), side(1))).alias("c")).select("product_uid", "c.aspect", "c.impact")
 
 
 def _impacts(rows: DataFrame) -> DataFrame:
@@ -196,29 +247,26 @@ def top_impacts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _impacts(aspect_scores(spark, sf_dir))
 
 
-@query(f"WITH {SQL_ASPECTS} SELECT aspect, round(avg(abs(score - 5)), 6) AS importance FROM aspect_rows GROUP BY 1")
+@query(f"WITH {_SQL_CONTRIBUTIONS} SELECT aspect || '_mean' AS feature, round(avg(abs(by_score)), 6) AS importance FROM parts GROUP BY 1 UNION ALL SELECT aspect || '_rate', round(avg(abs(by_rate)), 6) FROM parts GROUP BY 1")
 def importance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.long_scores(aspect_scores(spark, sf_dir), ["review_uid"])
-    return rows.groupBy("aspect").agg(F.round(F.avg(F.abs(F.col("score") - 5)), 6).alias("importance")).orderBy(F.desc("importance"), "aspect")
+    means = _contributions(spark, sf_dir).agg(*(F.round(F.avg(F.abs(F.col(f))), 6).alias(f) for f in _FEATURES))  # one row
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in _FEATURES))
+    return means.select(F.explode(cells).alias("c")).select("c.*").orderBy(F.desc("importance"), "feature")
 
 
-@query(f"""WITH {SQL_ASPECTS}, s AS (SELECT product_uid, aspect, provider, avg(score) AS score FROM aspect_rows GROUP BY 1, 2, 3)
- SELECT a.provider AS a, b.provider AS b, count(*) FILTER (a.score IS NOT NULL AND b.score IS NOT NULL) AS n, round(avg(abs(a.score - b.score)), 6) AS mean_diff,
- round(avg(CASE WHEN (a.score IS NULL) = (b.score IS NULL) THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_agreement FROM s a JOIN s b ON a.product_uid = b.product_uid AND a.aspect = b.aspect AND a.provider < b.provider GROUP BY 1, 2""")
+@query(f"""WITH {SQL_ASPECTS} SELECT 'first' AS a, 'second' AS b, count(score - second) AS n, round(avg(abs(score - second)), 6) AS mean_diff,
+ round(avg(CASE WHEN (score IS NULL) = (second IS NULL) THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_agreement FROM aspect_rows""")
 def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = X.long_scores(aspect_scores(spark, sf_dir), ["product_uid", "provider"]).groupBy("product_uid", "aspect", "provider").agg(F.avg("score").alias("score"))
-    a, b = (s.withColumnsRenamed({"provider": p, "score": f"{p}_score"}) for p in ("a", "b"))
-    both = a.join(b, ["product_uid", "aspect"]).where("a < b")
-    agree = (F.col("a_score").isNull() == F.col("b_score").isNull()).cast("double")
-    diff = F.abs(F.col("a_score") - F.col("b_score"))
-    return both.groupBy("a", "b").agg(F.count(diff).alias("n"), F.round(F.avg(diff), 6).alias("mean_diff"), F.round(F.avg(agree), 6).alias("null_agreement"))
+    runs = [aspect_scores(spark, sf_dir, second=second).select("review_uid", F.lit(name).alias("run"), "scores") for name, second in (("first", False), ("second", True))]
+    out = X.pairwise_agreement(runs[0].unionByName(runs[1]), "review_uid", "run", ASPECTS)
+    return out.select("a", "b", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("null_agreement", 6).alias("null_agreement"))
 
 
-@query(f"""WITH {SQL_ASPECTS} SELECT provider, count(*) AS n, round(avg(CASE WHEN confidence >= 0.2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS validity, round(avg(confidence), 6) AS mean_confidence
+@query(f"""WITH {SQL_ASPECTS} SELECT provider, count(*) AS n, round(avg(CASE WHEN confidence >= 0.2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS validity, round(avg(confidence), 6) AS mean_confidence, round(avg(latency_ms), 6) AS mean_latency_ms
  FROM aspect_rows WHERE aspect = 'utility' GROUP BY 1""")
 def provider_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = (F.col("confidence") >= 0.2).cast("double")
-    return aspect_scores(spark, sf_dir).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(valid), 6).alias("validity"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return aspect_scores(spark, sf_dir).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(valid), 6).alias("validity"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"))
 
 
 @query("""WITH m AS (SELECT max(ts) AS top FROM events) SELECT event_type AS model, count(*) AS total, round(count(*) / 20000.0::DOUBLE, 6) AS share,
@@ -232,25 +280,30 @@ def extraction_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Checking payloads ---------------------------------------------------------------------------------------------------
 
-_PAYLOAD = """CASE event_id % 5 WHEN 0 THEN '{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":' || (event_id % 11) || ',"evidence":"ok"}}}' WHEN 1 THEN '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}}}'
- WHEN 2 THEN '{"scores":"none"}' WHEN 3 THEN '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}}}' ELSE '{"scores":{}}' END"""
+_PAYLOAD = """CASE event_id % 5 WHEN 0 THEN '{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":' || (event_id % 11) || ',"evidence":"ok"}},"confidence":1.7}' WHEN 1 THEN '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}},"confidence":"high"}'
+ WHEN 2 THEN '{"scores":"none"}' WHEN 3 THEN '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}},"confidence":0.4}' ELSE '{"scores":{}}' END"""
 
 
 def _payload():
     e = F.col("event_id")
     return (
-        F.when(e % 5 == 0, F.concat(F.lit('{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":'), (e % 11).cast("string"), F.lit(',"evidence":"ok"}}}')))
-        .when(e % 5 == 1, '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}}}').when(e % 5 == 2, '{"scores":"none"}')
-        .when(e % 5 == 3, '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}}}').otherwise('{"scores":{}}')
+        F.when(e % 5 == 0, F.concat(F.lit('{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":'), (e % 11).cast("string"), F.lit(',"evidence":"ok"}},"confidence":1.7}')))
+        .when(e % 5 == 1, '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}},"confidence":"high"}').when(e % 5 == 2, '{"scores":"none"}')
+        .when(e % 5 == 3, '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}},"confidence":0.4}').otherwise('{"scores":{}}')
     )
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 10.0 WHEN 3 THEN 1.0 END AS a, CASE event_id % 5 WHEN 0 THEN CAST(event_id % 11 AS DOUBLE) WHEN 3 THEN 3.0 END AS c,
- CAST(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 3 END AS INTEGER) AS repairs, event_id % 5 IN (2, 4) AS rejected FROM events""")
+def _sql_entry(a: str) -> str:
+    score, there = f"TRY_CAST(json_extract_string(j, '$.scores.{a}.score') AS DOUBLE)", f"json_extract_string(j, '$.scores.{a}.evidence') IS NOT NULL"
+    return f"""CASE WHEN {there} THEN greatest(0, least(10, {score})) END AS {a}, CASE WHEN {there} AND {score} BETWEEN 0 AND 10 OR json_type(j, '$.scores.{a}') = 'NULL' THEN 0 ELSE 1 END AS r_{a}"""
+
+
+@query(f"""WITH p AS (SELECT event_id, CAST({_PAYLOAD} AS JSON) AS j FROM events), x AS (SELECT event_id, j, {", ".join(map(_sql_entry, "abc"))}, TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS c0 FROM p)
+ SELECT event_id, a, c, CAST(r_a + r_b + r_c AS INTEGER) AS repairs, json_type(j, '$.scores') <> 'OBJECT' OR r_a + r_b + r_c > 2 AS rejected, greatest(0, least(1, coalesce(c0, 0.5::DOUBLE))) AS confidence FROM x""")
 def json_validate_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, repairs, rejected = X.coerce_scores(_payload(), ("a", "b", "c"), most=2)
-    rows = table(spark, sf_dir, "events").select("event_id", scores.alias("s"), repairs.alias("repairs"), rejected.alias("rejected"))
-    return rows.select("event_id", F.col("s")["a"]["score"].alias("a"), F.col("s")["c"]["score"].alias("c"), "repairs", "rejected")
+    rows = table(spark, sf_dir, "events").select("event_id", scores.alias("s"), repairs.alias("repairs"), rejected.alias("rejected"), X.coerce_confidence(_payload()).alias("confidence"))
+    return rows.select("event_id", F.col("s")["a"]["score"].alias("a"), F.col("s")["c"]["score"].alias("c"), "repairs", "rejected", "confidence")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'c' WHEN 3 THEN '' WHEN 4 THEN 'a,b,c' END AS missing, CASE event_id % 5 WHEN 3 THEN 'z' WHEN 2 THEN NULL ELSE '' END AS unexpected FROM events""")
@@ -300,11 +353,21 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spearman(_predictions(spark, sf_dir), "predicted", "actual").select(F.round("rho", 6).alias("rho"))
 
 
-@query(f"WITH {_PRED}, r AS (SELECT {_RANK.format('predicted')} AS a, {_RANK.format('other')} AS o, {_RANK.format('actual')} AS b FROM pred) SELECT round(corr(a, b), 6) AS rho_a, round(corr(o, b), 6) AS rho_b, round(corr(a, b) - corr(o, b), 6) AS delta FROM r")
+_SQL_AUC = "(sum({0}) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))"
+
+
+@query(f"""WITH {_PRED}, r AS (SELECT {_RANK.format('predicted')} AS a, {_RANK.format('other')} AS o, {_RANK.format('actual')} AS b FROM pred), q AS (SELECT quantile_cont(actual, 0.2) AS lo, quantile_cont(actual, 0.8) AS hi FROM pred),
+ x AS (SELECT predicted, other, CASE WHEN actual > hi THEN 1 ELSE 0 END AS y FROM pred, q WHERE actual > hi OR actual <= lo), z AS (SELECT y, {_RANK.format('predicted')} AS a, {_RANK.format('other')} AS o FROM x),
+ u AS (SELECT {_SQL_AUC.format('a')} AS ua, {_SQL_AUC.format('o')} AS ub FROM z), c AS (SELECT corr(a, b) AS ra, corr(o, b) AS rb FROM r)
+ SELECT round(ra, 6) AS rho_a, round(rb, 6) AS rho_b, round(ra - rb, 6) AS delta, round(ua, 6) AS auc_a, round(ub, 6) AS auc_b, round(ua - ub, 6) AS auc_delta FROM c, u""")
 def ab_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = S.avg_ranks(_predictions(spark, sf_dir), ["predicted", "other", "actual"])
+    rows = _predictions(spark, sf_dir)
+    r = S.avg_ranks(rows, ["predicted", "other", "actual"])
     a, b = F.corr("predicted_rank", "actual_rank"), F.corr("other_rank", "actual_rank")
-    return r.agg(F.round(a, 6).alias("rho_a"), F.round(b, 6).alias("rho_b"), F.round(a - b, 6).alias("delta"))
+    rho = r.agg(F.round(a, 6).alias("rho_a"), F.round(b, 6).alias("rho_b"), F.round(a - b, 6).alias("delta"))
+    tiers = S.quantile_tier(rows, "actual").where("tier in (0, 4)").withColumn("y", (F.col("tier") == 4).cast("int"))
+    both = S.auc(tiers, "y", "predicted").select(F.col("auc").alias("ua")).crossJoin(S.auc(tiers, "y", "other").select(F.col("auc").alias("ub")))  # one row each
+    return rho.crossJoin(both).select("rho_a", "rho_b", "delta", F.round("ua", 6).alias("auc_a"), F.round("ub", 6).alias("auc_b"), F.round(F.col("ua") - F.col("ub"), 6).alias("auc_delta"))
 
 
 @query(f"""WITH {_PRED}, r AS (SELECT *, {_RANK.format('predicted')} AS a, {_RANK.format('other')} AS o FROM pred), e AS (SELECT *, (a + o) / 2 AS m FROM r)
@@ -326,10 +389,7 @@ def partial_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PRED} SELECT k, round(50 * ((count(*) FILTER (true) OVER lt) + (count(*) OVER le) + 1.0::DOUBLE) / count(*) OVER (PARTITION BY g), 6) AS pct FROM pred
  WINDOW lt AS (PARTITION BY g ORDER BY actual RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES), le AS (PARTITION BY g ORDER BY actual RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""".replace("(count(*) FILTER (true) OVER lt)", "(rank() OVER (PARTITION BY g ORDER BY actual) - 1)"))
 def percentile_of_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("g")
-    left = F.rank().over(w.orderBy("actual")) - 1
-    right = F.count(F.lit(1)).over(w.orderBy("actual").rangeBetween(Window.unboundedPreceding, 0))
-    return _predictions(spark, sf_dir).select("k", F.round(50 * (left + right + 1.0) / F.count(F.lit(1)).over(w), 6).alias("pct"))
+    return S.percentile_of_score(_predictions(spark, sf_dir), "g", "actual").select("k", F.round("pct", 6).alias("pct"))
 
 
 @query(f"WITH {_PRED} SELECT k, round(100 * (rank() OVER (ORDER BY predicted) - 1) / CAST(count(*) OVER () AS DOUBLE), 6) AS pct FROM pred")
@@ -370,11 +430,12 @@ _TIERS = f"""{_PRED}, e AS (SELECT [quantile_cont(actual, 0.2), quantile_cont(ac
 
 
 @query(f"""WITH {_TIERS}, t AS (SELECT tier, avg(predicted) AS m, stddev_samp(predicted) AS s, count(*) AS n FROM tiers GROUP BY 1)
- SELECT tier, round(m, 6) AS mean, round(s, 6) AS sd, n, coalesce(m >= lag(m) OVER (ORDER BY tier), true) AS rising FROM t""")
+ SELECT tier, round(m, 6) AS mean, round(s, 6) AS sd, n, coalesce(m >= lag(m) OVER (ORDER BY tier), true) AS rising,
+ (SELECT round(max_by(m, tier) - min_by(m, tier), 6) FROM t) AS gap FROM t""")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.quantile_tier(_predictions(spark, sf_dir), "actual").groupBy("tier").agg(F.avg("predicted").alias("m"), F.stddev_samp("predicted").alias("s"), F.count(F.lit(1)).alias("n"))
     before = F.lag("m").over(Window.orderBy("tier"))  # five rows
-    return t.select("tier", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), "n", F.coalesce(F.col("m") >= before, F.lit(True)).alias("rising"))
+    return t.select("tier", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), "n", F.coalesce(F.col("m") >= before, F.lit(True)).alias("rising"), F.round(F.max_by("m", "tier").over(Window.partitionBy(F.lit(1))) - F.min_by("m", "tier").over(Window.partitionBy(F.lit(1))), 6).alias("gap"))
 
 
 @query(f"""WITH {_TIERS}, l AS (SELECT regr_slope(predicted, actual) AS slope, regr_intercept(predicted, actual) AS intercept FROM pred)
@@ -434,10 +495,10 @@ _MD5 = "CAST(('0x' || substr(md5('42|' || {0}), 1, 12)) AS BIGINT)"
 @query(f"SELECT c_custkey, CAST((row_number() OVER (ORDER BY md5('42|' || c_custkey)) - 1) % 5 AS INTEGER) AS fold FROM customer")
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey").withColumn("h", R.seeded("c_custkey"))
-    prefix = F.substring("h", 1, 2)
+    prefix = F.substring("h", 1, 3)
     sizes = rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     start = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("p", start.alias("start"))  # 256 rows
+    starts = sizes.select("p", start.alias("start"))  # 4096 rows
     place = F.row_number().over(Window.partitionBy(prefix).orderBy("h")) - 1
     out = rows.withColumn("p", prefix).withColumn("place", place).join(F.broadcast(starts), "p")
     return out.select("c_custkey", ((F.col("start") + F.col("place")) % 5).cast("int").alias("fold"))
@@ -446,11 +507,14 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT quality AS y, CASE WHEN length(text) % 3 <> 0 THEN 1 ELSE 0 END AS p, doc_id % 5 AS fold FROM labels JOIN documents USING (doc_id)),
  c AS (SELECT fold, sum(y * p)::DOUBLE AS tp, sum((1 - y) * p)::DOUBLE AS fp, sum(y * (1 - p))::DOUBLE AS fn, sum((1 - y) * (1 - p))::DOUBLE AS tn FROM d GROUP BY 1)
  SELECT fold, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
- round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+ round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, (SELECT round(avg((tp + tn) / (tp + fp + fn + tn)), 6) FROM c) AS accuracy_mean,
+ (SELECT round(stddev_pop((tp + tn) / (tp + fp + fn + tn)), 6) FROM c) AS accuracy_std, (SELECT round(avg(2 * tp / (2 * tp + fp + fn)), 6) FROM c) AS f1_mean, (SELECT round(stddev_pop(2 * tp / (2 * tp + fp + fn)), 6) FROM c) AS f1_std FROM c""")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select((F.col("doc_id") % 5).alias("fold"), "quality", (F.length("text") % 3 != 0).cast("int").alias("p"))
     m = S.class_metrics(d, "quality", "p", ["fold"])
-    return m.select("fold", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "mcc")))
+    over = m.agg(*(F.round(f(c), 6).alias(f"{c}_{n}") for c in ("accuracy", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    m = m.crossJoin(F.broadcast(over))  # one row
+    return m.select("fold", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "mcc")), *over.columns)
 
 
 @query(f"""WITH {_PRED}, q AS (SELECT quantile_cont(actual, 0.2) AS lo, quantile_cont(actual, 0.8) AS hi, median(actual) AS mid FROM pred)
@@ -480,14 +544,17 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.withColumn("nth", nth).where("nth <= 2").select("k", "g", "tier")
 
 
-@query(f"""WITH {_PRED}, m AS (SELECT g, median(predicted) AS med FROM pred GROUP BY 1), x AS (SELECT -abs(predicted - med) AS near, other, actual FROM pred JOIN m USING (g))
- SELECT round(corr(a, y), 6) AS near_median, round(corr(o, y), 6) AS other FROM (SELECT {_RANK.format('near')} AS a, {_RANK.format('other')} AS o, {_RANK.format('actual')} AS y FROM x)""")
+@query(f"""WITH {_PRED}, m AS (SELECT g, median(predicted) AS med FROM pred GROUP BY 1), x AS (SELECT -abs(predicted - med) AS near, other, len, actual,
+  round(50 * (rank() OVER (PARTITION BY g ORDER BY predicted) - 1 + count(*) OVER (PARTITION BY g ORDER BY predicted RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1.0::DOUBLE) / count(*) OVER (PARTITION BY g), 9) AS pct FROM pred JOIN m USING (g))
+ SELECT round(corr(a, y), 6) AS near_median, round(corr(o, y), 6) AS other, round(corr(p, y), 6) AS price_percentile, round(corr(l, y), 6) AS copy_length
+ FROM (SELECT {_RANK.format('near')} AS a, {_RANK.format('other')} AS o, {_RANK.format('actual')} AS y, {_RANK.format('pct')} AS p, {_RANK.format('len')} AS l FROM x)""")
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _predictions(spark, sf_dir)
+    rows = S.percentile_of_score(_predictions(spark, sf_dir), "g", "predicted").withColumn("pct", F.round("pct", 9))
     medians = rows.groupBy("g").agg(F.percentile("predicted", F.lit(0.5)).alias("med"))
-    x = rows.join(F.broadcast(medians), "g").withColumn("near", -F.abs(F.col("predicted") - F.col("med")))  # one row a group of the small key
-    r = S.avg_ranks(x, ["near", "other", "actual"])
-    return r.agg(F.round(F.corr("near_rank", "actual_rank"), 6).alias("near_median"), F.round(F.corr("other_rank", "actual_rank"), 6).alias("other"))
+    x = rows.join(medians, "g").withColumn("near", -F.abs(F.col("predicted") - F.col("med")))
+    r = S.avg_ranks(x, ["near", "other", "pct", "len", "actual"])
+    names = {"near": "near_median", "other": "other", "pct": "price_percentile", "len": "copy_length"}
+    return r.agg(*(F.round(F.corr(f"{c}_rank", "actual_rank"), 6).alias(n) for c, n in names.items()))
 
 
 @query(f"""WITH {_TIERS} SELECT a.g, count(*) AS pairs, round(avg(CASE WHEN b.predicted > a.predicted THEN 1.0::DOUBLE ELSE 0 END), 6) AS ordered FROM tiers a JOIN tiers b ON a.g = b.g AND a.tier < b.tier GROUP BY 1""")
@@ -502,8 +569,7 @@ def pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = low.where("lo < 4").withColumn("hi", upper).withColumn("y", F.lit(0))
     b = high.where("hi > 0").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("hi") - 1))).withColumn("y", F.lit(1))
     both = a.unionByName(b.select("g", "lo", "p", "hi", "y"))
-    w = Window.partitionBy("g", "lo", "hi").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = F.sum(1 - F.col("y")).over(Window.partitionBy("g", "lo", "hi", "p"))
-    scored = both.withColumn("below", F.sum(1 - F.col("y")).over(w) - ties)
-    sums = scored.groupBy("g", "lo", "hi").agg(F.sum(F.col("y") * F.col("below")).alias("good"), (F.sum("y") * F.sum(1 - F.col("y"))).alias("pairs"))
+    counts = both.groupBy("g", "lo", "hi", "p").agg(F.sum("y").alias("uppers"), F.sum(1 - F.col("y")).alias("lowers"))
+    scored = S.running_before(counts, ["g", "lo", "hi"], "p", "lowers", "below")
+    sums = scored.groupBy("g", "lo", "hi").agg(F.sum(F.col("uppers") * F.col("below")).alias("good"), (F.sum("uppers") * F.sum("lowers")).alias("pairs"))
     return sums.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.round(F.sum("good") / F.sum("pairs"), 6).alias("ordered"))

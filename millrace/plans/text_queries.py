@@ -139,16 +139,17 @@ def _lexicon_sql(aspect: str, words: tuple[str, ...]) -> str:
     digits = "list_sum(list_transform(range(1, 33), lambda i: instr('0123456789abcdef', substr(d, i, 1)) - 1))"
     return f"""SELECT doc_id, '{aspect}' AS aspect, greatest(0, least(10, round(5.0::DOUBLE + (({count(POSITIVE)}) - ({count(NEGATIVE)})) * 2
      + ((CAST({digits} AS BIGINT) % 5) * 16 + ((instr('0123456789abcdef', substr(d, 32, 1)) - 1) % 4) * 5) % 20 / 10.0::DOUBLE - 1, 1))) AS score,
-     substr(array_to_string(string_split(trim(regexp_replace(substr(t, spot + 1, 60), '\\s+', ' ', 'g')), ' ')[1:6], ' '), 1, 60) AS evidence
+     coalesce(nullif(substr(array_to_string(string_split(trim(regexp_replace(substr(t, spot + 1, 60), '\\s+', ' ', 'g')), ' ')[1:6], ' '), 1, 60), ''), hit) AS evidence
      FROM (SELECT *, substr(t, greatest(spot - 30, 0) + 1, spot + 40 - greatest(spot - 30, 0)) AS win, md5('{aspect}' || substr(t, 1, 80)) AS d
            FROM (SELECT *, instr(t, hit) - 1 AS spot FROM (SELECT doc_id, lower(text) AS t, {hit.replace("(t,", "(lower(text),")} AS hit FROM documents) WHERE hit IS NOT NULL))"""
 
 
-@query(" UNION ALL ".join(_lexicon_sql(a, w) for a, w in KEYS.items()))
+@query(f"""SELECT *, round(least(1.0::DOUBLE, 0.4::DOUBLE + 0.1::DOUBLE * count(*) OVER (PARTITION BY doc_id)), 6) AS confidence FROM ({" UNION ALL ".join(_lexicon_sql(a, w) for a, w in KEYS.items())})""")
 def lexicon_aspect_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = [F.struct(F.lit(a).alias("aspect"), T.lexicon_score(F.col("text"), a, w, POSITIVE, NEGATIVE).alias("s")) for a, w in KEYS.items()]
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*scored)).alias("r")).where("r.s is not null")
-    return rows.select("doc_id", "r.aspect", "r.s.score", "r.s.evidence")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array(*scored), lambda r: r["s"].isNotNull()).alias("found"))
+    rows = rows.select("doc_id", T.lexicon_confidence(F.size("found")).alias("confidence"), F.explode("found").alias("r"))
+    return rows.select("doc_id", "r.aspect", "r.s.score", "r.s.evidence", "confidence")
 
 
 @query("""WITH c AS (SELECT doc_id, [CASE WHEN contains(t, 'thing') OR contains(t, 'est') THEN NULL ELSE 'value for money' END, CASE WHEN contains(t, 'er') OR contains(t, 'zzz') THEN NULL

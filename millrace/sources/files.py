@@ -33,3 +33,19 @@ def append_results(df: DataFrame, ok: str, failed: str, error: str, by: str) ->
     """Appends rows without an error to one table and the others to a second, both partitioned."""
     df.where(F.col(error).isNull()).drop(error).write.mode("append").partitionBy(by).parquet(ok)
     df.where(F.col(error).isNotNull()).write.mode("append").partitionBy(by).parquet(failed)
+
+
+def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, product: str, review: str, category: str) -> None:
+    """Three browsing tables: products by category, reviews, and (review, product, aspect, score) rows by aspect.  A review that repeats is scored once."""
+    products.write.partitionBy(category).parquet(f"{path}/products")
+    reviews.write.parquet(f"{path}/reviews")
+    once = scores.dropDuplicates([review])
+    once.select(review, product, F.explode("scores").alias("aspect", "score")).write.partitionBy("aspect").parquet(f"{path}/scores")
+
+
+def mirror_scores(spark: SparkSession, path: str, product_key: str = "product_uid", aspect: str | None = None, product: int | str | None = None) -> DataFrame:
+    """Scores with their products' columns, of all or of one aspect (one folder is read) or product (pushed into the scan)."""
+    scores = spark.read.parquet(f"{path}/scores")
+    scores = scores if aspect is None else scores.where(F.col("aspect") == aspect)
+    scores = scores if product is None else scores.where(F.col(product_key) == product)
+    return scores.join(spark.read.parquet(f"{path}/products"), product_key)

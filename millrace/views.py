@@ -57,11 +57,12 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def aspect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One extraction per line item: a map of aspect to score, null where the review does not mention it."""
+def aspect_scores(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    """One extraction per line item: a map of aspect to score, null where the review does not mention it; `second`: by another provider."""
     line = table(spark, sf_dir, "lineitem")
+    shift, silent = (F.col("l_partkey") % 3, F.col("l_linenumber")) if second else (F.lit(0), F.lit(0))
     score = [
-        F.when((F.col("l_orderkey") + k) % 3 != 0, ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + k * 17) % 101).cast("double") / 10.0)
+        F.when((F.col("l_orderkey") + silent + k) % 3 != 0, ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + k * 17 + shift) % 101).cast("double") / 10.0)
         for k in range(len(ASPECTS))
     ]
     scores = F.create_map(*(x for name, s in zip(ASPECTS, score) for x in (F.lit(name), s)))
@@ -69,7 +70,7 @@ def aspect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(
         F.concat_ws("-", *parts, F.unix_timestamp("l_shipdate").cast("string")).alias("review_uid"),
         F.col("l_partkey").alias("product_uid"), F.col("l_linestatus").alias("provider"),
-        scores.alias("scores"), F.round(F.col("l_discount") * 10, 1).alias("confidence"),
+        scores.alias("scores"), F.round(F.col("l_discount") * 10, 1).alias("confidence"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 5000).alias("latency_ms"),
     )
 
 
@@ -99,7 +100,8 @@ SQL_PRODUCTS = SQL_REVIEWS + """, products AS (SELECT p.p_partkey AS product_uid
  FROM part p JOIN (SELECT product_uid, avg(rating) AS avg_rating, CAST(sum(l_quantity) AS BIGINT) AS rating_count, min(review_ts) AS first_review_ts,
  max(review_ts) AS latest_review_ts FROM reviews GROUP BY product_uid) a ON a.product_uid = p.p_partkey)"""
 SQL_ASPECTS = f"""names AS (SELECT unnest([{_ASPECT_LIST}], recursive := true)), aspect_rows AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
- CAST(epoch(l_shipdate) AS BIGINT)) AS review_uid, l_partkey AS product_uid, l_linestatus AS provider, a AS aspect, round(l_discount * 10, 1) AS confidence,
+ CAST(epoch(l_shipdate) AS BIGINT)) AS review_uid, l_partkey AS product_uid, l_linestatus AS provider, a AS aspect, round(l_discount * 10, 1) AS confidence, (l_orderkey * 31 + l_linenumber * 7) % 5000 AS latency_ms,
+ CASE WHEN (l_orderkey + l_linenumber + k) % 3 <> 0 THEN ((l_orderkey * 7 + l_linenumber * 13 + k * 17 + l_partkey % 3) % 101) / 10.0::DOUBLE END AS second,
  CASE WHEN (l_orderkey + k) % 3 <> 0 THEN ((l_orderkey * 7 + l_linenumber * 13 + k * 17) % 101) / 10.0::DOUBLE END AS score FROM lineitem, names)"""
 SQL_WORDED = """worded AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(epoch(l_shipdate) AS BIGINT)) AS review_uid, l_partkey AS product_uid,
  CAST(epoch(l_shipdate) AS BIGINT) AS review_ts, CASE WHEN CAST(l_quantity AS BIGINT) % 14 = 0 THEN 1.0 WHEN l_quantity = 7 THEN 3.0 ELSE 5.0 END AS rating,
