@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import time
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import stored
+from ..shared import shared_path, stored
 from .reviews import seeded
 from .statistics import regression_metrics
 
@@ -24,35 +30,48 @@ def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"{c}_{s}" for c in columns for s in ("filled", "missing")], outputCol="features").transform(filled)
 
 
-def learners(label: str) -> dict:
+def learners(label: str, rounds: int = 600) -> dict:
+    """Boosted trees of depth 5, rate .05 and at most `rounds` rounds, fewer if the validation rows stop gaining; a forest; ridge."""
     return {
-        "boosted_trees": GBTRegressor(labelCol=label, maxDepth=5, stepSize=0.05, maxIter=20, seed=42, validationIndicatorCol="validation", validationTol=0.001),
+        "boosted_trees": GBTRegressor(labelCol=label, maxDepth=5, stepSize=0.05, maxIter=rounds, seed=42, validationIndicatorCol="validation", validationTol=0.01),
         "random_forest": RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=6, seed=42),
         "ridge": LinearRegression(labelCol=label, elasticNetParam=0.0, regParam=1.0),
     }
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, columns: Sequence[str], learner: str = "boosted_trees", folds: int = 5) -> DataFrame:
-    """df with fold and prediction, each row predicted by a model of the other folds; a tenth of these stops boosting early."""
+def folded(df: DataFrame, key: str, columns: Sequence[str], folds: int = 5) -> DataFrame:
+    """df with features, fold and validation (a tenth of the rows), by hashes of the key; written once for all fits."""
     fold = F.pmod(F.xxhash64(seeded(key)), F.lit(folds)).cast("int")
-    ready = vectors(df, columns).withColumn("fold", fold).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0).persist()
-    parts = []
-    for i in range(folds):
-        model = learners(label)[learner].fit(ready.where(F.col("fold") != i))
-        parts.append(model.transform(ready.where(F.col("fold") == i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return stored(vectors(df, columns).withColumn("fold", fold).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0), "folded")
+
+
+def _fitted(ready: DataFrame, label: str, learner: str, folds: int, rounds: int) -> tuple[DataFrame, list[float]]:
+    """Out-of-fold predictions and the seconds of each fit; the fits of the folds run side by side."""
+
+    def fit(i: int) -> tuple[DataFrame, float]:
+        began = time.time()
+        model = learners(label, rounds)[learner].fit(ready.where(F.col("fold") != i))
+        return model.transform(ready.where(F.col("fold") == i)), time.time() - began
+
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(fit, range(folds)))
+    return reduce(DataFrame.unionByName, [p for p, _ in parts]), [t for _, t in parts]
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, columns: Sequence[str], learner: str = "boosted_trees", folds: int = 5, rounds: int = 600) -> DataFrame:
+    """df with fold and prediction, each row predicted by a model of the other folds; a tenth of these stops boosting early."""
+    out, _ = _fitted(folded(df, key, columns, folds), label, learner, folds, rounds)
     return out.select(*df.columns, "fold", "prediction")
 
 
-def compare(df: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
-    """(learner, fold, rmse, mae, r2) of every learner on the same folds."""
-    parts = [regression_metrics(out_of_fold(df, key, label, columns, name), label, "prediction", ["fold"]).withColumn("learner", F.lit(name)) for name in learners(label)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def compare(df: DataFrame, key: str, label: str, columns: Sequence[str], folds: int = 5, rounds: int = 600) -> DataFrame:
+    """(learner, fold, rmse, mae, r2, fit_seconds) of every learner on the same folds."""
+    ready, parts = folded(df, key, columns, folds), []
+    for name in learners(label):
+        out, seconds = _fitted(ready, label, name, folds, rounds)
+        metrics = regression_metrics(out, label, "prediction", ["fold"])
+        parts.append(metrics.withColumn("learner", F.lit(name)).withColumn("fit_seconds", F.element_at(F.array(*map(F.lit, seconds)), F.col("fold") + 1)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def linear_contributions(df: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
@@ -64,28 +83,109 @@ def linear_contributions(df: DataFrame, key: str, label: str, columns: Sequence[
     return df.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.feature", "p.contribution")
 
 
-def bootstrap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str]], replicates: int = 200) -> DataFrame:
+def tree_tables(model: RandomForestRegressionModel) -> list[dict[str, np.ndarray]]:
+    """Of each tree of a saved forest, arrays by node: value, left and right child (-1 in leaves), feature, threshold."""
+    spark = SparkSession.getActiveSession()
+    path = shared_path(spark, "forest")
+    model.save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # trees * 2 ** depth nodes at most
+    trees: dict[int, list] = {}
+    for r in rows:
+        trees.setdefault(r.treeID, []).append(r)
+    out = []
+    for _, nodes in sorted(trees.items()):
+        nodes.sort(key=lambda r: r.id)
+        column = lambda f: np.array([f(r) for r in nodes])
+        out.append({
+            "value": column(lambda r: r.prediction), "left": column(lambda r: r.leftChild), "right": column(lambda r: r.rightChild),
+            "feature": column(lambda r: r.split.featureIndex), "threshold": column(lambda r: (r.split.leftCategoriesOrThreshold or [0.0])[0]),
+        })
+    return out
+
+
+def path_contributions(x: np.ndarray, trees: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Contributions of the features of each row, and the forest's base: on the way down a tree, what each split adds to the node's value
+    is credited to the split's feature.  Base and contributions add up to the prediction."""
+    out, base = np.zeros(x.shape), 0.0
+    for t in trees:
+        at = np.zeros(len(x), int)
+        base += t["value"][0] / len(trees)
+        while True:
+            rows = np.flatnonzero(t["left"][at] >= 0)
+            if not len(rows):
+                break
+            node = at[rows]
+            feature = t["feature"][node]
+            below = np.where(x[rows, feature] <= t["threshold"][node], t["left"][node], t["right"][node])
+            np.add.at(out, (rows, feature), (t["value"][below] - t["value"][node]) / len(trees))
+            at[rows] = below
+    return out, base
+
+
+def tree_contributions(df: DataFrame, key: str, label: str, columns: Sequence[str], model: RandomForestRegressionModel | None = None) -> DataFrame:
+    """(key, feature, contribution) of a forest by its paths; a column's own and its missing-value feature are added up."""
+    ready = vectors(df, columns)
+    model = learners(label)["random_forest"].fit(ready) if model is None else model
+    trees = tree_tables(model)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                parts = path_contributions(np.stack(batch["x"].to_numpy()), trees)[0]
+                both = parts[:, ::2] + parts[:, 1::2]
+                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), len(columns)), "feature": np.tile(list(columns), len(batch)), "contribution": both.ravel()})
+
+    return ready.select(key, vector_to_array("features").alias("x")).mapInPandas(run, f"`{key}` {kind}, feature string, contribution double")
+
+
+#: Distribution function of Poisson(1).
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def poisson_weights(hashes: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Counts of rows (by a hash of their key) in the replicates first to end - 1, Poisson(1) by a hash of both: a row each replicate."""
+    x = hashes.astype(np.uint64)[None, :] ^ (np.arange(first, end, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53), "right")
+
+
+def bootstrap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str]], replicates: int = 10_000) -> DataFrame:
     """(statistic, lo, hi): 95 % intervals of correlations under Poisson(1) weights hashed from replicate and key.
 
-    Rows are weighted, not drawn, so every replicate is one group of a single aggregation over all rows.
+    Rows are weighted, not drawn.  Each task multiplies the weights of its rows with their products in numpy and returns a row of
+    sums a replicate, so the shuffle has tasks * replicates rows, whatever the size of the table.  With two statistics, their
+    difference is added.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)  # Poisson(1)
-    weight = sum(((u >= c).cast("double") for c in cuts), F.lit(0.0))
     columns = sorted({c for pair in pairs.values() for c in pair})
-    rows = df.select(key, *columns).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    w = F.col("w")
+    terms = [(x,) for x in columns] + [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
+    names = ["n", *("*".join(t) for t in terms)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, len(names)))
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.iloc[start : start + 1000]
+                values = np.stack([np.ones(len(part)), *(part[list(t)].prod(axis=1).to_numpy(float) for t in terms)], 1)
+                for first in range(0, replicates, 500):
+                    end = min(first + 500, replicates)
+                    total[first:end] += poisson_weights(part["h"].to_numpy().view(np.uint64), first, end) @ values
+        yield pd.DataFrame(total, columns=names).assign(b=np.arange(replicates))
+
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(F.xxhash64(key).alias("h"), *(F.col(c).cast("double").alias(c) for c in columns))
+    sums = rows.mapInPandas(run, ", ".join(f"`{n}` double" for n in names) + ", b long").groupBy("b").agg(*(F.sum(f"`{n}`").alias(n) for n in names))
     stats = []
     for name, (x, y) in pairs.items():
-        n, sx, sy = F.sum(w), F.sum(w * F.col(x)), F.sum(w * F.col(y))
-        sxy, sxx, syy = F.sum(w * F.col(x) * F.col(y)), F.sum(w * F.col(x) ** 2), F.sum(w * F.col(y) ** 2)
-        stats.append(((n * sxy - sx * sy) / F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))).alias(name))
-    per = rows.groupBy("b").agg(*stats)
-    names = list(pairs)
-    if len(names) == 2:
-        per = per.withColumn("difference", F.col(names[0]) - F.col(names[1]))
-        names.append("difference")
-    long = per.select(F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in names))).alias("s")).select("s.*")
+        n, sx, sy, sxx, syy, sxy = (F.col(f"`{c}`") for c in ("n", x, y, f"{x}*{x}", f"{y}*{y}", "*".join(sorted((x, y)))))
+        spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
+        stats.append(F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread)).alias(name))
+    per = sums.select("b", *stats)
+    shown = list(pairs)
+    if len(shown) == 2:
+        per = per.withColumn("difference", F.col(shown[0]) - F.col(shown[1]))
+        shown.append("difference")
+    long = per.select(F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in shown))).alias("s")).select("s.*")
     return long.groupBy("statistic").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
 
 

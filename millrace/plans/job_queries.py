@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extraction as X
 from ..operators import models as M
 from ..operators.statistics import avg_ranks, regression_metrics
-from ..shared import shared_path
+from ..shared import shared_path, stored
 from ..sources import files
 from ..streaming import jobs
-from ..views import SQL_REVIEWS, reviews, table
+from ..views import ASPECTS, SQL_REVIEWS, aspect_scores, reviews, table
 from .registry import query
 from .review_queries import measured, success
-from .score_queries import _predictions
+from .score_queries import _predictions, assemble_vector
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-FEATURES = ("price", "avg_rating", "volume", "velocity", "retention")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 3 AND event_id % 10 <> 4")
@@ -71,7 +73,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs.finished(_events(spark, sf_dir).select("event_id", "event_type"), "ingest")
+    """A scan that stops and goes on: half of the files are there at first, the others when it starts again from its checkpoint."""
+    events, inbox, folder = table(spark, sf_dir, "events").select("event_id", "event_type"), shared_path(spark, "inbox"), shared_path(spark, "ingest")
+    for part in (0, 1):
+        events.where(F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(2)) == part).write.mode("append").parquet(inbox)
+        rows = jobs.finished(jobs.ingested(spark, inbox, "*.parquet", events.schema), "ingest", folder=folder)
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -82,23 +88,21 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, least(count(*), 40) AS passed FROM events GROUP BY 1")
 def stream_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.finished(jobs.capped(_events(spark, sf_dir), "user_id", 40), "cap").groupBy("user_id").agg(F.sum("passed").alias("passed"))
+    rows = jobs.finished(jobs.capped(_events(spark, sf_dir).select("event_id", "user_id"), "user_id", 40), "cap")
+    return rows.groupBy("user_id").agg(F.count_distinct("event_id").alias("passed"))
 
 
 @query("SELECT event_id, round(value * 2, 6) AS score FROM events WHERE event_id % 10 <> 0 AND value >= 1")
 def stream_append_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "scored")
-    done = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id")
+    done = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("error"))
 
-    def score(batch: DataFrame, epoch: int) -> None:
-        todo = batch.join(done, "event_id", "left_anti")
-        error = F.when(F.col("value") < 1, "too small")
-        scored = todo.select("event_id", F.round(F.col("value") * 2, 6).alias("score"), error.alias("error"), F.lit("events").alias("kind"))
-        files.append_results(scored, f"{out}/ok", f"{out}/failed", "error", "kind")
+    def score(rows: DataFrame) -> DataFrame:
+        return rows.select("event_id", F.round(F.col("value") * 2, 6).alias("score"), F.when(F.col("value") < 1, "too small").alias("error"))
 
-    stream = _events(spark, sf_dir).writeStream.foreachBatch(score).option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    stream.start().awaitTermination()
-    return spark.read.parquet(f"{out}/ok").select("event_id", "score")
+    for _ in range(2):  # the second start finds nothing left to do
+        jobs.scored_once(_events(spark, sf_dir).select("event_id", "value"), "event_id", score, "error", out, done)
+    return spark.read.parquet(f"{out}/ok").where("epoch >= 0").select("event_id", "score")
 
 
 @query("""WITH g AS (SELECT event_type, unnest(range(0, 6)) AS i, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events) SELECT b - i * INTERVAL 5 MINUTE AS start, event_type, count(*) AS n FROM g GROUP BY 1, 2""")
@@ -131,40 +135,61 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bootstrap(ranks, "k", {"predicted": ("predicted_rank", "actual_rank"), "other": ("other_rank", "actual_rank")})
 
 
+ASPECT_COLUMNS = tuple(f"{a}{s}" for a in ASPECTS for s in ("", "_rate"))
+#: The manifest of the full model, in order; the other model has the aspects only.
+MANIFEST = (*ASPECT_COLUMNS, "price", "rating_count_log", "avg_rating")
+
+
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = success(spark, sf_dir).select("product_uid", "success_score", *(F.round(f"{c}_mm", 4).alias(f"{c}_mm") for c in ("volume", "velocity")))
-    return measured(spark, sf_dir).select("product_uid", *(F.col(c).cast("double").alias(c) for c in FEATURES)).join(labels, "product_uid")
+    labels = success(spark, sf_dir).select("product_uid", "category", "success_score", *(F.round(f"{c}_mm", 4).alias(f"{c}_mm") for c in ("volume", "avg_rating", "velocity")))
+    means = X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ASPECTS).select("product_uid", *(F.col(f"{a}_{s}").alias(a + t) for a in ASPECTS for s, t in (("mean", ""), ("rate", "_rate"))))
+    own = measured(spark, sf_dir).select("product_uid", F.col("price").cast("double").alias("price"), F.col("volume").alias("rating_count_log"), F.col("avg_rating").cast("double").alias("avg_rating"))
+    return labels.join(own, "product_uid").join(means, "product_uid", "left")
 
 
 @query()
 def cv_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.out_of_fold(_training(spark, sf_dir), "product_uid", "success_score", FEATURES).select("product_uid", "fold", "success_score", "prediction")
+    """Out-of-fold predictions of boosted trees with the full manifest and with the aspects only."""
+    rows = stored(_training(spark, sf_dir), "training")
+    parts = [M.out_of_fold(rows, "product_uid", "success_score", columns).withColumn("columns", F.lit(name)) for name, columns in (("full", MANIFEST), ("aspects", ASPECT_COLUMNS))]
+    return parts[0].unionByName(parts[1]).select("columns", "product_uid", "fold", "success_score", "prediction")
 
 
 @query()
 def algo_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.compare(_training(spark, sf_dir), "product_uid", "success_score", FEATURES[:3])
+    return M.compare(stored(_training(spark, sf_dir), "training"), "product_uid", "success_score", ASPECT_COLUMNS)
 
 
 @query()
 def multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir)
+    """The same features against the score, each of its components, and the ranks of all of them."""
+    targets = ["success_score", "volume_mm", "avg_rating_mm", "velocity_mm"]
+    rows = stored(avg_ranks(_training(spark, sf_dir), targets), "training")
     parts = [
-        regression_metrics(M.out_of_fold(rows, "product_uid", target, FEATURES[:2], "ridge"), target, "prediction").withColumn("target", F.lit(target))
-        for target in ("success_score", "volume_mm", "velocity_mm")
+        regression_metrics(M.out_of_fold(rows, "product_uid", target, MANIFEST, "ridge"), target, "prediction").withColumn("target", F.lit(target))
+        for target in (*targets, *(f"{t}_rank" for t in targets))
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(F.desc("r2"))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("r2"))
 
 
 @query()
 def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir)
-    model = M.learners("success_score")["random_forest"].fit(M.vectors(rows, FEATURES))
-    scored = model.transform(M.vectors(rows, FEATURES))
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("prediction")))
-    return scored.select("product_uid", clipped.alias("viability"), F.when(clipped >= 60, "strong").when(clipped >= 40, "fair").otherwise("weak").alias("grade"))
+    """Specs (their assembled vectors, not the measured features) scored by both models, beside their category's mean."""
+    rows = stored(_training(spark, sf_dir), "training")
+    means = rows.groupBy("category").agg(F.round(F.avg("success_score"), 3).alias("category_mean"))
+    out = stored(assemble_vector(spark, sf_dir), "specs").join(rows.select("product_uid", "category"), "product_uid").join(means, "category")
+    for name, columns in (("viability", ASPECT_COLUMNS), ("full_model", MANIFEST)):
+        model = M.learners("success_score")["random_forest"].fit(M.vectors(rows, columns))
+        kept = out.columns
+        out = model.transform(M.vectors(out, columns))
+        out = out.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("prediction"))).alias(name))
+    grade = F.when(F.col("viability") >= 60, "strong").when(F.col("viability") >= 40, "fair").otherwise("weak")
+    return out.select("product_uid", "category", "viability", "full_model", "category_mean", grade.alias("grade"))
 
 
 @query()
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.linear_contributions(_training(spark, sf_dir), "product_uid", "success_score", FEATURES)
+    """Contributions of the manifest's columns to each product's score, in a ridge model and in a forest."""
+    rows = stored(_training(spark, sf_dir), "training")
+    linear = M.linear_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("ridge"))
+    return linear.unionByName(M.tree_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("forest")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +12,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..shared import shared_path
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is now, into Parquet (append) or by whole batches (update), and reads the result."""
+def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over all there is now, into Parquet (append) or by whole batches (update), and reads the result.
+
+    With the `folder` of an earlier run, the stream goes on from its checkpoint and adds to its result.
+    """
     spark = stream.sparkSession
-    out, state = shared_path(spark, name), shared_path(spark, name + "-state")
+    folder = folder or shared_path(spark, name)
+    out, state = f"{folder}/out", f"{folder}/state"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
     else:
-        writer.foreachBatch(lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)).start().awaitTermination()
-    schema = stream.schema if mode == "append" else stream.schema.add("epoch", "long")
-    return spark.read.schema(schema).parquet(out)
+        writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start().awaitTermination()  # a replay overwrites
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.parquet(out).withColumn("epoch", F.col("epoch").cast("long"))
 
 
 def ingested(spark: SparkSession, folder: str, file: str, schema: str, max_files: int = 1) -> DataFrame:
@@ -36,16 +41,43 @@ def deduplicated(stream: DataFrame, uid: str, ts: str, within: str = "400 days")
 
 
 def capped(stream: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, passed): rows let through per key and batch, `most` in all; one counter per key is kept."""
+    """The rows of each key that arrive first, `most` in all; the state is one counter per key, kept over restarts."""
 
-    def count(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def passed(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         had = state.get[0] if state.exists else 0
-        now = min(most, had + sum(map(len, batches)))
-        state.update((now,))
-        yield pd.DataFrame({key: [keys[0]], "passed": [now - had]})
+        for batch in batches:
+            part = batch.iloc[: max(0, most - had)]
+            had += len(part)
+            if len(part):
+                yield part
+        state.update((had,))
+
+    return stream.groupBy(key).applyInPandasWithState(passed, stream.schema.simpleString()[7:-1].replace(":", " "), "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def scored_once(stream: DataFrame, uid: str, score: Callable[[DataFrame], DataFrame], error: str, out: str, done: DataFrame | None = None) -> None:
+    """Scores rows whose uid is in no result yet, and adds results to out/ok and failures to out/failed, a folder an epoch.
+
+    What is done is read from the results written by earlier epochs (`done`: results from before the stream).  A replayed epoch
+    looks at the same earlier ones and overwrites its own folder, so nothing is written twice.
+    """
+    spark = stream.sparkSession
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(count, f"{key} {kind}, passed long", "n long", "append", GroupStateTimeout.NoTimeout)
+    def write(scored: DataFrame, epoch: int) -> None:
+        scored = scored.persist()
+        scored.where(F.col(error).isNull()).drop(error).write.mode("overwrite").parquet(f"{out}/ok/epoch={epoch}")
+        scored.where(F.col(error).isNotNull()).write.mode("overwrite").parquet(f"{out}/failed/epoch={epoch}")
+        scored.unpersist()
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        earlier = [spark.read.parquet(f"{out}/{kind}").where(F.col("epoch") < epoch).select(uid) for kind in ("ok", "failed")]
+        write(score(batch.dropDuplicates([uid]).join(earlier[0].unionByName(earlier[1]), uid, "left_anti")), epoch)
+
+    started = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/ok/epoch=-1")
+    if not started.getFileSystem(spark._jsc.hadoopConfiguration()).exists(started):
+        empty = score(spark.createDataFrame([], stream.schema))
+        write(empty if done is None else empty.unionByName(done, allowMissingColumns=True), -1)
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def rate(stream: DataFrame, ts: str, kind: str, late: str = "1 hour") -> DataFrame:

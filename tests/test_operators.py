@@ -1,7 +1,10 @@
 """Traps that hand-made rows show: ties, constants, exact bounds, nulls."""
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -10,6 +13,7 @@ from millrace.operators import models as M
 from millrace.operators import reviews as R
 from millrace.operators import statistics as S
 from millrace.shared import stored
+from millrace.streaming import jobs as J
 
 DAY = 86400
 
@@ -108,8 +112,154 @@ def test_spectrum_sorts_only_the_middle_partitions(spark):
     assert "part#" in text  # the middle is read from some range partitions
 
 
+def test_suspect_reasons(spark):
+    words = "one two three four five six seven eight nine".split()
+    rows = []
+    for i in range(20):  # b: a burst; x: nearly all five stars and two of one star; d: copies; c: clean
+        rows += [("b", f"b{i}", 100 + i if i < 9 else 100 * DAY * i, 3.0, f"b{i} " + " ".join(words[: i % 5]) + f" z{i * 7}")]
+        rows += [("x", f"x{i}", 40 * DAY * i, 1.0 if i in (3, 9) else 5.0, f"w{i} u{i} v{i}")]
+        rows += [("d", f"d{i}", 40 * DAY * i, 3.0, " ".join(words) if i < 7 else f"w{i} u{i} v{i}")]
+        rows += [("c", f"c{i}", 40 * DAY * i, 3.0, f"w{i} u{i} v{i}")]
+    got = {r.k: (r.reasons, r.suspect) for r in R.suspect_reasons(spark.createDataFrame(rows, "k string, uid string, ts long, rating double, text string"), "k", "uid", "ts", "rating", "text").collect()}
+    assert got == {"b": (["burst"], True), "x": (["extreme_j"], True), "d": (["near_duplicates"], True), "c": ([], False)}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("pq"), i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7)))) for i in range(90)] + [("p", 90, None), ("p", 91, " "), ("r", 92, "a b")]
+    got = {r.k: (round(r.dup_share, 9), r.near_duplicate) for r in R.near_duplicates(spark.createDataFrame(rows, "k string, uid int, text string"), "k", "uid", "text").collect()}
+    for k in "pqr":
+        sets = [set((t or "").split()) for g, _, t in rows if g == k]
+        hit = sum(any(i != j and len(a & b) > 0.7 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets))
+        assert got[k] == (round(hit / len(sets), 9), len(sets) >= 5 and hit / len(sets) > 0.3)
+
+
+def test_ranks_and_percentiles_in_groups(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("ab"), float(rng.randrange(20))) for i in range(300)] + [(300, "a", None)]
+    df = spark.createDataFrame(rows, "k int, g string, x double")
+    ranks = {r.k: r.x_rank for r in S.avg_ranks(df, ["x"], by=["g"]).collect()}
+    pct = {r.k: r.pct for r in S.percentile_of_score(df, "g", "x").collect()}
+    for k, g, x in rows[:-1]:
+        own = [v for _, h, v in rows[:-1] if h == g]
+        below, upto = sum(v < x for v in own), sum(v <= x for v in own)
+        assert ranks[k] == below + (upto - below + 1) / 2
+        assert math.isclose(pct[k], 50 * (below + upto + 1) / len(own))
+    assert ranks[300] is None and pct[300] is None
+
+
+def test_terciles_by_position(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), float(rng.choice([0, 1, 5, 5.5, 900]))) for i in range(200)] + [(i, "c", 4.0) for i in range(200, 207)] + [(300, "d", 1.0)]
+    got = {r.k: r.tercile for r in R.category_terciles(spark.createDataFrame(rows, "k int, g string, price double"), "g", "price", "k").collect()}
+    for g in "abcd":
+        order = sorted((p, k) for k, h, p in rows if h == g)
+        n = len(order)
+        assert [got[k] for _, k in order] == [0 if i < n // 3 else 1 if i < 2 * n // 3 else 2 for i in range(n)]
+
+
+def test_json_objects_between_other_text():
+    cases = {'{"a": "\\"}"} x': '{"a": "\\"}"}', '{"a": {"b": "{"}} }': '{"a": {"b": "{"}}', "a } {": None, '{"a': None, "": None, "{}{": "{}", "{" * 50_000: None}
+    for text, want in cases.items():
+        assert X._first_object(text) == want, text[:20]
+
+
+def test_fingerprint_tells_nulls_apart_and_ignores_order(spark):
+    rows = [(None, "x"), ("x", None), ("a", "b")]
+    prints = [S.table_fingerprint(spark.createDataFrame(r, "a string, b string"), ["a", "b"]).first() for r in (rows, rows[::-1], [("x", None), ("x", None), ("a", "b")])]
+    assert prints[0] == prints[1] != prints[2]
+
+
+def test_splice_takes_reviews_along(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "a"), (3, "gone")], "k int, c string"), spark.createDataFrame([(2, "b"), (4, "b")], "k int, c string")
+    old_reviews, new_reviews = (spark.createDataFrame([(k, f"{kind}{k}") for k in (1, 2, 3, 4, 5)], "k int, r string") for kind in ("old", "new"))
+    products, rows = R.splice_replace(old, new, "k", "c", ["gone"], old_reviews, new_reviews, "k")
+    assert sorted((r.k, r.origin) for r in products.collect()) == [(1, "old"), (2, "new"), (4, "new")]
+    assert sorted(r.r for r in rows.collect()) == ["new2", "new4", "old1"]
+
+
+def test_bootstrap_equals_its_weights(spark):
+    rng = random.Random(1)
+    rows = [(i, float(i % 17), float(i % 17) + rng.gauss(0, 4), rng.gauss(0, 1)) for i in range(250)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0, 1.0)], "k int, x double, y double, z double").repartition(3)
+    got = {r.statistic: (r.lo, r.hi) for r in M.bootstrap(df, "k", {"good": ("x", "y"), "none": ("z", "y")}, replicates=600).collect()}
+    keys = {r.k: r.h for r in df.select("k", F.xxhash64("k").alias("h")).collect()}
+    w = M.poisson_weights(np.array([keys[r[0]] for r in rows]).view(np.uint64), 0, 600)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+    x, y, z = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    good, none = (np.array([np.cov(a, y, fweights=v)[0, 1] / math.sqrt(np.cov(a, fweights=v) * np.cov(y, fweights=v)) for v in w]) for a in (x, z))
+    for name, values in (("good", good), ("none", none), ("difference", good - none)):
+        assert np.allclose(got[name], np.percentile(values, [2.5, 97.5]))
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        a, b = rng.random(), rng.choice([None, rng.random()])
+        rows.append((i, a, b, 30 * a + 10 * (b or 0) + rng.gauss(0, 0.5)))
+    return spark.createDataFrame(rows, "k int, a double, b double, y double").cache()
+
+
+def test_models_predict_rows_they_have_not_seen(spark, made):
+    for learner in ("boosted_trees", "random_forest", "ridge"):
+        out = M.out_of_fold(made, "k", "y", ["a", "b"], learner, folds=3, rounds=40)
+        assert out.columns == [*made.columns, "fold", "prediction"] and out.count() == 400
+        assert out.agg(F.corr("y", "prediction")).first()[0] > 0.85
+    compared = M.compare(made, "k", "y", ["a", "b"], folds=2, rounds=5).collect()
+    assert len(compared) == 6 and all(r.fit_seconds > 0 and r.r2 <= 1 for r in compared)
+
+
+def test_contributions_add_up_to_the_prediction(spark, made):
+    columns = ["a", "b"]
+    model = M.learners("y")["random_forest"].fit(M.vectors(made, columns))
+    base = M.path_contributions(np.zeros((1, 4)), M.tree_tables(model))[1]
+    parts = M.tree_contributions(made, "k", "y", columns, model).groupBy("k").agg(F.sum("contribution").alias("s"))
+    both = model.transform(M.vectors(made, columns)).join(parts, "k").collect()
+    assert len(both) == 400 and all(math.isclose(r.prediction, base + r.s, rel_tol=1e-9) for r in both)
+    linear = M.linear_contributions(made.fillna(0.5), "k", "y", columns).groupBy("k").agg(F.sum("contribution").alias("s")).join(made, "k")
+    assert linear.agg(F.corr("s", "y")).first()[0] > 0.85
+
+
+def test_streams_go_on_and_do_not_repeat(spark, tmp_path):
+    rows = lambda a, b: spark.range(a, b).selectExpr("id as uid", "id % 3 as k", "timestamp_seconds(1000 * id) as ts")
+    inbox, folder, out = (str(tmp_path / n) for n in ("inbox", "folder", "out"))
+    rows(0, 40).write.mode("append").parquet(inbox)
+    schema = rows(0, 1).schema
+    read = lambda: J.ingested(spark, inbox, "*.parquet", schema, max_files=2)
+    capped = J.finished(J.capped(read(), "k", 15), "cap", folder=folder)
+    assert {r.k: r["count"] for r in capped.groupBy("k").count().collect()} == {0: 14, 1: 13, 2: 13} and capped.columns == ["uid", "k", "ts"]
+    score = lambda df: df.select("uid", F.when(F.col("k") == 1, "bad").alias("error"))
+    done = spark.createDataFrame([(0, None), (45, None)], "uid long, error string")
+    J.scored_once(read(), "uid", score, "error", out, done)
+    rows(30, 60).write.mode("append").parquet(inbox)  # ten of them are there already
+    capped = J.finished(J.capped(read(), "k", 15), "cap", folder=folder)
+    assert {r.k: r["count"] for r in capped.groupBy("k").count().collect()} == {0: 15, 1: 15, 2: 15}
+    J.scored_once(read(), "uid", score, "error", out, done)
+    J.scored_once(read(), "uid", score, "error", out, done)
+    ok, failed = (sorted(r.uid for r in spark.read.parquet(f"{out}/{kind}").collect()) for kind in ("ok", "failed"))
+    assert ok == [i for i in range(60) if i % 3 != 1] and failed == [i for i in range(60) if i % 3 == 1]
+
+
+def test_late_rows_leave_a_window_alone(spark, tmp_path):
+    inbox, folder = str(tmp_path / "in"), str(tmp_path / "rate")
+    early = spark.createDataFrame([(0, "a"), (60, "a"), (4 * 3600, "a")], "s long, kind string").selectExpr("timestamp_seconds(s) as ts", "kind")
+    late = spark.createDataFrame([(30, "a"), (4 * 3600 + 60, "a")], "s long, kind string").selectExpr("timestamp_seconds(s) as ts", "kind")
+    for part in (early, late):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        J.finished(J.rate(J.ingested(spark, inbox, "*.parquet", early.schema), "ts", "kind"), "rate", "update", folder=folder)
+    counts = spark.read.parquet(f"{folder}/out").groupBy("start").agg(F.max_by("n", "epoch").alias("n")).collect()
+    n = {int(r.start.timestamp()): r.n for r in counts}
+    assert n[0] == 2 and n[4 * 3600] == 2  # the row of second 30 came after the watermark
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, ts long, x double")
     assert R.burst_flag(empty, "k", "ts").count() == 0
     assert R.minmax_in(empty, "k", ["x"]).count() == 0
     assert S.avg_ranks(empty, ["x"]).count() == 0
+    assert S.percentile_of_score(empty, "k", "x").count() == 0
+    assert R.category_terciles(empty, "k", "x", "ts").count() == 0
+    assert R.near_duplicates(empty, "k", "ts", "k").count() == 0
+    assert {r.lo for r in M.bootstrap(empty, "k", {"s": ("x", "ts")}, replicates=3).collect()} == {None}
