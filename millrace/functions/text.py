@@ -17,7 +17,7 @@ ENGLISH_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it",
 
 # What cleaning takes out, in this order, and the text without which a pattern can't match.
 TAGS, URLS, EMAILS = (r"<[^>]+>", ("<",)), (r"https?://\S+|www\.\S+", ("http", "www.")), (r"\S+@\S+\.\S+", ("@",))
-CONTROLS = "".join(map(chr, [*range(9), *range(11, 32), 127]))
+CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
 @F.pandas_udf(StringType())
@@ -48,12 +48,12 @@ def clean_text(text: Column, entities: bool = True) -> Column:
         out = F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), out)
     for pattern, signs in (TAGS, URLS, EMAILS):
         out = let(out, _without(pattern, signs))
-    out = F.translate(out, CONTROLS, " " * len(CONTROLS))
+    out = F.regexp_replace(out, CONTROLS, " ")
     return F.trim(F.regexp_replace(out, r"[\s\p{Z}]+", " "))
 
 
 def norm_text(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", "")
 
 
 def norm_text_hash(text: Column) -> Column:

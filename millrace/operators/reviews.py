@@ -74,12 +74,13 @@ def near_duplicates(df: DataFrame, key: str, uid: str, text: str, sample: int =
     words = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
     sets = taken.select(key, F.struct(F.col("nth").alias("i"), words.alias("w")).alias("s")).groupBy(key).agg(F.collect_list("s").alias("sets"))
 
-    def similar(a: Column, b: Column) -> Column:
-        total = F.size(a["w"]) + F.size(b["w"])
-        may = F.least(F.size(a["w"]), F.size(b["w"])) > jaccard * F.greatest(F.size(a["w"]), F.size(b["w"]))
-        return T.let(F.when(may, F.size(F.array_intersect(a["w"], b["w"]))), lambda common: common > jaccard * (total - common))
+    part = round(jaccard * 100)
 
-    hits = F.size(F.filter("sets", lambda a: F.exists("sets", lambda b: (a["i"] != b["i"]) & F.coalesce(similar(a, b), F.lit(False)))))
+    def similar(a: Column, b: Column) -> Column:  # in whole numbers: 100 * common > part * (sizes - common)
+        n, m = F.size(a["w"]), F.size(b["w"])
+        return (100 * F.least(n, m) > part * F.greatest(n, m)) & ((100 + part) * F.size(F.array_intersect(a["w"], b["w"])) > part * (n + m))
+
+    hits = F.size(F.filter("sets", lambda a: F.exists("sets", lambda b: (a["i"] != b["i"]) & similar(a, b))))
     ratio = hits / F.size("sets").cast("double")
     return sets.select(key, ratio.alias("dup_share"), F.size("sets").alias("n")).select(key, "dup_share", ((F.col("n") >= least) & (F.col("dup_share") > share)).alias("near_duplicate"))
 
