@@ -29,8 +29,11 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(n_rows: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments: as wide as log2 of the number of codes, so that a bucket holds a few at any size."""
-    count = max(1, round(BITS / max(4.0, math.log2(max(2, n_rows)))))
+    """(first bit, width) of the segments: at most as wide as log2 of the number of codes, so that a bucket holds one or a few.
+
+    Wider ones would mostly probe empty buckets, and the masks of a radius grow with a power of the width.
+    """
+    count = math.ceil(BITS / max(4.0, math.log2(max(2, n_rows))))
     cuts = [i * BITS // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
 
