@@ -306,14 +306,17 @@ def json_validate_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("s")["a"]["score"].alias("a"), F.col("s")["c"]["score"].alias("c"), "repairs", "rejected", "confidence")
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'c' WHEN 3 THEN '' WHEN 4 THEN 'a,b,c' END AS missing, CASE event_id % 5 WHEN 3 THEN 'z' WHEN 2 THEN NULL ELSE '' END AS unexpected FROM events""")
+@query(f"""WITH p AS (SELECT event_id, CAST({_PAYLOAD} AS JSON) AS j FROM events), k AS (SELECT event_id, CASE WHEN json_type(j, '$.scores') = 'OBJECT' THEN json_keys(j, '$.scores') END AS ks FROM p)
+ SELECT event_id, CASE WHEN ks IS NOT NULL THEN array_to_string(list_filter(['a', 'b', 'c'], lambda x: NOT list_contains(ks, x)), ',') END AS missing,
+ CASE WHEN ks IS NOT NULL THEN array_to_string(list_filter(ks, lambda x: x NOT IN ('a', 'b', 'c')), ',') END AS unexpected FROM k""")
 def aspect_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.from_json(F.get_json_object(_payload(), "$.scores"), "map<string,string>")
     missing, unexpected = X.complete_map(raw, ("a", "b", "c"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unexpected, ",").alias("unexpected"))
 
 
-@query("""SELECT event_id, event_id % 7 <> 0 AND event_id % 3 <> 0 AS valid FROM events""")
+@query("""WITH p AS (SELECT event_id, CAST('{"a":{"score":' || CASE WHEN event_id % 7 = 0 THEN '11' ELSE '4' END || ',"reasoning":"' || CASE WHEN event_id % 3 = 0 THEN 'no' ELSE 'long enough' END || '"}}' AS JSON) AS j FROM events)
+ SELECT event_id, json_keys(j) = ['a'] AND CAST(json_extract_string(j, '$.a.score') AS DOUBLE) BETWEEN 0 AND 10 AND length(json_extract_string(j, '$.a.reasoning')) BETWEEN 5 AND 200 AS valid FROM p""")
 def bridge_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     reasoning = F.when(e % 3 == 0, "no").otherwise("long enough")
@@ -324,7 +327,8 @@ def bridge_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ((F.size(missing) == 0) & (F.size(unexpected) == 0) & fine).alias("valid"))
 
 
-@query("""SELECT event_id, event_id % 4 <> 1 AND length(event_type || ' improved specification') >= 28 AS valid FROM events""")
+@query("""WITH p AS (SELECT event_id, event_type || ' improved specification' AS rewrite, MAP {'a': 'covered', 'b': CASE WHEN event_id % 4 = 1 THEN 'perhaps' ELSE 'missing' END} AS m FROM events)
+ SELECT event_id, list_sort(map_keys(m)) = ['a', 'b'] AND len(list_filter(map_values(m), lambda v: v NOT IN ('covered', 'missing'))) = 0 AND length(rewrite) >= 28 AS valid FROM p""")
 def coverage_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.create_map(F.lit("a"), F.lit("covered"), F.lit("b"), F.when(F.col("event_id") % 4 == 1, "perhaps").otherwise("missing"))
     missing, _ = X.complete_map(state, ("a", "b"))
