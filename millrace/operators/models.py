@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -189,11 +189,28 @@ def bootstrap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str]], replic
     return long.groupBy("statistic").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
 
 
+#: Longs of a parity sketch.
+SKETCH_LONGS = 4
+
+
+def parity_sketch(words: Column) -> list[Column]:
+    """Longs whose bits are the parities of 64 * SKETCH_LONGS parts of a set: a word in one of two sets alone flips one bit."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def part(j: int) -> Column:
+        mine = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(SKETCH_LONGS)) == j
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+        return F.aggregate(F.filter(hashes, mine), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+    return [part(j).alias(f"sketch{j}") for j in range(SKETCH_LONGS)]
+
+
 def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int = 400) -> DataFrame:
     """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category.
 
     Texts of equal word sets count as their best one, since the others always go with or because of it.  Similar pairs of
-    these are found over a shared rare word and settled by rounds of joins: texts that no better one disputes stay, and what
+    these are found over a shared rare word, leave the join only if their parity sketches differ in no more bits than similar
+    sets may in words, and are settled by rounds of joins: texts that no better one disputes stay, and what
     is similar to them goes, until no pair is left.  Texts without words are similar to none.
     """
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")))
@@ -201,15 +218,20 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
     order = F.struct((-F.col("score")).alias("falling"), "uid")
     best = rows.where(F.size("words") > 0).groupBy("cat", "words").agg(F.min_by(F.struct("uid", "score"), order).alias("best"))
     sets = stored(best.select("cat", "best.uid", "best.score", "words"), "sets")
+    sketches = sets.select("cat", "uid", *parity_sketch(F.col("words")))
     exploded = sets.select("cat", "uid", F.size("words").alias("n"), F.explode("words").alias("word"))
     counts = exploded.groupBy("cat", "word").agg(F.count(F.lit(1)).alias("df"))
     ranked = exploded.join(counts, ["cat", "word"])
     place = F.row_number().over(Window.partitionBy("cat", "uid").orderBy("df", "word"))
     prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select("cat", "uid", "word", "n", (F.col("n") - F.col("place")).alias("after"))
-    one, other = (prefix.withColumnsRenamed({"uid": u, "n": f"n{u}", "after": f"after_{u}"}) for u in "ab")
+    prefix = prefix.join(sketches, ["cat", "uid"])
+    bits = [f"sketch{j}" for j in range(SKETCH_LONGS)]
+    one, other = (prefix.withColumnsRenamed({"uid": u, "n": f"n{u}", "after": f"after_{u}", **{b: b + u for b in bits}}) for u in "ab")
+    flips = reduce(Column.__add__, (F.bit_count(F.col(b + "a").bitwiseXOR(F.col(b + "b"))) for b in bits))
+    room = flips < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9
     # At the first word that two similar sets share, enough words must follow in both.
     enough = 1 + F.least("after_a", "after_b") > jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = one.join(other, ["cat", "word"]).where("a < b").where(enough).select("cat", "a", "b").distinct()
+    pairs = one.join(other, ["cat", "word"]).where("a < b").where(enough & room).select("cat", "a", "b").distinct()
     left = sets.select("cat", F.col("uid").alias("a"), F.col("score").alias("sa"), F.col("words").alias("wa"))
     right = sets.select("cat", F.col("uid").alias("b"), F.col("score").alias("sb"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
