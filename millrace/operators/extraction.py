@@ -43,36 +43,6 @@ def json_strip(text: pd.Series) -> pd.Series:
     return text.map(_first_object)
 
 
-def coerce_scores(payload: Column, aspects: Sequence[str], most: int = 3) -> tuple[Column, Column, Column]:
-    """(map of aspect to struct(score, evidence) or null, number of repairs, whether to reject) of a JSON payload.
-
-    Scores are clamped to 0..10 and evidence is cut to 120 characters; an entry that is no object with a number is null and
-    counts as a repair if something was there; missing keys are null and count; more than `most` repairs reject the payload.
-    """
-    raw = F.from_json(F.get_json_object(payload, "$.scores"), "map<string,string>")
-    entries, repairs = [], F.lit(0)
-    for a in aspects:
-        text = F.try_element_at(raw, F.lit(a))
-        score = F.get_json_object(text, "$.score").try_cast("double")
-        evidence = F.get_json_object(text, "$.evidence")
-        good = F.when(score.isNotNull() & evidence.isNotNull(), F.struct(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)).alias("score"), F.substring(evidence, 1, 120).alias("evidence")))
-        entries += [F.lit(a), good]
-        told_null = F.array_contains(F.map_keys(raw), a) & text.isNull()
-        repairs = repairs + F.when(good.isNotNull() & score.between(0, 10), 0).when(F.coalesce(told_null, F.lit(False)), 0).otherwise(1)
-    return F.create_map(*entries), repairs, raw.isNull() | (repairs > most)
-
-
-def coerce_confidence(payload: Column) -> Column:
-    """The payload's confidence within 0..1; 0.5 where there is none or it is no number."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.get_json_object(payload, "$.confidence").try_cast("double"), F.lit(0.5))))
-
-
-def complete_map(raw: Column, aspects: Sequence[str]) -> tuple[Column, Column]:
-    """Keys that lack and keys that are not expected."""
-    keys, expected = F.map_keys(raw), F.array(*map(F.lit, aspects))
-    return F.array_except(expected, keys), F.array_except(keys, expected)
-
-
 def aspect_aggregates(df: DataFrame, key: str, aspects: Sequence[str], scores: str = "scores", confidence: str = "confidence", least: float = 0.3) -> DataFrame:
     """key, <aspect>_mean (null if never mentioned), <aspect>_rate: one pass over the map, nothing is exploded."""
     kept = df.where(F.coalesce(F.col(confidence), F.lit(0.0)) >= least)

@@ -53,10 +53,21 @@ def review_gauntlet(df: DataFrame, product: str, text: str, rating: str, ts: str
 
 
 def burst_flag(df: DataFrame, key: str, ts: str, days: int = 14, share: float = 0.4, least: int = 5) -> DataFrame:
-    """key, burst: some closed window of `days` ending at a row holds more than `share` of the key's rows."""
-    recent = F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(ts).rangeBetween(-days * DAY, 0))
-    out = df.select(key, ts).withColumn("recent", recent).groupBy(key).agg(F.max("recent").alias("most"), F.count(F.lit(1)).alias("n"))
-    return out.select(key, ((F.col("n") >= least) & (F.col("most") > share * F.col("n"))).alias("burst"))
+    """key, burst: some closed window of `days` ending at a row holds more than `share` of the key's rows.
+
+    Rows are counted by second first.  Time is cut into buckets as long as the window, and a second's count goes into its own bucket
+    and the next one, which is as far as a window reaches back: windows run inside (key, bucket), so a hot key is as many tasks
+    as it has buckets.  Rows without a time count for the total alone.
+    """
+    length = days * DAY
+    seconds = df.groupBy(F.col(key).alias("b_key"), F.col(ts).cast("long").alias("b_ts")).agg(F.count(F.lit(1)).alias("b_n"))
+    bucket = F.floor(F.col("b_ts") / length)
+    copies = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
+    spread = seconds.select("b_key", "b_ts", "b_n", copies.alias("c")).select("b_key", "b_ts", "b_n", "c.*")
+    recent = F.sum("b_n").over(Window.partitionBy("b_key", "bucket").orderBy("b_ts").rangeBetween(-length, 0))
+    most = spread.withColumn("recent", recent).where("own").groupBy("b_key").agg(F.max(F.when(F.col("b_ts").isNotNull(), F.col("recent"))).alias("most"), F.sum("b_n").alias("n"))
+    burst = (F.col("n") >= least) & (F.coalesce("most", F.lit(0)) > share * F.col("n"))
+    return most.select(F.col("b_key").alias(key), burst.alias("burst"))
 
 
 def extreme_j(df: DataFrame, key: str, rating: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,29 @@ def running_before(counts: DataFrame, by: Sequence[str], value: str, weight: str
     return blocked.join(starts, [*by, "block"]).withColumn(out, F.col("start") + inside).drop("block", "start")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """by, and for each column of `wanted` its exact quantiles, interpolated between neighbours, under the names given for the fractions.
+
+    Values are counted per group and column; running counts in blocks of value (`running_before`) say at which values the two
+    neighbouring positions of a fraction lie, and an aggregate picks these.  No task holds the values of a group or of the
+    table.  Null values don't count, a column without values has null, groups of null are left out; by nothing: one row.
+    """
+    cells = [F.struct(F.lit(i).alias("q_column"), F.col(c).cast("double").alias("q_value")) for i, c in enumerate(wanted)]
+    rows = df.select(*by, F.explode(F.array(*cells)).alias("q")).select(*by, "q.*").where("q_value IS NOT NULL")
+    counts = rows.groupBy(*by, "q_column", "q_value").agg(F.count(F.lit(1)).alias("q_n"))
+    totals = rows.groupBy(*by, "q_column").agg(F.count(F.lit(1)).alias("q_total"))
+    placed = running_before(counts, [*by, "q_column"], "q_value", "q_n", "q_below").join(totals, [*by, "q_column"])
+    picked = []
+    for i, names in enumerate(wanted.values()):
+        mine = F.col("q_column") == i
+        for name, fraction in names.items():
+            at = (F.col("q_total") - 1) * F.lit(float(fraction))
+            holds = lambda p: mine & (F.col("q_below") <= p) & (p < F.col("q_below") + F.col("q_n"))  # noqa: B023, E731
+            low, high = (F.max(F.when(holds(p), F.col("q_value"))) for p in (F.floor(at), F.ceil(at)))
+            picked.append((low + (high - low) * F.max(F.when(mine, at - F.floor(at)))).alias(name))
+    return placed.groupBy(*by).agg(*picked)
+
+
 def avg_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank", by: Sequence[str] = ()) -> DataFrame:
     """df with average ranks (ties share the mean) of columns over all rows, or over the rows of a group.
 
@@ -59,8 +82,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def quantile_tier(df: DataFrame, column: str, q: int = 5, category: str | None = None) -> DataFrame:
     """df with tier: number of distinct inner quantile edges (interpolated) strictly below the value; edges equal to the ends are dropped."""
     keys = [category] if category else []
-    cuts = F.array(*(F.percentile(column, F.lit(i / q)) for i in range(1, q)))
-    edges = df.groupBy(*keys).agg(cuts.alias("cuts"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    inner = {f"cut{i}": i / q for i in range(1, q)}
+    edges = quantiles(df, keys, {column: {"lo": 0.0, **inner, "hi": 1.0}}).select(*keys, F.array(*inner).alias("cuts"), "lo", "hi")
     joined = df.join(edges, category) if category else df.crossJoin(F.broadcast(edges))  # one row
     inner = F.filter(F.array_distinct("cuts"), lambda e: (e > F.col("lo")) & (e < F.col("hi")) & (e < F.col(column)))
     return joined.withColumn("tier", F.size(inner)).drop("cuts", "lo", "hi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as X
 from ..operators import models as M
-from ..operators.statistics import avg_ranks, regression_metrics
+from ..operators.explain import aspect_impacts, long_contributions
+from ..operators.model_store import StoredModel, load, train
+from ..operators.statistics import avg_ranks, quantiles, regression_metrics
 from ..shared import shared_path, stored
 from ..sources import files
 from ..streaming import jobs
@@ -172,24 +175,67 @@ def multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("r2"))
 
 
+MODELS = {"viability": ASPECT_COLUMNS, "full_model": MANIFEST}
+
+
+def _stored_models(spark: SparkSession, sf_dir: str, names: Sequence[str] = tuple(MODELS)) -> tuple[DataFrame, dict[str, StoredModel]]:
+    """The training rows, and the models of `names` as a later job finds them: fitted, saved with manifest and version, and loaded again."""
+    rows, models = stored(_training(spark, sf_dir), "training"), {}
+    for name in names:
+        path = shared_path(spark, name)
+        version = train(rows, path, "product_uid", "success_score", MODELS[name])
+        models[name] = load(spark, path, MODELS[name], version)
+    return rows, models
+
+
 @query()
 def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specs (their assembled vectors, not the measured features) scored by both models, beside their category's mean."""
-    rows = stored(_training(spark, sf_dir), "training")
+    """Specs (their assembled vectors, not the measured features) scored by both stored models, with the aspects that lower and lift the
+    score most, beside their category's mean and upper quartile."""
+    rows, models = _stored_models(spark, sf_dir)
     means = rows.groupBy("category").agg(F.round(F.avg("success_score"), 3).alias("category_mean"))
-    out = stored(assemble_vector(spark, sf_dir), "specs").join(rows.select("product_uid", "category"), "product_uid").join(means, "category")
-    for name, columns in (("viability", ASPECT_COLUMNS), ("full_model", MANIFEST)):
-        model = M.learners("success_score")["random_forest"].fit(M.vectors(rows, columns))
-        kept = out.columns
-        out = model.transform(M.vectors(out, columns))
-        out = out.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("prediction"))).alias(name))
-    grade = F.when(F.col("viability") >= 60, "strong").when(F.col("viability") >= 40, "fair").otherwise("weak")
-    return out.select("product_uid", "category", "viability", "full_model", "category_mean", grade.alias("grade"))
+    profile = means.join(quantiles(rows, ["category"], {"success_score": {"p75": 0.75}}).select("category", F.round("p75", 3).alias("success_p75")), "category")
+    specs = stored(assemble_vector(spark, sf_dir), "specs").join(rows.select("product_uid", "category"), "product_uid").join(profile, "category")
+    return predicted(specs, models, "product_uid")
+
+
+def predicted(specs: DataFrame, models: Mapping[str, StoredModel], key: str) -> DataFrame:
+    """Both models' scores (0 to 100, one digit), risks and strengths by the model without the measured columns, the grade against the category
+    (strong: its upper quartile or more; fair: its mean or more) and that model's version.  Fits nothing."""
+    out = specs
+    for name, model in models.items():
+        out = model.predict(out, name).withColumn(name, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(name))), 1))
+    grade = F.when(F.col("viability") >= F.col("success_p75"), "strong").when(F.col("viability") >= F.col("category_mean"), "fair").otherwise("weak")
+    impacts = aspect_impacts(models["viability"].explain(specs, [key]), [key], ASPECTS)
+    shown = out.select(key, "category", "viability", "full_model", "category_mean", "success_p75", grade.alias("grade"), F.lit(models["viability"].version).alias("model_version"))
+    return shown.join(impacts, key)
 
 
 @query()
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of the manifest's columns to each product's score, in a ridge model and in a forest."""
-    rows = stored(_training(spark, sf_dir), "training")
-    linear = M.linear_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("ridge"))
-    return linear.unionByName(M.tree_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("forest")))
+    """Contributions of the manifest's columns to each product's score: in a ridge model, in a forest by its paths, in the boosted trees by Shapley values."""
+    rows, models = _stored_models(spark, sf_dir, ["full_model"])
+    parts = [M.linear_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("ridge"))]
+    parts.append(M.tree_contributions(rows, "product_uid", "success_score", MANIFEST).withColumn("model", F.lit("forest")))
+    parts.append(long_contributions(models["full_model"].explain(rows, ["product_uid"]), ["product_uid"], MANIFEST).withColumn("model", F.lit("boosted_trees")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every product, the three aspects that lower and the three that lift the boosted model's score most."""
+    rows, models = _stored_models(spark, sf_dir, ["viability"])
+    sides = aspect_impacts(models["viability"].explain(rows, ["product_uid"]), ["product_uid"], ASPECTS)
+    return sides.select("product_uid", F.explode(F.concat("top_risks", "top_strengths")).alias("c")).select("product_uid", "c.*")
+
+
+@query()
+def importance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute Shapley value of every column of both boosted models, by falling importance."""
+    rows, models = _stored_models(spark, sf_dir)
+    parts = []
+    for name, model in models.items():
+        means = model.explain(rows, ["product_uid"]).agg(*(F.round(F.avg(F.abs(F.col(c))), 4).alias(c) for c in model.columns))  # one row
+        cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in model.columns))
+        parts.append(means.select(F.lit(name).alias("model"), F.explode(cells).alias("c")).select("model", "c.*"))
+    return reduce(DataFrame.unionByName, parts).orderBy("model", F.desc("importance"), "feature")

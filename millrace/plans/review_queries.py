@@ -352,11 +352,6 @@ def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnostics(success(spark, sf_dir).join(suspect_reasons(spark, sf_dir).where("not suspect").select("product_uid"), "product_uid"))
 
 
-@query(_SQL_DIAGNOSTICS)
-def label_diagnostics_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_diagnostics(spark, sf_dir)
-
-
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(p_brand), array_to_string(string_split(lower(p_type || ' ' || p_name), ' ')[1:2], ' ') ORDER BY p_size DESC, p_partkey) AS n FROM part) WHERE n = 1""")
 def dedup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.array_join(F.slice(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " "), 1, 2), " ")

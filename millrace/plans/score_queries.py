@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import extraction as X
+from ..operators import payloads as P
 from ..operators import reviews as R
 from ..operators import statistics as S
-from ..shared import shared_path
+from ..shared import shared_path, stored
 from ..sources import files
 from ..views import ASPECTS, SQL_ASPECTS, SQL_PRODUCTS, aspect_scores, products, reviews, table
 from .registry import query
@@ -65,11 +66,6 @@ def join_features_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.where("not suspect").drop("suspect").join(features, "product_uid").crossJoin(F.broadcast(skipped))  # one row
 
 
-@query(_SQL_JOINED)
-def join_features_labels_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_features_labels(spark, sf_dir)
-
-
 @query(f"""WITH {SQL_SUCCESS} SELECT product_uid, round(v, 4) AS volume, round(r, 4) AS rating, round(s, 4) AS velocity, price FROM success""")
 def join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.struct(*(F.round(f"{c}_mm", 4).alias(n) for c, n in (("volume", "volume"), ("avg_rating", "rating"), ("velocity", "velocity"))))
@@ -88,12 +84,15 @@ _SQL_PROFILE = ", ".join(f"round(avg(mean) FILTER (aspect = '{a}'), 6) AS {a}_me
 def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = success(spark, sf_dir).join(suspect_reasons(spark, sf_dir).select("product_uid", "suspect"), "product_uid")
     joined = rows.join(X.aspect_aggregates(aspect_scores(spark, sf_dir), "product_uid", ASPECTS), "product_uid", "left")
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
-    return joined.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("suspect").alias("n_suspect"), F.round(F.avg("price"), 6).alias("mean_price"), q("price", 0.5).alias("median_price"), q("price", 0.25).alias("p25"), q("price", 0.75).alias("p75"),
-        *(q(m, 0.5).alias(f"median_{m}") for m in _METADATA), F.round(F.avg("success_score"), 6).alias("success_mean"), q("success_score", 0.75).alias("success_p75"),
+    joined = stored(joined, "profiled")  # a row a product, read by both aggregates
+    means = joined.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("suspect").alias("n_suspect"),
+        *(F.round(F.avg(c), 6).alias(n) for c, n in (("price", "mean_price"), ("success_score", "success_mean"))),
         *(F.round(F.avg(f"{a}_{s}"), 6).alias(f"{a}_{s}") for a in ASPECTS for s in ("mean", "rate")),
     )
+    wanted = {"price": {"median_price": 0.5, "p25": 0.25, "p75": 0.75}, **{m: {f"median_{m}": 0.5} for m in _METADATA}, "success_score": {"success_p75": 0.75}}
+    names = [n for fractions in wanted.values() for n in fractions]
+    return means.join(S.quantiles(joined, ["category"], wanted).select("category", *(F.round(n, 6).alias(n) for n in names)), "category")
 
 
 _CAT = f"""{SQL_PRODUCTS}, {_AGG}, cat AS (SELECT category, aspect, avg(mean) AS mean, avg(rate) AS rate FROM agg JOIN products USING (product_uid) GROUP BY 1, 2), pos AS (SELECT a AS aspect, k FROM names)"""
@@ -149,7 +148,7 @@ def _evidence(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
  FROM products p JOIN m USING (category) JOIN cat c USING (category)""")
 def bridge_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = products(spark, sf_dir).select("product_uid", "category", "price")
-    medians = rows.groupBy("category").agg(F.percentile("price", F.lit(0.5)).alias("med"))
+    medians = S.quantiles(rows, ["category"], {"price": {"med": 0.5}})
     joined = rows.join(_category_means(spark, sf_dir).join(medians, "category"), "category")
     cells = [F.struct(F.lit(a).alias("aspect"), X.bridge_estimate(F.col(f"{a}_mean"), F.col("price"), F.col("med"), a).alias("estimate")) for a in ASPECTS]
     return joined.select("product_uid", F.explode(F.array(*cells)).alias("c")).select("product_uid", "c.aspect", "c.estimate")
@@ -172,7 +171,7 @@ def assemble_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = products(spark, sf_dir).select("product_uid", "category", "price", "avg_rating", F.log1p("rating_count").alias("volume"))
-    medians = rows.groupBy("category").agg(*(F.percentile(c, F.lit(0.5)).alias(n) for c, n in (("price", "med"), ("volume", "med_volume"), ("avg_rating", "med_rating"))))
+    medians = S.quantiles(rows, ["category"], {"price": {"med": 0.5}, "volume": {"med_volume": 0.5}, "avg_rating": {"med_rating": 0.5}})
     joined = rows.select("product_uid", "category", "price").join(_category_means(spark, sf_dir).join(medians, "category"), "category")
     return joined.withColumns({f"{a}_estimate": X.bridge_estimate(F.col(f"{a}_mean"), F.col("price"), F.col("med"), a) for a in ASPECTS})
 
@@ -219,8 +218,8 @@ def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SQL_CONTRIBUTIONS}, i AS (SELECT product_uid, aspect, k, round(by_score + by_rate, 6) AS impact FROM parts JOIN names ON a = aspect),
  r AS (SELECT *, row_number() OVER (PARTITION BY product_uid, impact < 0 ORDER BY abs(impact) DESC, k) AS n FROM i WHERE impact <> 0) SELECT product_uid, aspect, impact FROM r WHERE n <= 3""")
-def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every product, the three aspects that lift and the three that lower its score most: contribution of the mean and of the mention rate."""
+def marginal_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every product, the three aspects that lift and the three that lower its score most, each alone on a line: contribution of the mean and of the mention rate."""
     cells = [F.struct(F.lit(i).alias("k"), F.lit(a).alias("aspect"), F.round(F.col(f"{a}_mean") + F.col(f"{a}_rate"), 6).alias("impact")) for i, a in enumerate(ASPECTS)]
 
     def side(sign: int):
@@ -248,7 +247,7 @@ def top_impacts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_SQL_CONTRIBUTIONS} SELECT aspect || '_mean' AS feature, round(avg(abs(by_score)), 6) AS importance FROM parts GROUP BY 1 UNION ALL SELECT aspect || '_rate', round(avg(abs(by_rate)), 6) FROM parts GROUP BY 1")
-def importance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marginal_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _contributions(spark, sf_dir).agg(*(F.round(F.avg(F.abs(F.col(f))), 6).alias(f) for f in _FEATURES))  # one row
     cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in _FEATURES))
     return means.select(F.explode(cells).alias("c")).select("c.*").orderBy(F.desc("importance"), "feature")
@@ -280,61 +279,102 @@ def extraction_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Checking payloads ---------------------------------------------------------------------------------------------------
 
-_PAYLOAD = """CASE event_id % 5 WHEN 0 THEN '{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":' || (event_id % 11) || ',"evidence":"ok"}},"confidence":1.7}' WHEN 1 THEN '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}},"confidence":"high"}'
- WHEN 2 THEN '{"scores":"none"}' WHEN 3 THEN '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}},"confidence":0.4}' ELSE '{"scores":{}}' END"""
-
-
-def _payload():
-    e = F.col("event_id")
-    return (
-        F.when(e % 5 == 0, F.concat(F.lit('{"scores":{"a":{"score":12.5,"evidence":"great"},"b":null,"c":{"score":'), (e % 11).cast("string"), F.lit(',"evidence":"ok"}},"confidence":1.7}')))
-        .when(e % 5 == 1, '{"scores":{"a":7,"b":{"score":3,"evidence":"x"}},"confidence":"high"}').when(e % 5 == 2, '{"scores":"none"}')
-        .when(e % 5 == 3, '{"scores":{"a":{"score":1,"evidence":"e"},"b":{"score":2,"evidence":"f"},"c":{"score":3,"evidence":"g"},"z":{"score":3,"evidence":"g"}},"confidence":0.4}').otherwise('{"scores":{}}')
-    )
+#: Templates of payloads by event_id modulo their number: K is the event's k, KK with two digits, TYPE its type, PROPS its given JSON.
+#: Typed, nested, cut and misplaced values.
+_EXTRACTIONS = (
+    '{"scores":{"a":{"score":K,"evidence":" TYPE at K "},"b":null,"c":{"score":K.5,"evidence":"ok"}},"confidence":0.KK,"meta":PROPS}',
+    '{"scores":{"a":K,"b":{"score":"K","evidence":"a number as text"},"c":{"score":{"value":3},"evidence":"nested"}},"confidence":"high","meta":PROPS}',
+    '{"scores":"none","meta":PROPS}',
+    '{"scores":{"a":{"score":-2.5,"evidence":"' + "TYPE " * 40 + '"},"b":{"score":1e1,"evidence":"f"},"c":{"score":true,"evidence":"yes"},"z":{"score":3,"evidence":"gg"}},"confidence":null}',
+    '{"scores":{"a":{"score":K,"evidence":"cut',
+    '[K, PROPS]',
+    '{"scores":{},"confidence":" 0.KK "}',
+    '{"scores":{"a":7,"b":[1],"c":"x"},"confidence":[1]}',
+)
+_BRIDGES = (
+    '{"scores":{"a":{"score":K,"reasoning":"long enough"}},"confidence":0.KK,"meta":PROPS}',
+    '{"scores":{"a":{"score":4,"reasoning":"no"}},"confidence":0.KK}',
+    '{"scores":{"a":{"score":"4.5","reasoning":"TYPE as a text"}},"confidence":"0.KK"}',
+    '{"scores":{"b":{"score":4,"reasoning":"long enough"}},"confidence":0.KK}',
+    '{"scores":{"a":{"score":4,"reasoning":"long enough"},"b":PROPS},"confidence":0.KK}',
+    '{"scores":{"a":{"score":4',
+    '{"scores":{"a":{"score":4,"reasoning":"long enough"}}}',
+    '{"scores":{"a":{"score":4,"reasoning":123456}},"confidence":0.KK}',
+    '{"scores":[PROPS],"confidence":0.KK}',
+)
+_COVERAGES = (
+    '{"coverage":{"a":"covered","b":"vague"},"improved_spec":"TYPE with an improved specification","meta":PROPS}',
+    '{"coverage":{"a":"covered","b":"perhaps"},"improved_spec":"TYPE with an improved specification"}',
+    '{"coverage":{"a":"covered"},"improved_spec":"TYPE with an improved specification"}',
+    '{"coverage":{"a":"missing","b":"covered","c":"covered"},"improved_spec":"TYPE at K"}',
+    '{"coverage":{"a":"missing","b":K},"improved_spec":"TYPE with an improved specification"}',
+    '{"coverage":"all","improved_spec":"TYPE with an improved specification"}',
+    '{"coverage":{"a":"missing","b":"covered"},"improved_spec":PROPS',
+)
+
+
+def _payloads(spark: SparkSession, sf_dir: str, templates: tuple[str, ...]) -> DataFrame:
+    """event_id and parsed: the payload of each event."""
+    k, text = F.get_json_object("props", "$.k"), F.element_at(F.array(*map(F.lit, templates)), (F.col("event_id") % len(templates) + 1).cast("int"))
+    for mark, value in (("PROPS", F.col("props")), ("KK", F.lpad(k, 2, "0")), ("K", k), ("TYPE", F.col("event_type"))):
+        text = F.replace(text, F.lit(mark), value)
+    return P.parsed(table(spark, sf_dir, "events").select("event_id", text.alias("payload")), "payload").select("event_id", "parsed")
+
+
+def _sql_payloads(templates: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + t + "'" for t in templates)
+    text = f"([{listed}])[event_id % {len(templates)} + 1]"
+    k = "json_extract_string(props, '$.k')"
+    for mark, value in (("PROPS", "props"), ("KK", f"lpad({k}, 2, '0')"), ("K", k), ("TYPE", "event_type")):
+        text = f"replace({text}, '{mark}', {value})"
+    return f"p AS (SELECT event_id, TRY_CAST({text} AS JSON) AS j FROM events)"
+
+
+def _sql_number(path: str) -> str:
+    return f"CASE json_type(j, '{path}') WHEN 'BOOLEAN' THEN CAST(json_extract(j, '{path}') = 'true' AS DOUBLE) ELSE TRY_CAST(json_extract_string(j, '{path}') AS DOUBLE) END"
 
 
 def _sql_entry(a: str) -> str:
-    score, there = f"TRY_CAST(json_extract_string(j, '$.scores.{a}.score') AS DOUBLE)", f"json_extract_string(j, '$.scores.{a}.evidence') IS NOT NULL"
-    return f"""CASE WHEN {there} THEN greatest(0, least(10, {score})) END AS {a}, CASE WHEN {there} AND {score} BETWEEN 0 AND 10 OR json_type(j, '$.scores.{a}') = 'NULL' THEN 0 ELSE 1 END AS r_{a}"""
+    path = f"$.scores.{a}"
+    good = f"coalesce(json_type(j, '{path}.score') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') AND json_type(j, '{path}.evidence') = 'VARCHAR' AND length(trim(json_extract_string(j, '{path}.evidence'))) >= 2, false)"
+    return f"""CASE WHEN {good} THEN greatest(0, least(10, {_sql_number(path + '.score')})) END AS {a}, CASE WHEN {good} THEN substr(trim(json_extract_string(j, '{path}.evidence')), 1, 120) END AS {a}_evidence,
+ CASE WHEN {good} THEN CASE WHEN {_sql_number(path + '.score')} BETWEEN 0 AND 10 THEN 0 ELSE 1 END WHEN coalesce(json_type(j, '{path}'), 'NULL') = 'NULL' THEN 0 ELSE 1 END AS r_{a}"""
 
 
-@query(f"""WITH p AS (SELECT event_id, CAST({_PAYLOAD} AS JSON) AS j FROM events), x AS (SELECT event_id, j, {", ".join(map(_sql_entry, "abc"))}, TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS c0 FROM p)
- SELECT event_id, a, c, CAST(r_a + r_b + r_c AS INTEGER) AS repairs, json_type(j, '$.scores') <> 'OBJECT' OR r_a + r_b + r_c > 2 AS rejected, greatest(0, least(1, coalesce(c0, 0.5::DOUBLE))) AS confidence FROM x""")
+@query(f"""WITH {_sql_payloads(_EXTRACTIONS)}, x AS (SELECT event_id, j, {", ".join(map(_sql_entry, "abc"))}, {_sql_number('$.confidence')} AS told,
+  coalesce(json_type(j, '$.scores') = 'OBJECT', false) AS usable FROM p),
+ y AS (SELECT *, CASE WHEN usable THEN r_a + r_b + r_c + CASE WHEN json_type(j, '$.confidence') IS NOT NULL AND told IS NULL THEN 1 ELSE 0 END ELSE 0 END AS n FROM x)
+ SELECT event_id, a, a_evidence, b, c, greatest(0, least(1, coalesce(told, 0.5::DOUBLE))) AS confidence, CAST(n AS INTEGER) AS n_coerced,
+ CASE WHEN j IS NULL THEN 'not_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object' WHEN NOT usable THEN 'no_scores' WHEN n > 3 THEN 'too_malformed' END AS rejected FROM y""")
 def json_validate_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, repairs, rejected = X.coerce_scores(_payload(), ("a", "b", "c"), most=2)
-    rows = table(spark, sf_dir, "events").select("event_id", scores.alias("s"), repairs.alias("repairs"), rejected.alias("rejected"), X.coerce_confidence(_payload()).alias("confidence"))
-    return rows.select("event_id", F.col("s")["a"]["score"].alias("a"), F.col("s")["c"]["score"].alias("c"), "repairs", "rejected", "confidence")
+    rows = P.coerced(_payloads(spark, sf_dir, _EXTRACTIONS), "parsed", ("a", "b", "c"))
+    score = lambda a, f="score": F.col("scores")[a][f]
+    return rows.select("event_id", score("a").alias("a"), score("a", "evidence").alias("a_evidence"), score("b").alias("b"), score("c").alias("c"), "confidence", "n_coerced", "rejected")
 
 
-@query(f"""WITH p AS (SELECT event_id, CAST({_PAYLOAD} AS JSON) AS j FROM events), k AS (SELECT event_id, CASE WHEN json_type(j, '$.scores') = 'OBJECT' THEN json_keys(j, '$.scores') END AS ks FROM p)
+@query(f"""WITH {_sql_payloads(_EXTRACTIONS)}, k AS (SELECT event_id, CASE WHEN json_type(j, '$.scores') = 'OBJECT' THEN json_keys(j, '$.scores') END AS ks FROM p)
  SELECT event_id, CASE WHEN ks IS NOT NULL THEN array_to_string(list_filter(['a', 'b', 'c'], lambda x: NOT list_contains(ks, x)), ',') END AS missing,
  CASE WHEN ks IS NOT NULL THEN array_to_string(list_filter(ks, lambda x: x NOT IN ('a', 'b', 'c')), ',') END AS unexpected FROM k""")
 def aspect_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.from_json(F.get_json_object(_payload(), "$.scores"), "map<string,string>")
-    missing, unexpected = X.complete_map(raw, ("a", "b", "c"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unexpected, ",").alias("unexpected"))
+    missing, unexpected = P.key_diff(F.col("parsed"), "$.scores", ("a", "b", "c"))
+    return _payloads(spark, sf_dir, _EXTRACTIONS).select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unexpected, ",").alias("unexpected"))
 
 
-@query("""WITH p AS (SELECT event_id, CAST('{"a":{"score":' || CASE WHEN event_id % 7 = 0 THEN '11' ELSE '4' END || ',"reasoning":"' || CASE WHEN event_id % 3 = 0 THEN 'no' ELSE 'long enough' END || '"}}' AS JSON) AS j FROM events)
- SELECT event_id, json_keys(j) = ['a'] AND CAST(json_extract_string(j, '$.a.score') AS DOUBLE) BETWEEN 0 AND 10 AND length(json_extract_string(j, '$.a.reasoning')) BETWEEN 5 AND 200 AS valid FROM p""")
+@query(f"""WITH {_sql_payloads(_BRIDGES)}, x AS (SELECT event_id, j, json_type(j, '$.scores') = 'OBJECT' AS usable, CASE WHEN json_type(j, '$.scores') = 'OBJECT' THEN json_keys(j, '$.scores') END AS ks,
+  coalesce({_sql_number('$.scores.a.score')} BETWEEN 0 AND 10 AND json_type(j, '$.scores.a.reasoning') = 'VARCHAR' AND length(json_extract_string(j, '$.scores.a.reasoning')) BETWEEN 5 AND 200, false) AS fine,
+  coalesce({_sql_number('$.confidence')} BETWEEN 0 AND 1, false) AS sure FROM p)
+ SELECT event_id, CASE WHEN j IS NULL THEN 'not_json' WHEN NOT usable THEN 'no_scores' WHEN NOT list_contains(ks, 'a') THEN 'missing' WHEN len(ks) > 1 THEN 'unexpected'
+  WHEN NOT fine THEN 'bad_entry' WHEN NOT sure THEN 'bad_confidence' END AS error FROM x""")
 def bridge_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    reasoning = F.when(e % 3 == 0, "no").otherwise("long enough")
-    payload = F.concat(F.lit('{"a":{"score":'), F.when(e % 7 == 0, "11").otherwise("4"), F.lit(',"reasoning":"'), reasoning, F.lit('"}}'))
-    raw = F.from_json(payload, "map<string,struct<score:double,reasoning:string>>")
-    missing, unexpected = X.complete_map(raw, ("a",))
-    fine = F.forall(F.map_values(raw), lambda v: v["score"].between(0, 10) & F.length(v["reasoning"]).between(5, 200))
-    return table(spark, sf_dir, "events").select("event_id", ((F.size(missing) == 0) & (F.size(unexpected) == 0) & fine).alias("valid"))
+    return _payloads(spark, sf_dir, _BRIDGES).select("event_id", P.bridging_error("parsed", ("a",)).alias("error"))
 
 
-@query("""WITH p AS (SELECT event_id, event_type || ' improved specification' AS rewrite, MAP {'a': 'covered', 'b': CASE WHEN event_id % 4 = 1 THEN 'perhaps' ELSE 'missing' END} AS m FROM events)
- SELECT event_id, list_sort(map_keys(m)) = ['a', 'b'] AND len(list_filter(map_values(m), lambda v: v NOT IN ('covered', 'missing'))) = 0 AND length(rewrite) >= 28 AS valid FROM p""")
+@query(f"""WITH {_sql_payloads(_COVERAGES)}, x AS (SELECT event_id, j, coalesce(json_type(j, '$.coverage') = 'OBJECT', false) AS usable, CASE WHEN json_type(j, '$.coverage') = 'OBJECT' THEN json_keys(j, '$.coverage') END AS ks FROM p)
+ SELECT event_id, CASE WHEN j IS NULL THEN 'not_json' WHEN NOT usable THEN 'no_coverage' WHEN NOT list_has_all(ks, ['a', 'b']) THEN 'missing'
+  WHEN len(list_filter(ks, lambda k: NOT coalesce(json_extract_string(j, '$.coverage.' || k) IN ('covered', 'vague', 'missing'), false))) > 0 THEN 'bad_value'
+  WHEN NOT coalesce(json_type(j, '$.improved_spec') = 'VARCHAR' AND length(json_extract_string(j, '$.improved_spec')) >= 20, false) THEN 'no_rewrite' END AS error FROM x""")
 def coverage_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.create_map(F.lit("a"), F.lit("covered"), F.lit("b"), F.when(F.col("event_id") % 4 == 1, "perhaps").otherwise("missing"))
-    missing, _ = X.complete_map(state, ("a", "b"))
-    known = F.forall(F.map_values(state), lambda v: v.isin("covered", "missing"))
-    rewrite = F.concat("event_type", F.lit(" improved specification"))
-    return table(spark, sf_dir, "events").select("event_id", ((F.size(missing) == 0) & known & (F.length(rewrite) >= 28)).alias("valid"))
+    return _payloads(spark, sf_dir, _COVERAGES).select("event_id", P.coverage_error("parsed", ("a", "b"), ("covered", "vague", "missing")).alias("error"))
 
 
 @query("SELECT event_id, props AS body FROM events")
@@ -409,7 +449,7 @@ def reference_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT count(*) AS n, round(avg(CASE WHEN actual >= a THEN 1.0::DOUBLE ELSE 0 END), 6) AS precision FROM pred, q WHERE predicted >= p""")
 def top_quartile_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
-    cuts = rows.agg(F.percentile("predicted", F.lit(0.75)).alias("p"), F.percentile("actual", F.lit(0.75)).alias("a"))
+    cuts = S.quantiles(rows, [], {"predicted": {"p": 0.75}, "actual": {"a": 0.75}})
     hit = (F.col("actual") >= F.col("a")).cast("double")
     return rows.crossJoin(F.broadcast(cuts)).where("predicted >= p").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("precision"))
 
@@ -425,7 +465,7 @@ def tier_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM r""")
 def topq_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
-    cut = rows.agg(F.percentile("actual", F.lit(0.75)).alias("hi"))
+    cut = S.quantiles(rows, [], {"actual": {"hi": 0.75}})
     return S.auc(rows.crossJoin(F.broadcast(cut)).withColumn("y", (F.col("actual") >= F.col("hi")).cast("int")), "y", "predicted").select(F.round("auc", 6).alias("auc"))
 
 
@@ -525,7 +565,7 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT k, CASE WHEN actual >= hi THEN 1 ELSE 0 END AS label, CASE WHEN predicted >= mid THEN 1 ELSE 0 END AS guess FROM pred, q WHERE actual <= lo OR actual >= hi""")
 def binarize_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
-    cuts = rows.agg(*(F.percentile("actual", F.lit(p)).alias(n) for p, n in ((0.2, "lo"), (0.8, "hi"), (0.5, "mid"))))
+    cuts = S.quantiles(rows, [], {"actual": {"lo": 0.2, "hi": 0.8, "mid": 0.5}})
     kept = rows.crossJoin(F.broadcast(cuts)).where("actual <= lo or actual >= hi")
     return kept.select("k", (F.col("actual") >= F.col("hi")).cast("int").alias("label"), (F.col("predicted") >= F.col("mid")).cast("int").alias("guess"))
 
@@ -554,7 +594,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT {_RANK.format('near')} AS a, {_RANK.format('other')} AS o, {_RANK.format('actual')} AS y, {_RANK.format('pct')} AS p, {_RANK.format('len')} AS l FROM x)""")
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.percentile_of_score(_predictions(spark, sf_dir), "g", "predicted").withColumn("pct", F.round("pct", 9))
-    medians = rows.groupBy("g").agg(F.percentile("predicted", F.lit(0.5)).alias("med"))
+    medians = S.quantiles(rows, ["g"], {"predicted": {"med": 0.5}})
     x = rows.join(medians, "g").withColumn("near", -F.abs(F.col("predicted") - F.col("med")))
     r = S.avg_ranks(x, ["near", "other", "pct", "len", "actual"])
     names = {"near": "near_median", "other": "other", "pct": "price_percentile", "len": "copy_length"}
