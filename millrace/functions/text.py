@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -132,16 +133,28 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def phrase_pattern(phrases: Sequence[str]) -> str:
+    """A regular expression that finds the first place of any of the phrases in one pass: phrases share their beginnings, so a
+    character that begins none ends the search at its place, however many phrases there are.  Without phrases it finds nothing."""
+
+    def branch(rests: set[str]) -> str:
+        if "" in rests:
+            return ""  # a phrase ends here: longer ones need not be told apart
+        heads: dict[str, set[str]] = {}
+        for r in sorted(rests):
+            heads.setdefault(r[0], set()).add(r[1:])
+        parts = [re.escape(c) + branch(more) for c, more in heads.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return branch(set(phrases)) if phrases else "(?!)"
+
+
 def matches_category(title: Column, include: Sequence[str], exclude: Sequence[str], accessories: Sequence[str]) -> Column:
     """An include phrase, no exclude phrase, and no accessory noun before the first include phrase."""
     padded = F.concat(F.lit(" "), F.lower(title), F.lit(" "))
-
-    def places(words: Sequence[str]) -> Column:
-        at = F.transform(F.array(*map(F.lit, words)), lambda w: F.instr(padded, w))
-        return F.array_min(F.filter(at, lambda i: i > 0))
-
-    first, noun = places(include), places([" " + a for a in accessories])
-    return first.isNotNull() & ~contains_any(padded, exclude) & (noun.isNull() | (noun >= first))
+    place = lambda words: F.coalesce(F.regexp_instr(padded, F.lit(phrase_pattern(words))), F.lit(0))
+    first, noun = place(include), place([" " + a for a in accessories])
+    return (first > 0) & (place(exclude) == 0) & ((noun == 0) | (noun >= first))
 
 
 def lexicon_score(text: Column, aspect: str, keywords: Sequence[str], positive: Sequence[str], negative: Sequence[str]) -> Column:

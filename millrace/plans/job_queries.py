@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import extraction as X
 from ..operators import models as M
 from ..operators.explain import aspect_impacts, long_contributions
 from ..operators.model_store import StoredModel, load, train
+from ..operators.scoring import score_rows
 from ..operators.statistics import avg_ranks, quantiles, regression_metrics
 from ..shared import shared_path, stored
 from ..sources import files
@@ -68,6 +70,28 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.join(bad, "verified", "full").select(F.col("verified").cast("boolean").alias("verified"), F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
+_ROUNDS = "CASE WHEN length(text) % 5 = 0 THEN 3 WHEN length(text) % 5 = 1 THEN 2 ELSE 1 END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN len(list_filter(string_split(text, ' '), lambda w: w <> '')) END AS words, CAST({_ROUNDS} AS INTEGER) AS attempts,
+ CASE WHEN length(text) % 5 = 0 THEN 'ValueError: no word is good' END AS error FROM documents""")
+def pluggable_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts by a scorer that raises on some texts for good and on others until it is told its error; results and failures in tables of their own."""
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        size = rows["text"].str.len()
+        if (size % 5 == 0).any():
+            raise ValueError("no word is good")
+        failed = (size % 5 == 1) & rows["last_error"].isna()
+        return pd.DataFrame({"words": rows["text"].map(lambda t: len(t.split(" ")) - t.split(" ").count("")), "error": failed.map({True: "try again", False: None})}, index=rows.index)
+
+    ok, failed = shared_path(spark, "ok"), shared_path(spark, "failed")
+    scored = stored(score_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), score, "words long", attempts=3), "scored")
+    files.append_results(scored, ok, failed, "error", "lang")
+    good, bad = spark.read.parquet(ok).withColumn("error", F.lit(None).cast("string")), spark.read.parquet(failed)
+    return good.unionByName(bad).select("doc_id", "words", "attempts", "error")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -76,11 +100,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan that stops and goes on: half of the files are there at first, the others when it starts again from its checkpoint."""
+    """A scan that stops and goes on: half of the rows are there at first, all of them in further files when it starts again from its checkpoint."""
     events, inbox, folder = table(spark, sf_dir, "events").select("event_id", "event_type"), shared_path(spark, "inbox"), shared_path(spark, "ingest")
     for part in (0, 1):
-        events.where(F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(2)) == part).write.mode("append").parquet(inbox)
-        rows = jobs.finished(jobs.ingested(spark, inbox, "*.parquet", events.schema), "ingest", folder=folder)
+        events.where(F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(2)) <= part).write.mode("append").parquet(inbox)
+        rows = jobs.ingest_once(spark, inbox, "*.parquet", events.schema, "event_id", folder)
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import reviews as R
 from ..operators import statistics as S
-from ..shared import stored
+from ..operators.todo import not_done, results_since
+from ..shared import shared_path, stored
+from ..sources.files import append_results
 from ..views import SQL_MARKED, SQL_PRODUCTS, SQL_REVIEWS, SQL_TEXTS, SQL_WORDED, marked_reviews, products, reviews, table, text_reviews, worded_reviews
 from .registry import query
 
@@ -188,10 +190,13 @@ def semi_selected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_REVIEWS}, done AS (SELECT review_uid, product_uid FROM reviews WHERE confidence < 0.4), c AS (SELECT product_uid, count(*) AS n FROM done GROUP BY 1)
  SELECT r.review_uid, 100 - coalesce(c.n, 0) AS room FROM reviews r LEFT JOIN c USING (product_uid) WHERE r.review_uid NOT IN (SELECT review_uid FROM done) AND coalesce(c.n, 0) < 100""")
 def anti_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reviews(spark, sf_dir)
-    done = rows.where("confidence < 0.4").select("review_uid", "product_uid")
+    """Against results that were appended by month of their review."""
+    rows, path = reviews(spark, sf_dir), shared_path(spark, "results")
+    earlier = rows.where("confidence < 0.4").select("review_uid", "product_uid", F.date_format(F.timestamp_seconds("review_ts"), "yyyy-MM").alias("month"), F.lit(None).cast("string").alias("error"))
+    append_results(earlier, path, f"{path}-failed", "error", "month")
+    done = results_since(spark, path, "month")
     counts = done.groupBy("product_uid").agg(F.count(F.lit(1)).alias("n"))
-    todo = rows.join(done.select("review_uid"), "review_uid", "left_anti").join(counts, "product_uid", "left")
+    todo = not_done(rows, done, "review_uid").join(counts, "product_uid", "left")
     return todo.withColumn("room", 100 - F.coalesce("n", F.lit(0))).where("room > 0").select("review_uid", "room")
 
 

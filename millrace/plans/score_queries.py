@@ -34,9 +34,10 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "mirror")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_uid"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
-    files.write_mirror(part, reviews(spark, sf_dir), aspect_scores(spark, sf_dir).unionByName(aspect_scores(spark, sf_dir)), path, "product_uid", "review_uid", "category")
-    found = files.mirror_scores(spark, path)
-    return found.select("review_uid", "name", "aspect", "score")
+    name = f"mirror_{path.rsplit('-', 1)[1]}"
+    twice = aspect_scores(spark, sf_dir).unionByName(aspect_scores(spark, sf_dir))
+    files.write_mirror(part, reviews(spark, sf_dir), twice, path, name, "product_uid", "review_uid")
+    return files.mirror_scores(spark, name).select("review_uid", "name", "aspect", "score")
 
 
 @query(f"WITH {_AGG} SELECT product_uid, aspect, round(mean, 6) AS mean, round(rate, 6) AS rate FROM agg")

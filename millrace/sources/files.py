@@ -35,17 +35,33 @@ def append_results(df: DataFrame, ok: str, failed: str, error: str, by: str) ->
     df.where(F.col(error).isNotNull()).write.mode("append").partitionBy(by).parquet(failed)
 
 
-def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, product: str, review: str, category: str) -> None:
-    """Three browsing tables: products by category, reviews, and (review, product, aspect, score) rows by aspect.  A review that repeats is scored once."""
-    products.write.partitionBy(category).parquet(f"{path}/products")
-    reviews.write.parquet(f"{path}/reviews")
-    once = scores.dropDuplicates([review])
-    once.select(review, product, F.explode("scores").alias("aspect", "score")).write.partitionBy("aspect").parquet(f"{path}/scores")
+#: Buckets of the mirror's tables: a join of two of them has as many tasks, each with one bucket of both.
+BUCKETS = 32
 
 
-def mirror_scores(spark: SparkSession, path: str, product_key: str = "product_uid", aspect: str | None = None, product: int | str | None = None) -> DataFrame:
-    """Scores with their products' columns, of all or of one aspect (one folder is read) or product (pushed into the scan)."""
-    scores = spark.read.parquet(f"{path}/scores")
+def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, name: str, product: str, review: str, buckets: int = BUCKETS) -> None:
+    """Three browsing tables under path, registered as <name>_products, _reviews and _scores: a review that repeats is scored once.
+
+    All are cut into buckets by product and sorted by it inside, so that lookups of a product read one bucket and joins by product
+    shuffle nothing; scores, rows of (review, product, aspect, score), lie in a folder an aspect.  A product is in one bucket, and the
+    task that writes or joins it has all its rows as a stream, so the number of buckets should follow the size of the tables.
+    """
+    once = scores.dropDuplicates([review]).select(review, product, F.explode("scores").alias("aspect", "score"))
+    for part, df, folders in (("products", products, []), ("reviews", reviews, []), ("scores", once, ["aspect"])):
+        writer = df.repartition(buckets, product).write.bucketBy(buckets, product).sortBy(product).option("path", f"{path}/{part}")  # a file a bucket
+        (writer.partitionBy(*folders) if folders else writer).saveAsTable(f"{name}_{part}")
+
+
+def drop_mirror(spark: SparkSession, name: str) -> None:
+    """Forgets the tables; their files stay."""
+    for part in ("products", "reviews", "scores"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+
+
+def mirror_scores(spark: SparkSession, name: str, product_key: str = "product_uid", aspect: str | None = None, product: int | str | None = None) -> DataFrame:
+    """Scores with their products' columns, of all or of one aspect (one folder is read) or product (one bucket is read)."""
+    scores, products = spark.table(f"{name}_scores"), spark.table(f"{name}_products")
     scores = scores if aspect is None else scores.where(F.col("aspect") == aspect)
-    scores = scores if product is None else scores.where(F.col(product_key) == product)
-    return scores.join(spark.read.parquet(f"{path}/products"), product_key)
+    if product is not None:
+        scores, products = (t.where(F.col(product_key) == product) for t in (scores, products))
+    return scores.join(products, product_key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..shared import shared_path
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+#: Keeps state on the executors' disks, so that it may exceed their memory; a checkpoint stays with the kind it began with.
+ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, conf: Mapping[str, str] | None = None) -> DataFrame:
     """Runs a stream over all there is now, into Parquet (append) or by whole batches (update), and reads the result.
 
-    With the `folder` of an earlier run, the stream goes on from its checkpoint and adds to its result.
+    With the `folder` of an earlier run, the stream goes on from its checkpoint and adds to its result.  conf: settings of this stream alone.
     """
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        return _finished(stream, name, mode, folder)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _finished(stream: DataFrame, name: str, mode: str, folder: str | None) -> DataFrame:
     spark = stream.sparkSession
     folder = folder or shared_path(spark, name)
     out, state = f"{folder}/out", f"{folder}/state"
@@ -30,9 +46,21 @@ def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | N
     return spark.read.parquet(out).withColumn("epoch", F.col("epoch").cast("long"))
 
 
-def ingested(spark: SparkSession, folder: str, file: str, schema: str, max_files: int = 1) -> DataFrame:
-    """A resumable scan of a folder: the checkpoint remembers the files that have been read."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(folder)
+def ingested(spark: SparkSession, folder: str, file: str, schema: str, max_files: int = 1, max_bytes: int | None = None) -> DataFrame:
+    """A resumable scan of a folder: the checkpoint remembers the files that have been read.  A batch has max_files files or, if given, about max_bytes."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", max_files) if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)).parquet(folder)
+
+
+def ingest_once(spark: SparkSession, inbox: str, file: str, schema: str, uid: str, folder: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """All rows of the inbox's files so far, each uid once, whatever file it comes in again and however often the scan is started.
+
+    The file checkpoint skips files that have been read, the state knows the uids that were in them, and the sink's log names the files
+    of finished batches, so a batch that was cut off adds nothing twice.  State is an entry a uid for ever, by uid over all
+    tasks and on disk.  Null is a uid like others.
+    """
+    once = ingested(spark, inbox, file, schema, max_bytes=max_bytes).dropDuplicates([uid])
+    return finished(once, "ingest", folder=folder, conf=ON_DISK)
 
 
 def deduplicated(stream: DataFrame, uid: str, ts: str, within: str = "400 days") -> DataFrame:
