@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 
+MOST_PROVIDERS = 16
 _MARK = re.compile(r'["{}]')
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*+"', re.S)
 
@@ -71,20 +72,38 @@ def bridge_estimate(base: Column, price: Column, median: Column, aspect: str) ->
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), start + nudge * (1.0 if aspect == "value_for_money" else 0.3))), 1)
 
 
-def pairwise_agreement(df: DataFrame, uid: str, provider: str, aspects: Sequence[str], scores: str = "scores") -> DataFrame:
+def pairwise_agreement(df: DataFrame, uid: str, provider: str, aspects: Sequence[str], scores: str = "scores", providers: Sequence[str] | None = None) -> DataFrame:
     """(a, b, n, mean_diff, null_agreement) of every two providers a < b that scored the same rows, over all aspects of a row.
 
-    A row's scores, one map a provider, meet once; pairs are made inside the row and nothing is joined.
+    A row's scores meet in one hash aggregate, a number for each provider and aspect, combined before the shuffle; nothing is
+    collected or joined.  Providers that are not given are looked up first; there are a few, MOST_PROVIDERS at most (more are an error).
+    A provider that scored a row twice counts with its higher score.
     """
-    met = df.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct(F.col(provider).alias("p"), F.array(*(F.try_element_at(scores, F.lit(a)) for a in aspects)).alias("s")))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: x["p"] < y["p"]), lambda y: F.struct(x["p"].alias("a"), y["p"].alias("b"), x["s"].alias("x"), y["s"].alias("y")))))
-    both = met.select(F.explode(pairs).alias("q")).select("q.*")
-    diffs = F.zip_with("x", "y", lambda x, y: F.abs(x - y))
-    alike = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x.isNull() == y.isNull()), lambda v: v))
-    rows = both.select("a", "b", F.filter(diffs, lambda d: d.isNotNull()).alias("d"), alike.alias("alike"))
-    total = F.sum(F.aggregate("d", F.lit(0.0), lambda t, d: t + d))
-    n = F.sum(F.size("d"))
-    return rows.groupBy("a", "b").agg(n.alias("n"), (total / F.when(n > 0, n)).alias("mean_diff"), (F.sum("alike") / (F.count(F.lit(1)) * float(len(aspects)))).alias("null_agreement"))
+    if providers is None:
+        providers = [r[0] for r in df.where(F.col(provider).isNotNull()).select(provider).distinct().limit(MOST_PROVIDERS + 1).collect()]
+    if len(providers) > MOST_PROVIDERS:
+        raise ValueError(f"more than {MOST_PROVIDERS} providers")
+    names = sorted(providers)
+    cells = []
+    for i, p in enumerate(names):
+        mine = F.col(provider) == p
+        cells.append(F.max(mine.cast("int")).alias(f"has{i}"))
+        cells += [F.max(F.when(mine, F.try_element_at(scores, F.lit(a)))).alias(f"s{i}_{j}") for j, a in enumerate(aspects)]
+    met = df.groupBy(uid).agg(*cells)
+    sums = []
+    pairs = [(i, k) for i in range(len(names)) for k in range(i + 1, len(names))]
+    for i, k in pairs:
+        both = (F.col(f"has{i}") == 1) & (F.col(f"has{k}") == 1)
+        columns = [(F.col(f"s{i}_{j}"), F.col(f"s{k}_{j}")) for j in range(len(aspects))]
+        diff = sum((F.coalesce(F.abs(x - y), F.lit(0.0)) for x, y in columns), F.lit(0.0))
+        shared = sum(((x.isNotNull() & y.isNotNull()).cast("long") for x, y in columns), F.lit(0))
+        alike = sum(((x.isNull() == y.isNull()).cast("long") for x, y in columns), F.lit(0))
+        n = F.sum(F.when(both, shared))
+        share = F.sum(F.when(both, alike)) / (F.count_if(both) * float(len(aspects)))
+        sums.append(F.struct(F.lit(names[i]).alias("a"), F.lit(names[k]).alias("b"), n.alias("n"), (F.sum(F.when(both, diff)) / F.when(n > 0, n)).alias("mean_diff"), share.alias("null_agreement"), F.count_if(both).alias("rows")))
+    empty = F.array().cast("array<struct<a:string,b:string,n:bigint,mean_diff:double,null_agreement:double,rows:bigint>>")
+    one = met.agg(F.array(*sums).alias("p") if sums else F.first(empty).alias("p"))  # one row
+    return one.select(F.explode("p").alias("p")).select("p.*").where("rows > 0").drop("rows")
 
 
 def evidence(df: DataFrame, uid: str, category: str, most: int = 15, scores: str = "scores") -> DataFrame:

@@ -195,7 +195,7 @@ SKETCH_LONGS = 4
 
 def parity_sketch(words: Column) -> list[Column]:
     """Longs whose bits are the parities of 64 * SKETCH_LONGS parts of a set: a word in one of two sets alone flips one bit."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(words, lambda w: F.xxhash64(w, F.lit("bit")))
 
     def part(j: int) -> Column:
         mine = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(SKETCH_LONGS)) == j
@@ -205,15 +205,15 @@ def parity_sketch(words: Column) -> list[Column]:
     return [part(j).alias(f"sketch{j}") for j in range(SKETCH_LONGS)]
 
 
-def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int = 400) -> DataFrame:
-    """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category.
+def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int | None = 400) -> DataFrame:
+    """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category, if given.
 
     Texts of equal word sets count as their best one, since the others always go with or because of it.  Similar pairs of
-    these are found over a shared rare word, leave the join only if their parity sketches differ in no more bits than similar
+    these are found over a shared rare word (by its hash) and a band of sizes, leave the join only if their parity sketches differ in no more bits than similar
     sets may in words, and are settled by rounds of joins: texts that no better one disputes stay, and what
     is similar to them goes, until no pair is left.  Texts without words are similar to none.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")))
+    words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))))
     rows = df.select(F.col(category).alias("cat"), F.col(uid).alias("uid"), F.col(score).alias("score"), words.alias("words"))
     order = F.struct((-F.col("score")).alias("falling"), "uid")
     best = rows.where(F.size("words") > 0).groupBy("cat", "words").agg(F.min_by(F.struct("uid", "score"), order).alias("best"))
@@ -226,12 +226,15 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
     prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select("cat", "uid", "word", "n", (F.col("n") - F.col("place")).alias("after"))
     prefix = prefix.join(sketches, ["cat", "uid"])
     bits = [f"sketch{j}" for j in range(SKETCH_LONGS)]
+    band = F.floor(F.log(F.col("n")) / -math.log(jaccard) + 1e-9)  # similar sets are in the same band or in neighbouring ones
+    prefix = prefix.withColumn("band", band)
     one, other = (prefix.withColumnsRenamed({"uid": u, "n": f"n{u}", "after": f"after_{u}", **{b: b + u for b in bits}}) for u in "ab")
+    one = one.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     flips = reduce(Column.__add__, (F.bit_count(F.col(b + "a").bitwiseXOR(F.col(b + "b"))) for b in bits))
     room = flips < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9
     # At the first word that two similar sets share, enough words must follow in both.
     enough = 1 + F.least("after_a", "after_b") > jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = one.join(other, ["cat", "word"]).where("a < b").where(enough & room).select("cat", "a", "b").distinct()
+    pairs = one.join(other, ["cat", "word", "band"]).where("a < b").where(enough & room).select("cat", "a", "b").distinct()
     left = sets.select("cat", F.col("uid").alias("a"), F.col("score").alias("sa"), F.col("words").alias("wa"))
     right = sets.select("cat", F.col("uid").alias("b"), F.col("score").alias("sb"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
@@ -249,4 +252,5 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
     if lost:
         left_over = left_over.join(reduce(DataFrame.unionByName, lost), ["cat", "uid"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("score"), "uid"))
-    return left_over.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("cat").alias(category), F.col("uid").alias(uid), F.col("score").alias(score), "nth")
+    named = [F.col("cat").alias(category), F.col("uid").alias(uid), F.col("score").alias(score)]
+    return left_over.select(*named) if most is None else left_over.withColumn("nth", nth).where(F.col("nth") <= most).select(*named, "nth")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,7 @@ from ..functions import text as T
 from ..shared import stored
 
 DAY = 86400
+SPACES = re.compile(r"[ \t-\r]+")
 
 
 def seeded(*key: str, seed: str = "42") -> Column:
@@ -24,50 +28,62 @@ def global_text_counts(df: DataFrame, text: str = "text", least: int = 4) -> Dat
     return df.groupBy(T.norm_text_hash(F.col(text)).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def review_gauntlet(df: DataFrame, product: str, text: str, rating: str, ts: str, order: str, english: Column | None = None) -> DataFrame:
-    """df with text_clean, ts_clean and drop_reason (null: kept); the first rule that fails names the drop.
+def gauntlet_verdicts(df: DataFrame, product: str, text: str, rating: str, ts: str, order: str, english: Column | None = None, distinct_keys: bool = False) -> DataFrame:
+    """order, drop_reason (null: kept) of every row of df: the first rule that fails names the drop.
 
     Entities are decoded first.  A duplicate is a later row of the same product and text among rows that pass all other rules, in
-    the order of `order`.  Template texts are those on four rows or more, over all products.  Texts are cleaned and hashed once,
-    into a written table that both the counts and the rules read.
+    the order of `order`.  Template texts are those on four rows or more, over all products; with distinct_keys, those of four
+    products or more.  Texts are cleaned and hashed once, into a written table of keys, hashes and verdicts (no text) that
+    the counts and the ranks read; only rows that pass everything else are ranked, so copies of a template are no group.
     """
-    out = df.withColumn("text_clean", T.clean_text(F.col(text))).withColumn("ts_clean", T.ts_seconds(F.col(ts)))
-    out = stored(out.withColumn("h", T.norm_text_hash(F.col("text_clean"))), "cleaned")
-    spam = out.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 3")
-    out = out.join(spam, "h", "left")
-    words = F.when(F.col("text_clean") == "", 0).otherwise(F.size(F.split("text_clean", " ")))
-    english = T.is_english(F.col("text_clean")) if english is None else english
-    other = (
-        F.when(F.col("text_clean") == "", "empty_after_cleaning")
-        .when(T.rating_or_null(F.col(rating)).isNull(), "bad_rating")
-        .when(F.col("ts_clean").isNull(), "bad_timestamp")
+    clean = df.select(F.col(product).alias("product"), F.col(order).alias("order"), T.clean_text(F.col(text)).alias("t"), T.rating_or_null(F.col(rating)).alias("r"), T.ts_seconds(F.col(ts)).alias("s"))
+    words = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", " ")))
+    first = (
+        F.when(F.col("t") == "", "empty_after_cleaning")
+        .when(F.col("r").isNull(), "bad_rating")
+        .when(F.col("s").isNull(), "bad_timestamp")
         .when(words < 10, "too_short")
         .when(words > 400, "too_long")
-        .when(F.col("copies").isNotNull(), "template_spam")
-        .when(~english, "non_english")
     )
-    out = out.withColumn("other", other)
-    nth = F.row_number().over(Window.partitionBy(product, "h", F.col("other").isNull()).orderBy(order))
-    reason = F.when(F.col("other").isNotNull(), F.col("other")).when(nth > 1, "duplicate_in_product")
-    return out.withColumn("drop_reason", reason).drop("other", "copies", "h")
+    last = F.when(~(T.is_english(F.col("t")) if english is None else english), "non_english")
+    rows = stored(clean.select("product", "order", F.unhex(T.norm_text_hash(F.col("t"))).alias("h"), first.alias("first"), F.when(first.isNull(), last).alias("last")), "verdicts")
+    counted = rows.select("product", "h").distinct() if distinct_keys else rows
+    spam = counted.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 3").select(F.col("h").alias("spam_h"))
+    told = rows.join(spam, F.col("h") == F.col("spam_h"), "left")
+    told = told.withColumn("drop_reason", F.coalesce("first", F.when(F.col("spam_h").isNotNull(), "template_spam"), "last"))
+    nth = F.row_number().over(Window.partitionBy("product", "h").orderBy("order"))
+    fine = told.where("drop_reason IS NULL").select("order", F.when(nth > 1, "duplicate_in_product").alias("drop_reason"))
+    return fine.unionByName(told.where("drop_reason IS NOT NULL").select("order", "drop_reason")).withColumnRenamed("order", order)
+
+
+def review_gauntlet(df: DataFrame, product: str, text: str, rating: str, ts: str, order: str, english: Column | None = None, distinct_keys: bool = False) -> DataFrame:
+    """df with text_clean, ts_clean and drop_reason (null: kept), as `gauntlet_verdicts` says; `order` must tell rows apart."""
+    verdicts = gauntlet_verdicts(df, product, text, rating, ts, order, english, distinct_keys).withColumnRenamed(order, "v_order")
+    out = df.join(verdicts, F.col(order) == F.col("v_order")).drop("v_order")
+    return out.withColumn("text_clean", T.clean_text(F.col(text))).withColumn("ts_clean", T.ts_seconds(F.col(ts))).select(*df.columns, "text_clean", "ts_clean", "drop_reason")
 
 
 def burst_flag(df: DataFrame, key: str, ts: str, days: int = 14, share: float = 0.4, least: int = 5) -> DataFrame:
     """key, burst: some closed window of `days` ending at a row holds more than `share` of the key's rows.
 
-    Rows are counted by second first.  Time is cut into buckets as long as the window, and a second's count goes into its own bucket
-    and the next one, which is as far as a window reaches back: windows run inside (key, bucket), so a hot key is as many tasks
-    as it has buckets.  Rows without a time count for the total alone.
+    Time is cut into buckets as long as the window, so a window lies in a bucket and the one before.  Rows are counted by bucket;
+    only where two neighbours together hold more than the share, their rows are counted by second and windows run inside
+    (key, bucket) over both: a hot key is as many tasks as it has such buckets.  Rows without a time count for the total alone.
     """
     length = days * DAY
-    seconds = df.groupBy(F.col(key).alias("b_key"), F.col(ts).cast("long").alias("b_ts")).agg(F.count(F.lit(1)).alias("b_n"))
-    bucket = F.floor(F.col("b_ts") / length)
-    copies = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
-    spread = seconds.select("b_key", "b_ts", "b_n", copies.alias("c")).select("b_key", "b_ts", "b_n", "c.*")
-    recent = F.sum("b_n").over(Window.partitionBy("b_key", "bucket").orderBy("b_ts").rangeBetween(-length, 0))
-    most = spread.withColumn("recent", recent).where("own").groupBy("b_key").agg(F.max(F.when(F.col("b_ts").isNotNull(), F.col("recent"))).alias("most"), F.sum("b_n").alias("n"))
-    burst = (F.col("n") >= least) & (F.coalesce("most", F.lit(0)) > share * F.col("n"))
-    return most.select(F.col("b_key").alias(key), burst.alias("burst"))
+    rows = df.select(F.col(key).alias("b_key"), F.col(ts).cast("long").alias("b_ts"), F.floor(F.col(ts).cast("long") / length).alias("source"))
+    by_bucket = Window.partitionBy("b_key").orderBy("source")  # a row a bucket
+    before = F.when(F.lag("source").over(by_bucket) == F.col("source") - 1, F.lag("n").over(by_bucket)).otherwise(0)
+    counts = rows.groupBy("b_key", "source").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("near", F.col("n") + before).withColumn("total", F.sum("n").over(Window.partitionBy("b_key")))
+    counts = stored(counts.withColumn("full", F.col("source").isNotNull() & (F.col("total") >= least) & (F.col("near") > share * F.col("total"))), "buckets")
+    wanted = counts.where("full").select("b_key", "total", F.col("source").alias("bucket"), F.explode(F.array(F.col("source"), F.col("source") - 1)).alias("source"))
+    close = rows.withColumnRenamed("b_key", "r_key").join(wanted, F.col("r_key").eqNullSafe(F.col("b_key")) & (rows["source"] == wanted["source"]))
+    seconds = close.groupBy("b_key", "total", "bucket", "b_ts").agg(F.count(F.lit(1)).alias("n"))
+    recent = F.sum("n").over(Window.partitionBy("b_key", "bucket").orderBy("b_ts").rangeBetween(-length, 0))
+    bursts = seconds.withColumn("recent", recent).where(F.col("recent") > share * F.col("total")).select(F.col("b_key").alias("burst_key"), F.lit(True).alias("burst")).distinct()
+    keys = counts.groupBy("b_key").agg(F.first("total").alias("total"))
+    return keys.join(bursts, F.col("b_key").eqNullSafe(F.col("burst_key")), "left").select(F.col("b_key").alias(key), F.coalesce("burst", F.lit(False)).alias("burst"))
 
 
 def extreme_j(df: DataFrame, key: str, rating: str) -> DataFrame:
@@ -76,32 +92,52 @@ def extreme_j(df: DataFrame, key: str, rating: str) -> DataFrame:
     return df.groupBy(key).agg(high.alias("high"), low.alias("low"), ((high > 0.85) & (low > 0.05) & (1 - high - low < 0.05)).alias("extreme"))
 
 
+def _in_pairs(jaccard: float):
+    part = round(jaccard * 100)
+
+    @F.pandas_udf("int")
+    def hits(samples: pd.Series) -> pd.Series:
+        """Texts of a sample whose word sets are similar to another one's, from one product of set and word incidences."""
+
+        def count(texts) -> int:
+            number: dict[str, int] = {}
+            sets = [{number.setdefault(w, len(number)) for w in SPACES.split(t) if w} for t in texts]
+            sizes = np.array([len(s) for s in sets])
+            has = np.zeros((len(sets), len(number)), np.float32)
+            has[np.repeat(np.arange(len(sets)), sizes), [i for s in sets for i in s]] = 1
+            common = (has @ has.T).astype(np.int64)
+            similar = (100 + part) * common > part * (sizes[:, None] + sizes)  # in whole numbers: 100 * common > part * (sizes - common)
+            np.fill_diagonal(similar, False)
+            return int(similar.any(1).sum())
+
+        return samples.map(count)
+
+    return hits
+
+
 def near_duplicates(df: DataFrame, key: str, uid: str, text: str, sample: int = 60, jaccard: float = 0.7, share: float = 0.3, least: int = 5) -> DataFrame:
     """key, dup_share, near_duplicate: share of a seeded sample of texts that are in a pair of similar word sets.
 
-    The sample of a key, at most `sample` sets of hashed words, meets in one row, so that no pairs are shuffled.
+    The sample of a key, at most `sample` texts, meets in one row, so that no pairs are shuffled.
     """
     taken = capped(df.select(key, uid, text), key, [seeded(uid), F.col(uid)], sample)  # pruned before the shuffle
-    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    sets = taken.select(key, F.struct(F.col("nth").alias("i"), words.alias("w")).alias("s")).groupBy(key).agg(F.collect_list("s").alias("sets"))
-
-    part = round(jaccard * 100)
-
-    def similar(a: Column, b: Column) -> Column:  # in whole numbers: 100 * common > part * (sizes - common)
-        n, m = F.size(a["w"]), F.size(b["w"])
-        return (100 * F.least(n, m) > part * F.greatest(n, m)) & ((100 + part) * F.size(F.array_intersect(a["w"], b["w"])) > part * (n + m))
-
-    hits = F.size(F.filter("sets", lambda a: F.exists("sets", lambda b: (a["i"] != b["i"]) & similar(a, b))))
-    ratio = hits / F.size("sets").cast("double")
-    return sets.select(key, ratio.alias("dup_share"), F.size("sets").alias("n")).select(key, "dup_share", ((F.col("n") >= least) & (F.col("dup_share") > share)).alias("near_duplicate"))
+    texts = taken.groupBy(key).agg(F.collect_list(F.coalesce(F.lower(F.col(text)), F.lit(""))).alias("texts"))  # a sample a row
+    ratio = _in_pairs(jaccard)(F.col("texts")) / F.size("texts").cast("double")
+    out = texts.select(key, ratio.alias("dup_share"), F.size("texts").alias("n"))
+    return out.select(key, "dup_share", ((F.col("n") >= least) & (F.col("dup_share") > share)).alias("near_duplicate"))
 
 
 def suspect_reasons(df: DataFrame, key: str, uid: str, ts: str, rating: str, text: str) -> DataFrame:
-    """key, reasons (of burst, extreme_j, near_duplicates, in this order), suspect (there is a reason), for every key."""
-    flags = burst_flag(df, key, ts).join(extreme_j(df, key, rating).select(key, "extreme"), key).join(near_duplicates(df, key, uid, text).select(key, "near_duplicate"), key)
+    """key, reasons (of burst, extreme_j, near_duplicates, in this order), suspect (there is a reason), for every key.
+
+    df is read twice: key, time and rating into a slim written table, and texts for the samples.
+    """
+    slim = stored(df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(rating).alias("rating")), "slim")
+    near = near_duplicates(df, key, uid, text).select(F.col(key).alias("k"), "near_duplicate")
+    flags = burst_flag(slim, "k", "ts").join(extreme_j(slim, "k", "rating").select("k", "extreme"), "k").join(near, "k")
     named = {"burst": "burst", "extreme": "extreme_j", "near_duplicate": "near_duplicates"}
     reasons = F.array_compact(F.array(*(F.when(F.col(c), name) for c, name in named.items())))
-    return flags.select(key, reasons.alias("reasons"), (F.size(reasons) > 0).alias("suspect"))
+    return flags.select(F.col("k").alias(key), reasons.alias("reasons"), (F.size(reasons) > 0).alias("suspect"))
 
 
 def category_terciles(df: DataFrame, category: str, price: str, key: str) -> DataFrame:

@@ -146,8 +146,8 @@ def stream_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_jaccard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations").withColumn("uid", F.concat_ws("/", "conv_id", "turn"))
-    return M.greedy_dedup(talks, "role", "uid", "turn", "text").select("role", "uid", "turn")
+    """Documents of a language by falling length; many are similar to others."""
+    return M.greedy_dedup(table(spark, sf_dir, "documents"), "lang", "doc_id", "n_chars", "text", most=None)
 
 
 @query()

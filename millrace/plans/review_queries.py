@@ -30,7 +30,7 @@ SQL_GAUNTLET = f"""{SQL_MARKED}, g0 AS (SELECT *, {_CLEAN.replace('(text,', f'({
 
 
 def _gauntlet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.review_gauntlet(marked_reviews(spark, sf_dir), "product_uid", "text", "rating", "review_ts", "review_uid")
+    return R.gauntlet_verdicts(marked_reviews(spark, sf_dir), "product_uid", "text", "rating", "review_ts", "review_uid")
 
 
 @query(f"WITH {SQL_GAUNTLET} SELECT review_uid, drop_reason FROM g")
@@ -54,11 +54,12 @@ def dedup_in_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("n", F.row_number().over(Window.partitionBy("source", "h").orderBy("doc_id"))).where("n = 1").select("doc_id", "source")
 
 
-@query(f"""WITH {SQL_TEXTS} SELECT 'rev_' || substr(sha1(CAST(review_uid AS VARCHAR)), 1, 16) AS uid, product_uid, substr({_CLEAN}, 1, 200) AS title, true AS verified, 0 AS helpful_votes,
- 'usr_' || substr(sha1('anon'), 1, 16) AS reviewer_hash, CAST(CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(string_split({_CLEAN}, ' ')) END AS INTEGER) AS word_count FROM text_reviews""")
+@query(f"""WITH {SQL_MARKED}, c AS (SELECT review_uid, product_uid, {_CLEAN.replace('(text,', f'({_DECODED},')} AS t FROM marked_reviews)
+ SELECT 'rev_' || substr(sha1(CAST(review_uid AS VARCHAR)), 1, 16) AS uid, product_uid, substr(t, 1, 200) AS title, true AS verified, 0 AS helpful_votes,
+ 'usr_' || substr(sha1('anon'), 1, 16) AS reviewer_hash, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS INTEGER) AS word_count FROM c""")
 def review_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = T.clean_text(F.col("text"), entities=False)
-    return text_reviews(spark, sf_dir).select(
+    clean = F.col("clean")
+    return marked_reviews(spark, sf_dir).withColumn("clean", T.clean_text(F.col("text"))).select(
         T.stable_id("rev_", F.col("review_uid")).alias("uid"), "product_uid", F.substring(clean, 1, 200).alias("title"), F.lit(True).alias("verified"),
         F.lit(0).alias("helpful_votes"), T.stable_id("usr_", F.lit(None)).alias("reviewer_hash"), T.word_count(clean).alias("word_count"),
     )
