@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: elements whose content is not text, elements without content, block elements, headings, elements
 # that an opening tag of the key closes, and the element around them beyond which it does not reach.
-RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object textarea title select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -36,6 +36,17 @@ HINTS = frozenset(
     "cookie cookies consent notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login search form "
     "pagination pager toolbar tagcloud copyright legal skip".split()
 )
+# Parts of names that say nothing about the content beside a hint, and elements that a name can hint at: containers, never a
+# paragraph, a heading, a cell or anything inside a line.
+PLAIN = frozenset(
+    "list lists area box boxes wrapper wrap container section block blocks bar buttons button links link item items posts post stories story articles site page main "
+    "top bottom left right inner outer content group row column col panel region zone slot unit text tags global primary secondary sub mini sticky fixed the".split()
+)
+HINTABLE = frozenset("div section header form fieldset ul ol dl table center details figure".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd".split())
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)[^.]{0,80}(?:\d{4}|rights reserved|reserved)", re.I)
+#: Share of the text from which the only article of a page is it, whatever stands beside it; with a title and a paragraph it needs none.
+ONLY_ARTICLE = 0.05
 #: A hint is not followed where the text outside that nothing hints at weighs less than this share of the text inside.
 LEFT_OVER = 0.1
 #: What a followed hint leaves of a path's ratio, and what an article or main element adds to it.
@@ -56,7 +67,8 @@ class Page:
     parent: list[int] = field(default_factory=lambda: [-1])
     name: list[str] = field(default_factory=lambda: [""])
     path: list[int] = field(default_factory=lambda: [0])
-    hinted: list[bool] = field(default_factory=lambda: [False])
+    #: 2 where a name says nothing but hints (`comments`, `cookie-banner`), 1 where it holds one among other words (`related-work`).
+    hinted: list[int] = field(default_factory=lambda: [0])
     #: Of text nodes: element, number of the block, decoded text.
     leaves: list[tuple[int, int, str]] = field(default_factory=list)
 
@@ -137,12 +149,14 @@ def parsed(page: str) -> Page:
         if name in BLOCK and opened["p"] and opened["p"][-1] > last("td", "th", "button"):
             close(opened["p"][-1])
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
-        words = set(_WORD.findall(_CAMEL.sub(" ", names).lower()))
+        tokens = [set(_WORD.findall(t)) for t in _CAMEL.sub("-", names).lower().split()]
+        words = {w for t in tokens for w in t}
         step = out.path[stack[-1]], name + ("." + ".".join(sorted(words)) if words else "")
         out.parent.append(stack[-1])
         out.name.append(name)
         out.path.append(paths.setdefault(step, len(paths) + 1))
-        out.hinted.append(name in HINTING_TAGS or bool(words & HINTS) and name not in ("html", "body", "article", "main"))
+        sure = name in HINTING_TAGS or any(t & HINTS and t <= HINTS | PLAIN for t in tokens)
+        out.hinted.append((2 if sure else int(bool(words & HINTS))) if name in HINTABLE else 0)
         opened[name].append(len(stack))
         stack.append(len(out.name) - 1)
     return out
@@ -178,17 +192,20 @@ def followed_hints(page: Page, nodes: list[tuple[int, str]], ratios: list[float]
     """Of each element, whether it or one above is boilerplate.
 
     Elements that say so (menus, footers) are, unless an article lies in them.  Hints (forms, headers and the words of classes,
-    ids and roles) are followed only where enough text remains: the weight, length times ratio, of all that nothing hints at
-    and that lies outside must be a tenth of the weight inside.  So a wrapper with a misleading name keeps its article, and
-    a discussion longer than its article goes.  A header in an article, or with the heading of the text that follows, is no hint.
+    ids and roles of containers) are followed only where enough text remains: the weight, length times ratio, of all that nothing hints
+    at and that lies outside must be a tenth of the weight inside.  So a wrapper with a misleading name keeps its article, and
+    a discussion longer than its article goes.  A name that holds other words besides is followed only where the ratio is low,
+    too, and no paragraph, heading or list item lies inside.  A header in an article, or with the heading of the text that follows, is no hint.
     """
     n = len(page.name)
-    own, rich = [0.0] * n, [0.0] * n
+    own, rich, size = [0.0] * n, [0.0] * n, [0.0] * n
     for (e, text), r in zip(nodes, ratios):
         own[e] += len(text) * r
+        size[e] += len(text)
     for e in range(n):
         rich[e] = float(page.name[e] in ("article", "main"))
-    weight, articles = page.sums(own), page.sums(rich)
+    weight, articles, size = page.sums(own), page.sums(rich), page.sums(size)
+    proper = page.sums([float(x in PARAGRAPHS) for x in page.name])
     in_article = [False] * n
     for e in range(1, n):
         in_article[e] = in_article[page.parent[e]] or page.name[e] in ("article", "main")
@@ -198,6 +215,8 @@ def followed_hints(page: Page, nodes: list[tuple[int, str]], ratios: list[float]
     hint, strong = list(page.hinted), [x in BOILERPLATE_TAGS for x in page.name]
     for e in range(1, n):
         strong[e] = strong[e] and not articles[e]
+        if hint[e] == 1:
+            hint[e] = 0 if proper[e] or weight[e] * size[0] >= 0.5 * weight[0] * size[e] else 1
         if page.name[e] == "header" or hint[e] and headed[e]:
             # The heading of a text: a title block with little else.
             hint[e] = hint[e] and not (in_article[e] or headed[e] and page.name[e] != "header" and paragraphs[e] <= headed[e] + 1)
@@ -236,7 +255,8 @@ def main_text(page: str | None) -> str:
     and an article or main element strengthens it; neither decides alone.  The smallest container of all content nodes gives
     the blocks, so that headings and short paragraphs stay: the article or main around it if there is one, a div or the page
     otherwise, never a list, table or section of the text, and the block around it that holds its h1.  In it, boilerplate and
-    groups of links without content are left out; where only the page holds all content, so are wrappers without content and what
+    groups of links without content or a heading of their own are left out, and an imprint at the end; the only article of a page is
+    the container, whatever stands beside it.  Where only the page holds all content, so are wrappers without content and what
     stands before or after it.
     """
     tree = parsed(page or "")
@@ -246,9 +266,22 @@ def main_text(page: str | None) -> str:
         return ""
     ratios = path_ratios(tree, nodes)
     gone = followed_hints(tree, nodes, ratios)
+    place, seen, sizes = {}, [math.inf] * n, [0.0] * n
+    for i, (e, text) in enumerate(nodes):
+        place.setdefault(e, i)
+        sizes[e] += len(text)
+    for e in range(n - 1, -1, -1):
+        seen[e] = min(seen[e], place.get(e, math.inf))
+        if e:
+            seen[tree.parent[e]] = min(seen[tree.parent[e]], seen[e])
+    sizes, passed = tree.sums(sizes), [0]
+    for _, text in nodes:
+        passed.append(passed[-1] + len(text))
     marked, linked = [False] * n, [False] * n
     for e in range(1, n):
         marked[e] = marked[tree.parent[e]] or tree.name[e] in ("article", "main")
+        rights = not marked[e] and tree.name[e] in BLOCK and 0 < sizes[e] <= 300 and passed[int(seen[e])] >= 0.8 * passed[-1] and _RIGHTS.match(nodes[int(seen[e])][1])
+        gone[e] = gone[e] or gone[tree.parent[e]] or bool(rights)
         linked[e] = linked[tree.parent[e]] or tree.name[e] == "a"
     scores = [r * (HINTED if gone[e] else MARKED if marked[e] else 1.0) for (e, _), r in zip(nodes, ratios)]
     kept = [(s, len(text)) for s, (e, text) in zip(scores, nodes) if not gone[e]]
@@ -264,7 +297,13 @@ def main_text(page: str | None) -> str:
         chars[e] += len(text)
         link_chars[e] += len(text) if linked[e] else 0
     carries, chars, link_chars = tree.sums(carries), tree.sums(chars), tree.sums(link_chars)
-    root = max(e for e in range(n) if carries[e] == carries[0])
+    nested = [False] * n
+    for e in range(1, n):
+        nested[e] = nested[tree.parent[e]] or tree.name[tree.parent[e]] == "article"
+    only = [e for e in range(1, n) if tree.name[e] == "article" and chars[e] and not gone[e] and not nested[e]]
+    parts = [tree.sums([float(x in names) for x in tree.name]) for names in (("h1", "h2"), ("p",))]
+    sole = len(only) == 1 and carries[only[0]] and (chars[only[0]] >= ONLY_ARTICLE * chars[0] or parts[0][only[0]] and parts[1][only[0]])
+    root = only[0] if sole else max(e for e in range(n) if carries[e] == carries[0])
     above = [root]
     while above[-1]:
         above.append(tree.parent[above[-1]])
@@ -277,21 +316,19 @@ def main_text(page: str | None) -> str:
     whole = tree.name[root] in ("body", "html", "")
     first = [s >= bound and not gone[e] for s, (e, _) in zip(scores, nodes)]
     low, high = first.index(True), len(first) - 1 - first[::-1].index(True)
-    inside, place = [False] * n, {}
-    for i, (e, _) in enumerate(nodes):
-        place.setdefault(e, i)
-    seen = [math.inf] * n
-    for e in range(n - 1, -1, -1):
-        seen[e] = min(seen[e], place.get(e, math.inf))
-        if e:
-            seen[tree.parent[e]] = min(seen[tree.parent[e]], seen[e])
+    inside = [False] * n
     heads = tree.sums([float(x in HEADINGS) for x in tree.name])
+    titled, sibling = [False] * n, [0] * n  # a list right after a heading
+    for e in range(1, n):
+        before_ = sibling[tree.parent[e]]
+        titled[e] = titled[tree.parent[e]] or tree.name[e] in ("ul", "ol", "dl") and before_ > 0 and tree.name[before_] in HEADINGS
+        sibling[tree.parent[e]] = e
     for e in range(n):
         if e == root:
             inside[e] = True
         elif e and inside[tree.parent[e]] and not gone[e]:
             bare = not carries[e] and chars[e] > 0
-            links = bare and link_chars[e] > 0.5 * chars[e] and tree.name[e] in BLOCK and tree.name[e] not in HEADINGS
+            links = bare and link_chars[e] > 0.5 * chars[e] and tree.name[e] in HINTABLE and not titled[e]
             beside = whole and bare and tree.name[tree.parent[e]] in ("body", "html", "") and tree.name[e] not in ("body", "html")
             before = seen[e] < low
             outer = beside and not (before and heads[e] and tree.name[e] in HEADINGS) and (tree.name[e] in WRAPPERS or before or seen[e] > high)
