@@ -20,9 +20,9 @@ from .textbytes import blocks, mix, shingles
 #: Similarity in hundredths, words of a shingle, and the growth of size bands.
 PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
 SKETCH_BITS, GROUP_ROWS, HOT = 1024, 50_000, 1 << 40
-#: Members up to which a group is compared inside one task.
-CROWD = 20_000
-#: Rows of a group that are compared with the others at once.
+#: Members of a strip of a group (about); a task compares two strips, or one.
+STRIP_MEMBERS = 4096
+#: Rows of a strip that are compared with the others at once.
 STRIP = 64
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,25 +203,49 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by keys in tables that cut no group."""
+    waiting, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for i, c in enumerate(columns):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= last is not None and c[0] != last[i]
+        starts, last = np.flatnonzero(new), [c[-1] for c in columns]
+        cut = int(starts[-1]) if len(starts) else 0
+        if len(starts):
+            yield pa.Table.from_batches([*waiting, batch.slice(0, cut)])
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, the pairs of a group, of different components, whose sketches leave room for a link."""
+    """Of rows sorted by group and pair of strips, the pairs of different components whose sketches leave room for a link: within a
+    strip, or across two."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig, node, n, comp = (table.column(c).to_numpy() for c in ("sig", "node", "n", "comp"))
+        sig, lo, hi, mine, node, n, comp = (table.column(c).to_numpy() for c in ("sig", "lo", "hi", "mine", "node", "n", "comp"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        new = (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        first = np.flatnonzero(np.concatenate(([True], new)))
         found, size = [], 0
         for a, b in zip(first, np.append(first[1:], len(sig))):
-            for i in range(a, b, STRIP):
-                j = min(i + STRIP, b)
-                for c in range(i, b, 64 * STRIP):
-                    d = min(c + 64 * STRIP, b)
-                    flips = np.bitwise_count(sketch[i:j, None, :] ^ sketch[None, c:d, :]).sum(2, dtype=np.int64)
-                    room = flips * (100 + percent) <= (n[i:j, None] + n[None, c:d]) * (100 - percent)
-                    x, y = np.nonzero(room & (comp[i:j, None] != comp[None, c:d]))
-                    if len(x):
-                        found.append(np.unique(np.sort(np.stack((node[i + x], node[c + y])), 0), axis=1))
-                        size += found[-1].shape[1]
+            left = right = np.arange(a, b)
+            if lo[a] != hi[a]:
+                left, right = left[mine[a:b] == lo[a]], right[mine[a:b] == hi[a]]
+            for i in range(0, len(left), STRIP):
+                x = left[i : i + STRIP]
+                flips = np.bitwise_count(sketch[x, None, :] ^ sketch[None, right, :]).sum(2, dtype=np.int64)
+                room = flips * (100 + percent) <= (n[x, None] + n[None, right]) * (100 - percent)
+                u, v = np.nonzero(room & (comp[x, None] != comp[None, right]))
+                if len(u):
+                    found.append(np.unique(np.sort(np.stack((node[x[u]], node[right[v]])), 0), axis=1))
+                    size += found[-1].shape[1]
                 if size > 100_000:  # what has been found leaves at once, so that memory does not follow the group
                     yield batch_of(found)
                     found, size = [], 0
@@ -232,18 +256,16 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         both = np.unique(np.concatenate(found, 1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = batch.column("sig")[-1].as_py()
-        cut = int(np.searchsorted(batch.column("sig").to_numpy(), last))
-        if cut or (waiting and waiting[-1].column("sig")[-1].as_py() != last):
-            yield from pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
-            waiting = []
-        waiting.append(batch.slice(cut))
-    if waiting:
-        yield from pairs(pa.Table.from_batches(waiting))
+    for table in _whole_groups(batches, ("sig", "lo", "hi")):
+        if table.num_rows:
+            yield from pairs(table)
+
+
+def _strips(pending: DataFrame) -> DataFrame:
+    """sig, lo, hi, mine and the columns of pending: each member once for every strip of its group, with the two strips' numbers in order."""
+    parts = F.ceil(F.col("size") / STRIP_MEMBERS)
+    dealt = pending.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("strip")), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "size")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,13 +286,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes share are kept; each class leaves out its most frequent ones as far as the slack allows, so boilerplate that
     many documents share is not looked up.  Inside the groups that remain, all members are
     first compared with one leader, the member that shares most signatures with others (an original leads its copies).
-    Groups that then still hold several components are compared by sketches, inside a task, and only the pairs that may
-    link leave it; groups of over CROWD members are instead compared with more leaders each round, 16 times as many, until
-    no two components are left that have not met.  A comparison first asks whether sizes and parity sketches leave room for a link; if so it
-    intersects the true sets.  Pairs within a component are never all made, yet no link between components can be missed.
+    Groups that then still hold several components are cut into strips, and every pair of strips is a task's: it compares sizes
+    and parity sketches, and only the pairs that may link leave it, whatever the size of the group.  For these the true sets
+    are intersected.  Pairs within a component are never all made, yet no link between components can be missed.
 
     Null or blank texts have no shingles and link with nothing.  Rows that repeat an id are one document: whatever links
-    with one of them is in its component.  A null id belongs to no component (null) unless its text is another's copy.
+    with one of them is in its component.  A null id belongs to no component (null) unless its text is another's copy.  An empty
+    table gives an empty one; other columns are not read, whatever their names.  Memory follows a block of texts or the longest
+    text (about 40 bytes a byte).
     """
     digests = stored(set_digests(docs, id_col, text_col, words), "digests")
     full = digests.where("n > 0").select("c_id", "n", "h1", "h2")
@@ -301,45 +324,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = stored(_set_rows(texts.join(wanted, texts["c_id"] == wanted["w_id"], "left_semi"), words), "sets")
         return stored(_linked(near, sets, percent), "links")
 
-    pending, tested, leaders = kept, None, 1
-    labels = None
-    while True:
-        place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
-        front = pending.withColumn("place", place).where(F.col("place") <= leaders)  # pruned in every task before the shuffle
-        front = stored(front.select(F.col("sig").alias("f_sig"), F.col("node").alias("leader"), *([F.col("comp").alias("a_comp")] if labels is not None else [])), "front")
-        pairs = front.join(pending, front["f_sig"] == pending["sig"]).where("leader <> node")
-        if labels is not None:
-            pairs = pairs.where("a_comp <> comp")
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = verified(stored(_possible(pairs, sketches, percent), "near"))
-        if more is not None or labels is None:
-            links = links if more is None else links.unionByName(more)
-            labels = components(links)
-        members_now = pending.select("sig", "node", "weight", "size")
-        named = members_now.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("sig", "node", "weight", "size", F.coalesce("component", "node").alias("comp"))
-        # Leaders have met all others; a group is done when no two of its other members differ.
-        rest = named.join(front, (F.col("sig") == F.col("f_sig")) & (F.col("node") == F.col("leader")), "left_anti")
-        open_groups = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
-        pending = named.join(open_groups, "sig", "left_semi")
-        if leaders == 1:
-            pending = stored(pending, "pending")
-            small = pending.where(F.col("size") <= CROWD).join(sketches.withColumnRenamed("c_id", "node"), "node").select("sig", "node", "comp", "n", "sketch")
-            small = small.repartition("sig").sortWithinPartitions("sig")
-            near = small.mapInArrow(lambda batches: _close(batches, percent), "a long, b long").distinct()
-            more = verified(stored(near, "near"))
-            if more is not None:
-                links = links.unionByName(more)
-                labels = components(links)
-                named = kept.join(labels, kept["node"] == labels["node"], "left").select("sig", kept["node"], "weight", "size", F.coalesce("component", kept["node"]).alias("comp"))
-            pending = named.where(F.col("size") > CROWD).join(open_groups, "sig", "left_semi")
-        pending = stored(pending, "pending")
-        if pending.isEmpty():
-            break
-        leaders *= 16
+    # Every member meets its group's leader.
+    place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
+    front = kept.withColumn("place", place).where(F.col("place") == 1)  # pruned in every task before the shuffle
+    front = stored(front.select(F.col("sig").alias("f_sig"), F.col("node").alias("leader")), "front")
+    pairs = front.join(kept, front["f_sig"] == kept["sig"]).where("leader <> node")
+    pairs = stored(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
+    more = verified(stored(_possible(pairs, sketches, percent), "near"))
+    links = links if more is None else links.unionByName(more)
+    labels = components(links)
+    # A group is done when no two of its members, the leader aside, differ; strips of the others meet.
+    named = kept.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("sig", "node", "size", F.coalesce("component", "node").alias("comp"))
+    rest = named.join(front, (F.col("sig") == F.col("f_sig")) & (F.col("node") == F.col("leader")), "left_anti")
+    open_groups = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
+    pending = stored(rest.join(open_groups, "sig", "left_semi"), "pending")
+    dealt = _strips(pending.join(sketches.withColumnRenamed("c_id", "node"), "node").select("sig", "node", "size", "comp", "n", "sketch"))
+    dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    more = verified(stored(dealt.mapInArrow(lambda batches: _close(batches, percent), "a long, b long").distinct(), "near"))
+    if more is not None:
+        labels = components(links.unionByName(more))
+    for done in (pending, pairs, front):
+        dropped(done)
     found = members.join(labels, members["rep"] == labels["node"], "left").select("c_id", "n", F.coalesce("component", "rep").alias("component_id"))
     empty = digests.where("n = 0").select("c_id", "n", F.col("c_id").alias("component_id"))
     return found.unionByName(empty).select(F.col("c_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -67,12 +67,27 @@ def test_near_components_equal_all_pairs(spark, mixed):
     assert left == {i for i in sets if find(i) == i}
 
 
-def test_large_groups_meet_all_their_leaders(spark, mixed, monkeypatch):
+def test_strips_of_a_group_all_meet(spark, mixed, monkeypatch):
     want = {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()}
     monkeypatch.setattr(jaccard, "STRIP", 1)
+    monkeypatch.setattr(jaccard, "STRIP_MEMBERS", 2)
     assert {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()} == want
-    monkeypatch.setattr(jaccard, "CROWD", 1)
-    assert {r.doc_id: r.component_id for r in jaccard.near_components(mixed).collect()} == want
+
+
+def test_one_signature_of_many_unrelated_sets_makes_no_pair_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "STRIP_MEMBERS", 100)
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 1 << 63, (3000, 16), dtype=np.int64)
+    sketch[1500] = sketch[40]
+    rows = spark.createDataFrame([(7, i, 3000, i, 600, sketch[i].tolist()) for i in range(3000)], "sig long, node long, size long, comp long, n long, sketch array<long>")
+    dealt = jaccard._strips(rows)
+    assert dealt.count() == 30 * 3000 and dealt.groupBy("lo", "hi").count().agg(F.max("count")).first()[0] < 300
+    near = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lambda b: jaccard._close(b, 80), "a long, b long")
+    assert [tuple(r) for r in near.collect()] == [(40, 1500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part)], ["k", "m"]) for part in ([(1, 1), (1, 1)], [(1, 1), (1, 2), (2, 2)], [(2, 2)], [(3, 0)])]
+    assert [[r["k"] * 10 + r["m"] for r in t.to_pylist()] for t in jaccard._whole_groups(iter(batches), ("k", "m"))] == [[11, 11, 11, 12], [22, 22], [30]]
 
 
 def test_near_components_of_repeated_and_null_ids(spark):
