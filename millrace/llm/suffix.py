@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -238,6 +238,13 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([rows.column("c_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["c_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """c_id, rid, c_text: the same rid for rows of the same id and text, another one for all others."""
+    keyed = texts.withColumn("c_key", F.unhex(F.md5("c_text")))
+    numbers = stored(keyed.groupBy("c_id", "c_key").agg(F.lit(1).alias("one")).select(F.col("c_id").alias("n_id"), F.col("c_key").alias("n_key"), F.monotonically_increasing_id().alias("rid")), "numbers")
+    return keyed.join(numbers, F.col("c_id").eqNullSafe(F.col("n_id")) & (F.col("c_key") == F.col("n_key"))).select("c_id", "rid", "c_text")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes, `kept`) of every row.
 
@@ -251,13 +258,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts share, are left out there: their windows are counted by 128 hash bits, so that no task holds them together.
     Spans then return to their texts.
 
-    Null counts as empty.  Rows that repeat an id stay apart: if any id repeats or is null, rows are known by a hash of id
-    and text instead, and wholly equal rows get equal results.
+    Null counts as empty.  Rows that repeat an id stay apart: if any id repeats or is null, each different pair of id and text
+    (by 128 bits) gets a number, by which its rows are known, and wholly equal rows get equal results.  An empty table gives an
+    empty one; other columns are not read, whatever their names.  Memory follows a block of texts or the longest text, about
+    70 bytes a byte.
     """
     repeated = docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty() is False or not docs.where(F.col(id_col).isNull()).isEmpty()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rid: Column = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text) if repeated else F.col(id_col).cast("long")
-    texts = docs.select(F.col(id_col).cast("long").alias("c_id"), rid.alias("rid"), text.alias("c_text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("c_id"), text.alias("c_text"))
+    texts = _numbered(texts) if repeated else texts.select("c_id", F.col("c_id").alias("rid"), "c_text")
     slim = texts.select("rid", "c_text")
     known = _runs(slim, True).repartition("h_lead").groupBy("h_lead", "h_all", "shape").agg(F.sum("count").alias("n"), F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"))
     lead = Window.partitionBy("h_lead")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import pu, sharding
+from millrace.llm import pu, sharding, suffix
 from millrace.llm.textbytes import BASE, LOWER_VALUES, utf8
 
 MASK = (1 << 64) - 1
@@ -142,3 +142,12 @@ def test_sizes_sums_and_slots_of_every_row(spark, shards):
     cut = Counter((texts[i] or "") for i in range(301))
     whole = [t for t in cut if len({r.shard for r in rows if (texts[r.doc_id] or "") == t}) == 1]
     assert len(whole) >= len(cut) - 2 * shards - 4  # texts are cut at edges of shards, or if they fill over half a shard
+
+
+def test_rows_of_one_id_with_other_texts_stay_apart(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = noise(260)
+    rows = [(1, shared + noise(50)), (1, noise(300)), (None, noise(20) + shared), (None, noise(310)), (2, None), (1, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 310, 260), (1, 300, 0), (0, 280, 260), (0, 310, 0), (2, 0, 0), (1, 0, 0)])
