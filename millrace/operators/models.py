@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import shared_path, stored
+from ..shared import dropped, shared_path, stored
 from .reviews import seeded
-from .statistics import regression_metrics
+from .statistics import kfold, regression_metrics
 
 
 def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,9 +40,8 @@ def learners(label: str, rounds: int = 600) -> dict:
 
 
 def folded(df: DataFrame, key: str, columns: Sequence[str], folds: int = 5) -> DataFrame:
-    """df with features, fold and validation (a tenth of the rows), by hashes of the key; written once for all fits."""
-    fold = F.pmod(F.xxhash64(seeded(key)), F.lit(folds)).cast("int")
-    return stored(vectors(df, columns).withColumn("fold", fold).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0), "folded")
+    """df with features, fold (`kfold`) and validation (a tenth of the rows, by a hash of the key); written once for all fits."""
+    return stored(kfold(vectors(df, columns), key, folds).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0), "folded")
 
 
 def _fitted(ready: DataFrame, label: str, learner: str, folds: int, rounds: int) -> tuple[DataFrame, list[float]]:
@@ -247,7 +246,8 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
         gone = stored(open_.join(disputed, ["cat", "better"], "left_anti").select("cat", "uid").distinct(), "gone")
         lost.append(gone)
         rest = open_.join(gone, ["cat", "uid"], "left_anti").join(gone.withColumnRenamed("uid", "better"), ["cat", "better"], "left_anti")
-        open_ = stored(rest.select("cat", "better", "uid"), "similar")
+        before, open_ = open_, stored(rest.select("cat", "better", "uid"), "similar")
+        dropped(before)
     left_over = rows.where("words is null or size(words) = 0").select("cat", "uid", "score").unionByName(sets.drop("words"))
     if lost:
         left_over = left_over.join(reduce(DataFrame.unionByName, lost), ["cat", "uid"], "left_anti")

@@ -539,14 +539,7 @@ _MD5 = "CAST(('0x' || substr(md5('42|' || {0}), 1, 12)) AS BIGINT)"
 
 @query(f"SELECT c_custkey, CAST((row_number() OVER (ORDER BY md5('42|' || c_custkey)) - 1) % 5 AS INTEGER) AS fold FROM customer")
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey").withColumn("h", R.seeded("c_custkey"))
-    prefix = F.substring("h", 1, 3)
-    sizes = rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("p", start.alias("start"))  # 4096 rows
-    place = F.row_number().over(Window.partitionBy(prefix).orderBy("h")) - 1
-    out = rows.withColumn("p", prefix).withColumn("place", place).join(F.broadcast(starts), "p")
-    return out.select("c_custkey", ((F.col("start") + F.col("place")) % 5).cast("int").alias("fold"))
+    return S.kfold(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
 @query("""WITH d AS (SELECT quality AS y, CASE WHEN length(text) % 3 <> 0 THEN 1 ELSE 0 END AS p, doc_id % 5 AS fold FROM labels JOIN documents USING (doc_id)),

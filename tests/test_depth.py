@@ -113,6 +113,26 @@ def test_prediction_queries(spark):
     assert [r.r2 for r in targets] == sorted((r.r2 for r in targets), reverse=True) and all(r.rmse >= r.mae >= 0 for r in targets)
 
 
+def test_templates_by_rows_or_by_products(spark):
+    text = "the one text of and in to a that is for it"
+    other = "the other text of and in to a that is for it"
+    rows = [(i, "p" if i < 4 else f"p{i}", text, "5", 1500000000) for i in range(5)] + [(9 + i, f"p{i}", other, "5", 1500000000) for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, p string, text string, rating string, ts long")
+    by_rows = {r.id: r.drop_reason for r in R.review_gauntlet(df, "p", "text", "rating", "ts", "id").collect()}
+    assert set(by_rows.values()) == {"template_spam"}
+    out = R.review_gauntlet(df, "p", "text", "rating", "ts", "id", distinct_keys=True)
+    assert out.columns == [*df.columns, "text_clean", "ts_clean", "drop_reason"]
+    by_products = {r.id: r.drop_reason for r in out.collect()}
+    assert by_products == {0: None, 1: "duplicate_in_product", 2: "duplicate_in_product", 3: "duplicate_in_product", 4: None, 9: "template_spam", 10: "template_spam", 11: "template_spam", 12: "template_spam"}
+
+
+def test_folds_differ_by_a_row_at_most(spark):
+    rows = spark.range(503).selectExpr("concat('k', id) as k", "id as v")
+    one, many = (sorted((r.k, r.fold) for r in S.kfold(rows.repartition(n), "k", 7).collect()) for n in (1, 5))
+    sizes = Counter(f for _, f in one)
+    assert one == many and len(one) == 503 and set(sizes.values()) == {71, 72}
+
+
 def test_quantiles_equal_numpy(spark, monkeypatch):
     rng = random.Random(7)
     data = [(rng.choice("ab" + "c" * 8), rng.choice([None, 1.0, 2.0, rng.random() * 9]), rng.randrange(-3, 4)) for _ in range(900)] + [("d", 5.0, 1), ("e", None, 2), ("d", None, 4)]
