@@ -19,7 +19,7 @@ from .textbytes import blocks, mix, shingles
 
 #: Similarity in hundredths, words of a shingle, and the growth of size bands.
 PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
-SKETCH_BITS, GROUP_ROWS, HOT = 1024, 50_000, 1 << 40
+SKETCH_BITS = 1024
 #: Members of a strip of a group (about); a task compares two strips, or one.
 STRIP_MEMBERS = 4096
 #: Rows of a strip that are compared with the others at once.
@@ -150,38 +150,13 @@ def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "sig long, node long, tag long")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, those whose signature is not alone, with the size of their group.
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (sig, node, tag) whose signature is not alone, with the number of rows that have it.
 
-    A group waits for its end in memory, but a group of over GROUP_ROWS goes on at once with the size HOT, as all its rows do.
+    Rows are counted with map-side combining first, and the counts are written, so that Spark splits the rows of a hot signature in the join.
     """
-
-    def sized(table: pa.Table, hot: int | None) -> Iterator[pa.RecordBatch]:
-        sig = table.column("sig").to_numpy()
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        size = np.diff(np.append(first, len(sig)))
-        count = np.repeat(np.where(sig[first] == hot, HOT, size) if hot is not None else size, size)
-        keep = count > 1
-        out = table.filter(pa.array(keep)).append_column("count", pa.array(count[keep]))
-        yield from out.combine_chunks().to_batches()
-
-    waiting, hot = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = batch.column("sig")[-1].as_py()
-        sig = batch.column("sig").to_numpy()
-        cut = int(np.searchsorted(sig, last))
-        if cut or (waiting and waiting[-1].column("sig")[-1].as_py() != last):
-            yield from sized(pa.Table.from_batches([*waiting, batch.slice(0, cut)]), hot)
-            waiting, hot = [], hot if hot == last else None
-        waiting.append(batch.slice(cut))
-        if sum(b.num_rows for b in waiting) > GROUP_ROWS:
-            hot = last
-            yield from sized(pa.Table.from_batches(waiting), hot)
-            waiting = []
-    if waiting:
-        yield from sized(pa.Table.from_batches(waiting), hot)
+    counts = rows.groupBy(F.col("sig").alias("c_sig")).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return rows.join(stored(counts, "counts").hint("merge"), F.col("sig") == F.col("c_sig")).drop("c_sig")
 
 
 def _set_rows(texts: DataFrame, words: int) -> DataFrame:
@@ -301,8 +276,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(full.join(classes, ["n", "h1", "h2"]).select("c_id", "n", "rep"), "members")
     reps = members.where("c_id = rep").select(F.col("rep").alias("node")).distinct()
     texts = _read(docs, id_col, text_col)
-    rows = _signature_rows(texts, words, percent).repartition("sig").sortWithinPartitions("sig")
-    met = rows.mapInArrow(_shared, "sig long, node long, tag long, count long").join(reps, "node", "left_semi")
+    met = _shared(_signature_rows(texts, words, percent)).join(reps, "node", "left_semi")
     slack = F.expr("tag & 65535L")
     hottest = Window.partitionBy("node", "tag").orderBy(F.desc("count"), "sig")
     looked_up = stored(met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > slack).select("sig", "node").distinct(), "looked_up")

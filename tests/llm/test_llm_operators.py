@@ -123,15 +123,14 @@ def test_every_similar_pair_shares_more_signatures_than_slack(monkeypatch, delet
             assert any(n > slack.get(band, 0) for band, n in shared.items())
 
 
-def test_hot_signatures_pass_in_pieces(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
-    sig = [1, 2, 2, *[5] * 13, 6, 7, 7]
-    batches = [pa.RecordBatch.from_arrays([pa.array(sig[i : i + 3]), pa.array(range(i, i + len(sig[i : i + 3]))), pa.array([0] * len(sig[i : i + 3]))], ["sig", "node", "tag"]) for i in range(0, len(sig), 3)]
-    rows = [r for b in jaccard._shared(iter(batches)) for r in b.to_pylist()]
-    assert [r["sig"] for r in rows] == [2, 2, *[5] * 13, 7, 7]
-    assert {r["sig"]: r["count"] for r in rows} == {2: 2, 5: jaccard.HOT, 7: 2}
+def test_signatures_are_counted_before_they_meet(spark):
+    sig = [1, 2, 2, *[5] * 1300, 6, 7, 7]
+    rows = spark.createDataFrame(list(zip(sig, range(len(sig)), [0] * len(sig))), "sig long, node long, tag long").repartition(6)
+    out = jaccard._shared(rows)
+    got = out.collect()
+    assert sorted(r.node for r in got) == [i for i, x in enumerate(sig) if sig.count(x) > 1]
+    assert {r.sig: r["count"] for r in got} == {2: 2, 5: 1300, 7: 2}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_components_of_paths_stars_and_loops(spark):
