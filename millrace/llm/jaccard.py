@@ -21,7 +21,7 @@ from .textbytes import blocks, mix, shingles
 PERCENT, WORDS, BAND_GROWTH = 80, 5, 1.4
 SKETCH_BITS = 1024
 #: Members of a strip of a group (about); a task compares two strips, or one.
-STRIP_MEMBERS = 4096
+STRIP_MEMBERS = 1024
 #: Rows of a strip that are compared with the others at once.
 STRIP = 64
 _TAG = np.uint64(0x9E3779B97F4A7C15)
