@@ -144,7 +144,8 @@ def bpe_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     Null counts as empty: no tokens, and hashes of nothing.  Every piece that `pattern` finds is encoded by itself, with
     no special tokens.  The rank file is read once by the driver and broadcast; its size does not depend on the input.
-    Rows are independent, so nothing is shuffled and a lost task is simply run again.
+    Rows are independent, so nothing is shuffled and a lost task is simply run again.  Rows that repeat an id are encoded each,
+    an empty table gives an empty one; other columns are not read.
     """
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())

@@ -345,7 +345,8 @@ def main_text(page: str | None) -> str:
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page: the whole article, decoded; '' for pages without one (null and empty pages too);
-    no rows for an empty table.
+    no rows for an empty table.  Left out whatever stands in them: the elements of RAW (scripts, styles, drawings, form fields,
+    media, annotations of formulas; a formula's own text stays).
 
     Pages are independent, so nothing is shuffled.  Rows that repeat an id are all returned; other columns are not read.  Time and memory follow
     the length of a page, whatever is left open in it and however deep it nests.

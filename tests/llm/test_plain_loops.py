@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as tokenizers
 import pytest
 
-from millrace.llm import pu, sharding, suffix
+from millrace.llm import bpe, pu, sharding, suffix
 from millrace.llm.textbytes import BASE, LOWER_VALUES, utf8
 
 MASK = (1 << 64) - 1
@@ -151,3 +152,12 @@ def test_rows_of_one_id_with_other_texts_stay_apart(spark):
     rows = [(1, shared + noise(50)), (1, noise(300)), (None, noise(20) + shared), (None, noise(310)), (2, None), (1, None)]
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(1, 310, 260), (1, 300, 0), (0, 280, 260), (0, 310, 0), (2, 0, 0), (1, 0, 0)])
+
+
+def test_tokens_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "the same text", "x"), (1, "the same text", "y"), (1, "another", "z"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    encode = lambda part: bpe.bpe_tokens(part, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    got = sorted((r.doc_id or 0, bytes(r.decoded).decode(), r.n_tokens > 0) for r in encode(df).collect())
+    assert got == [(0, "", False), (1, "another", True), (1, "the same text", True), (1, "the same text", True)]
+    assert encode(df.limit(0)).count() == 0
