@@ -6,11 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .store import stored
 from .textbytes import LOWER_VALUES, blocks, mix, prefix_hash, slice_hash, word_bounds
@@ -323,10 +321,9 @@ def passing(docs: DataFrame, scorer: Scorer | None, threshold: float, text_col:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["c_text"])
-        parts = [shared.value.scores(data, offsets) for _, data, offsets in blocks(batch, "c_text")]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, text_col):
+                yield rows.filter(pa.array(shared.value.scores(data, offsets) >= threshold))
 
-    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)
+    return docs.mapInArrow(run, docs.schema)
