@@ -6,6 +6,7 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -19,6 +20,7 @@ from millrace.operators import reviews as R
 from millrace.operators import statistics as S
 from millrace.operators import todo
 from millrace.operators.scoring import score_rows
+from millrace import plans
 from millrace.plans import QUERIES
 from millrace.plans.job_queries import predicted
 from millrace.sources import files
@@ -302,3 +304,18 @@ def test_a_hundred_phrases_cost_no_more_than_twice_ten(spark):
 
     few = seconds(many[:10])
     assert seconds(many) <= 2 * few + 0.1
+
+
+def test_gauntlet_equals_its_sql_beyond_the_bounds_of_made_up_times(spark, tmp_path):
+    words = " ".join(f"the word{i} of and" for i in range(6))
+    texts = [words, words, f"{words} more", "short", None, f"{words} last"]
+    docs = spark.createDataFrame([(i, "s", t, "en") for i, t in zip((1, 109_294, 109_295, 300_000, 10**9, 10**10), texts) if t is not None], "doc_id long, source string, text string, lang string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(6, "<p>a page</p>")], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("review_gauntlet", "drop_histogram"):
+        got = sorted(map(tuple, plans.QUERIES[name](spark, f"file://{tmp_path}").collect()), key=str)
+        assert got == sorted(con.execute(plans.ORACLE_SQL[name]).fetchall(), key=str)
+    assert ("bad_timestamp", 1) not in got and ("too_short", 2) in got
