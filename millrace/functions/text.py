@@ -10,7 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Letters of the most frequent English function words; a text is taken for English by their share.
 ENGLISH_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "are", "be", "this", "have", "or", "not")
@@ -21,9 +21,21 @@ TAGS, URLS, EMAILS = (r"<[^>]+>", ("<",)), (r"https?://\S+|www\.\S+", ("http", "
 CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
-@F.pandas_udf(StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: What `html.unescape` looks at, a reference at a time.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unescaped(references: pd.Series) -> pd.Series:
+    return references.map(lambda found: [html.unescape(r) for r in found], na_action="ignore")
+
+
+def decoded(text: Column) -> Column:
+    """text with its character references decoded, null where it has no &.  Only the references go to Python; texts stay in the JVM."""
+    marked = F.when(F.contains(text, F.lit("&")), text)
+    meant = _unescaped(F.regexp_extract_all(marked, F.lit(REFERENCE), F.lit(0)))
+    between = F.split(marked, REFERENCE, -1)
+    return F.array_join(F.zip_with(between, meant, lambda before, sign: F.concat(before, F.coalesce(sign, F.lit("")))), "")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -42,11 +54,11 @@ def _without(pattern: str, signs: Sequence[str]) -> Callable[[Column], Column]:
 def clean_text(text: Column, entities: bool = True) -> Column:
     """Entities, tags, URLs, e-mails and control characters out (each a space), white space collapsed; null gives ''.
 
-    Only texts with an & go to Python, in Arrow batches; everything else is native, and a pattern runs only where its text can be.
+    Only the references of texts with an & go to Python; everything else is native, and a pattern runs only where its text can be.
     """
     out = F.coalesce(text, F.lit(""))
     if entities:
-        out = F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), out)
+        out = F.coalesce(decoded(text), out)
     for pattern, signs in (TAGS, URLS, EMAILS):
         out = let(out, _without(pattern, signs))
     out = F.regexp_replace(out, CONTROLS, " ")

@@ -1,8 +1,10 @@
 """Models, quantiles, bursts, payloads, scorers, results and mirrors in depth: identities, brute force, restarts and plans."""
 
+import html
 import itertools
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -319,3 +321,14 @@ def test_gauntlet_equals_its_sql_beyond_the_bounds_of_made_up_times(spark, tmp_p
         got = sorted(map(tuple, plans.QUERIES[name](spark, f"file://{tmp_path}").collect()), key=str)
         assert got == sorted(con.execute(plans.ORACLE_SQL[name]).fetchall(), key=str)
     assert ("bad_timestamp", 1) not in got and ("too_short", 2) in got
+
+
+def test_entities_are_decoded_as_by_html_and_texts_stay_out_of_python(spark):
+    rng = random.Random(7)
+    parts = ["&amp;", "&amp", "&", "&&", "&lt;b&gt;", "&notit;", "&notin;", "&#65;", "&#x41", "&#0;", "&#128;", "&#x110000;", "&#xD800;", "&bogus;", "&#;", "&#x;", " ", "a", ";", "\n", "é", "😀", "&NotEqualTilde;", "&" + "x" * 40, "&amp;lt;"]
+    texts = [None, "", "&", "no sign", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", T.decoded(F.col("t"))).collect())
+    assert got == {i: html.unescape(t) if t is not None and "&" in t else None for i, t in enumerate(texts)}
+    plan = df.select(T.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"_unescaped\(.*regexp_extract_all", plan)
