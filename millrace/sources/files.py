@@ -35,20 +35,26 @@ def append_results(df: DataFrame, ok: str, failed: str, error: str, by: str) ->
     df.where(F.col(error).isNotNull()).write.mode("append").partitionBy(by).parquet(failed)
 
 
-#: Buckets of the mirror's tables: a join of two of them has as many tasks, each with one bucket of both.
-BUCKETS = 32
+#: Least buckets of the mirror's tables, and rows of a table a bucket: a join of two of them has as many tasks, each with one bucket of both.
+BUCKETS, BUCKET_ROWS = 32, 500_000
 
 
-def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, name: str, product: str, review: str, buckets: int = BUCKETS) -> None:
-    """Three browsing tables under path, registered as <name>_products, _reviews and _scores: a review that repeats is scored once.
+def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, name: str, product: str, review: str, buckets: int | None = None) -> None:
+    """Three browsing tables under path, registered as <name>_products, _reviews and _scores: a review (of a product) that repeats is scored once.
 
     All are cut into buckets by product and sorted by it inside, so that lookups of a product read one bucket and joins by product
     shuffle nothing; scores, rows of (review, product, aspect, score), lie in a folder an aspect.  A product is in one bucket, and the
-    task that writes or joins it has all its rows as a stream, so the number of buckets should follow the size of the tables.
+    task that writes or joins it has all its rows as a stream; the number of buckets follows the rows of the largest table, if it is
+    not given, so that a task sorts in memory.  Scores are shuffled once, as maps, and lose repeats and are exploded where they are written.
     """
-    once = scores.dropDuplicates([review]).select(review, product, F.explode("scores").alias("aspect", "score"))
-    for part, df, folders in (("products", products, []), ("reviews", reviews, []), ("scores", once, ["aspect"])):
-        writer = df.repartition(buckets, product).write.bucketBy(buckets, product).sortBy(product).option("path", f"{path}/{part}")  # a file a bucket
+    if buckets is None:
+        buckets = max(BUCKETS, -(-max(df.count() for df in (products, reviews, scores)) // BUCKET_ROWS))
+    once = scores.select(review, product, "scores").repartition(buckets, product).dropDuplicates([product, review])  # stays in its bucket
+    once = once.select(review, product, F.explode("scores").alias("aspect", "score"))
+    tables = (("products", products.repartition(buckets, product), []), ("reviews", reviews.repartition(buckets, product), []), ("scores", once, ["aspect"]))
+    for part, df, folders in tables:
+        order = [product] if part == "products" else [product, review]  # ids beside their neighbours take less space
+        writer = df.write.option("compression", "zstd").bucketBy(buckets, product).sortBy(*order).option("path", f"{path}/{part}")  # a file a bucket
         (writer.partitionBy(*folders) if folders else writer).saveAsTable(f"{name}_{part}")
 
 

@@ -332,3 +332,17 @@ def test_entities_are_decoded_as_by_html_and_texts_stay_out_of_python(spark):
     assert got == {i: html.unescape(t) if t is not None and "&" in t else None for i, t in enumerate(texts)}
     plan = df.select(T.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"_unescaped\(.*regexp_extract_all", plan)
+
+
+def test_mirror_follows_the_rows_and_shuffles_maps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BUCKET_ROWS", 100)
+    products = spark.range(200).selectExpr("id as product_uid", "concat('p', id) as name")
+    reviews = spark.range(3000).selectExpr("concat('r', id) as review_uid", "pmod(hash(id), 200) * 1L as product_uid")
+    scores = reviews.selectExpr("*", "map('x', cast(1 as double), 'y', cast(null as double)) as scores")
+    files.write_mirror(products, reviews, scores.unionByName(scores), f"file://{tmp_path}/m", "rows_mirror", "product_uid", "review_uid")
+    try:
+        whole = files.mirror_scores(spark, "rows_mirror")
+        assert sorted((r.review_uid, r.aspect) for r in whole.collect()) == sorted((f"r{i}", a) for i in range(3000) for a in "xy")
+        assert {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED rows_mirror_scores").collect()}["Num Buckets"] == "60"
+    finally:
+        files.drop_mirror(spark, "rows_mirror")
