@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from ..shared import dropped, shared_path, stored
@@ -204,6 +205,26 @@ def parity_sketch(words: Column) -> list[Column]:
     return [part(j).alias(f"sketch{j}") for j in range(SKETCH_LONGS)]
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _wide_sketch(words: pd.Series) -> pd.Series:
+    """As `parity_sketch`, one to two bits or more a word: 2 ** k longs, so that halves laid over each other are the sketch of half as many."""
+
+    def sketch(hashes) -> np.ndarray:
+        bits = 64 << (max(len(hashes) - 1, 0) // 32).bit_length()
+        places = (np.asarray(hashes, np.int64).view(np.uint64) % np.uint64(bits)).astype(np.int64)
+        return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+    return words.map(sketch, na_action="ignore")
+
+
+def _wide_flips(a: str, b: str) -> Column:
+    """Bits in which two wide sketches differ, the longer one folded once; sets of sizes that similar ones may have need no more."""
+    least = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda s: F.when(F.size(s) > least, F.zip_with(F.slice(s, F.lit(1), least), F.slice(s, least + 1, least), xor)).otherwise(F.col(s))
+    return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int | None = 400) -> DataFrame:
     """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category, if given.
 
@@ -216,7 +237,7 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
     rows = df.select(F.col(category).alias("cat"), F.col(uid).alias("uid"), F.col(score).alias("score"), words.alias("words"))
     order = F.struct((-F.col("score")).alias("falling"), "uid")
     best = rows.where(F.size("words") > 0).groupBy("cat", "words").agg(F.min_by(F.struct("uid", "score"), order).alias("best"))
-    sets = stored(best.select("cat", "best.uid", "best.score", "words"), "sets")
+    sets = stored(best.select("cat", "best.uid", "best.score", "words", _wide_sketch("words").alias("wide")), "sets")
     sketches = sets.select("cat", "uid", *parity_sketch(F.col("words")))
     exploded = sets.select("cat", "uid", F.size("words").alias("n"), F.explode("words").alias("word"))
     counts = exploded.groupBy("cat", "word").agg(F.count(F.lit(1)).alias("df"))
@@ -234,6 +255,9 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
     # At the first word that two similar sets share, enough words must follow in both.
     enough = 1 + F.least("after_a", "after_b") > jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9
     pairs = one.join(other, ["cat", "word", "band"]).where("a < b").where(enough & room).select("cat", "a", "b").distinct()
+    for u in "ab":
+        pairs = pairs.join(sets.select("cat", F.col("uid").alias(u), F.size("words").alias(f"n{u}"), F.col("wide").alias(f"wide_{u}")), ["cat", u])
+    pairs = pairs.where(_wide_flips("wide_a", "wide_b") < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9).select("cat", "a", "b")
     left = sets.select("cat", F.col("uid").alias("a"), F.col("score").alias("sa"), F.col("words").alias("wa"))
     right = sets.select("cat", F.col("uid").alias("b"), F.col("score").alias("sb"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
@@ -248,7 +272,7 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
         rest = open_.join(gone, ["cat", "uid"], "left_anti").join(gone.withColumnRenamed("uid", "better"), ["cat", "better"], "left_anti")
         before, open_ = open_, stored(rest.select("cat", "better", "uid"), "similar")
         dropped(before)
-    left_over = rows.where("words is null or size(words) = 0").select("cat", "uid", "score").unionByName(sets.drop("words"))
+    left_over = rows.where("words is null or size(words) = 0").select("cat", "uid", "score").unionByName(sets.drop("words", "wide"))
     if lost:
         left_over = left_over.join(reduce(DataFrame.unionByName, lost), ["cat", "uid"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("score"), "uid"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import explain as E
 from millrace.operators import model_store as MS
+from millrace.operators import models as M
 from millrace.operators import payloads as P
 from millrace.operators import reviews as R
 from millrace.operators import statistics as S
@@ -346,3 +347,17 @@ def test_mirror_follows_the_rows_and_shuffles_maps(spark, tmp_path, monkeypatch)
         assert {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED rows_mirror_scores").collect()}["Num Buckets"] == "60"
     finally:
         files.drop_mirror(spark, "rows_mirror")
+
+
+def test_wide_sketches_never_differ_in_more_bits_than_sets_in_words(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        a = rng.sample(range(-(10**15), 10**15), rng.choice([1, 31, 32, 33, 64, 65, 90, 300]))
+        gone = rng.randrange(len(a) // 5 + 1)
+        b = a[gone:] + rng.sample(range(-(10**15), 10**15), rng.randrange(len(a) // 5 + 1))
+        rows.append((i, a, b, len(set(a) ^ set(b))))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, apart int").select("apart", "a", M._wide_sketch("a").alias("wa"), M._wide_sketch("b").alias("wb"))
+    got = df.select("apart", M._wide_flips("wa", "wb").alias("flips"), (F.size("wa") * 32 >= F.size("a")).alias("wide")).collect()
+    assert all(r.flips <= r.apart and (r.apart - r.flips) % 2 == 0 and r.wide for r in got)
+    assert any(r.flips < r.apart for r in got) and sum(r.flips for r in got) > 0.5 * sum(r.apart for r in got)
