@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..shared import stored
 
 MOST_PROVIDERS = 16
 _MARK = re.compile(r'["{}]')
@@ -109,7 +110,8 @@ def pairwise_agreement(df: DataFrame, uid: str, provider: str, aspects: Sequence
 def evidence(df: DataFrame, uid: str, category: str, most: int = 15, scores: str = "scores") -> DataFrame:
     """(category, aspect, kind, nth, uid): the `most` rows of lowest (pain) and of highest (strength) score; ties by uid.
 
-    Counts per category, aspect and score say at which score `most` rows are reached; only rows up to there are sorted.
+    Counts per category, aspect and score say at which score `most` rows are reached; only rows up to there are sorted.  These
+    scores, a row a category and aspect, are written before rows meet them: as the table is small, the rows are not shuffled for it.
     """
     rows = df.select(uid, category, F.explode(F.map_entries(scores)).alias("e")).where("e.value is not null").select(uid, category, F.col("e.key").alias("aspect"), F.col("e.value").alias("score"))
     counts = rows.groupBy(category, "aspect", "score").agg(F.count(F.lit(1)).alias("n"))
@@ -117,7 +119,7 @@ def evidence(df: DataFrame, uid: str, category: str, most: int = 15, scores: str
     for kind, order in (("pain", F.col("score").asc()), ("strength", F.col("score").desc())):
         before = F.sum("n").over(Window.partitionBy(category, "aspect").orderBy(order)) - F.col("n")  # a row a score
         reached = counts.withColumn("before", before).where(F.col("before") < most).groupBy(F.col(category).alias("k_cat"), F.col("aspect").alias("k_aspect"))
-        cut = reached.agg((F.max("score") if kind == "pain" else F.min("score")).alias("cut"))
+        cut = stored(reached.agg((F.max("score") if kind == "pain" else F.min("score")).alias("cut")), "cuts")
         side = F.col("score") <= F.col("cut") if kind == "pain" else F.col("score") >= F.col("cut")
         near = rows.join(cut, (F.col(category) == F.col("k_cat")) & (F.col("aspect") == F.col("k_aspect"))).where(side)
         nth = F.row_number().over(Window.partitionBy(category, "aspect").orderBy(order, uid))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import explain as E
+from millrace.operators import extraction as X
 from millrace.operators import model_store as MS
 from millrace.operators import models as M
 from millrace.operators import payloads as P
@@ -349,6 +350,24 @@ def test_mirror_follows_the_rows_and_shuffles_maps(spark, tmp_path, monkeypatch)
         files.drop_mirror(spark, "rows_mirror")
 
 
+def test_evidence_does_not_shuffle_rows_to_find_the_best(spark):
+    rows = spark.range(20_000).selectExpr("concat('r', id) as uid", "concat('c', id % 3) as cat", "map('x', cast(id * 7 % 101 as double), 'y', cast(if(id % 5 = 0, null, id % 11) as double)) as scores")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+        best = X.evidence(rows, "uid", "cat", 4)
+        assert "SortMergeJoin" not in best._jdf.queryExecution().executedPlan().toString()
+        got = {(r.cat, r.aspect, r.kind, r.nth): r.uid for r in best.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = {}
+    for c, a in itertools.product(range(3), "xy"):
+        own = [(float(i * 7 % 101) if a == "x" else float(i % 11), f"r{i}") for i in range(c, 20_000, 3) if a == "x" or i % 5]
+        for kind, sign in (("pain", 1), ("strength", -1)):
+            want |= {(f"c{c}", a, kind, n + 1): uid for n, (_, uid) in enumerate(sorted(own, key=lambda r: (sign * r[0], r[1]))[:4])}
+    assert got == want
+
+
 def test_wide_sketches_never_differ_in_more_bits_than_sets_in_words(spark):
     rng = random.Random(3)
     rows = []
