@@ -176,24 +176,34 @@ def lexicon_score(text: Column, aspect: str, keywords: Sequence[str], positive:
     and a jitter of 0 to 1.9 less 1 from a hash of the aspect and the first 80 characters.  Evidence are the first six words
     from the hit on, or the keyword if there are none.
     """
-    low = F.lower(text)
-    hit = F.get(F.filter(F.array(*map(F.lit, keywords)), lambda w: F.contains(low, w)), 0)
-    at = F.instr(low, hit) - 1
-    window = F.substring(low, F.greatest(at - 30, F.lit(0)) + 1, at + 40 - F.greatest(at - 30, F.lit(0)))
-
-    def count(words: Sequence[str]) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(window, w)))
-
-    digest = F.md5(F.concat(F.lit(aspect), F.substring(low, 1, 80)))
-    digits = F.transform(F.split(digest, ""), lambda d: F.conv(d, 16, 10).cast("int"))
-    fifth = F.aggregate(F.filter(digits, lambda d: d.isNotNull()), F.lit(0), lambda a, d: a + d) % 5
-    fourth = F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 4
-    jitter = (fifth * 16 + fourth * 5) % 20  # the number mod 20 from its remainders by 5 and by 4
-    score = F.round(5.0 + (count(positive) - count(negative)) * 2.0 + jitter / 10.0 - 1.0, 1)
-    words = F.split(F.trim(F.regexp_replace(F.substring(low, at + 1, F.lit(60)), r"\s+", " ")), " ")
-    evidence = F.substring(F.array_join(F.slice(words, 1, 6), " "), 1, 60)
-    evidence = F.when(evidence == "", hit).otherwise(evidence)
-    return F.when(hit.isNotNull(), F.struct(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)).alias("score"), evidence.alias("evidence")))
+    return let(F.lower(text), lambda low: _lexicon_score(low, aspect, keywords, positive, negative))
+
+
+def lexicon_scores(text: Column, keywords: Mapping[str, Sequence[str]], positive: Sequence[str], negative: Sequence[str]) -> Column:
+    """Array of struct(aspect, s) with the `lexicon_score` of every aspect; the text is lowered once for all."""
+    cell = lambda low, a, words: F.struct(F.lit(a).alias("aspect"), _lexicon_score(low, a, words, positive, negative).alias("s"))
+    return let(F.lower(text), lambda low: F.array(*(cell(low, a, words) for a, words in keywords.items())))
+
+
+def _lexicon_score(low: Column, aspect: str, keywords: Sequence[str], positive: Sequence[str], negative: Sequence[str]) -> Column:
+    """`lexicon_score` of a lowered text: hit, place, window and digest are computed once each, and only where there is a hit."""
+    found = F.coalesce(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in keywords))
+
+    def told(hit: Column, at: Column, window: Column, digest: Column) -> Column:
+        count = lambda words: sum((F.contains(window, F.lit(w)).cast("int") for w in words), F.lit(0))
+        parts = [F.conv(F.substring(digest, k, 8), 16, 10).cast("long") for k in (1, 9, 17, 25)]  # 16 is 1 mod 5 and 0 mod 4
+        jitter = ((sum(parts[1:], parts[0]) % 5) * 16 + (parts[3] % 4) * 5) % 20  # the number mod 20 from its remainders by 5 and by 4
+        score = F.round(5.0 + (count(positive) - count(negative)) * 2.0 + jitter / 10.0 - 1.0, 1)
+        words = F.split(F.trim(F.regexp_replace(F.substring(low, at + 1, F.lit(60)), r"\s+", " ")), " ")
+        evidence = let(F.substring(F.array_join(F.slice(words, 1, 6), " "), 1, 60), lambda e: F.when(e == "", hit).otherwise(e))
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)).alias("score"), evidence.alias("evidence"))
+
+    def at_place(hit: Column, at: Column) -> Column:
+        start = F.greatest(at - 30, F.lit(0))
+        digest = F.md5(F.concat(F.lit(aspect), F.substring(low, 1, 80)))
+        return let(F.substring(low, start + 1, at + 40 - start), lambda window: let(digest, lambda d: told(hit, at, window, d)))
+
+    return let(found, lambda hit: F.when(hit.isNotNull(), let(F.instr(low, hit) - 1, lambda at: at_place(hit, at))))
 
 
 def lexicon_confidence(n_scored: Column) -> Column:

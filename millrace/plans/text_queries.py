@@ -146,10 +146,10 @@ def _lexicon_sql(aspect: str, words: tuple[str, ...]) -> str:
 
 @query(f"""SELECT *, round(least(1.0::DOUBLE, 0.4::DOUBLE + 0.1::DOUBLE * count(*) OVER (PARTITION BY doc_id)), 6) AS confidence FROM ({" UNION ALL ".join(_lexicon_sql(a, w) for a, w in KEYS.items())})""")
 def lexicon_aspect_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = [F.struct(F.lit(a).alias("aspect"), T.lexicon_score(F.col("text"), a, w, POSITIVE, NEGATIVE).alias("s")) for a, w in KEYS.items()]
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array(*scored), lambda r: r["s"].isNotNull()).alias("found"))
-    rows = rows.select("doc_id", T.lexicon_confidence(F.size("found")).alias("confidence"), F.explode("found").alias("r"))
-    return rows.select("doc_id", "r.aspect", "r.s.score", "r.s.evidence", "confidence")
+    scored = F.filter(T.lexicon_scores(F.col("text"), KEYS, POSITIVE, NEGATIVE), lambda r: r["s"].isNotNull())
+    told = T.let(scored, lambda found: F.transform(found, lambda r: F.struct(r["aspect"].alias("aspect"), r["s"].alias("s"), T.lexicon_confidence(F.size(found)).alias("confidence"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(told).alias("r")).where("r is not null")  # a plain explode scores once more to filter
+    return rows.select("doc_id", "r.aspect", "r.s.score", "r.s.evidence", "r.confidence")
 
 
 @query("""WITH c AS (SELECT doc_id, [CASE WHEN contains(t, 'thing') OR contains(t, 'est') THEN NULL ELSE 'value for money' END, CASE WHEN contains(t, 'er') OR contains(t, 'zzz') THEN NULL

@@ -368,6 +368,11 @@ def test_evidence_does_not_shuffle_rows_to_find_the_best(spark):
     assert got == want
 
 
+def test_lexicon_lowers_a_text_once(spark):
+    rows = QUERIES["lexicon_aspect_score"](spark, SF)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+
+
 def test_wide_sketches_never_differ_in_more_bits_than_sets_in_words(spark):
     rng = random.Random(3)
     rows = []
