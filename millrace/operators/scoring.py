@@ -18,10 +18,13 @@ def _tried(scorer: Scorer, rows: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
         out = scorer(rows)
     except Exception as failure:  # noqa: BLE001 - whatever a scorer raises is a failure of its rows
         if len(rows) > 1:
-            parts = [_tried(scorer, rows.loc[[i]]) for i in rows.index]
+            parts = [_tried(scorer, rows.iloc[k : k + 1]) for k in range(len(rows))]
             good = [p for p, _ in parts if len(p)]
             return pd.concat(good) if good else rows.iloc[:0], {i: e for _, errors in parts for i, e in errors.items()}
         return rows.iloc[:0], {rows.index[0]: f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]}
+    if len(rows) == len(out) == 1 and out.index[0] == rows.index[0]:  # a row alone needs no frames to be told apart
+        told = out["error"].iat[0] if "error" in out.columns else None
+        return (out, {}) if pd.isna(told) else (rows.iloc[:0], {rows.index[0]: str(told)[:ERROR_CHARS]})
     out = out[out.index.isin(rows.index) & ~out.index.duplicated()]
     told = out["error"].dropna() if "error" in out else pd.Series(dtype=object)
     errors = {i: str(e)[:ERROR_CHARS] for i, e in told.items()}

@@ -373,6 +373,15 @@ def test_lexicon_lowers_a_text_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
 
 
+def test_scorer_of_null_texts_equals_its_sql(spark, tmp_path):
+    texts = [None, "", "a b", "one two", "abcdef", "a  b c", "four"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["pluggable_scorer"](spark, f"file://{tmp_path}").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(plans.ORACLE_SQL["pluggable_scorer"]).fetchall())
+
+
 def test_wide_sketches_never_differ_in_more_bits_than_sets_in_words(spark):
     rng = random.Random(3)
     rows = []
