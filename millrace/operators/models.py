@@ -60,8 +60,13 @@ def _fitted(ready: DataFrame, label: str, learner: str, folds: int, rounds: int)
 
 def out_of_fold(df: DataFrame, key: str, label: str, columns: Sequence[str], learner: str = "boosted_trees", folds: int = 5, rounds: int = 600) -> DataFrame:
     """df with fold and prediction, each row predicted by a model of the other folds; a tenth of these stops boosting early."""
-    out, _ = _fitted(folded(df, key, columns, folds), label, learner, folds, rounds)
-    return out.select(*df.columns, "fold", "prediction")
+    return out_of_folds(df, key, [label], columns, learner, folds, rounds)[label]
+
+
+def out_of_folds(df: DataFrame, key: str, labels: Sequence[str], columns: Sequence[str], learner: str = "boosted_trees", folds: int = 5, rounds: int = 600) -> dict[str, DataFrame]:
+    """`out_of_fold` of each label; the folds are dealt and the features written once for all."""
+    ready = folded(df, key, columns, folds)
+    return {label: _fitted(ready, label, learner, folds, rounds)[0].select(*df.columns, "fold", "prediction") for label in labels}
 
 
 def compare(df: DataFrame, key: str, label: str, columns: Sequence[str], folds: int = 5, rounds: int = 600) -> DataFrame:

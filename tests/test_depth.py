@@ -394,3 +394,15 @@ def test_wide_sketches_never_differ_in_more_bits_than_sets_in_words(spark):
     got = df.select("apart", M._wide_flips("wa", "wb").alias("flips"), (F.size("wa") * 32 >= F.size("a")).alias("wide")).collect()
     assert all(r.flips <= r.apart and (r.apart - r.flips) % 2 == 0 and r.wide for r in got)
     assert any(r.flips < r.apart for r in got) and sum(r.flips for r in got) > 0.5 * sum(r.apart for r in got)
+
+
+def test_folds_of_many_labels_are_written_once(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id", "cast(id % 7 as double) as a", "cast(id * 3 as double) as x", "cast(id % 5 as double) as y")
+    written, folded = [], M.folded
+    monkeypatch.setattr(M, "folded", lambda *args: written.append(1) or folded(*args))
+    both = M.out_of_folds(df, "id", ["x", "y"], ["a"], "ridge")
+    assert len(written) == 1
+    for label, out in both.items():
+        alone = {r.id: (r.fold, r.prediction) for r in M.out_of_fold(df, "id", label, ["a"], "ridge").collect()}
+        got = {r.id: (r.fold, r.prediction) for r in out.collect()}
+        assert got.keys() == alone.keys() and all(got[i][0] == f and math.isclose(got[i][1], p, rel_tol=1e-9, abs_tol=1e-9) for i, (f, p) in alone.items())
