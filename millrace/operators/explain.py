@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS = 256  # that a task explains at once
-
 
 @dataclass(frozen=True)
 class LeafGames:
@@ -87,20 +85,17 @@ def shapley_tables(games: LeafGames) -> np.ndarray:
 def shapley_values(x: np.ndarray, games: LeafGames, tables: np.ndarray) -> np.ndarray:
     """[row, feature]: with the base they add up to the prediction."""
     leaves, width = games.feature.shape
-    out, bits, rank = np.zeros(x.shape), 1 << np.arange(width), np.arange(leaves)
-    place = games.feature.ravel()
-    order = np.argsort(place, kind="stable")
-    features, starts = np.unique(place[order], return_index=True)
-    for start in range(0, len(x), ROWS):
-        part = x[start : start + ROWS]
-        pattern = np.zeros((len(part), leaves), np.int64)
-        for i in range(width):
-            at = part[:, games.feature[:, i]]
-            pattern += ((at > games.low[:, i]) & (at <= games.high[:, i])) * bits[i]
-        for row, own in enumerate(pattern):
-            credits = tables[rank, own].ravel()[order]
-            out[start + row, features] += np.add.reduceat(credits, starts)
-    return out
+    columns, out = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])  # a row a feature
+    filled = np.isinf(games.low) & np.isinf(games.high)  # everything lies in their interval and they get nothing
+    always = filled @ (1 << np.arange(width))
+    for leaf in range(leaves):
+        pattern, places = np.full(len(x), always[leaf], np.intp), np.flatnonzero(~filled[leaf])
+        for i in places:
+            at = columns[games.feature[leaf, i]]
+            pattern |= ((at > games.low[leaf, i]) & (at <= games.high[leaf, i])).astype(np.intp) << i
+        for i in places:
+            out[games.feature[leaf, i]] += tables[leaf, :, i][pattern]
+    return out.T
 
 
 def tree_shapley(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], games: LeafGames) -> DataFrame:
@@ -108,18 +103,30 @@ def tree_shapley(ready: DataFrame, keys: Sequence[str], columns: Sequence[str],
 
     A column's own and its missing-value feature are added up.  Base and contributions add up to the prediction of the row.
     """
+
+    def explainer() -> Callable[[np.ndarray], np.ndarray]:
+        tables = shapley_tables(games)
+        return lambda x: shapley_values(x, games, tables)
+
+    return credited(ready, keys, columns, explainer).withColumn("base", F.lit(games.base))
+
+
+def credited(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], explainer: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """keys and a column of contributions for each of columns, whose own and missing-value features are added up; a task makes its
+    explainer once, and it turns the features of some rows into as many contributions."""
     kinds = ", ".join(f"`{k}` {ready.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explain = None
         for batch in batches:
-            if len(batch):
-                tables = shapley_tables(games) if tables is None else tables
-                parts = shapley_values(np.stack(batch["x"].to_numpy()), games, tables)
-                yield pd.concat([batch[list(keys)].reset_index(drop=True), pd.DataFrame(parts[:, ::2] + parts[:, 1::2], columns=list(columns)).assign(base=games.base)], axis=1)
-
-    schema = f"{kinds}, " + ", ".join(f"`{c}` double" for c in [*columns, "base"])
-    return ready.select(*keys, vector_to_array("features").alias("x")).mapInPandas(run, schema)
+            if batch.num_rows:
+                explain = explainer() if explain is None else explain
+                parts = explain(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                both = np.ascontiguousarray((parts[:, ::2] + parts[:, 1::2]).T)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *map(pa.array, both)], [*keys, *columns])
+
+    schema = f"{kinds}, " + ", ".join(f"`{c}` double" for c in columns)
+    return ready.select(*keys, vector_to_array("features").alias("x")).mapInArrow(run, schema)
 
 
 def long_contributions(wide: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

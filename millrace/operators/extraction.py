@@ -45,12 +45,12 @@ def json_strip(text: pd.Series) -> pd.Series:
     return text.map(_first_object)
 
 
-def aspect_aggregates(df: DataFrame, key: str, aspects: Sequence[str], scores: str = "scores", confidence: str = "confidence", least: float = 0.3) -> DataFrame:
-    """key, <aspect>_mean (null if never mentioned), <aspect>_rate: one pass over the map, nothing is exploded."""
+def aspect_aggregates(df: DataFrame, key: str, aspects: Sequence[str], scores: str | None = "scores", confidence: str = "confidence", least: float = 0.3) -> DataFrame:
+    """key, <aspect>_mean (null if never mentioned), <aspect>_rate: one pass over the map, or over a column an aspect where scores is None; nothing is exploded."""
     kept = df.where(F.coalesce(F.col(confidence), F.lit(0.0)) >= least)
     columns = []
     for a in aspects:
-        score = F.try_element_at(F.col(scores), F.lit(a))
+        score = F.col(a) if scores is None else F.try_element_at(F.col(scores), F.lit(a))
         columns += [F.avg(score).alias(f"{a}_mean"), (F.count(score) / F.count(F.lit(1)).cast("double")).alias(f"{a}_rate")]
     return kept.groupBy(key).agg(*columns)
 

@@ -10,10 +10,11 @@ from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, Ran
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import dropped, stored
 from .explain import LeafGames, saved_games, tree_shapley
 from .models import learners, vectors
 from .reviews import seeded
-from .statistics import table_fingerprint
+from .statistics import values_fingerprint
 
 _KINDS = {"boosted_trees": GBTRegressionModel, "random_forest": RandomForestRegressionModel, "ridge": LinearRegressionModel}
 
@@ -42,9 +43,9 @@ class StoredModel:
     def games(self) -> LeafGames:
         return saved_games(self.spark, f"{self.path}/model")
 
-    def explain(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """keys, a contribution a column, and base (`explain.tree_shapley`)."""
-        return tree_shapley(vectors(df, self.columns), keys, self.columns, self.games)
+    def explain(self, df: DataFrame, keys: Sequence[str], ready: bool = False) -> DataFrame:
+        """keys, a contribution a column, and base (`explain.tree_shapley`); ready: df has the `features` of the columns already."""
+        return tree_shapley(df if ready else vectors(df, self.columns), keys, self.columns, self.games)
 
 
 def train(df: DataFrame, path: str, key: str, label: str, columns: Sequence[str], learner: str = "boosted_trees", rounds: int = 600) -> str:
@@ -53,9 +54,11 @@ def train(df: DataFrame, path: str, key: str, label: str, columns: Sequence[str]
     The version is the fingerprint of key, label and columns of the training rows, so the same rows in any order have the same.
     """
     ready = vectors(df, columns).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0)
+    ready = stored(ready.select("features", F.col(label).cast("double").alias(label), "validation"), "ready")  # fits read it several times
     model = learners(label, rounds)[learner].fit(ready)
-    print_ = table_fingerprint(df, [key, label, *columns]).first()
-    version = f"{print_.n}-{int(print_.fingerprint or 0):x}"
+    dropped(ready)
+    print_ = values_fingerprint(df, [key, label, *columns]).first()
+    version = f"{print_.n}-{int(print_.fingerprint or 0) % (1 << 64):x}"
     model.write().save(f"{path}/model")
     df.sparkSession.createDataFrame([(learner, list(columns), version)], "kind string, columns array<string>, version string").coalesce(1).write.json(f"{path}/manifest")
     return version

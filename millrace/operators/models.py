@@ -11,7 +11,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +18,14 @@ from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from ..shared import dropped, shared_path, stored
+from .explain import credited, long_contributions
 from .reviews import seeded
 from .statistics import kfold, regression_metrics
 
 
 def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with `features`: missing values become -1 and an indicator column each, as trees can't take them."""
-    filled = df
-    for c in columns:
-        filled = filled.withColumn(f"{c}_filled", F.coalesce(F.col(c), F.lit(-1.0))).withColumn(f"{c}_missing", F.col(c).isNull().cast("double"))
+    filled = df.withColumns({f"{c}_{s}": x for c in columns for s, x in (("filled", F.coalesce(F.col(c), F.lit(-1.0))), ("missing", F.col(c).isNull().cast("double")))})
     return VectorAssembler(inputCols=[f"{c}_{s}" for c in columns for s in ("filled", "missing")], outputCol="features").transform(filled)
 
 
@@ -81,7 +79,7 @@ def compare(df: DataFrame, key: str, label: str, columns: Sequence[str], folds:
 
 def linear_contributions(df: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
     """(key, feature, contribution) of a ridge model: weight times distance from the mean."""
-    model = learners(label)["ridge"].fit(vectors(df, columns))
+    model = learners(label)["ridge"].fit(df if "features" in df.columns else vectors(df, columns))
     means = df.agg(*(F.avg(F.coalesce(F.col(c), F.lit(-1.0))).alias(c) for c in columns)).first()
     weights = model.coefficients.toArray()[::2]
     parts = [F.struct(F.lit(c).alias("feature"), ((F.coalesce(F.col(c), F.lit(-1.0)) - means[c]) * float(w)).alias("contribution")) for c, w in zip(columns, weights)]
@@ -111,37 +109,32 @@ def tree_tables(model: RandomForestRegressionModel) -> list[dict[str, np.ndarray
 def path_contributions(x: np.ndarray, trees: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, float]:
     """Contributions of the features of each row, and the forest's base: on the way down a tree, what each split adds to the node's value
     is credited to the split's feature.  Base and contributions add up to the prediction."""
-    out, base = np.zeros(x.shape), 0.0
+    flat, out, base = np.ascontiguousarray(x).ravel(), np.zeros(x.size), 0.0
     for t in trees:
-        at = np.zeros(len(x), int)
         base += t["value"][0] / len(trees)
+        children = np.stack([t["right"], t["left"]], 1).ravel()
+        start, node = np.arange(len(x)) * x.shape[1], np.zeros(len(x), int)
         while True:
-            rows = np.flatnonzero(t["left"][at] >= 0)
-            if not len(rows):
+            inner = t["left"][node] >= 0
+            start, node = start[inner], node[inner]
+            if not len(node):
                 break
-            node = at[rows]
-            feature = t["feature"][node]
-            below = np.where(x[rows, feature] <= t["threshold"][node], t["left"][node], t["right"][node])
-            np.add.at(out, (rows, feature), (t["value"][below] - t["value"][node]) / len(trees))
-            at[rows] = below
-    return out, base
+            place = start + t["feature"][node]
+            below = children[2 * node + (flat[place] <= t["threshold"][node])]
+            out[place] += (t["value"][below] - t["value"][node]) / len(trees)  # a row occurs once
+            node = below
+    return out.reshape(x.shape), base
 
 
 def tree_contributions(df: DataFrame, key: str, label: str, columns: Sequence[str], model: RandomForestRegressionModel | None = None) -> DataFrame:
-    """(key, feature, contribution) of a forest by its paths; a column's own and its missing-value feature are added up."""
-    ready = vectors(df, columns)
+    """(key, feature, contribution) of a forest by its paths; a column's own and its missing-value feature are added up.
+
+    df may have the `features` that `vectors` makes of the columns, here and in `linear_contributions`: then they are not made again.
+    """
+    ready = df if "features" in df.columns else vectors(df, columns)
     model = learners(label)["random_forest"].fit(ready) if model is None else model
     trees = tree_tables(model)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                parts = path_contributions(np.stack(batch["x"].to_numpy()), trees)[0]
-                both = parts[:, ::2] + parts[:, 1::2]
-                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), len(columns)), "feature": np.tile(list(columns), len(batch)), "contribution": both.ravel()})
-
-    return ready.select(key, vector_to_array("features").alias("x")).mapInPandas(run, f"`{key}` {kind}, feature string, contribution double")
+    return long_contributions(credited(ready, [key], columns, lambda: lambda x: path_contributions(x, trees)[0]), [key], columns)
 
 
 #: Distribution function of Poisson(1).
