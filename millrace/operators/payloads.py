@@ -26,10 +26,6 @@ def _is(v: Column, path: str, kind: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def parsed(df: DataFrame, payload: str, out: str = "parsed") -> DataFrame:
     """df with the payload as VARIANT; null where it is no JSON."""
     return df.withColumn(out, F.try_parse_json(payload))
@@ -49,28 +45,37 @@ def coerced(df: DataFrame, v: str, aspects: Sequence[str], most: int = 3) -> Dat
     clamped to 0..10, which counts if it changes it, and its text is cut to 120 characters.  Null and missing entries are null;
     anything else is null and counts.  The confidence is clamped to 0..1; one that is absent is 0.5, and one that is no number
     (nor a text that reads as one) is 0.5 and counts.  Keys that nobody expects are left out.  More than `most` counts reject.
+
+    Everything is read once, in steps (scores and confidence, entries, their values, what stands) that have columns of their own.
     """
-    parsed_ = F.col(v)
+    numbers = range(len(aspects))
+    scores, told = _at(F.col(v), "$.scores", "map<string,variant>"), _at(F.col(v), "$.confidence")
+    out = df.withColumns({"p_scores": scores, "p_told": told})
+    out = out.withColumns({f"p_entry{i}": F.try_element_at("p_scores", F.lit(a)) for i, a in enumerate(aspects)})
+    out = out.withColumns({f"p_fields{i}": _at(F.col(f"p_entry{i}"), "$", "struct<score:variant,evidence:variant>") for i in numbers})
+    found = {}
+    for i in numbers:
+        score, evidence = F.col(f"p_fields{i}.score"), F.col(f"p_fields{i}.evidence")
+        found[f"p_score{i}"] = F.when(_is(score, "$", "number"), _at(score, "$", "double"))
+        found[f"p_evidence{i}"] = F.when(_is(evidence, "$", "text"), F.btrim(_at(evidence, "$", "string"), F.lit(" \t\n\x0b\f\r")))
+    out = out.withColumns({**found, "p_sure": _at(F.col("p_told"), "$", "double")})
     entries, repairs = [], F.lit(0)
-    for a in aspects:
-        path = f"$.scores.{a}"
-        score = _at(parsed_, f"{path}.score", "double")
+    for i, a in enumerate(aspects):
+        entry, score, evidence = F.col(f"p_entry{i}"), F.col(f"p_score{i}"), F.col(f"p_evidence{i}")
         clamped = F.greatest(F.lit(0.0), F.least(F.lit(10.0), score))
-        evidence = _stripped(_at(parsed_, f"{path}.evidence", "string"))
-        good = _is(parsed_, path, "object") & _is(parsed_, f"{path}.score", "number") & _is(parsed_, f"{path}.evidence", "text") & (F.length(evidence) >= 2)
+        good = score.isNotNull() & F.coalesce(F.length(evidence) >= 2, F.lit(False))
         entries += [F.lit(a), F.when(good, F.struct(clamped.alias("score"), F.substring(evidence, 1, 120).alias("evidence")))]
-        silent = _is(parsed_, path, "null") | _is(parsed_, path, "absent")
-        repairs = repairs + F.when(good, (clamped != score).cast("int")).otherwise(F.when(silent, 0).otherwise(1))
-    told = _at(parsed_, "$.confidence", "double")
-    odd = ~_is(parsed_, "$.confidence", "absent") & told.isNull()
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(told, F.lit(0.5))))
-    usable = _is(parsed_, "$.scores", "object")
-    repairs = F.when(usable, repairs + odd.cast("int")).otherwise(0)
+        silent = F.when(F.col(f"p_fields{i}").isNotNull(), False).otherwise(entry.isNull() | _is(entry, "$", "null"))
+        repairs = repairs + F.when(good, (clamped != score).cast("int")).when(silent, 0).otherwise(1)
+    odd = F.col("p_told").isNotNull() & F.col("p_sure").isNull()
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("p_sure", F.lit(0.5))))
+    usable = F.col("p_scores").isNotNull()
+    out = out.withColumns({"scores": F.when(usable, F.create_map(*entries)), "confidence": confidence, "n_coerced": F.when(usable, repairs + odd.cast("int")).otherwise(0)})
     reason = (
-        F.when(parsed_.isNull(), "not_json").when(~_is(parsed_, "$", "object"), "not_an_object")
-        .when(~usable, "no_scores").when(repairs > most, "too_malformed")
+        F.when(F.col(v).isNull(), "not_json").when(usable, F.when(F.col("n_coerced") > most, "too_malformed"))
+        .when(~_is(F.col(v), "$", "object"), "not_an_object").otherwise("no_scores")
     )
-    return df.withColumns({"scores": F.when(usable, F.create_map(*entries)), "confidence": confidence, "n_coerced": repairs, "rejected": reason})
+    return out.withColumn("rejected", reason).drop("p_scores", "p_told", "p_sure", *(f"p_{n}{i}" for n in ("entry", "fields", "score", "evidence") for i in numbers))
 
 
 def bridging_error(v: str, aspects: Sequence[str]) -> Column:

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import extraction as X
+from millrace.operators import payloads as P
 from millrace.operators import statistics as S
+from millrace.plans import QUERIES
 from millrace.plans import job_queries as J
 from millrace.views import ASPECTS, aspect_scores
 
@@ -36,3 +38,14 @@ def test_fingerprint_of_values(spark):
     print_ = lambda r: S.values_fingerprint(spark.createDataFrame(r, "a string, b string, c double"), ["a", "b", "c"]).first()
     assert print_(rows) == print_(rows[::-1]) != print_([(None, "x", 1.5), ("x", None, 2.5), ("y", "z", None)])
     assert print_([("x", None, 1.5)]) != print_([(None, "x", 1.5)])
+
+
+def test_payloads_are_read_once(spark):
+    plan = _plan(QUERIES["json_validate_coerce"](spark, SF))
+    assert plan.count("$.scores") == 1 and plan.count("try_variant_get") < 30
+    texts = ['{"scores":{"a":{"score":12,"evidence":"\\t yes "},"b":null,"c":[1]},"confidence":null}', '{"scores":{"a":{"score":{"value":3},"evidence":"abc"}}}', '{"scores":"{}"}', "[1]", "1", "{", None]
+    rows = P.coerced(P.parsed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "t"), "parsed", ("a", "b", "c"))
+    assert rows.columns == ["i", "t", "parsed", "scores", "confidence", "n_coerced", "rejected"]
+    out = rows.orderBy("i").select(F.col("scores")["a"]["score"], F.col("scores")["a"]["evidence"], "confidence", "n_coerced", "rejected").collect()
+    assert [tuple(r) for r in out[:2]] == [(10.0, "yes", 0.5, 3, None), (None, None, 0.5, 1, None)]
+    assert [tuple(r)[2:] for r in out[2:]] == [(0.5, 0, e) for e in ("no_scores", "not_an_object", "not_an_object", "not_json", "not_json")]
