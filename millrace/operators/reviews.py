@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +14,6 @@ from ..functions import text as T
 from ..shared import stored
 
 DAY = 86400
-SPACES = re.compile(r"[ \t-\r]+")
 
 
 def seeded(*key: str, seed: str = "42") -> Column:
@@ -99,9 +97,16 @@ def _in_pairs(jaccard: float):
     def hits(samples: pd.Series) -> pd.Series:
         """Texts of a sample whose word sets are similar to another one's, from one product of set and word incidences."""
 
+        split: dict[str, list[bytes]] = {}  # each text of the batch once
+
+        def words(text: str) -> list[bytes]:
+            if text not in split:
+                split[text] = text.encode().split()  # of bytes, blank are 20 and 09 to 0D alone
+            return split[text]
+
         def count(texts) -> int:
-            number: dict[str, int] = {}
-            sets = [{number.setdefault(w, len(number)) for w in SPACES.split(t) if w} for t in texts]
+            number: dict[bytes, int] = {}
+            sets = [{number.setdefault(w, len(number)) for w in words(t)} for t in texts]
             sizes = np.array([len(s) for s in sets])
             has = np.zeros((len(sets), len(number)), np.float32)
             has[np.repeat(np.arange(len(sets)), sizes), [i for s in sets for i in s]] = 1
@@ -118,10 +123,12 @@ def _in_pairs(jaccard: float):
 def near_duplicates(df: DataFrame, key: str, uid: str, text: str, sample: int = 60, jaccard: float = 0.7, share: float = 0.3, least: int = 5) -> DataFrame:
     """key, dup_share, near_duplicate: share of a seeded sample of texts that are in a pair of similar word sets.
 
-    The sample of a key, at most `sample` texts, meets in one row, so that no pairs are shuffled.
+    The sample of a key, at most `sample` texts, meets in one row, so that no pairs are shuffled; a window collects it, as the rows
+    of a key lie together already and an aggregate would sort them once more.
     """
-    taken = capped(df.select(key, uid, text), key, [seeded(uid), F.col(uid)], sample)  # pruned before the shuffle
-    texts = taken.groupBy(key).agg(F.collect_list(F.coalesce(F.lower(F.col(text)), F.lit(""))).alias("texts"))  # a sample a row
+    taken = capped(df.select(key, uid, text), key, [F.unhex(seeded(uid)), F.col(uid)], sample)  # pruned before the shuffle
+    together = F.collect_list(F.coalesce(F.lower(F.col(text)), F.lit(""))).over(Window.partitionBy(key))
+    texts = taken.select(key, "nth", together.alias("texts")).where("nth = 1").drop("nth")  # a sample a row
     ratio = _in_pairs(jaccard)(F.col("texts")) / F.size("texts").cast("double")
     out = texts.select(key, ratio.alias("dup_share"), F.size("texts").alias("n"))
     return out.select(key, "dup_share", ((F.col("n") >= least) & (F.col("dup_share") > share)).alias("near_duplicate"))

@@ -1,9 +1,12 @@
 """What work grows with: scans, plans and passes of the queries that larger tables made slow."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from millrace.operators import extraction as X
 from millrace.operators import payloads as P
+from millrace.operators import reviews as R
 from millrace.operators import statistics as S
 from millrace.plans import QUERIES
 from millrace.plans import job_queries as J
@@ -49,3 +52,13 @@ def test_payloads_are_read_once(spark):
     out = rows.orderBy("i").select(F.col("scores")["a"]["score"], F.col("scores")["a"]["evidence"], "confidence", "n_coerced", "rejected").collect()
     assert [tuple(r) for r in out[:2]] == [(10.0, "yes", 0.5, 3, None), (None, None, 0.5, 1, None)]
     assert [tuple(r)[2:] for r in out[2:]] == [(0.5, 0, e) for e in ("no_scores", "not_an_object", "not_an_object", "not_json", "not_json")]
+
+
+def test_samples_are_collected_without_another_sort(spark):
+    same = [("a", i, t) for i, t in enumerate(["x y z", "x\ty\nz", "x y z", "X Y Z", "", None, "q r s"])]
+    many = [("b", i, f"w{i} v{i}" if i % 2 else "one two three") for i in range(100)]
+    rows = spark.createDataFrame(same + many, "k string, u long, t string")
+    out = R.near_duplicates(rows, "k", "u", "t")
+    assert "collect_list" not in "".join(line for line in _plan(out).splitlines() if "Aggregate" in line)
+    taken = [t for _, _, t in sorted(many, key=lambda r: hashlib.md5(f"42|{r[1]}".encode()).hexdigest())[:60]]
+    assert {r.k: r.dup_share for r in out.collect()} == {"a": 3 / 7, "b": taken.count("one two three") / 60}
