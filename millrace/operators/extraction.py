@@ -55,6 +55,17 @@ def aspect_aggregates(df: DataFrame, key: str, aspects: Sequence[str], scores: s
     return kept.groupBy(key).agg(*columns)
 
 
+def aspect_columns(aspects: Sequence[str], confidence: str = "confidence", least: float = 0.3) -> list[Column]:
+    """The aggregates of `aspect_aggregates` over a column an aspect, to be taken beside others of all rows; all null if no row is confident."""
+    kept, columns = F.coalesce(F.col(confidence), F.lit(0.0)) >= least, []
+    rows = F.count_if(kept)
+    for a in aspects:
+        score = F.when(kept, F.col(a))
+        mentions = F.count(score)
+        columns += [(F.sum(score) / F.nullif(mentions, F.lit(0))).alias(f"{a}_mean"), (mentions / F.nullif(rows, F.lit(0)).cast("double")).alias(f"{a}_rate")]
+    return columns
+
+
 def long_scores(df: DataFrame, keys: Sequence[str], scores: str = "scores") -> DataFrame:
     """(keys, aspect, score) rows of a map of scores."""
     return df.select(*keys, F.explode(scores).alias("aspect", "score"))

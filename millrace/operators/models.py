@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -23,10 +23,21 @@ from .reviews import seeded
 from .statistics import kfold, regression_metrics
 
 
-def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with `features`: missing values become -1 and an indicator column each, as trees can't take them."""
-    filled = df.withColumns({f"{c}_{s}": x for c in columns for s, x in (("filled", F.coalesce(F.col(c), F.lit(-1.0))), ("missing", F.col(c).isNull().cast("double")))})
-    return VectorAssembler(inputCols=[f"{c}_{s}" for c in columns for s in ("filled", "missing")], outputCol="features").transform(filled)
+def vectors(df: DataFrame, columns: Sequence[str], marked: Sequence[str] | None = None) -> DataFrame:
+    """df with `features`: missing values become -1 and an indicator column each (of `marked` only, if given), as trees can't take them."""
+    cells = {"filled": lambda c: F.coalesce(F.col(c), F.lit(-1.0)), "missing": lambda c: F.col(c).isNull().cast("double")}
+    made = {f"{c}_{s}": x(c) for c in columns for s, x in cells.items() if s == "filled" or marked is None or c in marked}
+    return VectorAssembler(inputCols=list(made), outputCol="features").transform(df.withColumns(made))
+
+
+def gappy(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that some rows lack and others have: boosted trees need no other indicator.
+
+    They search splits in all features of a node, and a constant feature has none, so without it they are the same.  Forests draw
+    features, so they keep all.
+    """
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col(c)).alias(f"n_{c}") for c in columns)).first()  # one row
+    return [c for c in columns if 0 < seen[f"n_{c}"] < seen["n"]]
 
 
 def learners(label: str, rounds: int = 600) -> dict:
@@ -38,13 +49,20 @@ def learners(label: str, rounds: int = 600) -> dict:
     }
 
 
-def folded(df: DataFrame, key: str, columns: Sequence[str], folds: int = 5) -> DataFrame:
-    """df with features, fold (`kfold`) and validation (a tenth of the rows, by a hash of the key); written once for all fits."""
-    return stored(kfold(vectors(df, columns), key, folds).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0), "folded")
+def folded(df: DataFrame, key: str, columns: Sequence[str], folds: int = 5, sets: Mapping[str, tuple[Sequence[str], Sequence[str] | None]] | None = None) -> DataFrame:
+    """df with features, fold (`kfold`) and validation (a tenth of the rows, by a hash of the key); written once for all fits.
+
+    sets: names, columns and marked ones of `vectors`, if not `features` of all columns alone.
+    """
+    out = kfold(df, key, folds).withColumn("validation", F.pmod(F.xxhash64(seeded(key, seed="v")), F.lit(10)) == 0)
+    for name, (own, marked) in (sets or {"features": (columns, None)}).items():  # after the folds, as vectors need not be shuffled
+        out = vectors(out, own, marked).select(*out.columns, F.col("features").alias(name))
+    return stored(out, "folded")
 
 
-def _fitted(ready: DataFrame, label: str, learner: str, folds: int, rounds: int) -> tuple[DataFrame, list[float]]:
+def _fitted(ready: DataFrame, label: str, learner: str, folds: int, rounds: int, features: str = "features") -> tuple[DataFrame, list[float]]:
     """Out-of-fold predictions and the seconds of each fit; the fits of the folds run side by side."""
+    ready = ready.withColumn("features", F.col(features))
 
     def fit(i: int) -> tuple[DataFrame, float]:
         began = time.time()
@@ -63,15 +81,23 @@ def out_of_fold(df: DataFrame, key: str, label: str, columns: Sequence[str], lea
 
 def out_of_folds(df: DataFrame, key: str, labels: Sequence[str], columns: Sequence[str], learner: str = "boosted_trees", folds: int = 5, rounds: int = 600) -> dict[str, DataFrame]:
     """`out_of_fold` of each label; the folds are dealt and the features written once for all."""
-    ready = folded(df, key, columns, folds)
+    ready = folded(df, key, columns, folds, {"features": (columns, gappy(df, columns) if learner == "boosted_trees" else None)})
     return {label: _fitted(ready, label, learner, folds, rounds)[0].select(*df.columns, "fold", "prediction") for label in labels}
 
 
+def out_of_fold_sets(df: DataFrame, key: str, label: str, sets: Mapping[str, Sequence[str]], folds: int = 5, rounds: int = 600) -> dict[str, DataFrame]:
+    """`out_of_fold` by boosted trees with each of the sets of columns; the folds are dealt and the features written once for all."""
+    columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    marked = gappy(df, columns)
+    ready = folded(df, key, columns, folds, {f"features_{name}": (own, marked) for name, own in sets.items()})
+    return {name: _fitted(ready, label, "boosted_trees", folds, rounds, f"features_{name}")[0].select(*df.columns, "fold", "prediction") for name in sets}
+
+
 def compare(df: DataFrame, key: str, label: str, columns: Sequence[str], folds: int = 5, rounds: int = 600) -> DataFrame:
     """(learner, fold, rmse, mae, r2, fit_seconds) of every learner on the same folds."""
-    ready, parts = folded(df, key, columns, folds), []
+    ready, parts = folded(df, key, columns, folds, {"tree_features": (columns, gappy(df, columns)), "features": (columns, None)}), []
     for name in learners(label):
-        out, seconds = _fitted(ready, label, name, folds, rounds)
+        out, seconds = _fitted(ready, label, name, folds, rounds, "tree_features" if name == "boosted_trees" else "features")
         metrics = regression_metrics(out, label, "prediction", ["fold"])
         parts.append(metrics.withColumn("learner", F.lit(name)).withColumn("fit_seconds", F.element_at(F.array(*map(F.lit, seconds)), F.col("fold") + 1)))
     return reduce(DataFrame.unionByName, parts)

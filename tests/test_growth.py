@@ -5,11 +5,13 @@ import hashlib
 from pyspark.sql import functions as F
 
 from millrace.operators import extraction as X
+from millrace.operators import models as M
 from millrace.operators import payloads as P
 from millrace.operators import reviews as R
 from millrace.operators import statistics as S
 from millrace.plans import QUERIES
 from millrace.plans import job_queries as J
+from millrace.plans import score_queries as C
 from millrace.views import ASPECTS, aspect_scores
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +64,32 @@ def test_samples_are_collected_without_another_sort(spark):
     assert "collect_list" not in "".join(line for line in _plan(out).splitlines() if "Aggregate" in line)
     taken = [t for _, _, t in sorted(many, key=lambda r: hashlib.md5(f"42|{r[1]}".encode()).hexdigest())[:60]]
     assert {r.k: r.dup_share for r in out.collect()} == {"a": 3 / 7, "b": taken.count("one two three") / 60}
+
+
+def test_training_rows_come_of_lines_that_are_read_once(spark, tmp_path):
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_returnflag string, l_linestatus string, l_discount double"
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("*", "l_partkey % 5 = 0 as unsure").withColumn("l_discount", F.expr("if(unsure, 0.01, l_discount)"))
+    line.select(*(c.split()[0] for c in schema.split(", "))).write.parquet(f"{tmp_path}/lineitem.parquet")  # a fifth of the products have no confident review
+    spark.read.parquet(f"{SF}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    once, thrice = J.training_rows(spark, str(tmp_path)), J._training(spark, str(tmp_path))
+    assert once.columns == thrice.columns and "lineitem" not in "".join(once.inputFiles())
+    got, want = ({r.product_uid: r.asDict() for r in rows.collect()} for rows in (once, thrice))
+    assert got.keys() == want.keys() and any(r["utility"] is None for r in want.values()) and any(r["utility"] is not None for r in want.values())
+    near = lambda a, b: a == b or (None not in (a, b) and abs(a - b) < 1e-9)
+    assert all(near(v, want[k][c]) if not isinstance(v, str) else v == want[k][c] for k, r in got.items() for c, v in r.items())
+    lines = C.profiled_products(spark, str(tmp_path))
+    assert C._category_means(spark, str(tmp_path), lines).count() == C._category_means(spark, str(tmp_path)).count() > 0
+
+
+def test_sets_of_columns_share_folds_and_trees_see_no_constant_indicator(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id", "cast(id % 7 as double) as a", "if(id % 4 = 0, null, cast(id % 11 as double)) as b", "cast(id % 7 * 3 + id % 11 as double) as y")
+    assert M.gappy(df, ["a", "b"]) == ["b"] and M.gappy(df.withColumn("b", F.lit(None).cast("double")), ["a", "b"]) == []
+    assert M.vectors(df, ["a", "b"], ["b"]).first().features.size == 3
+    written, folded = [], M.folded
+    monkeypatch.setattr(M, "folded", lambda *args: written.append(1) or folded(*args))
+    sets = M.out_of_fold_sets(df, "id", "y", {"both": ["a", "b"], "one": ["a"]}, 3, 5)
+    assert len(written) == 1
+    for name, columns in (("both", ["a", "b"]), ("one", ["a"])):
+        ready = folded(df, "id", columns, 3)  # with all indicators
+        want = {r.id: (r.fold, r.prediction) for r in M._fitted(ready, "y", "boosted_trees", 3, 5)[0].collect()}
+        assert {r.id: (r.fold, r.prediction) for r in sets[name].collect()} == want and len(want) == 300
