@@ -91,15 +91,16 @@ def shapley_values(x: np.ndarray, games: LeafGames, tables: np.ndarray) -> np.nd
     for leaf in range(leaves):
         pattern, places = np.full(len(x), always[leaf], np.intp), np.flatnonzero(~filled[leaf])
         for i in places:
-            at = columns[games.feature[leaf, i]]
-            pattern |= ((at > games.low[leaf, i]) & (at <= games.high[leaf, i])).astype(np.intp) << i
+            at, low, high = columns[games.feature[leaf, i]], games.low[leaf, i], games.high[leaf, i]
+            known = at > low if np.isinf(high) else at <= high if np.isinf(low) else (at > low) & (at <= high)
+            pattern |= known.astype(np.intp) << i
         for i in places:
             out[games.feature[leaf, i]] += tables[leaf, :, i][pattern]
     return out.T
 
 
-def tree_shapley(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], games: LeafGames) -> DataFrame:
-    """keys, a column of contributions for each of columns, and base; ready: rows with `features` as `models.vectors` makes them.
+def tree_shapley(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], games: LeafGames, marked: Sequence[str] | None = None) -> DataFrame:
+    """keys, a column of contributions for each of columns, and base; ready: rows with `features` as `models.vectors` makes them of columns and marked.
 
     A column's own and its missing-value feature are added up.  Base and contributions add up to the prediction of the row.
     """
@@ -108,12 +109,13 @@ def tree_shapley(ready: DataFrame, keys: Sequence[str], columns: Sequence[str],
         tables = shapley_tables(games)
         return lambda x: shapley_values(x, games, tables)
 
-    return credited(ready, keys, columns, explainer).withColumn("base", F.lit(games.base))
+    return credited(ready, keys, columns, explainer, marked).withColumn("base", F.lit(games.base))
 
 
-def credited(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], explainer: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """keys and a column of contributions for each of columns, whose own and missing-value features are added up; a task makes its
-    explainer once, and it turns the features of some rows into as many contributions."""
+def credited(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], explainer: Callable[[], Callable[[np.ndarray], np.ndarray]], marked: Sequence[str] | None = None) -> DataFrame:
+    """keys and a column of contributions for each of columns, whose own and missing-value features (of all columns, or of marked) are
+    added up; a task makes its explainer once, and it turns the features of some rows into as many contributions."""
+    first = np.cumsum([0, *(2 if marked is None or c in marked else 1 for c in columns[:-1])])  # places of the own features
     kinds = ", ".join(f"`{k}` {ready.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,7 @@ def credited(ready: DataFrame, keys: Sequence[str], columns: Sequence[str], expl
             if batch.num_rows:
                 explain = explainer() if explain is None else explain
                 parts = explain(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                both = np.ascontiguousarray((parts[:, ::2] + parts[:, 1::2]).T)
+                both = np.ascontiguousarray(np.add.reduceat(parts, first, axis=1).T)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *map(pa.array, both)], [*keys, *columns])
 
     schema = f"{kinds}, " + ", ".join(f"`{c}` double" for c in columns)

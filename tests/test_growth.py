@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from millrace.operators import extraction as X
+from millrace.operators import model_store as MS
 from millrace.operators import models as M
 from millrace.operators import payloads as P
 from millrace.operators import reviews as R
@@ -93,3 +94,17 @@ def test_sets_of_columns_share_folds_and_trees_see_no_constant_indicator(spark,
         ready = folded(df, "id", columns, 3)  # with all indicators
         want = {r.id: (r.fold, r.prediction) for r in M._fitted(ready, "y", "boosted_trees", 3, 5)[0].collect()}
         assert {r.id: (r.fold, r.prediction) for r in sets[name].collect()} == want and len(want) == 300
+
+
+def test_stored_trees_keep_the_indicators_of_columns_with_gaps_only(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", "cast(id % 7 as double) as a", "if(id % 4 = 0, null, cast(id % 11 as double)) as b", "cast(id % 5 as double) as c", "cast(id % 7 * 3 + id % 11 as double) as y")
+    MS.train(df, f"file://{tmp_path}/m", "id", "y", ["a", "b", "c"], rounds=5)
+    model = MS.load(spark, f"file://{tmp_path}/m", ["a", "b", "c"])
+    assert model.marked == ("b",) and model.model.numFeatures == 4
+    ready = M.vectors(df, ["a", "b", "c"]).withColumn("validation", F.expr("pmod(xxhash64(md5(concat_ws('|', 'v', id))), 10) = 0"))
+    whole = M.learners("y", 5)["boosted_trees"].fit(ready)  # with all indicators
+    want = {r.id: r.prediction for r in whole.transform(ready).collect()}
+    assert {r.id: r.p for r in model.predict(df, "p").collect()} == want
+    parts = model.explain(df, ["id"]).collect()
+    assert len(parts) == 300 and all(abs(r.a + r.b + r.c + r.base - want[r.id]) < 1e-9 for r in parts) and any(r.b for r in parts)
+    assert "marked" in spark.read.json(f"file://{tmp_path}/m/manifest").columns
