@@ -120,4 +120,5 @@ def test_batch_predict_reads_the_lines_once_and_joins_no_explanations(spark, mon
     *names, specs = read
     assert names.count("lineitem") == 1
     assert _plan(out).count("Join ") == _plan(specs).count("Join ")
+    assert sum("Join Inner, (category" in line and "rightHint=(strategy=broadcast)" in line for line in _plan(specs).splitlines()) == 2  # rows of categories, so products are not dealt by category or by a task
     assert out.columns == ["product_uid", "category", "viability", "full_model", "category_mean", "success_p75", "grade", "model_version", "top_risks", "top_strengths"]
