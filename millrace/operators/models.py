@@ -10,6 +10,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,7 @@ from ..shared import dropped, shared_path, stored
 from .explain import credited, long_contributions
 from .reviews import seeded
 from .statistics import kfold, regression_metrics
+from .todo import perhaps_done
 
 
 def vectors(df: DataFrame, columns: Sequence[str], marked: Sequence[str] | None = None) -> DataFrame:
@@ -213,25 +216,10 @@ def bootstrap(df: DataFrame, key: str, pairs: dict[str, tuple[str, str]], replic
     return long.groupBy("statistic").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
 
 
-#: Longs of a parity sketch.
-SKETCH_LONGS = 4
-
-
-def parity_sketch(words: Column) -> list[Column]:
-    """Longs whose bits are the parities of 64 * SKETCH_LONGS parts of a set: a word in one of two sets alone flips one bit."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w, F.lit("bit")))
-
-    def part(j: int) -> Column:
-        mine = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(SKETCH_LONGS)) == j
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-        return F.aggregate(F.filter(hashes, mine), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
-
-    return [part(j).alias(f"sketch{j}") for j in range(SKETCH_LONGS)]
-
-
 @F.pandas_udf(ArrayType(LongType()))
 def _wide_sketch(words: pd.Series) -> pd.Series:
-    """As `parity_sketch`, one to two bits or more a word: 2 ** k longs, so that halves laid over each other are the sketch of half as many."""
+    """Longs whose bits are the parities of parts of a set, so that a word in one of two sets alone flips one bit: one to two bits or more a word,
+    2 ** k longs, so that halves laid over each other are the sketch of half as many."""
 
     def sketch(hashes) -> np.ndarray:
         bits = 64 << (max(len(hashes) - 1, 0) // 32).bit_length()
@@ -249,46 +237,126 @@ def _wide_flips(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
-def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int | None = 400) -> DataFrame:
-    """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category, if given.
+#: Cells in which words are counted, a byte each once they are ranked, whatever the number of words; sets whose words are put in order at once.
+CELLS, SETS = 1 << 22, 250
+
+
+def _flat(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of a batch, the hashes in their `words` end to end, and how many each has."""
+    for start in range(0, batch.num_rows, SETS):
+        rows = batch.slice(start, SETS)
+        words = rows.column("words")
+        yield rows, words.flatten().to_numpy().view(np.uint64), np.diff(words.offsets.to_numpy())
+
+
+def _cells(words: np.ndarray) -> np.ndarray:
+    return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+
+def _word_levels(sets: DataFrame) -> np.ndarray:
+    """Levels of all cells, more for more words in them: about 8 a doubling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, words, _ in _flat(batch):
+                counts += np.bincount(_cells(words), minlength=CELLS)
+        full = np.flatnonzero(counts)
+        for some in np.array_split(full, len(full) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["cell", "n"])
+
+    counted = sets.select("words").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counted.select("cell", F.least(F.round(8 * F.log2("n")), F.lit(255)).cast("short").alias("level")).toArrow()  # CELLS rows at most
+    levels = np.zeros(CELLS, np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return levels
+
+
+#: Words that similar sets are asked to share among their first ones, if they have as many.
+SHARED = 4
+
 
-    Texts of equal word sets count as their best one, since the others always go with or because of it.  Similar pairs of
-    these are found over a shared rare word (by its hash) and a band of sizes, leave the join only if their parity sketches differ in no more bits than similar
-    sets may in words, and are settled by rounds of joins: texts that no better one disputes stay, and what
-    is similar to them goes, until no pair is left.  Texts without words are similar to none.
+def _prefixes(sets: DataFrame, levels: Broadcast, jaccard: float) -> DataFrame:
+    """(word, row, n, after) of the first words of sets of n, as many as leave similar sets no way to share fewer than SHARED, and of the words
+    after each.  Words come by the level of their cell and by their hash, an order that all sets share: any would do, but few sets share rare words.
     """
-    words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))))
-    rows = df.select(F.col(category).alias("cat"), F.col(uid).alias("uid"), F.col(score).alias("score"), words.alias("words"))
-    order = F.struct((-F.col("score")).alias("falling"), "uid")
-    best = rows.where(F.size("words") > 0).groupBy("cat", "words").agg(F.min_by(F.struct("uid", "score"), order).alias("best"))
-    sets = stored(best.select("cat", "best.uid", "best.score", "words", _wide_sketch("words").alias("wide")), "sets")
-    sketches = sets.select("cat", "uid", *parity_sketch(F.col("words")))
-    exploded = sets.select("cat", "uid", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = exploded.groupBy("cat", "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(counts, ["cat", "word"])
-    place = F.row_number().over(Window.partitionBy("cat", "uid").orderBy("df", "word"))
-    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select("cat", "uid", "word", "n", (F.col("n") - F.col("place")).alias("after"))
-    prefix = prefix.join(sketches, ["cat", "uid"])
-    bits = [f"sketch{j}" for j in range(SKETCH_LONGS)]
-    band = F.floor(F.log(F.col("n")) / -math.log(jaccard) + 1e-9)  # similar sets are in the same band or in neighbouring ones
-    prefix = prefix.withColumn("band", band)
-    one, other = (prefix.withColumnsRenamed({"uid": u, "n": f"n{u}", "after": f"after_{u}", **{b: b + u for b in bits}}) for u in "ab")
-    one = one.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    flips = reduce(Column.__add__, (F.bit_count(F.col(b + "a").bitwiseXOR(F.col(b + "b"))) for b in bits))
-    room = flips < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9
-    # At the first word that two similar sets share, enough words must follow in both.
-    enough = 1 + F.least("after_a", "after_b") > jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = one.join(other, ["cat", "word", "band"]).where("a < b").where(enough & room).select("cat", "a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        for batch in batches:
+            for rows, words, n in _flat(batch):
+                at = np.repeat(np.arange(len(n)), n)
+                # Rows hold their words sorted, so that words alike in these bits keep one order too.
+                rank = (at.astype(np.uint64) << np.uint64(53)) | (level[_cells(words)].astype(np.uint64) << np.uint64(45)) | (words >> np.uint64(19))
+                words = words[np.argsort(rank, kind="stable")]
+                after = np.repeat(np.cumsum(n), n) - np.arange(len(words)) - 1
+                size = n[at]
+                first = after >= np.ceil(size * jaccard - 1e-9) - SHARED
+                columns = [words[first].view(np.int64), rows.column("row").to_numpy()[at[first]], size[first].astype(np.int32), after[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "row", "n", "after"])
+
+    return sets.select("row", "words").mapInArrow(run, "word long, row long, n int, after int")
+
+
+def _candidates(some: DataFrame, among: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a, b) of rows of `among`, one of them of `some`, that share as many of their first words as similar sets do."""
+    one, other = (df.withColumnsRenamed({"row": u, "n": f"n{u}", "after": f"after_{u}"}) for df, u in ((some, "a"), (among, "b")))
+    least = jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9  # similar sets have more words in common
+    # From the last of the first SHARED common words on, the others must follow in both.
+    met = one.join(other, "word").where("a < b" if some is among else "a <> b").where(SHARED + F.least("after_a", "after_b") > least)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(F.lit(SHARED), F.ceil(least)).cast("int").alias("need"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b")
+
+
+#: Keys of a set that near copies share with others, and least hashes in each.
+BANDS, BAND_HASHES = 8, 8
+
+
+def _stars(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and the best one that has the same least hashes in some part of the hash space: nearly all near copies are in one with
+    the best of theirs, and a crowd of them makes no more pairs than it has keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = BANDS * BAND_HASHES
+        for batch in batches:
+            for rows, words, n in _flat(batch):
+                place = np.repeat(np.arange(len(n)), n) * bins + (words >> np.uint64(32)).astype(np.int64) * bins // (1 << 32)
+                least = np.full(len(n) * bins, np.iinfo(np.uint64).max)
+                np.minimum.at(least, place, words)
+                empty = (least == np.iinfo(np.uint64).max).reshape(len(n), BANDS, BAND_HASHES).all(2)
+                mixed = (least ^ (least >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                weights = np.arange(1, 2 * bins, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                keys = ((mixed ^ (mixed >> np.uint64(29))).reshape(len(n), bins) * weights).reshape(len(n), BANDS, BAND_HASHES).sum(2, dtype=np.uint64)
+                at = np.nonzero(~empty)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[~empty].view(np.int64)), pa.array(rows.column("row").to_numpy()[at])], ["key", "b"])
+
+    keys = texts.mapInArrow(run, "key long, b long").join(sets.select(F.col("row").alias("b"), "score", "uid"), "b")
+    best = keys.groupBy("key").agg(F.min_by("b", F.struct((-F.col("score")).alias("falling"), "uid", "b")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return best.select("key", "a").join(keys.select("key", "b"), "key").where("a <> b").select("a", "b").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, jaccard: float) -> DataFrame:
+    """(cat, better, uid) of the pairs (a, b) of rows of sets that are similar: sketches are compared first, word sets only of those that may be."""
     for u in "ab":
-        pairs = pairs.join(sets.select("cat", F.col("uid").alias(u), F.size("words").alias(f"n{u}"), F.col("wide").alias(f"wide_{u}")), ["cat", u])
-    pairs = pairs.where(_wide_flips("wide_a", "wide_b") < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9).select("cat", "a", "b")
-    left = sets.select("cat", F.col("uid").alias("a"), F.col("score").alias("sa"), F.col("words").alias("wa"))
-    right = sets.select("cat", F.col("uid").alias("b"), F.col("score").alias("sb"), F.col("words").alias("wb"))
+        pairs = pairs.join(sets.withColumnsRenamed({"row": u, "cat": f"cat_{u}", "uid": f"u{u}", "score": f"s{u}", "n": f"n{u}", "wide": f"wide_{u}"}), u)
+    near = pairs.where("cat_a = cat_b and ua <> ub").where(_wide_flips("wide_a", "wide_b") < (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9)
+    near = stored(near.select("a", "b", F.col("cat_a").alias("cat"), "ua", "sa", "ub", "sb"), "near")
+    compared = perhaps_done(texts, near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row")
+    for u in "ba":
+        near = near.join(compared.withColumnsRenamed({"row": u, "words": f"w{u}"}), u)
     common = F.size(F.array_intersect("wa", "wb"))
-    similar = pairs.join(left, ["cat", "a"]).join(right, ["cat", "b"]).where(common > jaccard * (F.size("wa") + F.size("wb") - common))
-    first = F.col("sa") >= F.col("sb")  # a < b settles equal scores
-    open_ = stored(similar.select("cat", F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("uid")), "similar")
-    lost = []
+    near = near.where(common > jaccard * (F.size("wa") + F.size("wb") - common))
+    a_first = F.col("ua") < F.col("ub")
+    sides = [F.struct(F.col(f"u{u}").alias("uid"), F.col(f"s{u}").alias("score")) for u in "ab"]
+    near = near.select("cat", F.when(a_first, sides[0]).otherwise(sides[1]).alias("low"), F.when(a_first, sides[1]).otherwise(sides[0]).alias("high"))
+    first = F.col("low.score") >= F.col("high.score")  # the lower id settles equal scores
+    return near.select("cat", F.when(first, F.col("low.uid")).otherwise(F.col("high.uid")).alias("better"), F.when(first, F.col("high.uid")).otherwise(F.col("low.uid")).alias("uid"))
+
+
+def _lost(similar: DataFrame) -> DataFrame:
+    """(cat, uid) of the texts that are similar to a better one that stays, by rounds: what no better one disputes stays, and what is similar to it goes."""
+    open_ = stored(similar, "similar")
+    lost = [similar.sparkSession.createDataFrame([], similar.select("cat", "uid").schema)]
     while not open_.isEmpty():
         disputed = open_.select("cat", F.col("uid").alias("better")).distinct()
         gone = stored(open_.join(disputed, ["cat", "better"], "left_anti").select("cat", "uid").distinct(), "gone")
@@ -296,9 +364,48 @@ def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str,
         rest = open_.join(gone, ["cat", "uid"], "left_anti").join(gone.withColumnRenamed("uid", "better"), ["cat", "better"], "left_anti")
         before, open_ = open_, stored(rest.select("cat", "better", "uid"), "similar")
         dropped(before)
-    left_over = rows.where("words is null or size(words) = 0").select("cat", "uid", "score").unionByName(sets.drop("words", "wide"))
-    if lost:
-        left_over = left_over.join(reduce(DataFrame.unionByName, lost), ["cat", "uid"], "left_anti")
+    return reduce(DataFrame.unionByName, lost)
+
+
+def greedy_dedup(df: DataFrame, category: str, uid: str, score: str, text: str, jaccard: float = 0.7, most: int | None = 400) -> DataFrame:
+    """By falling score, a text stays unless its word set is similar to one that stayed; `most` a category, if given.
+
+    Texts of equal word sets (by 128 bits) count as their best one, since the others always go with or because of it.  Texts without words are similar
+    to none.  Word sets are written once, and shuffled only where two are compared.  First, sets meet the best of their near copies; those similar to it are
+    left aside.  Of the others, similar pairs are found over the rare words they share, with only numbers beside them, and settled by rounds of joins.  A set left
+    aside is gone if one it is similar to stayed; one that has none is taken back, meets the others, and all are settled again, so that what stays is
+    what the greedy walk keeps, whatever was left aside.
+    """
+    words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w, category))))
+    rows = df.select(F.col(category).alias("cat"), F.col(uid).alias("uid"), F.col(score).alias("score"), F.coalesce(words, F.array().cast("array<long>")).alias("words"))
+    digest = [F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("set"), "words").alias("h2")]
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "cat", "uid", "score", *digest, _wide_sketch("words").alias("wide"), "words"), "words")
+    order = F.struct((-F.col("score")).alias("falling"), "uid")
+    best = rows.where("n > 0").groupBy("cat", "n", "h1", "h2").agg(F.min_by(F.struct("row", "uid", "score", "wide"), order).alias("best"))
+    sets = stored(best.select("cat", "n", "best.*"), "sets")
+    named = sets.where("cat is not null and uid is not null").select("row", "cat", "uid", "score", "n", "wide")  # others are similar to none
+    texts = rows.select("row", "words")
+    theirs = perhaps_done(texts, named, "row")
+    levels = sets.sparkSession.sparkContext.broadcast(_word_levels(theirs))
+    stars = stored(_similar(_stars(theirs, named), named, texts, jaccard), "stars")
+    aside = stored(stars.select("cat", "uid").distinct(), "aside")
+    similar = None
+    while True:
+        undecided = stored(named.join(aside, ["cat", "uid"], "left_anti").select(*named.columns), "undecided")
+        among = _prefixes(perhaps_done(texts, undecided, "row"), levels, jaccard)
+        some = among if similar is None else _prefixes(perhaps_done(texts, undecided.join(back, ["cat", "uid"], "left_semi"), "row"), levels, jaccard)
+        among = among if similar is None else perhaps_done(among, some, "word")
+        found = stored(_similar(_candidates(some, among, jaccard), undecided, texts, jaccard), "pairs")
+        similar = found if similar is None else similar.unionByName(found)
+        lost = _lost(similar.distinct())
+        stays = undecided.select("cat", F.col("uid").alias("better")).join(lost.withColumnRenamed("uid", "better"), ["cat", "better"], "left_anti").distinct()
+        gone = stars.join(stays, ["cat", "better"], "left_semi").select("cat", "uid").distinct()
+        back = stored(aside.join(gone, ["cat", "uid"], "left_anti"), "back")
+        if back.isEmpty():
+            break
+        aside = stored(aside.join(back, ["cat", "uid"], "left_anti"), "aside")
+    left_over = rows.where("n = 0").select("cat", "uid", "score").unionByName(sets.select("cat", "uid", "score"))
+    left_over = left_over.join(lost.unionByName(aside), ["cat", "uid"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("score"), "uid"))
-    named = [F.col("cat").alias(category), F.col("uid").alias(uid), F.col("score").alias(score)]
-    return left_over.select(*named) if most is None else left_over.withColumn("nth", nth).where(F.col("nth") <= most).select(*named, "nth")
+    shown = [F.col("cat").alias(category), F.col("uid").alias(uid), F.col("score").alias(score)]
+    return left_over.select(*shown) if most is None else left_over.withColumn("nth", nth).where(F.col("nth") <= most).select(*shown, "nth")

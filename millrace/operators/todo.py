@@ -42,3 +42,10 @@ def not_done(rows: DataFrame, done: DataFrame, uid: str) -> DataFrame:
     perhaps = F.coalesce(F.col("bits").bitwiseAND(_mask(uid)) == _mask(uid), F.lit(False))
     new, maybe = (tested.where(c).select(*rows.columns) for c in (~perhaps, perhaps))
     return new.unionByName(maybe.join(done.select(F.col(uid).alias("done_uid")), F.col(uid) == F.col("done_uid"), "left_anti"))
+
+
+def perhaps_done(rows: DataFrame, done: DataFrame, uid: str) -> DataFrame:
+    """The rows that the Bloom filter of done's ids does not rule out: all that are in done, and few others; rows are not shuffled."""
+    filter_ = bloom(done, uid).select(F.col("word").alias("bloom_word"), F.col("bits").alias("bloom_bits"))  # 2 ** 20 rows of 16 bytes at most
+    tested = rows.join(F.broadcast(filter_), _word(uid) == F.col("bloom_word"))
+    return tested.where(F.col("bloom_bits").bitwiseAND(_mask(uid)) == _mask(uid)).select(*rows.columns)

@@ -105,6 +105,54 @@ def test_greedy_dedup_equals_brute_force_and_makes_no_pairs_of_copies(spark, mon
     assert sizes["sets"] < 125  # 101 copies are one or two rows
 
 
+def _walk(rows, jaccard=0.7):
+    """What the greedy walk over (cat, id, score, text) keeps."""
+    kept, want = {}, set()
+    for cat, uid, _, t in sorted(rows, key=lambda r: (-r[2], r[1])):
+        words = set(t.lower().split())
+        if not any(len(words & k) > jaccard * len(words | k) for k in kept.setdefault(cat, [])):
+            kept[cat].append(words)
+            want.add((cat, uid))
+    return want
+
+
+def test_greedy_dedup_makes_few_pairs_of_a_crowd_and_takes_back_what_was_left_aside_wrongly(spark, monkeypatch):
+    rng = random.Random(8)
+    line = [f"w{i}" for i in range(60)]
+    crowd = [" ".join(w if rng.random() > 0.03 else f"x{k}" for w in line) for k in range(150)]
+    chain = [" ".join(f"v{i}" for i in range(4 * k, 4 * k + 60)) for k in range(30)]  # neighbours are similar, others less and less
+    loose = [" ".join(f"z{rng.randrange(300)}" for _ in range(rng.choice([1, 3, 20, 90]))) for _ in range(100)]
+    rows = [(rng.choice("xy"), f"u{i:03}", rng.randrange(4), t) for i, t in enumerate(crowd + chain + loose)]
+    rows += [("x", f"c{k:02}", 9, t) for k, t in enumerate(chain)]
+    made = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "stored", counted)
+    got = M.greedy_dedup(spark.createDataFrame(rows, "cat string, id string, score int, text string"), "cat", "id", "score", "text", most=None)
+    assert {(r.cat, r.id) for r in got.collect()} == _walk(rows)
+    assert len(made["back"]) > 1 and made["back"][0] > 0 == made["back"][-1]
+    assert sum(map(sum, made.values())) < 6000  # the crowd alone has 5,000 similar pairs and more
+
+
+def test_first_words_of_similar_sets_are_shared_in_any_order(spark):
+    rng = random.Random(2)
+    sets = [sorted({rng.randrange(-40, 40) * 2**57 + rng.randrange(5) for _ in range(rng.choice([2, 5, 12, 40]))}) for _ in range(60)]
+    sets += [sorted({*s[1:], 7}) for s in sets[:30]] + [sorted({*s, 11, 12}) for s in sets[30:]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "row long, words array<long>")
+    for seed in (0, 1):
+        levels = spark.sparkContext.broadcast(np.random.default_rng(seed).integers(0, 255, M.CELLS).astype(np.uint8))
+        first = M._prefixes(rows, levels, 0.7)
+        found = {(r.a, r.b) for r in M._candidates(first, first, 0.7).collect()}
+        part = M._prefixes(rows.where("row % 3 = 0"), levels, 0.7)
+        some = {(r.a, r.b) for r in M._candidates(part, first, 0.7).collect()}
+        similar = {(a, b) for a, x in enumerate(map(set, sets)) for b, y in enumerate(map(set, sets)) if a < b and len(x & y) > 0.7 * len(x | y)}
+        assert len(similar) > 30 and similar <= found and {p for p in similar if p[0] % 3 == 0 or p[1] % 3 == 0} <= some
+
+
 def test_spectrum_sorts_only_the_middle_partitions(spark):
     from millrace.plans import QUERIES
 
