@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shuffles_dropped
+
 
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank and malformed lines are left out."""
@@ -37,6 +39,8 @@ def append_results(df: DataFrame, ok: str, failed: str, error: str, by: str) ->
 
 #: Least buckets of the mirror's tables, and rows of a table a bucket: a join of two of them has as many tasks, each with one bucket of both.
 BUCKETS, BUCKET_ROWS = 32, 500_000
+#: Rows of a table that are shuffled at once.
+PART_ROWS = 100_000_000
 
 
 def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, path: str, name: str, product: str, review: str, buckets: int | None = None) -> None:
@@ -46,16 +50,26 @@ def write_mirror(products: DataFrame, reviews: DataFrame, scores: DataFrame, pat
     shuffle nothing; scores, rows of (review, product, aspect, score), lie in a folder an aspect.  A product is in one bucket, and the
     task that writes or joins it has all its rows as a stream; the number of buckets follows the rows of the largest table, if it is
     not given, so that a task sorts in memory.  Scores are shuffled once, as maps, and lose repeats and are exploded where they are written.
+    Tables of over PART_ROWS rows are read once for each part of their buckets, and a part's shuffle goes when it is written: beside the tables, the disk
+    holds no more than the shuffle of one part.
     """
-    if buckets is None:
-        buckets = max(BUCKETS, -(-max(df.count() for df in (products, reviews, scores)) // BUCKET_ROWS))
-    once = scores.select(review, product, "scores").repartition(buckets, product).dropDuplicates([product, review])  # stays in its bucket
-    once = once.select(review, product, F.explode("scores").alias("aspect", "score"))
-    tables = (("products", products.repartition(buckets, product), []), ("reviews", reviews.repartition(buckets, product), []), ("scores", once, ["aspect"]))
-    for part, df, folders in tables:
-        order = [product] if part == "products" else [product, review]  # ids beside their neighbours take less space
-        writer = df.write.option("compression", "zstd").bucketBy(buckets, product).sortBy(*order).option("path", f"{path}/{part}")  # a file a bucket
-        (writer.partitionBy(*folders) if folders else writer).saveAsTable(f"{name}_{part}")
+    exploded = lambda df: df.dropDuplicates([product, review]).select(review, product, F.explode("scores").alias("aspect", "score"))  # noqa: E731  stays in its bucket
+    tables = (("products", products, None, []), ("reviews", reviews, None, []), ("scores", scores.select(review, product, "scores"), exploded, ["aspect"]))
+    with shuffles_dropped(products.sparkSession):
+        rows = {part: df.count() for part, df, _, _ in tables}
+        if buckets is None:
+            buckets = max(BUCKETS, -(-max(rows.values()) // BUCKET_ROWS))
+        bucket = F.pmod(F.hash(product), F.lit(buckets))  # where both repartition and bucketBy put a row
+        for part, df, made, folders in tables:
+            order = [product] if part == "products" else [product, review]  # ids beside their neighbours take less space
+            parts = max(1, min(buckets, -(-rows[part] // PART_ROWS)))
+            for i in range(parts):
+                some = df if parts == 1 else df.where((bucket >= i * buckets // parts) & (bucket < (i + 1) * buckets // parts))
+                some = some.repartition(buckets, product)
+                some = some if made is None else made(some)
+                writer = some.write.mode("append" if i else "errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9")
+                writer = writer.bucketBy(buckets, product).sortBy(*order).option("path", f"{path}/{part}")  # a file a bucket
+                (writer.partitionBy(*folders) if folders else writer).saveAsTable(f"{name}_{part}")
 
 
 def drop_mirror(spark: SparkSession, name: str) -> None:

@@ -3,6 +3,7 @@
 import html
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -350,6 +351,39 @@ def test_mirror_follows_the_rows_and_shuffles_maps(spark, tmp_path, monkeypatch)
         files.drop_mirror(spark, "rows_mirror")
 
 
+def test_mirror_in_parts_is_the_mirror_and_keeps_no_shuffle(spark, tmp_path, monkeypatch):
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    shuffles = lambda: {f for _, _, names in os.walk(local) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before = shuffles()
+
+    def left():
+        until = time.time() + 10  # files go a moment later
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.1)
+        return shuffles() - before
+
+    products = spark.range(200).selectExpr("nullif(id, 9) as product_uid", "concat('p', id) as name")
+    reviews = spark.range(3000).selectExpr("concat('r', id) as review_uid", "nullif(pmod(hash(id), 200) * 1L, 9L) as product_uid")
+    scores = reviews.selectExpr("*", "map('x', cast(1 as double), 'y', cast(product_uid as double)) as scores")
+    seen, plain = [], type(products).write.fget
+    monkeypatch.setattr(type(products), "write", property(lambda df: seen.append(left() if seen else set()) or plain(df)))
+    files.write_mirror(products, reviews, scores.unionByName(scores), f"file://{tmp_path}/one", "one_mirror", "product_uid", "review_uid", buckets=8)
+    assert len(seen) == 3
+    monkeypatch.setattr(files, "PART_ROWS", 2000)
+    files.write_mirror(products, reviews, scores.unionByName(scores), f"file://{tmp_path}/cut", "cut_mirror", "product_uid", "review_uid", buckets=8)
+    try:
+        assert len(seen) == 3 + 1 + 2 + 3 and not any(seen) and not left()
+        for part in ("products", "reviews", "scores"):
+            one, cut = (sorted(map(str, spark.table(f"{n}_mirror_{part}").collect())) for n in ("one", "cut"))
+            assert one == cut and len(cut) == {"products": 200, "reviews": 3000, "scores": 6000}[part]
+            names = ["/".join(f.split(f"/cut/{part}/")[1].split("/")[:-1]) + f.rsplit("_", 1)[1] for f in spark.table(f"cut_mirror_{part}").inputFiles()]
+            assert len(names) == len(set(names))  # a file a bucket (and aspect)
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    finally:
+        for name in ("one_mirror", "cut_mirror"):
+            files.drop_mirror(spark, name)
+
+
 def test_evidence_does_not_shuffle_rows_to_find_the_best(spark):
     rows = spark.range(20_000).selectExpr("concat('r', id) as uid", "concat('c', id % 3) as cat", "map('x', cast(id * 7 % 101 as double), 'y', cast(if(id % 5 = 0, null, id % 11) as double)) as scores")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
