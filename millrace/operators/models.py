@@ -346,11 +346,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, jaccard: float
         near = near.join(compared.withColumnsRenamed({"row": u, "words": f"w{u}"}), u)
     common = F.size(F.array_intersect("wa", "wb"))
     near = near.where(common > jaccard * (F.size("wa") + F.size("wb") - common))
-    a_first = F.col("ua") < F.col("ub")
-    sides = [F.struct(F.col(f"u{u}").alias("uid"), F.col(f"s{u}").alias("score")) for u in "ab"]
-    near = near.select("cat", F.when(a_first, sides[0]).otherwise(sides[1]).alias("low"), F.when(a_first, sides[1]).otherwise(sides[0]).alias("high"))
-    first = F.col("low.score") >= F.col("high.score")  # the lower id settles equal scores
-    return near.select("cat", F.when(first, F.col("low.uid")).otherwise(F.col("high.uid")).alias("better"), F.when(first, F.col("high.uid")).otherwise(F.col("low.uid")).alias("uid"))
+    # By falling score and then by id, as among copies; a missing score comes first.
+    a_first = F.struct((-F.col("sa")).alias("falling"), F.col("ua").alias("uid")) < F.struct((-F.col("sb")).alias("falling"), F.col("ub").alias("uid"))
+    return near.select("cat", F.when(a_first, F.col("ua")).otherwise(F.col("ub")).alias("better"), F.when(a_first, F.col("ub")).otherwise(F.col("ua")).alias("uid"))
 
 
 def _lost(similar: DataFrame) -> DataFrame:

@@ -138,6 +138,13 @@ def test_greedy_dedup_makes_few_pairs_of_a_crowd_and_takes_back_what_was_left_as
     assert sum(map(sum, made.values())) < 6000  # the crowd alone has 5,000 similar pairs and more
 
 
+def test_greedy_dedup_ends_where_scores_are_missing(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("c", uid, score, f"{line} {uid}") for uid, score in ((1, 5), (2, None), (3, 1), (4, None))] + [("c", None, 9, line), (None, 5, 9, line), (None, 6, 9, f"{line} x"), ("c", 7, None, None)]
+    got = M.greedy_dedup(spark.createDataFrame(rows, "cat string, id long, score int, text string"), "cat", "id", "score", "text", most=None)
+    assert sorted(map(str, ((r.cat, r.id) for r in got.collect()))) == sorted(map(str, [("c", 2), ("c", None), (None, 5), (None, 6), ("c", 7)]))
+
+
 def test_first_words_of_similar_sets_are_shared_in_any_order(spark):
     rng = random.Random(2)
     sets = [sorted({rng.randrange(-40, 40) * 2**57 + rng.randrange(5) for _ in range(rng.choice([2, 5, 12, 40]))}) for _ in range(60)]
